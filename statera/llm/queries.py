@@ -17,16 +17,16 @@ QUERIES = {
 _UNIT = "(('0x' || substr(md5({}), 1, 7))::BIGINT + 0.5::DOUBLE) / 268435456.0::DOUBLE"
 #: The reflected CRC-32 of a text's bytes, by shifts of one byte; the table comes from the rule of eight shifts by one bit.
 _CRC = """
-step AS (SELECT i, 0 AS j, i::BIGINT AS c FROM range(256) t(i)),
 crc_table AS (
   SELECT list(c ORDER BY i) AS tab FROM (
     SELECT i, list_reduce(list_prepend(i::BIGINT, list_transform(range(8), lambda x: 0::BIGINT)),
       lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) t(i))),
 crcs AS (
   SELECT text, xor(list_reduce(list_prepend(4294967295::BIGINT,
-      list_transform(range(strlen(text)), lambda i: ('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::BIGINT)),
+      list_transform(pairs, lambda p: ('0x' || p)::BIGINT)),
       lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS crc
-  FROM (SELECT DISTINCT text FROM documents WHERE text <> ''), crc_table)
+  FROM (SELECT text, regexp_extract_all(hex(encode(text)), '..') AS pairs FROM (SELECT DISTINCT text FROM documents WHERE text <> '')),
+    crc_table)
 """
 
 ORACLE_SQL = {
@@ -86,9 +86,9 @@ h AS (SELECT *, cap::DOUBLE / w <= rest::DOUBLE / open AS is_full FROM f),
 o AS (SELECT rest, open FROM h WHERE NOT is_full ORDER BY cap::DOUBLE / w, k LIMIT 1),
 t AS (SELECT k, source_size, CASE WHEN is_full OR o.open IS NULL THEN cap::DOUBLE ELSE (w * o.rest)::DOUBLE / o.open END AS target
       FROM h LEFT JOIN o ON true),
-a AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY size, d, doc_id, crc) AS at,
+a AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY size, d, doc_id, crc) AS nth,
         CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, {_UNIT.format("'29/' || k")} AS u FROM d JOIN t USING (k))
 SELECT doc_id, size, source_size, target,
-       least(floor(at * rate + u) - floor((at - 1) * rate + u), 3)::BIGINT * size AS taken FROM a
+       least(floor(nth * rate + u) - floor((nth - 1) * rate + u), 3)::BIGINT * size AS taken FROM a
 """,
 }
