@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from statera.llm import bpe, exact_dedup, mixing, quality, sharding, simhash
+from statera.llm import bpe, chunk_dedup, exact_dedup, license_scan, mixing, quality, sharding, simhash, suffix_dedup, warc
+from statera.llm.license_scan import TEMPLATES, words_of
 from statera.llm.quality import PHRASES
 
 QUERIES = {
     "op1_stratified_sharding": sharding.op1,
+    "op2_license_scan": license_scan.op2,
     "op3_block_naming_dedup": exact_dedup.op3,
+    "op4_sparse_suffix_dedup": suffix_dedup.op4,
     "op5_systematic_mixing": mixing.op5,
     "op6_line_quality": quality.op6,
+    "op7_chunk_dedup": chunk_dedup.op7,
     "op8_simhash_popcount": simhash.op8,
+    "op9_warc_merkle_audit": warc.op9,
     "op10_byte_bpe": bpe.op10,
 }
 
@@ -29,7 +34,47 @@ crcs AS (
     crc_table)
 """
 
+_TEMPLATES = ", ".join(f"('{label}', {sorted(set(words_of(text)))})" for label, text in TEMPLATES.items())
+
 ORACLE_SQL = {
+    "op2_license_scan": rf"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT rid, doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t),
+p(label, words) AS (VALUES ('gpl', ['gnu', 'general', 'public', 'license']), ('apache', ['apache', 'license']),
+        ('cc-by', ['cc', 'by']), ('mit', ['mit', 'license'])),
+pl AS (SELECT rid, label, i - 1 AS i FROM w, p, unnest(range(1, len(w) + 1)) u(i) WHERE w[i] = words[1] AND w[i:i + len(words) - 1] = words),
+b AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
+        array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM pl GROUP BY rid),
+l AS (SELECT rid, list_distinct(regexp_extract_all(unnest(string_split(text, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS words FROM t),
+m(label, words) AS (VALUES {_TEMPLATES}),
+c AS (SELECT rid, label, len(list_intersect(l.words, m.words))::DOUBLE / len(m.words) AS held FROM l, m
+      WHERE len(list_intersect(l.words, m.words)) >= ceil(0.8 * len(m.words) - 1e-9)),
+s AS (SELECT rid, max(held) AS score FROM c GROUP BY rid),
+e AS (SELECT rid, label FROM pl UNION SELECT rid, label FROM c),
+g AS (SELECT rid, array_to_string(list(label ORDER BY label), ',') AS labels FROM e GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0.0) END AS score
+FROM w LEFT JOIN b USING (rid) LEFT JOIN g USING (rid) LEFT JOIN s USING (rid)
+""",
+    "op9_warc_merkle_audit": """
+WITH d AS (SELECT *, md5('rot:' || coalesce(page_id::VARCHAR, '')) AS d, coalesce(html, '') AS body FROM pages),
+r AS (SELECT *, CASE WHEN substr(d, 1, 2) < '04' AND length(body) > 0 THEN
+          substr(body, 1, (('0x' || substr(d, 3, 6))::BIGINT % length(body))) || repeat('~', strlen(substr(body, (('0x' || substr(d, 3, 6))::BIGINT % length(body)) + 1, 1))) || substr(body, (('0x' || substr(d, 3, 6))::BIGINT % length(body)) + 2)
+        ELSE body END AS rot FROM d),
+h AS (SELECT *, md5(coalesce(page_id::VARCHAR, '') || '|' || coalesce(url, '')) AS key,
+        'WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: ' AS x FROM r),
+k AS (SELECT page_id, url, key,
+        replace(x || coalesce(url, '') || '\r\nWARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '')
+          || '>\r\nContent-Type: text/html\r\nContent-Length: ', '\r\n', chr(13) || chr(10)) AS head,
+        chr(13) || chr(10) || chr(13) || chr(10) AS gap, body, rot FROM h),
+a AS (SELECT page_id, url, key, head || strlen(body) || gap || body || gap AS ra, head || strlen(rot) || gap || rot || gap AS rb FROM k),
+v AS (SELECT *, (('0x' || substr(key, 1, 7))::BIGINT % greatest(1, ceil(sum(strlen(ra)) OVER () / 67108864.0)::BIGINT))::INTEGER AS volume FROM a),
+o AS (SELECT *, row_number() OVER w - 1 AS node, (sum(strlen(ra)) OVER w)::BIGINT AS ea, (sum(strlen(rb)) OVER w)::BIGINT AS eb FROM v
+      WINDOW w AS (PARTITION BY volume ORDER BY key, page_id, url ROWS UNBOUNDED PRECEDING)),
+z AS (SELECT *, sha256(sha256(ra) || '|' || (ea - strlen(ra)) || '|' || ea) AS digest_a, sha256(sha256(rb) || '|' || (eb - strlen(rb)) || '|' || eb) AS digest_b FROM o)
+SELECT volume, node, page_id, ea - strlen(ra) AS start, ea AS "end", digest_a, digest_b, 'damaged' AS state FROM z WHERE digest_a <> digest_b
+""",
     "op3_block_naming_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
        sha256(coalesce(text, '')) AS text_sha256
