@@ -1,58 +1,13 @@
-"""Helpers shared by the corpus operators: shared scratch tables and row keys."""
+"""Helpers shared by the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TABLES: dict[str, list[str]] = {}
-_OWN: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. A temporary one is set only where it is unset (tests, laptops)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="statera-")
-        _OWN[spark.sparkContext.applicationId] = found
-    return found.rstrip("/")
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no earlier stage."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._statera_path = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete scratch tables that nothing lazy reads any more."""
-    for t in tables:
-        path = getattr(t, "_statera_path", None)
-        if path:
-            _delete(t.sparkSession, path)
-
-
-def release_all(spark: SparkSession) -> None:
-    """Delete every scratch table of this application. Call when all results have been written."""
-    for path in list(_TABLES.get(spark.sparkContext.applicationId, [])):
-        _delete(spark, path)
-
+from statera.scratch import release, release_all, scratch_dir, table
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
-    paths = _TABLES.get(spark.sparkContext.applicationId, [])
-    if path in paths:
-        paths.remove(path)
+__all__ = ["release", "release_all", "scratch_dir", "source_key", "table", "unit"]
 
 
 def source_key(col: str = "source") -> Column:
