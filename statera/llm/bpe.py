@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 Each match of the split pattern is merged on its own. Its tokens form a linked list; the place of a pair waits in the
-bucket of the pair's merge rank, and a three-level bitmap over ranks names the next non-empty bucket by find-first-set. A
-place popped from a bucket is stale, and skipped, if the pair there has another rank by now. Every merge adds at most two
+bucket of the pair's merge rank, and a two-level bitmap over ranks (words of 256 bits, the upper word as long as need be)
+names the next non-empty bucket by find-first-set. A place popped from a bucket is stale, and skipped, if the pair there has another rank by now. Every merge adds at most two
 entries, so a pre-token of n bytes takes O(n log n) steps however long it is: the logarithm is that of the heap which keeps
 a bucket's places from left to right.
 
@@ -17,16 +17,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
 from heapq import heappop, heappush
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 #: Finished pre-tokens a Python worker remembers, each of REMEMBER_CHARS characters at most; then it starts anew.
-REMEMBER, REMEMBER_CHARS = 150_000, 40
+REMEMBER, REMEMBER_CHARS = 400_000, 32
+_BIT = [1 << i for i in range(256)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,131 +35,141 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Merger:
-    """Encodes one pre-token after another by a table of ranks."""
+    """Encodes one pre-token after another by a table of ranks, which are also the ids."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        n = max(ranks.values(), default=0) + 1
-        self.ranks, self.buckets = ranks, {}
-        self.low, self.mid, self.top = [0] * ((n >> 6) + 1), [0] * ((n >> 12) + 1), 0
+        self.n = max(ranks.values(), default=0) + 1
+        self.ranks, self.low = ranks, [0] * ((self.n >> 8) + 1)
+        self.single = [ranks[bytes([b])] for b in range(256)]
+        #: Rank of left + right by left * n + right, for every split of every entry into two entries.
+        self.pairs = {}
+        for piece, rank in ranks.items():
+            for i in range(1, len(piece)):
+                a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
+                if a is not None and b is not None:
+                    self.pairs[a * self.n + b] = rank
 
     def __call__(self, piece: bytes) -> list[int]:
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
+        if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        low, mid, buckets, find = self.low, self.mid, self.buckets, ranks.get
-        n, top = len(piece), 0
-        after, before = list(range(1, n + 2)), list(range(-1, n))
-        pair = [-1] * (n + 1)
-
-        def put(at: int, rank: int) -> None:
-            nonlocal top
-            pair[at] = rank
-            if rank in buckets:
-                heappush(buckets[rank], at)
-            else:
-                buckets[rank] = [at]
-                low[rank >> 6] |= 1 << (rank & 63)
-                mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-                top |= 1 << (rank >> 12)
-
-        for i in range(n - 1):
-            if (rank := find(piece[i : i + 2])) is not None:
-                put(i, rank)
+        find, base, low, bit, buckets, top = self.pairs.get, self.n, self.low, _BIT, {}, 0
+        tok = [self.single[b] for b in piece]
+        n = len(tok)
+        after, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [None] * n
+        for at in range(n - 1):
+            rank = pair[at] = find(tok[at] * base + tok[at + 1])
+            if rank is not None:
+                if rank in buckets:
+                    buckets[rank].append(at)  # places rise, so a list is a heap
+                else:
+                    buckets[rank] = [at]
+                    low[rank >> 8] |= bit[rank & 255]
+                    top |= 1 << (rank >> 8)
         while top:
-            m = (top & -top).bit_length() - 1
-            w = mid[m]
-            k = m << 6 | (w & -w).bit_length() - 1
-            w = low[k]
-            rank = k << 6 | (w & -w).bit_length() - 1
+            word = (top & -top).bit_length() - 1
+            bits = low[word]
+            first = bits & -bits
+            rank = word << 8 | first.bit_length() - 1
             places = buckets[rank]
-            at = heappop(places)
-            if not places:
+            if len(places) > 1:
+                at = heappop(places)
+            else:
+                at = places[0]
                 del buckets[rank]
-                low[k] &= ~(1 << (rank & 63))
-                if not low[k]:
-                    mid[m] &= ~(1 << (k & 63))
-                    if not mid[m]:
-                        top &= ~(1 << m)
+                low[word] = bits = bits ^ first
+                if not bits:
+                    top &= top - 1
             if pair[at] != rank:
-                continue
+                continue  # stale
             gone = after[at]
-            end = after[gone]
-            pair[gone], after[at] = -1, end
+            end = after[at] = after[gone]
+            tok[at], pair[gone], pair[at] = rank, None, None
             if end < n:
                 before[end] = at
-                new = find(piece[at : after[end]])
-                pair[at] = -1
+                new = pair[at] = find(rank * base + tok[end])
                 if new is not None:
-                    put(at, new)
-            else:
-                pair[at] = -1
+                    if new in buckets:
+                        heappush(buckets[new], at)
+                    else:
+                        buckets[new] = [at]
+                        low[new >> 8] |= 1 << (new & 255)
+                        top |= 1 << (new >> 8)
             if at:
                 left = before[at]
-                new = find(piece[left:end])
-                pair[left] = -1
+                new = pair[left] = find(tok[left] * base + rank)
                 if new is not None:
-                    put(left, new)
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
+                    if new in buckets:
+                        heappush(buckets[new], left)
+                    else:
+                        buckets[new] = [left]
+                        low[new >> 8] |= 1 << (new & 255)
+                        top |= 1 << (new >> 8)
+        out, at = [], 0
+        while at < n:
+            out.append(tok[at])
+            at = after[at]
         return out
 
 
-class Codec:
+class Codec(dict):
+    """Pre-tokens to their ids as little-endian 32-bit integers; what is missing is merged, and remembered up to a bound."""
+
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__()
         self.merge, self.split = Merger(ranks), regex.compile(pattern).findall
         self.bytes_of = {rank: piece for piece, rank in ranks.items()}
-        self.known: dict[str, list[int]] = {}
 
-    def encode(self, text: str) -> array:
-        known, ids = self.known, array("I")
-        for piece in self.split(text):
-            found = known.get(piece)
-            if found is None:
-                found = self.merge(piece.encode())
-                if len(piece) <= REMEMBER_CHARS:
-                    if len(known) >= REMEMBER:
-                        known.clear()
-                    known[piece] = found
-            ids.extend(found)
-        return ids
+    def __missing__(self, piece: str) -> bytes:
+        found = np.array(self.merge(piece.encode()), "<u4").tobytes()
+        if len(piece) <= REMEMBER_CHARS:
+            if len(self) >= REMEMBER:
+                self.clear()
+            self[piece] = found
+        return found
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, self.split(text))), "<u4")
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+_CODECS: dict = {}
 
 
-def _little(ids: array) -> bytes:
-    if array("I", [1]).tobytes()[0] != 1:
-        ids = array("I", ids)
-        ids.byteswap()
-    return ids.tobytes()
+def _codec(shared) -> Codec:
+    """One per vocabulary and Python worker: tasks that follow each other go on with what is remembered."""
+    ranks, pattern, key = shared.value
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(ranks, pattern)
+    return _CODECS[key]
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, keep: list[str] | None = None, with_ids: bool = True) -> DataFrame:
     """The columns keep of every row, with n_tokens, ids_sha256, decoded_sha256 and, on request, ids."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((read_ranks(vocabulary), pattern))
+    shared = spark.sparkContext.broadcast((read_ranks(vocabulary), pattern, (vocabulary, pattern)))
     keep = ["doc_id"] if keep is None else keep
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"{kinds}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches):
-        codec = Codec(*shared.value)
+        codec = _codec(shared)
         for batch in batches:
-            counts, a, b, all_ids, ends = [], [], [], array("I"), [0]
+            counts, a, b, all_ids = [], [], [], []
             for text in batch.column(len(keep)):
                 ids = codec.encode(text.as_py() or "")
                 counts.append(len(ids))
-                a.append(hashlib.sha256(_little(ids)).hexdigest())
+                a.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 b.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                 if with_ids:
-                    all_ids.extend(ids)
-                    ends.append(len(all_ids))
+                    all_ids.append(ids.astype(np.int32))
             out = [*batch.columns[: len(keep)], pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(all_ids), [None, pa.py_buffer(all_ids)])))
+                ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *all_ids]))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names)
 
