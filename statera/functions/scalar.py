@@ -47,7 +47,7 @@ def parse_date(c) -> Column:
     months = F.create_map(*[F.lit(x) for i, m in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"), 1) for x in (m, f"{i:02d}")])
     us, iso, mon = r"^(\d{1,2})/(\d{1,2})/(\d{4})\z", r"^(\d{4})-(\d{1,2})-(\d{1,2})\z", r"^(\d{1,2})-([A-Za-z]{3})-(\d{4})\z"
     part = lambda p, i: F.regexp_extract(t, p, i)
-    day = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd"))
+    day = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
     month = F.try_element_at(months, F.lower(part(mon, 2)))
     return (
         F.when(t.rlike(us), day(part(us, 3), part(us, 1), part(us, 2)))

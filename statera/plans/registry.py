@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from statera.plans import recon_queries
+from statera.plans import recon_queries, review_queries, scalar_queries
 
-QUERIES = {**recon_queries.QUERIES}
-ORACLE_SQL = {**recon_queries.ORACLE_SQL}
+_PARTS = (recon_queries, scalar_queries, review_queries)
+QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLE_SQL = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}

@@ -62,7 +62,7 @@ FROM ledger WHERE l_orderkey % 13 IN (1, 2, 3, 4, 5, 6)
     "samples": """
 SELECT concat('F', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS field_id,
        CASE l_linenumber % 4 WHEN 0 THEN 'amount' WHEN 1 THEN 'date' WHEN 2 THEN 'reference' ELSE 'text' END AS family,
-       (l_partkey % 997) / 997.0 AS confidence, l_suppkey % 7 <> 0 OR l_partkey % 997 > 900 AS correct,
+       CAST(l_partkey % 997 AS DOUBLE) / 997 AS confidence, l_suppkey % 7 <> 0 OR l_partkey % 997 > 900 AS correct,
        CASE l_orderkey % 4 WHEN 2 THEN 'calibration' WHEN 3 THEN 'test' ELSE 'train' END AS split, l_orderkey, l_linenumber, l_partkey
 FROM ledger
 """,
