@@ -21,18 +21,13 @@ def stripped(c) -> Column:
 def amount_cents(c) -> Column:
     """Text to cents, HALF_UP: one pair of {} or [] around, (x) or a trailing or leading minus is negative (they don't cancel); $, comma
     and blanks go; at most 20 characters are left."""
-    t = stripped(c)
-    t = F.when(t.rlike(r"^(\{.*\}|\[.*\])\z"), stripped(F.substring(t, F.lit(2), F.greatest(F.length(t) - 2, F.lit(0))))).otherwise(t)
-    bracket = t.rlike(r"(?s)^\(.*\)\z")
-    t = F.when(bracket, F.substring(t, F.lit(2), F.greatest(F.length(t) - 2, F.lit(0)))).otherwise(t)
-    tail = t.endswith("-")
-    t = F.when(tail, F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
-    t = F.translate(t, "$, ", "")
-    lead = t.startswith("-")
-    t = F.when(lead, F.substring(t, F.lit(2), F.length(t))).otherwise(t)
-    good = (F.length(t) <= 20) & t.rlike(r"^([0-9]+(\.[0-9]*)?|\.[0-9]+)\z")
-    cents = (F.round(F.when(good, t).try_cast("decimal(38,19)"), 2) * 100).try_cast("bigint")
-    return F.when(bracket | tail | lead, -cents).otherwise(cents)
+    t = stripped(F.regexp_replace(stripped(c), r"(?s)^\{(.*)\}\z|^\[(.*)\]\z", "$1$2"))
+    inner = F.regexp_replace(t, r"(?s)^\((.*)\)\z", "$1")
+    bare = F.translate(F.regexp_replace(inner, r"-\z", ""), "$, ", "")
+    negative = t.rlike(r"(?s)^\(.*\)\z") | inner.endswith("-") | bare.startswith("-")
+    digits = F.regexp_extract(bare, r"^-?((?=.{1,20}\z)(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+))\z", 1)
+    cents = (F.round(F.nullif(digits, F.lit("")).try_cast("decimal(38,19)"), 2) * 100).try_cast("bigint")
+    return cents * F.when(negative, -1).otherwise(1)
 
 
 def format_cents(c) -> Column:
@@ -57,8 +52,7 @@ def parse_date(c) -> Column:
 
 
 def plausible_date(c) -> Column:
-    d = parse_date(c)
-    return F.when(F.year(d).between(1990, 2100), d)
+    return F.get(F.filter(F.array(parse_date(c)), lambda d: F.year(d).between(1990, 2100)), F.lit(0))
 
 
 def strip_control(c) -> Column:
