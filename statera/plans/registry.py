@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from statera.plans import recon_queries, review_queries, scalar_queries, source_queries
+from statera.plans import more_queries, recon_queries, review_queries, scalar_queries, source_queries
 
-_PARTS = (recon_queries, scalar_queries, review_queries, source_queries)
+_PARTS = (recon_queries, scalar_queries, review_queries, source_queries, more_queries)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLE_SQL = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}

@@ -148,7 +148,7 @@ def cell_rows(files: DataFrame, kind: str = "csv") -> DataFrame:
             for doc, content in zip(batch.column(0), batch.column(1), strict=True):
                 error, rows, data = None, [], content.as_py() or b""
                 try:
-                    rows = read(data) if len(data) <= MOST_BYTES else []
+                    rows = read(data) if 0 < len(data) <= MOST_BYTES else []
                     error = "empty" if not data else "too_large" if not rows or len(rows) > MOST_ROWS + HEADER_ROWS or any(len(c) > MOST_CELL for r in rows for c in r) else None
                 except OverflowError:
                     error = "too_large"
