@@ -35,7 +35,9 @@ def safe_path(c) -> F.Column:
 def looks_delimited(content) -> F.Column:
     """Printable text with two of one of comma, bar and tab in its head; line ends count as control characters."""
     head = F.substring(S._col(content), 1, HEAD)
-    text = F.when(F.is_valid_utf8(F.decode(head, "iso-8859-1")) & F.try_validate_utf8(head.cast("string")).isNotNull(), head.cast("string")).otherwise(F.decode(head, "windows-1252"))
+    # cp1252 by way of Latin-1: they differ in the C1 range, of which cp1252 leaves five bytes undefined.
+    other = F.regexp_replace(F.decode(head, "iso-8859-1"), r"[\x81\x8D\x8F\x90\x9D]", "\uFFFD")
+    text = F.when(F.is_valid_utf8(head.cast("string")), head.cast("string")).otherwise(other)
     bad = F.length(text) - F.length(F.regexp_replace(text, r"[\x00-\x08\x0A-\x1F\uFFFD]", ""))
     clean = F.regexp_replace(text, r"[\x00-\x08\x0A-\x1F]", "")
     enough = F.lit(False)
