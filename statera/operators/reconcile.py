@@ -72,12 +72,12 @@ def _probes(rows: DataFrame, id_col: str) -> DataFrame:
 
 
 def reference_score(doc_type="doc_type", a: str = "a_", b: str = "b_"):
-    """1.0 where any primary reference is within one edit, or VINs share their last eight; else 0.0."""
+    """1.0 where any primary reference (normalised) is within one edit, or VINs share their last eight; else 0.0."""
     out = F.lit(0.0)
     for kind, names in PRIMARY_REFERENCES.items():
         hit = F.lit(False)
         for name in names:
-            x, y = F.nullif(S.reference(a + name), F.lit("")), F.nullif(S.reference(b + name), F.lit(""))
+            x, y = F.col(a + name), F.col(b + name)
             near = S.within_one_edit(x, y)
             hit = hit | F.coalesce(near | S.vin_tail(x, y) if name == "vin" else near, F.lit(False))
         out = F.when((S._col(doc_type) == kind) & hit, 1.0).otherwise(out)
@@ -87,8 +87,8 @@ def reference_score(doc_type="doc_type", a: str = "a_", b: str = "b_"):
 def fuzzy_candidates(lines: DataFrame, entries: DataFrame) -> DataFrame:
     """Scored pairs at or above the threshold, found through reference hits."""
     pairs = _probes(lines, "line_no").join(_probes(entries, "entry_id"), ["doc_id", "probe"]).select("doc_id", "line_no", "entry_id").distinct()
-    a = lines.select("doc_id", "line_no", "doc_type", *[F.col(r).alias(f"a_{r}") for r in REFERENCES], F.col("amount_cents").alias("a_amount"), "line_date")
-    b = entries.select("doc_id", "entry_id", "entry_pos", *[F.col(r).alias(f"b_{r}") for r in REFERENCES], F.col("amount_cents").alias("b_amount"), "post_date")
+    a = lines.select("doc_id", "line_no", "doc_type", *[F.nullif(S.reference(r), F.lit("")).alias(f"a_{r}") for r in REFERENCES], F.col("amount_cents").alias("a_amount"), "line_date")
+    b = entries.select("doc_id", "entry_id", "entry_pos", *[F.nullif(S.reference(r), F.lit("")).alias(f"b_{r}") for r in REFERENCES], F.col("amount_cents").alias("b_amount"), "post_date")
     scored = pairs.join(a, ["doc_id", "line_no"]).join(b, ["doc_id", "entry_id"])
     r, m, d = WEIGHTS
     score = F.lit(r) * reference_score() + F.lit(m) * S.amount_score("a_amount", "b_amount") + F.lit(d) * S.date_score("line_date", "post_date")

@@ -157,7 +157,7 @@ def j7a(spark, d):
     x = load(spark, d, "ledger").withColumn("doc_type", F.lit("parts_statement"))
     b = F.when(F.col("l_partkey") % 3 == 0, F.col("invoice_number")).when(F.col("l_partkey") % 3 == 1, F.expr("concat('Z', substr(invoice_number, 2, 20))")).otherwise(F.expr("concat('ZZ', substr(invoice_number, 3, 20))"))
     for n in R.REFERENCES:
-        x = x.withColumn(f"a_{n}", F.col(n)).withColumn(f"b_{n}", b if n == "invoice_number" else F.col(n))
+        x = x.withColumn(f"a_{n}", S.reference(n)).withColumn(f"b_{n}", S.reference(b if n == "invoice_number" else n))
     return x.select("entry_id", R.reference_score().alias("score"))
 
 
