@@ -105,7 +105,8 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The rows that are kept, with the columns of docs; their failed lines are gone from text, and n_chars follows where it exists."""
-    out = measured(docs).filter("kept").withColumn("text", F.col("clean_text"))
+    # Rows are let through by a generator: a filter would be pushed below the columns it needs, and bring all their expressions along.
+    out = measured(docs).withColumn("_pass", F.explode(F.array_repeat(F.lit(1), F.col("kept").cast("int")))).withColumn("text", F.col("clean_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
