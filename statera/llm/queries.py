@@ -16,6 +16,7 @@ QUERIES = {
     "op7_chunk_dedup": chunk_dedup.op7,
     "op8_simhash_popcount": simhash.op8,
     "op9_warc_merkle_audit": warc.op9,
+    "op9_warc_hurt_replica_audit": warc.op9_hurt,
     "op10_byte_bpe": bpe.op10,
 }
 

@@ -1,12 +1,18 @@
 """WARC volumes and a Merkle fixity audit of their replicas.
 
 Records are put into volumes by a digest of their key, so volumes are alike in size whatever the hosts, and in digest order
-inside a volume. A leaf is the hash of a record's hash and its byte range; a node is the hash of its FANOUT children in
+inside a volume. A leaf of the tree is an equal range of that digest, so it is a stretch of the volume, but which records are
+in it depends on their keys alone: a record that is lost, added, cut or lengthened changes its own leaf and no other. A leaf's
+digest is the number of its records and the sums of eight words of each record's hash (against rot, not against somebody who
+forges sums), so that a key repeated any number of times is added up in parts; a node is the hash of its fanout children in
 order. Replicas are compared root by root, and only below a node that differs are its children looked at: a sound volume
-costs one comparison, a damaged record one path. Record bytes are hashed where they are read; only digests and lengths move.
+costs one comparison, a damaged record one path. In leaves that differ records are compared by key and hash; byte ranges are
+reported, not compared. Record bytes are hashed where they are read; only digests and lengths move.
 
 Defined results: a null url or html counts as empty; null ids and repeated rows are records of their own (ties fall to the
-record's hash, and rows equal in all are interchangeable); no rows give no volumes and no findings; other columns are ignored.
+record's hash, and rows equal in all are interchangeable; of several records of one key those left over are paired in order); a
+record whose id or url changed is missing under its old key and extra under its new one; no rows give no volumes and no
+findings; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,31 +55,48 @@ def volumes_for(rows: DataFrame, volume_bytes: int = VOLUME_BYTES) -> int:
 
 
 def leaves(rows: DataFrame, volumes: int) -> DataFrame:
-    """volume, node, page_id, start, end, digest: a leaf per record, with its byte range in the volume."""
+    """volume, node, page_id, start, end, digest, key, sha: the records in order, with their place and byte range in the volume.
+
+    digest is the hash of the record's hash and its byte range; it names the record in this replica and isn't compared.
+    """
     volume = (F.conv(F.substring("key", 1, 7), 16, 10).cast("long") % volumes).cast("int")
-    w = Window.partitionBy("volume").orderBy("key", "page_id", "url", "size", "sha")
+    w = Window.partitionBy("volume").orderBy("key", "size", "sha")
     out = rows.withColumn("volume", volume).withColumn("node", F.row_number().over(w).cast("long") - 1)
     out = out.withColumn("end", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("size"))
     digest = F.sha2(F.concat_ws("|", "sha", F.col("start").cast("string"), F.col("end").cast("string")), 256)
-    return out.select("volume", "node", "page_id", "start", "end", digest.alias("digest"))
+    return out.select("volume", "node", "page_id", "start", "end", digest.alias("digest"), "key", "sha")
+
+
+def height(records: int, fanout: int = FANOUT) -> int:
+    """Levels above the leaves, for about fanout records a leaf."""
+    h = 0
+    while fanout ** (h + 1) < records and fanout ** (h + 1) <= 1 << 40:
+        h += 1
+    return h
+
+
+def leaf_of(levels: int, fanout: int = FANOUT) -> Column:
+    """The leaf of a key among fanout ** levels equal ranges of its first 52 bits."""
+    width = -(-(1 << 52) // fanout**levels)
+    return F.expr(f"CAST(conv(substring(key, 1, 13), 16, 10) AS BIGINT) DIV {width}")
 
 
-def tree(leaf_rows: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
+def tree(leaf_rows: DataFrame, levels: int, fanout: int = FANOUT) -> list[DataFrame]:
     """Levels from the leaves (0) to the roots: volume, node, digest. A node has at most fanout children."""
-    levels = [leaf_rows.select("volume", "node", "digest")]
-    most = leaf_rows.agg(F.max("node")).first()[0] or 0
-    while most > 0:
+    h = F.sha2(F.concat_ws("|", "key", "sha"), 256)
+    words = [F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("long")).cast("string").alias(f"w{i}") for i in range(8)]
+    sums = leaf_rows.select("volume", leaf_of(levels, fanout).alias("node"), h.alias("h")).groupBy("volume", "node").agg(F.count(F.lit(1)).cast("string").alias("n"), *words)
+    out = [table(sums.select("volume", "node", F.sha2(F.concat_ws("|", "n", *(f"w{i}" for i in range(8))), 256).alias("digest")), "merkle-leaves")]
+    for k in range(levels):
         kids = F.sort_array(F.collect_list(F.struct("node", "digest")))
-        up = levels[-1].groupBy("volume", F.expr(f"node DIV {fanout}").alias("up")).agg(kids.alias("kids"))
-        levels.append(table(up.select("volume", F.col("up").alias("node"), F.sha2(F.array_join("kids.digest", "|"), 256).alias("digest")), f"merkle-{len(levels)}"))
-        most //= fanout
-    return levels
+        up = out[-1].groupBy("volume", F.expr(f"node DIV {fanout}").alias("up")).agg(kids.alias("kids"))
+        named = F.transform("kids", lambda x: F.concat_ws(":", x["node"].cast("string"), x["digest"]))
+        out.append(table(up.select("volume", F.col("up").alias("node"), F.sha2(F.array_join(named, "|"), 256).alias("digest")), f"merkle-{k + 1}"))
+    return out
 
 
 def differing(a: list[DataFrame], b: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """volume, node of the leaves that differ or that one replica lacks."""
-    if len(a) != len(b):
-        raise ValueError("replicas differ in height: compare volume by volume")
+    """volume, node of the leaves that differ or that one replica lacks; both trees have the same height."""
     bad = None
     for x, y in zip(reversed(a), reversed(b), strict=True):
         if bad is not None:
@@ -87,22 +110,27 @@ def differing(a: list[DataFrame], b: list[DataFrame], fanout: int = FANOUT) -> D
 def audit(rows_a: DataFrame, rows_b: DataFrame, volumes: int | None = None, fanout: int = FANOUT) -> DataFrame:
     """volume, node, page_id, start, end, digest_a, digest_b, state of each record that differs between the replicas.
 
-    state is damaged, missing (in b) or extra (in b).
+    state is damaged, missing (in b) or extra (in b); node, start and end are the place in a, or in b for an extra record.
     """
     n = volumes or volumes_for(rows_a)
     a, b = (table(leaves(r, n), "merkle-0") for r in (rows_a, rows_b))
-    ta, tb = tree(a, fanout), tree(b, fanout)
-    while len(ta) < len(tb):
-        ta.append(ta[-1])
-    while len(tb) < len(ta):
-        tb.append(tb[-1])
-    bad = differing(ta, tb, fanout)
-    found = bad.join(a.withColumnRenamed("digest", "digest_a"), ["volume", "node"], "left")
-    other = b.select("volume", "node", F.col("page_id").alias("id_b"), F.col("start").alias("s_b"), F.col("end").alias("e_b"), F.col("digest").alias("digest_b"))
-    found = found.join(other, ["volume", "node"], "left")
+    levels = height(1 + max(t.agg(F.max("node")).first()[0] or 0 for t in (a, b)), fanout)
+    bad = differing(tree(a, levels, fanout), tree(b, levels, fanout), fanout).withColumnRenamed("node", "leaf")
+    a, b = (table(t.withColumn("leaf", leaf_of(levels, fanout)).join(bad, ["volume", "leaf"], "left_semi").drop("leaf"), "merkle-suspects") for t in (a, b))
+    # Records of one key and hash stand side by side in a volume, so node - first is their rank; as many as the other side has are sound.
+    same = ["volume", "key", "sha"]
+    na, nb = (t.groupBy(*same).agg(F.min("node").alias(f"first_{x}"), F.count(F.lit(1)).alias(f"n_{x}")) for t, x in ((a, "a"), (b, "b")))
+    uneven = table(na.join(nb, same, "full").filter(~F.col("n_a").eqNullSafe(F.col("n_b"))), "merkle-uneven")
+    by_key = Window.partitionBy("volume", "key").orderBy("node")
+    left = []
+    for t, x, y in ((a, "a", "b"), (b, "b", "a")):
+        t = t.join(uneven, same).filter(F.col("node") - F.col(f"first_{x}") >= F.coalesce(f"n_{y}", F.lit(0)))
+        place = [F.col(c).alias(f"{c}_{x}") for c in ("node", "page_id", "start", "end", "digest")]
+        left.append(t.select("volume", "key", F.row_number().over(by_key).alias("nth"), *place))
+    found = left[0].join(left[1], ["volume", "key", "nth"], "full")
     state = F.when(F.col("digest_b").isNull(), "missing").when(F.col("digest_a").isNull(), "extra").otherwise("damaged")
-    pick = lambda x, y: F.when(F.col("digest_a").isNull(), F.col(y)).otherwise(F.col(x)).alias(x)
-    return found.select("volume", "node", pick("page_id", "id_b"), pick("start", "s_b"), pick("end", "e_b"), "digest_a", "digest_b", state.alias("state"))
+    pick = [F.when(F.col("digest_a").isNull(), F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(c) for c in ("node", "page_id", "start", "end")]
+    return found.select("volume", *pick, "digest_a", "digest_b", state.alias("state"))
 
 
 def write_warc(pages: DataFrame, path: str, volumes: int) -> None:
@@ -150,3 +178,20 @@ def op9(spark, sf_dir: str) -> DataFrame:
     """Audits a replica of all pages that has bit rot in it (rotted) against the pages themselves."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return audit(hashed(pages), hashed(pages, rotted(F.col("html"), F.col("page_id"))))
+
+
+def hurt(pages: DataFrame) -> DataFrame:
+    """A replica with every kind of damage, anywhere in a volume: bit rot (rotted), and by another digest of the id, of 256 pages two
+    cut to two thirds, two lengthened, two lost and two with an extra record under a url of its own."""
+    h = F.substring(F.md5(F.concat(F.lit("hurt:"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))).cast("binary")), 1, 2)
+    body = rotted(F.col("html"), F.col("page_id"))
+    cut = F.substring(body, F.lit(1), (F.length(body) * 2 / 3).cast("int"))
+    rows = pages.select("page_id", "url", h.alias("h"), F.when(h < "02", cut).when(h < "04", F.concat(body, F.lit("~"))).otherwise(body).alias("html"))
+    url = F.explode(F.when(F.col("h").between("06", "07"), F.array(F.col("url"), F.concat(F.coalesce("url", F.lit("")), F.lit("#extra")))).otherwise(F.array("url")))
+    return rows.filter(~F.col("h").between("04", "05")).select("page_id", url.alias("url"), "html")
+
+
+def op9_hurt(spark, sf_dir: str) -> DataFrame:
+    """Audits a replica with rotted, cut, lengthened, lost and extra records (hurt) against the pages."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return audit(hashed(pages), hashed(hurt(pages)))

@@ -153,6 +153,37 @@ def test_fixity(spark):
     assert warc.audit(clean.limit(0), clean.limit(0)).count() == 0
 
 
+def test_fixity_does_not_depend_on_neighbours(spark):
+    df = pages(spark).cache()
+    clean = warc.hashed(df)
+    order = [(r.page_id, r.url) for r in spark.createDataFrame(clean.collect(), clean.schema).orderBy("key").collect()]
+    once = [i for i, _ in order if i not in (None, 3)]
+    cut, longer, lost, near = once[5], once[90], once[150], once[20]  # in the middle of the only volume
+    html = F.when(F.col("page_id") == cut, F.lit("<p>")).when(F.col("page_id") == longer, F.concat("html", F.lit("tail"))).otherwise(F.col("html"))
+    copy = df.withColumn("html", html).filter(~F.col("page_id").eqNullSafe(F.lit(lost)))
+    copy = copy.unionByName(df.filter(F.col("page_id") == near).withColumn("url", F.lit("http://new"))).unionByName(df.filter("page_id IS NULL"))
+    found = warc.audit(clean, warc.hashed(copy), volumes=1).collect()
+    assert Counter((r.page_id, r.state) for r in found) == {(cut, "damaged"): 1, (longer, "damaged"): 1, (lost, "missing"): 1, (near, "extra"): 1, (None, "extra"): 1}
+    # Of two records that share a key only the lost one is named.
+    gone = df.filter(~F.col("page_id").eqNullSafe(F.lit(3)) | (F.col("html") == "other"))
+    at = {r.digest: r.sha for r in warc.leaves(clean, 1).collect()}
+    lost = {r.sha for r in warc.hashed(df.filter("page_id = 3 AND html <> 'other'")).collect()}
+    assert [(r.state, {at[r.digest_a]}) for r in warc.audit(clean, warc.hashed(gone), volumes=1).collect()] == [("missing", lost)]
+    found = warc.audit(clean, clean.limit(0), volumes=2).collect()
+    assert {r.state for r in found} == {"missing"} and len(found) == df.count()
+
+
+def test_hurt_replica(spark):
+    df = spark.createDataFrame([(i, f"http://h{i % 5}/p{i}", f"<p>page {i} é</p>" * (1 + i % 7)) for i in range(3000)], "page_id long, url string, html string").repartition(4).cache()
+    before = Counter(((r.page_id, r.url), r.html) for r in df.collect())
+    after = Counter(((r.page_id, r.url), r.html) for r in warc.hurt(df).collect())
+    gone, new = before - after, after - before
+    old_keys, new_keys = {k for k, _ in gone}, {k for k, _ in new}
+    want = Counter({(k[0], "damaged" if k in new_keys else "missing"): 1 for k in old_keys}) + Counter((k[0], "extra") for k in new_keys - old_keys)
+    assert {s for _, s in want} == {"damaged", "missing", "extra"}
+    assert Counter((r.page_id, r.state) for r in warc.audit(warc.hashed(df), warc.hashed(warc.hurt(df)), volumes=2).collect()) == want
+
+
 def test_warc_round_trip(spark, tmp_path):
     df = pages(spark)
     warc.write_warc(df, str(tmp_path / "w"), 3)
