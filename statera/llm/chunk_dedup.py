@@ -2,9 +2,11 @@
 
 A gear hash over the last 32 bytes is taken at every byte; a chunk ends where its masked bits are zero, so borders depend on
 content alone and an insertion shifts only the chunks it touches. Distances between borders are kept within LEAST and MOST
-bytes. Chunks are named by a 128-bit BLAKE2b digest and counted by digest with partial sums; the first place of a digest, by
-(row id, offset), owns it. A span is a run of neighbouring repeated chunks that holds at least SPAN bytes: shorter runs are
-chance or stock phrases. A repeated passage is seen by the chunks that lie in it whole: one of some
+bytes. Chunks are named by a 128-bit BLAKE2b digest and counted by digest with partial sums. A run is a stretch of
+neighbouring repeated chunks that holds at least SPAN bytes: shorter ones are chance or stock phrases and are left
+alone. Of the places of a digest inside runs the first, by (row id, offset), owns it, and a run is cut into spans where that
+changes: every digest in a run stands in one owned span, so what is left when the others are removed holds each of them
+once. A repeated passage is seen by the chunks that lie in it whole: one of some
 300 bytes holds SPAN bytes of them almost always, a shorter one less often.
 
 Rows get an integer of their own in a table written first, since ids may be null or repeat. Digests of copies are counted
@@ -20,7 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statera.llm.common import release, table
@@ -89,35 +91,40 @@ def chunks(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """doc_id, start, end, n_chunks, owned, first_doc_id: maximal runs of repeated chunks of at least span bytes, by byte offset.
+def owned_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """rid, run, doc_id, start, end, n_chunks, owned, first_doc_id: runs of at least span bytes, cut where owned changes.
 
-    owned is true where every chunk of the run stands here first: such a span is the one to keep. first_doc_id is the row that
-    owns the run's first chunk.
+    owned is true where the chunks stand here first: such a span is the one to keep, the others can be removed. A run is
+    measured whole, so a span of it may be shorter. first_doc_id is the row that owns the span's first chunk.
     """
     cut = table(chunks(docs), "chunks")
     seen = table(cut.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b"), "chunk-digests")
-    hits = table(cut.join(seen, ["a", "b"]), "chunk-hits")
+    # Windows are over one row: a text's chunks fit in a task as its text does.
+    order, run = Window.partitionBy("rid").orderBy("at"), Window.partitionBy("rid", "run")
+    hits = cut.join(seen, ["a", "b"]).withColumn("to", F.col("at") + F.col("size"))
+    hits = hits.withColumn("gap", (~F.lag("to").over(order).eqNullSafe(F.col("at"))).cast("int")).withColumn("run", F.sum("gap").over(order))
+    hits = hits.withColumn("bytes", F.max("to").over(run) - F.min("at").over(run)).filter(F.col("bytes") >= span)
+    hits = table(hits.select("rid", "doc_id", "at", "to", "a", "b", "run"), "chunk-hits")
+    release(cut, seen)
     first = hits.groupBy("a", "b").agg(F.min(F.struct("rid", "at", "doc_id")).alias("f"))
     first = table(first.select("a", "b", F.col("f.rid").alias("frid"), F.col("f.at").alias("fat"), F.col("f.doc_id").alias("fdoc")), "chunk-owners")
     own = (F.col("rid") == F.col("frid")) & (F.col("at") == F.col("fat"))
-    hits = hits.join(first, ["a", "b"]).select("rid", "doc_id", "at", (F.col("at") + F.col("size")).alias("to"), own.alias("own"), "fdoc")
-    release(cut, seen)
-    # Runs inside a row: a text's chunks fit in a task as its text does.
-    runs = hits.groupBy("rid", "doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "to", "own", "fdoc"))).alias("c"))
-    zero = F.expr("CAST(array() AS array<struct<s:bigint,e:bigint,n:int,own:boolean,fdoc:bigint>>)")
+    rows = hits.join(first, ["a", "b"]).select("rid", "doc_id", "run", "at", "to", own.alias("own"), "fdoc")
+    turn = ~F.lag(F.struct("run", "own")).over(order).eqNullSafe(F.struct("run", "own"))
+    rows = rows.withColumn("turn", turn.cast("int")).withColumn("part", F.sum("turn").over(order))
+    ends = [F.min("run").alias("run"), F.min("doc_id").alias("doc_id"), F.min("at").alias("start"), F.max("to").alias("end"), F.count(F.lit(1)).cast("int").alias("n_chunks")]
+    return rows.groupBy("rid", "part").agg(*ends, F.bool_and("own").alias("owned"), F.min_by("fdoc", "at").alias("first_doc_id")).drop("part")
 
-    def add(done, c):
-        last = F.element_at(done, -1)
-        new = F.struct(c["at"].alias("s"), c["to"].alias("e"), F.lit(1).alias("n"), c["own"].alias("own"), c["fdoc"].alias("fdoc"))
-        more = F.struct(last["s"].alias("s"), c["to"].alias("e"), (last["n"] + 1).alias("n"), (last["own"] & c["own"]).alias("own"), last["fdoc"].alias("fdoc"))
-        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(more))
-        return F.when(F.size(done) == 0, F.array(new)).when(last["e"] == c["at"], joined).otherwise(F.concat(done, F.array(new)))
 
-    runs = runs.select("doc_id", F.explode(F.aggregate("c", zero, add)).alias("r"))
-    out = runs.select("doc_id", F.col("r.s").alias("start"), F.col("r.e").alias("end"), F.col("r.n").alias("n_chunks"), F.col("r.own").alias("owned"), F.col("r.fdoc").alias("first_doc_id"))
-    return out.filter(F.col("end") - F.col("start") >= span)
+def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """doc_id, start, end, n_chunks, owned, first_doc_id: maximal runs of repeated chunks of at least span bytes, by byte offset.
+
+    owned is true where every chunk of the run stands here first; see owned_spans for the parts to keep.
+    """
+    parts = [F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_chunks").cast("int").alias("n_chunks")]
+    out = owned_spans(docs, span).groupBy("rid", "run").agg(*parts, F.bool_and("owned").alias("owned"), F.min_by("first_doc_id", "start").alias("first_doc_id"))
+    return out.drop("rid", "run")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return owned_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("rid", "run")

@@ -99,3 +99,22 @@ def test_chunk_runs_match_brute_force(spark):
     # too few whole chunks.
     long = {d for d, s, e in covered(docs, 50) if e - s > 50 and d != 105}
     assert len(long & {r.doc_id for r in rows}) >= 0.95 * len(long)
+
+
+def test_each_repeated_chunk_is_kept_once(spark):
+    docs = corpus()
+    shared = "a stock passage of a good many words that stands in quite a lot of other rows, word for word, from first to last"
+    shared = f"{shared}, and then on through another line of it, {shared[::-1]}"
+    own = " ".join(f"only{i} here{i * 7}" for i in range(60))
+    docs = [(200, f"x {shared} y"), *docs, (201, f"{own} {shared} {own[::-1]}"), (202, f"{own} {shared} {own[::-1]}")]
+    rows = chunk_dedup.owned_spans(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()
+    texts, kept, removed = {}, Counter(), Counter()
+    for d, t in docs:
+        texts.setdefault(d, (t or "").encode())
+    for r in rows:
+        data = texts[r.doc_id]
+        inside = [data[s:e] for b in [chunk_dedup.borders(data)] for s, e in zip([0, *b[:-1]], b, strict=False) if r.start <= s and e <= r.end]
+        assert len(inside) == r.n_chunks
+        (kept if r.owned else removed).update(inside)
+    assert kept and set(removed) <= set(kept) and set(kept.values()) == {1}
+    assert {r.owned for r in rows if r.doc_id == 201} == {True, False} and {r.owned for r in rows if r.doc_id == 202} == {False}
