@@ -1,15 +1,15 @@
-"""Substring dedup by sparse suffix arrays.
+"""Repeated passages by suffixes at minimisers, grouped by hash; which occurrence stays is not marked.
 
 Suffixes are retained only where the content selects them: of each window of LENGTH words, at the place of its smallest
 GRAM-word hash (the leftmost, of equal ones). Equal passages of LENGTH words or more therefore retain suffixes at the same
 places. Each suffix stands with its stretch, the words of all windows that selected it.
 
-Suffixes are brought in order of their leading GRAM words, and those without an equal neighbour go. The rest are extended
-left and right as far as their stretch goes: where the whole stretch has an equal, all of it is repeated; where suffixes agree but
+Suffixes are grouped by a hash of their leading GRAM words, and those alone in their group go; nothing is sorted. The rest are
+compared by the hashes of their stretches: where the whole stretch has an equal, all of it is repeated; where suffixes agree but
 stretches differ (the edge of a passage), every window of the stretch is compared, for one suffix of each group of equal stretches. So
 the result is exact: a word is reported if and only if it lies in a window of LENGTH words that stands at two places or more.
 
-Neighbours in the sorted order are compared as groups with counts, partial counts first: a passage found in a third of
+Groups are counts, partial counts first, in place of a sorted order with extension of neighbours: a passage found in a third of
 all documents is then a number, not a run of suffixes in one task. Stretches and windows are compared by 128 bits of two
 polynomial hashes over 64-bit word hashes.
 
