@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from statera.llm import bpe, chunk_dedup, exact_dedup, license_scan, mixing, quality, sharding, simhash, suffix_dedup, warc
-from statera.llm.license_scan import TEMPLATES, words_of
+from statera.llm.license_scan import TEMPLATES, alike, need_of, told_by, words_of
 from statera.llm.quality import PHRASES
 
 QUERIES = {
@@ -35,7 +35,17 @@ crcs AS (
     crc_table)
 """
 
-_TEMPLATES = ", ".join(f"('{label}', {sorted(set(words_of(text)))})" for label, text in TEMPLATES.items())
+def _templates() -> str:
+    """Templates as SQL rows: number, label, words, distinct words, those needed and those that tell the template from others."""
+    rows, told = [], told_by(TEMPLATES)
+    for i, (label, text) in enumerate(TEMPLATES):
+        words = [w.decode() for w in words_of(text)]
+        some = sorted(set(words))
+        rows.append(f"({i}, '{label}', {len(words)}, {some}, {need_of(len(some))}, {sorted(w.decode() for w in told[i])}::VARCHAR[])")
+    return ", ".join(rows)
+
+
+_ALIKE = ", ".join(map(str, sorted(alike(TEMPLATES))))
 
 ORACLE_SQL = {
     "op2_license_scan": rf"""
@@ -47,10 +57,20 @@ p(label, words) AS (VALUES ('gpl', ['gnu', 'general', 'public', 'license']), ('a
 pl AS (SELECT rid, label, i - 1 AS i FROM w, p, unnest(range(1, len(w) + 1)) u(i) WHERE w[i] = words[1] AND w[i:i + len(words) - 1] = words),
 b AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
         array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM pl GROUP BY rid),
-l AS (SELECT rid, list_distinct(regexp_extract_all(unnest(string_split(text, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS words FROM t),
-m(label, words) AS (VALUES {_TEMPLATES}),
-c AS (SELECT rid, label, len(list_intersect(l.words, m.words))::DOUBLE / len(m.words) AS held FROM l, m
-      WHERE len(list_intersect(l.words, m.words)) >= ceil(0.8 * len(m.words) - 1e-9)),
+m(tid, label, width, words, need, told) AS (VALUES {_templates()}),
+v AS (SELECT tid, width, told, unnest(words) AS word FROM m),
+z AS (SELECT rid, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS pos FROM w),
+o AS (SELECT rid, tid, pos, list_contains(told, word) AS tells, greatest(coalesce(lag(pos) OVER (PARTITION BY rid, tid, word ORDER BY pos) + 1, 0), pos - width + 1, 0) AS lo,
+        least(pos, greatest(0, n - width)) AS hi FROM z JOIN v USING (word)),
+d AS (SELECT rid, tid, x, sum(d) AS d, sum(d) FILTER (tells) AS dt FROM (SELECT rid, tid, tells, lo AS x, 1 AS d FROM o WHERE lo <= hi UNION ALL SELECT rid, tid, tells, hi + 1, -1 FROM o WHERE lo <= hi) u GROUP BY 1, 2, 3),
+h AS (SELECT rid, tid, x, lead(x) OVER (PARTITION BY rid, tid ORDER BY x) AS until, sum(d) OVER k AS held, coalesce(sum(dt) OVER k, 0) AS tells FROM d WINDOW k AS (PARTITION BY rid, tid ORDER BY x ROWS UNBOUNDED PRECEDING)),
+y AS (SELECT h.*, width, need, label, len(words) AS size FROM h JOIN m USING (tid) WHERE held >= need AND tells = len(told)),
+j AS (SELECT *, coalesce(x <> lag(until) OVER (PARTITION BY rid, tid ORDER BY x), true)::INT AS fresh FROM y),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, tid ORDER BY x ROWS UNBOUNDED PRECEDING) AS run FROM j),
+k AS (SELECT rid, tid, label, size, min(x) AS s, max(until) - 1 + width AS e, max(held) AS held FROM i GROUP BY rid, tid, label, size, width, run),
+r(tid, other) AS (VALUES {_ALIKE}),
+c AS (SELECT rid, label, held::DOUBLE / size AS held FROM k WHERE NOT EXISTS (SELECT 1 FROM k AS q, r WHERE r.tid = k.tid AND r.other = q.tid AND q.rid = k.rid AND q.s < k.e AND k.s < q.e
+      AND (q.held, q.held::DOUBLE / q.size, -q.tid) > (k.held, k.held::DOUBLE / k.size, -k.tid))),
 s AS (SELECT rid, max(held) AS score FROM c GROUP BY rid),
 e AS (SELECT rid, label FROM pl UNION SELECT rid, label FROM c),
 g AS (SELECT rid, array_to_string(list(label ORDER BY label), ',') AS labels FROM e GROUP BY rid)

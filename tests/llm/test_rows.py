@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -111,28 +112,75 @@ def test_lines(spark):
 
 def test_licenses(spark):
     texts = ["Released under the MIT License.\nCC  by-nc", None, "", "the gnu general\npublic license", "license mit", "Licensed under the Apache Version 2.0 of 2004", "MIT License mit license", "все права mit license é", "Licensed under CC BY-NC 4.0."]
-    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, labels string")).collect()}
+    bodies = dict(license_scan.TEMPLATES[::-1])  # of several notices of one label the first
+    paragraph = max((t for label, t in license_scan.TEMPLATES if label == "mit"), key=len)
+    texts += [
+        "Licensed under CC BY 4.0",
+        "x y\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted. More.",
+        "Before. " + paragraph.replace(" ", "\n * ", 30) + " After.",
+        "All the world knows rights. " + "and so on " * 40 + "The seat is reserved. " + "this work is dedicated " + "so on " * 50 + "to the public domain",
+        "Licensed under CC BY-NC-SA 4.0. Licensed under CC BY 4.0.",
+        bodies["public-domain"] + " " + bodies["rights-reserved"],
+    ]
+    rows = [(i, t, "x") for i, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, rows[0], rows[0], (None, texts[3], "x")], "doc_id long, text string, labels string")
+    out = license_scan.scan(df).collect()
+    assert Counter(r.doc_id for r in out) == Counter(list(range(len(texts))) + [0, 0, None]) and len({tuple(map(str, r)) for r in out if r.doc_id == 0}) == 1
+    got = {r.doc_id: r for r in out}
     view = lambda i: (got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels)
-    assert view(0) == (2, 3, 5, "cc-by,mit") and view(1) == (0, None, None, "") and view(3) == (1, 1, 1, "gpl") and view(4) == (0, None, None, "")
+    assert view(0) == (2, 3, 5, "cc-by,mit") and view(1) == (0, None, None, "") and view(3) == (1, 1, 1, "gpl") == view(None) and view(4) == (0, None, None, "")
     assert view(6) == (2, 0, 2, "mit") and got[5].labels == "apache" and got[5].score == pytest.approx(7 / 8)
-    assert "cc-by-nc" in got[8].labels.split(",") and got[8].score == 1.0
+    assert got[8].labels == "cc-by,cc-by-nc" and got[8].score == 1.0 and got[9].labels == "cc-by"
+    assert got[10].labels == "bsd" and got[11].labels == "mit" and got[11].score == 1.0 and got[12].labels == "" and got[12].score == 0.0
+    assert got[13].labels == "cc-by,cc-by-nc-sa" and got[14].labels == "public-domain,rights-reserved"
+    assert [(b.first_word, b.end_word) for b in got[9].blocks] == [(0, 6)]
+    assert license_scan.scan(df.limit(0)).count() == 0
+
+
+def slow_blocks(words, templates, threshold):
+    """Every window of every template, by sets."""
+    sets = [set(license_scan.words_of(t)) for _, t in templates]
+    need = [max(1, math.ceil(threshold * len(s) - 1e-9)) for s in sets]
+    found = []
+    for i, (_, t) in enumerate(templates):
+        told = set().union(*(sets[i] - u for u in sets if sets[i] - u and len(sets[i] & u) >= need[i]))
+        width, last = len(license_scan.words_of(t)), None
+        for s in range(max(1, len(words) - width + 1)):
+            window = set(words[s : s + width])
+            if len(window & sets[i]) >= need[i] and told <= window:
+                if last == s - 1:
+                    found[-1][2], found[-1][3] = min(s + width, len(words)), max(found[-1][3], len(window & sets[i]))
+                else:
+                    found.append([i, s, min(s + width, len(words)), len(window & sets[i])])
+                last = s
+    near = lambda i, j: len(sets[i] & sets[j]) >= max(1, math.ceil(threshold * min(len(sets[i]), len(sets[j])) - 1e-9))
+    key = lambda b: (b[3], b[3] / len(sets[b[0]]), -b[0])
+    return [tuple(b) for b in found if not any(b[0] != o[0] and near(b[0], o[0]) and o[1] < b[2] and b[1] < o[2] and key(o) > key(b) for o in found)]
 
 
 def test_join_is_exact():
     rnd = random.Random(8)
-    vocabulary = [f"t{i}" for i in range(30)]
-    templates = {f"l{i}": " ".join(rnd.sample(vocabulary, rnd.randrange(1, 12))) for i in range(25)}
-    counts = {w: rnd.randrange(50) for w in vocabulary}
+    vocabulary = [f"t{i}" for i in range(14)]
+    templates = [(f"l{i}", " ".join(rnd.choice(vocabulary) for _ in range(rnd.randrange(1, 12)))) for i in range(14)]
+    templates += [("long", templates[3][1] + " more"), ("longer", templates[3][1] + " more still")]
+    some = 0
     for threshold in (0.5, 0.8, 1.0):
-        index = license_scan.Index(templates, counts, threshold)
-        for _ in range(300):
-            block = set(rnd.sample(vocabulary, rnd.randrange(0, 20)))
-            want = {}
-            for label, text in templates.items():
-                words = set(text.split())
-                if len(words & block) >= threshold * len(words) - 1e-9:
-                    want[label] = len(words & block) / len(words)
-            assert dict(index.match(block)) == want
+        index = license_scan.Index(templates, {w.encode(): rnd.randrange(50) for w in vocabulary}, threshold)
+        for _ in range(250):
+            words = [rnd.choice([*vocabulary, "more", "still", "x", "y"]).encode() for _ in range(rnd.randrange(0, 60))]
+            want = slow_blocks(words, templates, threshold)
+            some += len(want)
+            assert license_scan.blocks_of(words, index) == want
+    assert some > 1000
+
+
+def test_many_notices_in_one_text():
+    text = "Released under the MIT License. Some other words here.\n" * 40_000
+    index = license_scan.Index(license_scan.TEMPLATES, {})
+    began = time.process_time()
+    n, places, base, blocks = license_scan.scan_text(text, index, {b"mit license": "mit"})
+    assert time.process_time() - began < 8
+    assert n == 360_000 and places == list(range(3, n, 9)) and base == {"mit"} and len(blocks) == 40_000
 
 
 def pages(spark):
