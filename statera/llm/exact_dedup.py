@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statera.llm.common import release, table
+from statera.llm.common import packed, release, row_hash, table, unpacked
 
 BLOCK = 4096
 
@@ -94,14 +94,14 @@ def classes(docs: DataFrame, normal: Column | None = None, block: int = BLOCK, k
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = table(classes(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), "kept")
-    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_semi")
-    twice = docs.select("doc_id", sha.alias("_sha")).groupBy("doc_id", "_sha").count().filter("count > 1").limit(1).count()
-    if twice:  # whole rows that repeat, id and text: one of each is left
-        out = out.withColumn("_sha", sha).dropDuplicates(["doc_id", "_sha"]).drop("_sha")
-    return out
+    """The rows of docs that stay, with all their columns; of rows alike in id and text the one with the smallest row_hash."""
+    found = table(classes(docs).select("doc_id", "text_sha256", "kept"), "classes")
+    kept = table(found.filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")), "kept")
+    rows = packed(docs, id=F.col("doc_id"), sha=F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256), h=row_hash(docs))
+    out = rows.alias("r").join(kept.alias("k"), F.expr("r.id <=> k.id AND r.sha = k.sha"), "left_semi")
+    if found.groupBy("doc_id", "text_sha256").count().filter("count > 1").limit(1).count():
+        out = out.groupBy("id", "sha").agg(F.min_by("doc", "h").alias("doc"))
+    return unpacked(out, docs)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

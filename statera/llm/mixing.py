@@ -13,10 +13,10 @@ mix).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statera.llm.common import source_key, table, unit
+from statera.llm.common import packed, row_hash, source_key, table, unit, unpacked
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -42,11 +42,13 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataF
     return w.select("k", "source_size", target.alias("target"))
 
 
-def copies(docs: DataFrame, seed: int = 29, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """The plan: doc_id, crc, d, k, size, source_size, target, copies of every row."""
+def copies(docs: DataFrame, seed: int = 29, weights=WEIGHTS, most: int = MOST_COPIES, key: Column | None = None) -> DataFrame:
+    """The plan: doc_id, crc, h, k, size, source_size, target, copies of every row. h is key, or a hash of the text; it parts rows that
+    are alike in id and CRC, so that reruns agree."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    rows = docs.select("doc_id", source_key().alias("k"), size.alias("size"), crc.alias("crc"))
+    h = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) if key is None else key
+    rows = docs.select("doc_id", source_key().alias("k"), size.alias("size"), crc.alias("crc"), h.alias("h"))
     rows = rows.withColumn("d", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("crc").cast("string")).cast("binary")))
     rows = table(rows.withColumn("cell", F.substring("d", 1, 3)), "mix-rows")
 
@@ -59,33 +61,26 @@ def copies(docs: DataFrame, seed: int = 29, weights=WEIGHTS, most: int = MOST_CO
     goal = table(targets(rows.groupBy("k").agg(F.sum("size").alias("source_size")), weights, most), "mix-targets")
     cells = table(cells.join(goal, "k"), "mix-cells")
 
-    in_cell = Window.partitionBy("k", "size", "cell").orderBy("d", "doc_id", "crc")
+    in_cell = Window.partitionBy("k", "size", "cell").orderBy("d", "doc_id", "crc", "h")
     out = rows.withColumn("r", F.row_number().over(in_cell)).join(cells, ["k", "size", "cell"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     at = F.col("smaller") + F.col("before") + F.col("r")
     u = unit(F.md5(F.concat(F.lit(f"{seed}/"), F.col("k")).cast("binary")))
     crossed = F.floor(at * F.col("rate") + u) - F.floor((at - 1) * F.col("rate") + u)
     out = out.withColumn("rate", rate).withColumn("copies", F.least(crossed, F.lit(most)).cast("long"))
-    return out.select("doc_id", "crc", "d", "k", "size", "source_size", "target", "copies")
+    return out.select("doc_id", "crc", "h", "k", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, seed: int = 29, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """The mixture itself: the rows of docs, each as often as it was drawn, with the columns of docs."""
-    plan = copies(docs, seed, weights, most)
-    # Rows alike in id, source and text share one line of the plan: their copies are dealt out again among them.
-    plan = plan.groupBy("doc_id", "crc", "k").agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("rows"))
-    plan = table(plan.select(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc"), F.col("k").alias("_k"), "total", "rows"), "mix-plan")
+    h = row_hash(docs)
+    # Rows alike in every column share one line of the plan; it doesn't matter which of them is copied.
+    plan = table(copies(docs, seed, weights, most, h).groupBy("h", "crc").agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("rows")), "mix-plan")
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (crc == F.col("_crc")) & (source_key() == F.col("_k"))
-    hit = docs.join(plan.filter("total > 0"), on)
+    hit = packed(docs, h=h, crc=crc).join(plan.filter("total > 0").select("h", "crc", "total"), ["h", "crc"])
     if plan.filter("rows > 1").limit(1).count():
-        alike = Window.partitionBy("_id", "_crc", "_k").orderBy(F.lit(1))
-        nth = F.row_number().over(alike)
-        times = F.expr("total DIV rows") + F.when(F.col("_nth") <= F.col("total") % F.col("rows"), 1).otherwise(0)
-        hit = hit.withColumn("_nth", nth).withColumn("_times", times.cast("int"))
-    else:
-        hit = hit.withColumn("_times", F.col("total").cast("int"))
-    return hit.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+        hit = hit.groupBy("h", "crc").agg(F.first("doc").alias("doc"), F.first("total").alias("total"))
+    return unpacked(hit.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("total").cast("int")))), docs)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

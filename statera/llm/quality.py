@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statera.llm.common import packed, unpacked
+
 WINDOW, LEAST_WORDS, REPEATED, LOST = 8, 20, 30, 0.5
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\f\r"
@@ -106,10 +108,11 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def clean(docs: DataFrame) -> DataFrame:
     """The rows that are kept, with the columns of docs; their failed lines are gone from text, and n_chars follows where it exists."""
     # Rows are let through by a generator: a filter would be pushed below the columns it needs, and bring all their expressions along.
-    out = measured(docs).withColumn("_pass", F.explode(F.array_repeat(F.lit(1), F.col("kept").cast("int")))).withColumn("text", F.col("clean_text"))
+    out = measured(packed(docs, text=F.col("text"))).withColumn("_pass", F.explode(F.array_repeat(F.lit(1), F.col("kept").cast("int"))))
+    new = {"text": F.col("clean_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType)
+    return unpacked(out, docs, **new)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

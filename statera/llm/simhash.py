@@ -2,13 +2,14 @@
 
 A 64-bit fingerprint is cut into 32 segments of two bits and mapped to the vector of their bit counts. The Manhattan
 distance of two vectors never exceeds the Hamming distance of the fingerprints, so a range join of the vectors within
-radius 4 loses no link. The 32 coordinates form seven subgrids. Vectors at distance 4 or less differ in at most four of
-them, so they lie in the same cell of the grid spanned by some three: 35 cells per distinct fingerprint hold every pair.
+radius 4 loses no link. The 32 coordinates form G subgrids. Vectors at distance 4 or less differ in at most four of them, so
+they lie in the same cell of the grid spanned by some G - 4: a cell per choice of them, for each distinct fingerprint, holds
+every pair. G follows the number of fingerprints: more subgrids mean more but finer cells, so that cells don't fill up.
 Inside a cell the Manhattan bound is tested first (on counts in unary code, where it is a bit count), then the exact distance.
 
 Distinct fingerprints are joined, not documents. A cell reports a spanning forest of its links, not all pairs, so thousands
-of near copies cost thousands of edges. Cells above CELL members are cut into chunks, and each pair of chunks is searched
-by a task of its own: no link is lost, no group is held whole.
+of near copies cost thousands of edges. Cells are counted first; those above CELL members are cut into chunks, and each pair
+of chunks is searched by a task of its own: no link is lost, no group is held whole.
 
 Defined results: null and wordless texts have fingerprint zero, linked like any other; null ids are members but never name
 a component (a component of null ids alone has a null id); repeated rows share a fingerprint; no rows give no rows; other
@@ -18,19 +19,21 @@ columns are ignored (or kept, in keep_one).
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statera.llm.common import release, table
+from statera.llm.common import packed, release, row_hash, table, unpacked
 from statera.llm.graph import components
 
 WORDS, SEED, RADIUS = 4, 42, 4
-#: Segments in each of the seven subgrids; with RADIUS 4 at least three agree.
-SUBGRIDS = (5, 5, 5, 5, 4, 4, 4)
+SEGMENTS = 32
+#: Rows that a pair test costs, roughly; and the most hot cells that are broadcast (16 bytes each), others are joined by a shuffle.
+TEST, HOT = 0.01, 100_000
 #: Members of a cell that one task searches.
 CELL = 20_000
 EVEN = 0x5555555555555555
@@ -62,7 +65,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
             fps = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], ["doc_id", "crc", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), _crc().alias("crc"), "text").mapInArrow(run, "doc_id long, crc long, fp long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), _crc().alias("crc"), "text").mapInArrow(run, f"doc_id {kind}, crc long, fp long")
 
 
 def _crc():
@@ -73,14 +77,18 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _cells(fps: DataFrame) -> DataFrame:
-    """cell, fp: each fingerprint in the 35 cells of its bit-count vector. A cell's key is a digest of its grid and counts: two
+def subgrids_for(n: int) -> int:
+    """The number of subgrids that makes rows and pair tests of n fingerprints fewest. A segment's bit count holds 1.5 bits, so the
+    G - 4 subgrids of a cell's key part fingerprints by 48 * (G - 4) / G bits, and there are as many keys as choices of four."""
+    return min(range(RADIUS + 1, 17), key=lambda g: comb(g, RADIUS) * (1 + TEST * n / 2 ** (1.5 * SEGMENTS * (g - RADIUS) / g)))
+
+
+def _cells(fps: DataFrame, subgrids: int) -> DataFrame:
+    """cell, fp: each fingerprint in the cells of its bit-count vector. A cell's key is a digest of its grid and counts: two
     cells under one key only cost a few more tests."""
-    masks, at = [], 0
-    for n in SUBGRIDS:
-        masks.append(sum(3 << 2 * (at + i) for i in range(n)))
-        at += n
-    grids = [_signed(a | b | c) for a, b, c in combinations(masks, 3)]
+    cuts = [SEGMENTS * i // subgrids for i in range(subgrids + 1)]
+    masks = [sum(3 << 2 * i for i in range(a, b)) for a, b in zip(cuts, cuts[1:])]
+    grids = [_signed(sum(some)) for some in combinations(masks, subgrids - RADIUS)]
     # Each segment's bit count in unary code (00, 01, 11), as in _unary.
     counts = F.expr(f"((fp | shiftrightunsigned(fp, 1)) & {EVEN}L) | shiftleft(fp & shiftrightunsigned(fp, 1) & {EVEN}L, 1)")
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("counts").bitwiseAND(F.lit(g))) for i, g in enumerate(grids)])
@@ -130,54 +138,43 @@ def _links(cells: np.ndarray, fps: np.ndarray) -> np.ndarray:
     return np.unique(found, axis=0)  # the same pair meets in many cells
 
 
-def _search(limit: int):
-    """Rows (cell, fp, n) in order of cell to edges (u, v); a cell of more than limit rows is reported by (cell, n, hot)."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("hot", pa.bool_())])
-
-    def out(u, v, hot):
-        u, v = (np.ascontiguousarray(x).view(np.int64) for x in (u, v))
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), hot))], schema=schema)
-
-    def run(batches):
-        cells, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
-        for batch in batches:
-            c, f, n = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
-            if (n > limit).any():
-                yield out(*np.unique(np.stack((c, n), 1)[n > limit], axis=0).T, True)
-                c, f = c[n <= limit], f[n <= limit]
-            cells, fps = np.concatenate((cells, c)), np.concatenate((fps, f.view(np.uint64)))
-            others = np.flatnonzero(cells != cells[-1]) if len(cells) else []
-            if len(others):  # the last cell may go on in the next batch
-                cut = int(others[-1]) + 1
-                yield out(*_links(cells[:cut], fps[:cut]).T, False)
-                cells, fps = cells[cut:], fps[cut:]
-        if len(cells):
-            yield out(*_links(cells, fps).T, False)
+def _search(batches):
+    """Rows (cell, fp) in order of cell to edges (u, v)."""
 
-    return run
+    def out(links):
+        u, v = (np.ascontiguousarray(x).view(np.int64) for x in links.T)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
+    cells, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
+    for batch in batches:
+        c, f = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+        cells, fps = np.concatenate((cells, c)), np.concatenate((fps, f.view(np.uint64)))
+        others = np.flatnonzero(cells != cells[-1]) if len(cells) else []
+        if len(others):  # the last cell may go on in the next batch
+            cut = int(others[-1]) + 1
+            yield out(_links(cells[:cut], fps[:cut]))
+            cells, fps = cells[cut:], fps[cut:]
+    if len(cells):
+        yield out(_links(cells, fps))
 
-EDGES = "u long, v long, hot boolean"
 
-
-def near_edges(fps: DataFrame, cell: int = CELL) -> DataFrame:
+def near_edges(fps: DataFrame, cell: int = CELL, subgrids: int | None = None) -> DataFrame:
     """Edges (u, v) whose components are those of all links among the distinct fingerprints fps (fp)."""
-    cells = _cells(fps)
-    counted = cells.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cell"))).filter("n > 1").select("cell", "fp", "n")
-    first = table(counted.sortWithinPartitions("cell").mapInArrow(_search(cell), EDGES).distinct(), "links")
-    edges = first.filter("NOT hot").select("u", "v")
-    hot = first.filter("hot").select(F.col("u").alias("cell"), F.col("v").alias("n")).distinct()
-    if not hot.limit(1).count():
-        return edges
-    # A cell above the limit becomes m chunks; each pair of chunks meets in a cell of its own. Any link lies in one of them, so
-    # their forests together join whatever the links of the cell join.
-    m = F.ceil(F.col("n") / F.lit(cell / 2)).cast("int")
-    split = cells.join(hot, "cell").withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(1)), m).cast("int"))
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), m - 1)))
-    pair = F.xxhash64("cell", F.least("mine", "other"), F.greatest("mine", "other"))
-    split = split.select(pair.alias("cell"), "fp", F.lit(0).cast("long").alias("n")).distinct()
-    more = split.repartition("cell").sortWithinPartitions("cell").mapInArrow(_search(cell), EDGES).select("u", "v")
-    return table(edges.unionByName(more).distinct(), "links")
+    cells = _cells(fps, subgrids or subgrids_for(fps.count()))
+    hot = table(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell), "hot-cells")
+    found = hot.count()
+    if found:
+        # A cell above the limit becomes m chunks; each pair of chunks meets in a cell of its own. Any link lies in one of them, so
+        # their forests together join whatever the links of the cell join.
+        m = F.ceil(F.col("n") / F.lit(cell / 2)).cast("int")
+        split = cells.join(F.broadcast(hot) if found <= HOT else hot, "cell", "left").withColumn("m", m)
+        split = split.withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("m")).cast("int"))
+        others = F.when(F.col("m").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("m") - 1))
+        split = split.withColumn("other", F.explode(others))
+        pair = F.xxhash64("cell", F.least("mine", "other"), F.greatest("mine", "other"))
+        cells = split.select(F.when(F.col("m").isNull(), F.col("cell")).otherwise(pair).alias("cell"), "fp")
+    found = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_search, "u long, v long")
+    return table(found.distinct(), "links")
 
 
 def clusters(docs: DataFrame, id_col: str = "doc_id", cell: int = CELL) -> DataFrame:
@@ -198,14 +195,15 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", cell: int = CELL) -> DataF
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component, the one with the smallest id (then CRC), with all columns of docs."""
+    """One row of each component, the one with the smallest id (then CRC, then row_hash), with all columns of docs."""
     spread = clusters(docs)
     chosen = spread.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("crc") == F.col("keep_crc")))
-    chosen = table(chosen.groupBy("doc_id", "crc").agg(F.count(F.lit(1)).alias("rows")).withColumnsRenamed({"doc_id": "_id", "crc": "_crc"}), "chosen")
-    out = docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_crc() == F.col("_crc")), "left_semi")
+    chosen = table(chosen.groupBy("doc_id", "crc").agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("doc_id", "id"), "chosen")
+    rows = packed(docs, id=F.col("doc_id"), crc=_crc(), h=row_hash(docs))
+    out = rows.alias("r").join(chosen.alias("c"), F.expr("r.id <=> c.id AND r.crc = c.crc"), "left_semi")
     if chosen.filter("rows > 1").limit(1).count():  # rows that repeat, id and text
-        out = out.withColumn("_crc", _crc()).dropDuplicates(["doc_id", "_crc"]).drop("_crc")
-    return out
+        out = out.groupBy("id", "crc").agg(F.min_by("doc", "h").alias("doc"))
+    return unpacked(out, docs)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

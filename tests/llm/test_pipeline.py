@@ -12,7 +12,7 @@ import numpy as np
 import public_tokenizers as P
 import tiktoken
 
-from statera.llm import bpe, quality
+from statera.llm import bpe, mixing, quality
 
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -107,6 +107,42 @@ def test_run(spark, tmp_path):
     assert all(len(r.ids) == r.n_tokens for r in got)
 
 
+CLASHES = "_a _c _copy _crc _full _h _id _k _k2 _lines _nth _pass _r _s _sha _t _times _w a at b base_failed best blocks body c cells clean_chars clean_text copies copy crc d doc e fp g h id k keep_crc keep_id kept m n n_dup_lines n_repeat_words n_symbols n_words name other own place r rate rid root rows s sha size source_size t target text_sha256 total u v w word_chars x".split()
+
+
+def test_stages_keep_whatever_columns_there_are(spark, tmp_path):
+    from statera.llm.common import table
+
+    rnd = random.Random(5)
+    line = lambda: " ".join("word%d" % rnd.randrange(300) for _ in range(rnd.randrange(6, 30))) + "."
+    texts = ["\n".join(line() for _ in range(6)) for _ in range(30)]
+    texts += [texts[0]] * 3 + [texts[1].replace(texts[1].split()[3], "other", 1), None, "", "too short"]
+    ids = list(range(len(texts)))
+    ids[4] = ids[5] = None
+    rows = [(i, t, "en", "s%d" % (k % 3), len(t or ""), *[f"{c}{k}" for c in CLASHES], {"k": k}) for k, (i, t) in enumerate(zip(ids, texts))]
+    rows += [rows[7], rows[7], (*rows[8][:5], *["alike"] * len(CLASHES), {}), rows[9][:2] + ("fr",) + rows[9][3:]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES) + ", `a map.` map<string,int>"
+    df = spark.createDataFrame(rows, schema)
+    by_text = {}
+    for r in rows:
+        by_text.setdefault(r[1], []).append(r)
+    seen = []
+    for turn in (df.repartition(3), df.repartition(2)):
+        docs = turn
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = table(stage(spark, docs, ""), f"clash-{name}")
+            assert docs.columns == df.columns, name
+        out = docs.collect()
+        assert 20 < len({r.text for r in out}) <= 31
+        for r in out:
+            assert any(tuple(r) == was for was in by_text[r.text])
+        seen.append(Counter(str(r) for r in out))
+    assert seen[0] == seen[1]
+    every = mixing.mix(df, weights=(1,), most=3)
+    plan = mixing.copies(df, weights=(1,), most=3).groupBy("doc_id").sum("copies").collect()
+    assert Counter(r.doc_id for r in every.collect()) == Counter({r[0]: r[1] for r in plan if r[1]})
+
+
 def test_no_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

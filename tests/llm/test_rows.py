@@ -91,8 +91,10 @@ def test_quality(spark):
     rnd = random.Random(2)
     texts = [None, "", " \n\t", "one", "a b c d e f g h " * 6, "x y\nx y\n\nx y\nx  y", "é#|ß <b> $ 1 & 2 % *\r\n\x0b\x0cend", "w " * 2000]
     texts += [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(8, 120))) + rnd.choice(["", "\n" * 3, ". ok"]) for _ in range(60)]
-    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_words long").select("doc_id", "text")
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate([*texts, texts[4], texts[4]])], "doc_id long, text string, n_words long, _t string")
     got = {r.doc_id: r for r in quality.verdicts(df).collect()}
+    assert len(got) == len(texts) + 2 and [got[i][1:] for i in (len(texts), len(texts) + 1)] == [got[4][1:]] * 2
+    assert quality.verdicts(df.limit(0)).count() == 0 and quality.clean(df.limit(0)).count() == 0
     for i, t in enumerate(texts):
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == slow_quality(t), t
