@@ -1,4 +1,4 @@
-"""Repeated passages by suffixes at minimisers, grouped by hash; which occurrence stays is not marked.
+"""Repeated passages by suffixes at minimisers, grouped by hash, with the occurrence that stays.
 
 Suffixes are retained only where the content selects them: of each window of LENGTH words, at the place of its smallest
 GRAM-word hash (the leftmost, of equal ones). Equal passages of LENGTH words or more therefore retain suffixes at the same
@@ -8,6 +8,11 @@ Suffixes are grouped by a hash of their leading GRAM words, and those alone in t
 compared by the hashes of their stretches: where the whole stretch has an equal, all of it is repeated; where suffixes agree but
 stretches differ (the edge of a passage), every window of the stretch is compared, for one suffix of each group of equal stretches. So
 the result is exact: a word is reported if and only if it lies in a window of LENGTH words that stands at two places or more.
+The first place of a window owns it. When spans that aren't owned are removed, every repeated window is left where it is owned.
+
+Sorted neighbours would not be exact here. The neighbour of a sparse suffix shares the longest run of words to the right, but a
+repeat of LENGTH words needs the longest sum of right and left: a suffix with a partner of 30 words on each side may have
+neighbours with 40 to the right and none to the left, on either side of it. Comparing groups finds all.
 
 Groups are counts, partial counts first, in place of a sorted order with extension of neighbours: a passage found in a third of
 all documents is then a number, not a run of suffixes in one task. Stretches and windows are compared by 128 bits of two
@@ -21,12 +26,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statera.llm.common import release, table
 
 LENGTH, GRAM = 50, 8
+#: Parts into which the suffixes around one gram are dealt for a join.
+SALT = 16
 _U = np.uint64
 #: Odd multipliers of the rolling sums: over bytes, over the words of a gram, and two over the words of a stretch.
 _BYTES, _GRAM, _A, _B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
@@ -134,39 +141,75 @@ def _windows(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, start_word, end_word of each maximal span of words in windows of `length` words that stand at two places or more."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def _salt(df: DataFrame, *by: str) -> DataFrame:
+    return df.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALT)).cast("int"))
+
+
+def _every_salt(keys: DataFrame) -> DataFrame:
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+
+
+def _islands(found: DataFrame) -> DataFrame:
+    """rid, s, e, owned, other: the union of rows (rid, s, e, own, orid, e0), cut where some owned one begins or ends. One sweep over a
+    text's ends of spans; other is the orid of the row that reaches furthest among those begun."""
+    begin, end = F.struct(F.col("s").alias("x"), F.lit(1).alias("d")), F.struct(F.col("e").alias("x"), F.lit(-1).alias("d"))
+    ends = found.select("rid", F.explode(F.array(begin, end)).alias("p"), "own", F.struct("e", "orid").alias("far"))
+    far = F.max(F.when(F.col("p.d") == 1, F.col("far"))).alias("far")
+    ends = ends.groupBy("rid", F.col("p.x").alias("x")).agg(F.sum("p.d").alias("d"), F.sum(F.when(F.col("own"), F.col("p.d")).otherwise(0)).alias("o"), far)
+    order = Window.partitionBy("rid").orderBy("x")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    parts = ends.select("rid", "x", F.lead("x").over(order).alias("to"), F.sum("d").over(so_far).alias("d"), (F.sum("o").over(so_far) > 0).alias("owned"), F.max("far").over(so_far).alias("far")).filter("d > 0")
+    turn = ~(F.lag("to").over(order).eqNullSafe(F.col("x")) & F.lag("owned").over(order).eqNullSafe(F.col("owned")))
+    parts = parts.withColumn("part", F.sum(turn.cast("int")).over(so_far))
+    return parts.groupBy("rid", "part").agg(F.min("x").alias("s"), F.max("to").alias("e"), F.first("owned").alias("owned"), F.min_by("far.orid", "x").alias("other")).drop("part")
+
+
+def owned_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """rid, doc_id, start_word, end_word, owned, first_doc_id: the words in windows of `length` words that stand at two places or more,
+    as maximal spans cut where ownership changes. A window's first place, by (row id, word), owns it; a span is owned if its words lie
+    in windows owned here. first_doc_id is a document that holds the span's beginning too, or this one if the span is owned."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = table(rows, "suffix-rows")
     kept = table(rows.select("rid", "text").mapInArrow(_retained(length, gram), "rid long, s long, n long, g long, a long, b long"), "suffixes")
     again = table(kept.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g"), "grams")
-    near = table(kept.join(again, "g", "left_semi"), "neighbours")
+    near = table(_salt(kept, "rid", "s").join(_every_salt(again), ["g", "salt"], "left_semi").drop("salt"), "neighbours")
 
+    # Equal stretches become one row, with the first place and the number of places.
     stretch = near.groupBy("g", "a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "s", "n")).alias("one"))
     stretch = table(stretch, "stretches")
-    whole = near.join(stretch.filter("c > 1").select("g", "a", "b"), ["g", "a", "b"], "left_semi")
-    whole = whole.select("rid", "s", (F.col("s") + F.col("n") + (length - 1)).alias("e"))
-
-    mixed = stretch.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g")
-    edge = stretch.join(mixed, "g", "left_semi").select("one.*", "c")
+    mixed = table(_every_salt(stretch.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g", F.lit(True).alias("mixed"))), "mixed")
+    stretch = table(_salt(stretch, "a").join(mixed, ["g", "salt"], "left").drop("salt"), "stretches")
+    whole = near.join(stretch.filter("c > 1").select("g", "a", "b", "one", "mixed"), ["g", "a", "b"])
+    first = F.col("mixed").isNull() & (F.col("one.rid") == F.col("rid")) & (F.col("one.s") == F.col("s"))
+    whole = whole.select("rid", "s", (F.col("s") + F.col("n") + (length - 1)).alias("e"), first.alias("own"), F.col("one.rid").alias("orid"))
+
+    # Where stretches around one gram differ, the windows of one of each are compared.
+    edge = stretch.filter("mixed").select("one.*", "c")
     edge = table(edge.groupBy("rid").agg(F.collect_list(F.struct("s", "n", "c")).alias("picks")), "edges")
     open_ = edge.join(rows.select("rid", "text"), "rid").select("rid", "text", "picks")
     windows = table(open_.mapInArrow(_windows(length), "wa long, wb long, rid long, s long, c long"), "windows")
-    twice = table(windows.groupBy("wa", "wb").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("wa", "wb"), "repeated-windows")
-    single = windows.filter("c = 1").join(twice, ["wa", "wb"], "left_semi").select("rid", "s", (F.col("s") + length).alias("e"))
+    place = F.struct("rid", "s")
+    twice = windows.groupBy("wa", "wb").agg(F.count(F.lit(1)).alias("k"), F.min(place).alias("f")).filter("k > 1").select("wa", "wb", "f")
+    single = windows.join(table(twice, "repeated-windows"), ["wa", "wb"], "left").filter("c > 1 OR f IS NOT NULL")
+    own = F.col("f").isNull() | ((F.col("f.rid") == F.col("rid")) & (F.col("f.s") == F.col("s")))
+    single = single.select("rid", "s", (F.col("s") + length).alias("e"), own.alias("own"), F.coalesce("f.rid", "rid").alias("orid"))
 
-    spans = whole.unionByName(single).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("c"))
-    zero = F.expr("CAST(array() AS array<struct<s:bigint,e:bigint>>)")
+    spans = table(_islands(whole.unionByName(single)), "spans")
+    release(kept, again, edge, near, mixed, stretch, windows)
+    names = rows.select("rid", "doc_id")
+    out = spans.join(names, "rid").withColumn("other", F.when(F.col("owned"), F.col("rid")).otherwise(F.col("other")))
+    out = out.join(names.select(F.col("rid").alias("other"), F.col("doc_id").alias("first_doc_id")), "other")
+    return out.select("rid", "doc_id", F.col("s").alias("start_word"), F.col("e").alias("end_word"), "owned", "first_doc_id")
 
-    def add(done, c):
-        last = F.element_at(done, -1)
-        more = F.struct(last["s"].alias("s"), F.greatest(last["e"], c["e"]).alias("e"))
-        return F.when(F.size(done) == 0, F.array(c)).when(c["s"] <= last["e"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(more))).otherwise(F.concat(done, F.array(c)))
 
-    spans = spans.select("rid", F.explode(F.aggregate("c", zero, add)).alias("r")).select("rid", F.col("r.s").alias("start_word"), F.col("r.e").alias("end_word"))
-    release(kept, again, edge)
-    return spans.join(rows.select("rid", "doc_id"), "rid").select("doc_id", "start_word", "end_word")
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """doc_id, start_word, end_word of each maximal span of words in windows of `length` words that stand at two places or more."""
+    parts = owned_spans(docs, length, gram)
+    order = Window.partitionBy("rid").orderBy("start_word")
+    fresh = ~F.lag("end_word").over(order).eqNullSafe(F.col("start_word"))
+    runs = parts.withColumn("run", F.sum(fresh.cast("int")).over(order))
+    return runs.groupBy("rid", "run").agg(F.first("doc_id").alias("doc_id"), F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word")).drop("rid", "run")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return owned_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("rid")

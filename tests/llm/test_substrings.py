@@ -46,6 +46,49 @@ def test_spans_match_brute_force(spark):
         assert got == covered(docs, length)
 
 
+def test_what_is_left_holds_each_passage(spark):
+    docs = corpus()
+    for length, gram in ((50, 8), (20, 5)):
+        df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+        out = suffix_dedup.owned_spans(df, length, gram).collect()
+        # In one partition rows are numbered in order, so the first place is known.
+        words = [(t or "").split() for _, t in docs]
+        windows = [[tuple(w[i : i + length]) for i in range(len(w) - length + 1)] for w in words]
+        places = {}
+        for r, row in enumerate(windows):
+            for i, x in enumerate(row):
+                places.setdefault(x, []).append((r, i))
+        owned, all_ = Counter(), Counter()
+        for x, at in places.items():
+            if len(at) > 1:
+                owned |= Counter({(at[0][0], at[0][1] + j): 1 for j in range(length)})
+                all_ |= Counter({(r, i + j): 1 for r, i in at for j in range(length)})
+        got, mine = Counter(), Counter()
+        for r in out:
+            got.update((r.rid, i) for i in range(r.start_word, r.end_word))
+            mine.update((r.rid, i) for i in range(r.start_word, r.end_word) if r.owned)
+        assert got == all_ and mine == owned
+        removed = {k for k in got if k not in mine}
+        left = Counter(x for r, row in enumerate(windows) for i, x in enumerate(row) if len(places[x]) > 1 and not any((r, i + j) in removed for j in range(length)))
+        assert set(left) == {x for x, at in places.items() if len(at) > 1}
+        ids, held = [d for d, _ in docs], {}
+        for r, row in enumerate(windows):
+            held.setdefault(ids[r], set()).update(row)
+        for r in out:
+            first = range(max(0, r.start_word - length + 1), r.start_word + 1)
+            assert r.first_doc_id == r.doc_id if r.owned else any(windows[r.rid][i] in held[r.first_doc_id] for i in first if i < len(windows[r.rid]))
+
+
+def test_long_text(spark):
+    rnd = random.Random(4)
+    long = " ".join("v%d" % rnd.randrange(5000) for _ in range(150_000))
+    df = spark.createDataFrame([(1, long), (2, "ahead " + long[:400_000]), (3, "word " * 150_000), (None, long[300_000:300_900])], "doc_id long, text string")
+    out = suffix_dedup.owned_spans(df).collect()
+    assert {r.doc_id for r in out} == {1, 2, 3, None} and sum(r.end_word - r.start_word for r in out if r.doc_id == 3) == 150_000
+    rows = chunk_dedup.owned_spans(df).collect()
+    assert sum(r.end - r.start for r in rows if r.doc_id == 2) > 398_000
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string, rid string")
     assert suffix_dedup.repeated_spans(df).count() == 0
@@ -90,7 +133,7 @@ def test_chunk_runs_match_brute_force(spark):
             if h is not None and n[h] > 1:
                 run.append((s, e))
                 continue
-            if run and run[-1][1] - run[0][0] >= chunk_dedup.SPAN:
+            if run and (run[-1][1] - run[0][0] >= chunk_dedup.SPAN or len(run) == len(c)):
                 want[doc, run[0][0], run[-1][1], len(run)] += 1
             run = []
     rows = chunk_dedup.repeated_spans(df).collect()
@@ -101,6 +144,16 @@ def test_chunk_runs_match_brute_force(spark):
     assert len(long & {r.doc_id for r in rows}) >= 0.95 * len(long)
 
 
+def test_short_runs_and_short_texts(spark):
+    tail = "a passage that is quite long enough to hold several whole chunks of its own, and so to be seen. " * 3
+    docs = [(1, "tiny text"), (2, "tiny text"), (3, "other"), (None, "tiny text"), ("x1", "y " + tail), ("x2", "z " + tail)]
+    df = spark.createDataFrame([(None if i is None else str(i), t) for i, t in docs], "doc_id string, text string").coalesce(1)
+    out = chunk_dedup.owned_spans(df).collect()
+    assert [(r.doc_id, r.owned, r.first_doc_id, r.end) for r in sorted(out, key=lambda r: r.rid) if r.rid < 4] == [("1", True, "1", 9), ("2", False, "1", 9), (None, False, "1", 9)]
+    every = chunk_dedup.owned_spans(df, span=10_000, short=True).collect()
+    assert {r.doc_id for r in every if r.short} == {"x1", "x2"} and {r.doc_id for r in every if not r.short} == {"1", "2", None}
+
+
 def test_each_repeated_chunk_is_kept_once(spark):
     docs = corpus()
     shared = "a stock passage of a good many words that stands in quite a lot of other rows, word for word, from first to last"
