@@ -3,8 +3,8 @@
 A gear hash over the last 32 bytes is taken at every byte; a chunk ends where its masked bits are zero, so borders depend on
 content alone and an insertion shifts only the chunks it touches. Distances between borders are kept within LEAST and MOST
 bytes. Chunks are named by a 128-bit BLAKE2b digest and counted by digest with partial sums. A run is a stretch of
-neighbouring repeated chunks that holds at least SPAN bytes: shorter ones are chance or stock phrases and are left
-alone. Of the places of a digest inside runs the first, by (row id, offset), owns it, and a run is cut into spans where that
+neighbouring repeated chunks that holds at least SPAN bytes, or a whole text whatever its length: shorter ones are chance or
+stock phrases, and are left alone or reported with a flag. Of the places of a digest inside runs the first, by (row id, offset), owns it, and a run is cut into spans where that
 changes: every digest in a run stands in one owned span, so what is left when the others are removed holds each of them
 once. A repeated passage is seen by the chunks that lie in it whole: one of some
 300 bytes holds SPAN bytes of them almost always, a shorter one less often.
@@ -64,14 +64,14 @@ def borders(data: bytes, least: int = LEAST, most: int = MOST, bits: int = BITS)
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, at, size, a, b: each chunk's place and its digest as two longs."""
-    schema = "rid long, doc_id long, at long, size int, a long, b long"
+    """rid, doc_id, at, size, last, a, b: each chunk's place, whether the text ends with it, and its digest as two longs."""
+    schema = f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, at long, size int, last boolean, a long, b long"
 
     def run(batches):
         for batch in batches:
             ids = batch.column(1)
             for part in range(0, batch.num_rows, 256):
-                rid, row, at, size, digests = [], [], [], [], []
+                rid, row, at, size, last, digests = [], [], [], [], [], []
                 for i in range(part, min(part + 256, batch.num_rows)):
                     data = (batch.column(2)[i].as_py() or "").encode()
                     start, r = 0, batch.column(0)[i].as_py()
@@ -80,19 +80,22 @@ def chunks(docs: DataFrame) -> DataFrame:
                         row.append(i)
                         at.append(start)
                         size.append(end - start)
+                        last.append(end == len(data))
                         digests.append(hashlib.blake2b(data[start:end], digest_size=16).digest())
                         start = end
                 two = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                cols = [pa.array(rid, pa.int64()), ids.take(pa.array(row, pa.int64())), pa.array(at, pa.int64()), pa.array(size, pa.int32())]
+                cols = [pa.array(rid, pa.int64()), ids.take(pa.array(row, pa.int64())), pa.array(at, pa.int64()), pa.array(size, pa.int32()), pa.array(last, pa.bool_())]
                 cols += [pa.array(np.ascontiguousarray(two[:, k])) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "at", "size", "a", "b"])
+                yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "at", "size", "last", "a", "b"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     return rows.mapInArrow(run, schema)
 
 
-def owned_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """rid, run, doc_id, start, end, n_chunks, owned, first_doc_id: runs of at least span bytes, cut where owned changes.
+def owned_spans(docs: DataFrame, span: int = SPAN, short: bool = False) -> DataFrame:
+    """rid, run, doc_id, start, end, n_chunks, owned, first_doc_id: runs of at least span bytes or a whole text, cut where owned changes.
+
+    With short, runs of fewer bytes are there too, and a column short tells them; they own and are owned like the others.
 
     owned is true where the chunks stand here first: such a span is the one to keep, the others can be removed. A run is
     measured whole, so a span of it may be shorter. first_doc_id is the row that owns the span's first chunk.
@@ -103,16 +106,19 @@ def owned_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     order, run = Window.partitionBy("rid").orderBy("at"), Window.partitionBy("rid", "run")
     hits = cut.join(seen, ["a", "b"]).withColumn("to", F.col("at") + F.col("size"))
     hits = hits.withColumn("gap", (~F.lag("to").over(order).eqNullSafe(F.col("at"))).cast("int")).withColumn("run", F.sum("gap").over(order))
-    hits = hits.withColumn("bytes", F.max("to").over(run) - F.min("at").over(run)).filter(F.col("bytes") >= span)
-    hits = table(hits.select("rid", "doc_id", "at", "to", "a", "b", "run"), "chunk-hits")
+    bytes_, whole = F.max("to").over(run) - F.min("at").over(run), (F.min("at").over(run) == 0) & F.max("last").over(run)
+    hits = hits.withColumn("short", (bytes_ < span) & ~whole)
+    hits = table((hits if short else hits.filter("NOT short")).select("rid", "doc_id", "at", "to", "a", "b", "run", "short"), "chunk-hits")
     release(cut, seen)
     first = hits.groupBy("a", "b").agg(F.min(F.struct("rid", "at", "doc_id")).alias("f"))
     first = table(first.select("a", "b", F.col("f.rid").alias("frid"), F.col("f.at").alias("fat"), F.col("f.doc_id").alias("fdoc")), "chunk-owners")
     own = (F.col("rid") == F.col("frid")) & (F.col("at") == F.col("fat"))
-    rows = hits.join(first, ["a", "b"]).select("rid", "doc_id", "run", "at", "to", own.alias("own"), "fdoc")
+    rows = hits.join(first, ["a", "b"]).select("rid", "doc_id", "run", "at", "to", "short", own.alias("own"), "fdoc")
     turn = ~F.lag(F.struct("run", "own")).over(order).eqNullSafe(F.struct("run", "own"))
     rows = rows.withColumn("turn", turn.cast("int")).withColumn("part", F.sum("turn").over(order))
     ends = [F.min("run").alias("run"), F.min("doc_id").alias("doc_id"), F.min("at").alias("start"), F.max("to").alias("end"), F.count(F.lit(1)).cast("int").alias("n_chunks")]
+    if short:
+        ends.append(F.max("short").alias("short"))
     return rows.groupBy("rid", "part").agg(*ends, F.bool_and("own").alias("owned"), F.min_by("fdoc", "at").alias("first_doc_id")).drop("part")
 
 
