@@ -2,9 +2,9 @@
 
 A 64-bit fingerprint is cut into 32 segments of two bits and mapped to the vector of their bit counts. The Manhattan
 distance of two vectors never exceeds the Hamming distance of the fingerprints, so a range join of the vectors within
-radius 4 loses no link. The 32 coordinates form G subgrids. Vectors at distance 4 or less differ in at most four of them, so
-they lie in the same cell of the grid spanned by some G - 4: a cell per choice of them, for each distinct fingerprint, holds
-every pair. G follows the number of fingerprints: more subgrids mean more but finer cells, so that cells don't fill up.
+radius 4 loses no link. The 32 coordinates form SUBGRIDS subgrids. Vectors at distance 4 or less differ in at most four of them,
+so they lie in the same cell of the grid spanned by some three of seven: 35 cells per distinct fingerprint hold every pair.
+More subgrids mean more but finer cells; advised_subgrids names the cheapest number for a corpus, and any gives the same links.
 Inside a cell the Manhattan bound is tested first (on counts in unary code, where it is a bit count), then the exact distance.
 
 Distinct fingerprints are joined, not documents. A cell reports a spanning forest of its links, not all pairs, so thousands
@@ -31,9 +31,10 @@ from statera.llm.common import packed, release, row_hash, table, unpacked
 from statera.llm.graph import components
 
 WORDS, SEED, RADIUS = 4, 42, 4
-SEGMENTS = 32
-#: Rows that a pair test costs, roughly; and the most hot cells that are broadcast (16 bytes each), others are joined by a shuffle.
-TEST, HOT = 0.01, 100_000
+#: Segments, and the subgrids they form.
+SEGMENTS, SUBGRIDS = 32, 7
+#: Hot cells that are broadcast at most (16 bytes each); more are joined by a shuffle.
+HOT = 100_000
 #: Members of a cell that one task searches.
 CELL = 20_000
 EVEN = 0x5555555555555555
@@ -77,10 +78,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def subgrids_for(n: int) -> int:
-    """The number of subgrids that makes rows and pair tests of n fingerprints fewest. A segment's bit count holds 1.5 bits, so the
-    G - 4 subgrids of a cell's key part fingerprints by 48 * (G - 4) / G bits, and there are as many keys as choices of four."""
-    return min(range(RADIUS + 1, 17), key=lambda g: comb(g, RADIUS) * (1 + TEST * n / 2 ** (1.5 * SEGMENTS * (g - RADIUS) / g)))
+def advised_subgrids(n: int, test: float = 0.01) -> int:
+    """The number of subgrids that makes rows and pair tests of n fingerprints fewest, a test costing `test` rows. A segment's bit
+    count holds 1.5 bits, so a cell's key parts fingerprints by 48 * (g - 4) / g bits, and there are as many keys as choices of four."""
+    return min(range(RADIUS + 1, 17), key=lambda g: comb(g, RADIUS) * (1 + test * n / 2 ** (1.5 * SEGMENTS * (g - RADIUS) / g)))
 
 
 def _cells(fps: DataFrame, subgrids: int) -> DataFrame:
@@ -158,9 +159,9 @@ def _search(batches):
         yield out(_links(cells, fps))
 
 
-def near_edges(fps: DataFrame, cell: int = CELL, subgrids: int | None = None) -> DataFrame:
+def near_edges(fps: DataFrame, cell: int = CELL, subgrids: int = SUBGRIDS) -> DataFrame:
     """Edges (u, v) whose components are those of all links among the distinct fingerprints fps (fp)."""
-    cells = _cells(fps, subgrids or subgrids_for(fps.count()))
+    cells = _cells(fps, subgrids)
     hot = table(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell), "hot-cells")
     found = hot.count()
     if found:

@@ -104,8 +104,9 @@ def test_links(spark):
     fps = near_fps()
     want = roots(fps)
     df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long").repartition(3)
-    for cell in (simhash.CELL, 20):  # with 20, dense cells are cut into chunks
-        found = {r.node: r.root for r in components(simhash.near_edges(df, cell)).collect()}
+    assert simhash.advised_subgrids(1000) < simhash.advised_subgrids(10**10)
+    for cell, subgrids in ((simhash.CELL, 7), (20, 7), (simhash.CELL, 5), (40, 9)):  # with few members a cell, dense cells are cut into chunks
+        found = {r.node: r.root for r in components(simhash.near_edges(df, cell, subgrids)).collect()}
         groups, ours = defaultdict(set), defaultdict(set)
         for f in fps:
             groups[want[f]].add(f)
