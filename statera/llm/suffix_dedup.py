@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from statera.llm.common import release, table
 
 LENGTH, GRAM = 50, 8
-#: Parts into which the suffixes around one gram are dealt for a join.
-SALT = 16
+#: Different stretches around a gram from which it counts as hot, and the most hot grams that are broadcast.
+HOT, MOST_HOT = 500, 100_000
 _U = np.uint64
 #: Odd multipliers of the rolling sums: over bytes, over the words of a gram, and two over the words of a stretch.
 _BYTES, _GRAM, _A, _B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
@@ -141,12 +141,16 @@ def _windows(length: int):
     return run
 
 
-def _salt(df: DataFrame, *by: str) -> DataFrame:
-    return df.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALT)).cast("int"))
-
-
-def _every_salt(keys: DataFrame) -> DataFrame:
-    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+def _with_mixed(stretch: DataFrame) -> DataFrame:
+    """stretch with mixed, true where other stretches share the gram and else NULL. Grams with over HOT stretches are met by a broadcast
+    (16 bytes each, a HOT-th of the stretches at most, and MOST_HOT), so that the rows of such a gram needn't meet in one task."""
+    grams = table(stretch.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "mixed")
+    mixed, hot = grams.select("g", F.lit(True).alias("mixed")), grams.filter(F.col("k") > HOT).select("g", F.lit(True).alias("hot"))
+    if not 0 < hot.count() <= MOST_HOT:
+        return stretch.join(mixed, "g", "left")
+    marked = stretch.join(F.broadcast(hot), "g", "left")
+    rest = marked.filter("hot IS NULL").drop("hot").join(mixed, "g", "left")
+    return marked.filter("hot").withColumnRenamed("hot", "mixed").unionByName(rest)
 
 
 def _islands(found: DataFrame) -> DataFrame:
@@ -172,13 +176,12 @@ def owned_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     rows = table(rows, "suffix-rows")
     kept = table(rows.select("rid", "text").mapInArrow(_retained(length, gram), "rid long, s long, n long, g long, a long, b long"), "suffixes")
     again = table(kept.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g"), "grams")
-    near = table(_salt(kept, "rid", "s").join(_every_salt(again), ["g", "salt"], "left_semi").drop("salt"), "neighbours")
+    near = table(kept.join(again, "g", "left_semi"), "neighbours")
 
     # Equal stretches become one row, with the first place and the number of places.
     stretch = near.groupBy("g", "a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "s", "n")).alias("one"))
     stretch = table(stretch, "stretches")
-    mixed = table(_every_salt(stretch.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g", F.lit(True).alias("mixed"))), "mixed")
-    stretch = table(_salt(stretch, "a").join(mixed, ["g", "salt"], "left").drop("salt"), "stretches")
+    stretch = table(_with_mixed(stretch), "stretches")
     whole = near.join(stretch.filter("c > 1").select("g", "a", "b", "one", "mixed"), ["g", "a", "b"])
     first = F.col("mixed").isNull() & (F.col("one.rid") == F.col("rid")) & (F.col("one.s") == F.col("s"))
     whole = whole.select("rid", "s", (F.col("s") + F.col("n") + (length - 1)).alias("e"), first.alias("own"), F.col("one.rid").alias("orid"))
@@ -195,7 +198,7 @@ def owned_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     single = single.select("rid", "s", (F.col("s") + length).alias("e"), own.alias("own"), F.coalesce("f.rid", "rid").alias("orid"))
 
     spans = table(_islands(whole.unionByName(single)), "spans")
-    release(kept, again, edge, near, mixed, stretch, windows)
+    release(kept, again, edge, near, stretch, windows)
     names = rows.select("rid", "doc_id")
     out = spans.join(names, "rid").withColumn("other", F.when(F.col("owned"), F.col("rid")).otherwise(F.col("other")))
     out = out.join(names.select(F.col("rid").alias("other"), F.col("doc_id").alias("first_doc_id")), "other")
