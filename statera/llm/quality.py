@@ -21,51 +21,58 @@ from statera.llm.common import packed, unpacked
 
 WINDOW, LEAST_WORDS, REPEATED, LOST = 8, 20, 30, 0.5
 SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\f\r"
-#: Standing phrases, in lower case; short lines with one of them go.
+BLANK = r"[\x20\x09-\x0D]+"
+#: Standing phrases of English, German, French and Spanish pages, in lower case; short lines with one of them go. A parameter of
+#: what is measured: other languages bring their own.
 PHRASES = (
-    "all rights reserved",
-    "accept cookies",
-    "use of cookies",
-    "enable javascript",
-    "terms of use",
-    "terms of service",
-    "privacy policy",
-    "click here",
-    "sign up",
-    "log in to",
-    "subscribe to our",
-    "lorem ipsum",
-    "share on facebook",
-    "back to top",
-)
-
-
-def _count(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    "all rights reserved", "accept cookies", "use of cookies", "enable javascript", "terms of use", "terms of service", "privacy policy",
+    "click here", "sign up", "log in to", "subscribe to our", "lorem ipsum", "share on facebook", "back to top",
+    "alle rechte vorbehalten", "cookies akzeptieren", "javascript aktivieren", "datenschutzerklärung", "nutzungsbedingungen", "hier klicken",
+    "newsletter abonnieren", "jetzt anmelden", "zurück nach oben",
+    "tous droits réservés", "accepter les cookies", "activer javascript", "politique de confidentialité", "conditions d'utilisation",
+    "cliquez ici", "mentions légales", "haut de page",
+    "todos los derechos reservados", "aceptar cookies", "activar javascript", "política de privacidad", "términos de uso", "haga clic aquí",
+    "aviso legal", "volver arriba",
+)
+#: Marks that end a line of prose, of Latin, CJK, Arabic and Indic scripts.
+END_MARKS = ".!?:;,…\"'”’)\\]。？！；：，、」』）؟۔।"
+
+
+def _without(text: Column, char: str) -> Column:
+    return F.replace(text, F.lit(char), F.lit(""))
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), "")
+    return F.array_remove(F.split(text, BLANK), "")
 
 
 def _letters(text: Column) -> Column:
     """Characters that aren't blank."""
-    return F.length(F.translate(text, BLANKS, ""))
+    return F.length(F.regexp_replace(text, BLANK, ""))
 
 
-def line_fails(line: Column) -> Column:
-    """True for a line that is navigation, badly punctuated or boilerplate. Blank lines pass: they weigh nothing."""
+def measures(line: Column) -> Column:
+    """What the rules look at: the line, its words, bars, exclamation marks and symbols, each counted once."""
     words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
-    bars, marks = _count(line, "|"), _count(line, "!")
-    symbols = _count(line, "#*$%&<>")
+    bars = F.octet_length(line) - F.octet_length(_without(line, "|"))
+    marks = F.octet_length(line) - F.octet_length(_without(line, "!"))
+    return F.struct(line.alias("line"), words.alias("words"), bars.alias("bars"), marks.alias("marks"), F.regexp_count(line, F.lit("[#*$%&<>]")).alias("symbols"))
+
+
+def fails(m: Column, phrases=PHRASES) -> Column:
+    """True for a line (measures) that is navigation, badly punctuated or boilerplate. Blank lines pass: they weigh nothing."""
+    line, words, bars, marks, symbols = (m[x] for x in ("line", "words", "bars", "marks", "symbols"))
     navigation = (bars >= 2) & (bars * 5 >= words)
     noisy = ((symbols >= 3) & (symbols * 2 >= words)) | ((marks >= 3) & (marks * 3 >= words))
-    stub = (words > 0) & (words < 4) & ~line.rlike(r"[.!?:;,…\"'”’)\]][\x20\x09-\x0D]*\z")
-    boilerplate = (words <= 12) & F.lower(line).rlike("|".join(PHRASES))
+    stub = (words > 0) & (words < 4) & ~line.rlike(rf"[{END_MARKS}][\x20\x09-\x0D]*\z")
+    boilerplate = (words <= 12) & (words > 0) & F.lower(line).rlike("|".join(phrases))
     return navigation | noisy | stub | boilerplate
 
 
+def line_fails(line: Column) -> Column:
+    return fails(measures(line))
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """docs with _words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, clean_text."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -73,10 +80,11 @@ def measured(docs: DataFrame) -> DataFrame:
     out = docs.withColumn("_t", text).withColumn("_w", _words(F.col("_t"))).withColumn("n_words", F.size("_w").cast("long"))
     # One key a window; a text of too few words has none.
     at = F.sequence(F.lit(0), F.size("_w") - n)
-    keys = F.transform(at, lambda i: F.xxhash64(*[F.get(F.col("_h"), i + j) for j in range(n)]))
     out = out.withColumn("_h", F.when(F.col("n_words") >= n, F.transform("_w", lambda w: F.xxhash64(w))))
-    out = out.withColumn("_k", F.when(F.col("_h").isNotNull(), keys))
-    suspect = F.size(F.array_distinct("_k")) < F.size("_k")
+    for step in (1, 2, 4):  # pairs, fours and eights of words
+        size = F.size("_h") - step
+        out = out.withColumn("_h", F.zip_with(F.slice("_h", F.lit(1), size), F.slice("_h", F.lit(1 + step), size), lambda a, b: F.xxhash64(a, b)))
+    suspect = F.size(F.array_distinct("_h")) < F.size("_h")
     # The windows of a suspect text in order of content; those equal to a neighbour are repeated.
     pairs = F.transform(at, lambda i: F.struct(F.slice("_w", i + 1, n).alias("s"), i.alias("i")))
     out = out.withColumn("_s", F.when(suspect, F.array_sort(pairs)))
@@ -89,12 +97,12 @@ def measured(docs: DataFrame) -> DataFrame:
     covered = F.when(F.size("_r") > 0, F.aggregate(gaps, F.lit(n), lambda s, g: s + g)).otherwise(F.lit(0))
     out = out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
 
-    out = out.withColumn("_lines", F.split("_t", "\n"))
-    full = F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    out = out.withColumn("_lines", F.transform(F.split("_t", "\n"), measures))
+    full = F.transform(F.filter("_lines", lambda m: m["words"] > 0), lambda m: m["line"])
     out = out.withColumn("_full", full)
     out = out.withColumn("n_dup_lines", (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"))
-    out = out.withColumn("clean_text", F.array_join(F.filter("_lines", lambda x: ~line_fails(x)), "\n"))
-    out = out.withColumn("word_chars", _letters(F.col("_t")).cast("long")).withColumn("n_symbols", _count(F.col("_t"), SYMBOLS).cast("long"))
+    out = out.withColumn("clean_text", F.array_join(F.transform(F.filter("_lines", lambda m: ~fails(m)), lambda m: m["line"]), "\n"))
+    out = out.withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long")).withColumn("n_symbols", F.regexp_count("_t", F.lit(f"[{SYMBOLS}]")).cast("long"))
     out = out.withColumn("clean_chars", _letters(F.col("clean_text")).cast("long"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
     out = out.withColumn("base_failed", failed)

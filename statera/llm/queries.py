@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from statera.llm import bpe, chunk_dedup, exact_dedup, license_scan, mixing, quality, sharding, simhash, suffix_dedup, warc
 from statera.llm.license_scan import TEMPLATES, alike, need_of, told_by, words_of
-from statera.llm.quality import PHRASES
+from statera.llm.quality import END_MARKS, PHRASES
 
 QUERIES = {
     "op1_stratified_sharding": sharding.op1,
@@ -45,6 +45,7 @@ def _templates() -> str:
     return ", ".join(rows)
 
 
+_MARKS, _PHRASES = END_MARKS.replace("'", "''"), "|".join(PHRASES).replace("'", "''")
 _ALIKE = ", ".join(map(str, sorted(alike(TEMPLATES))))
 
 ORACLE_SQL = {
@@ -115,8 +116,8 @@ c AS (SELECT rid, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
 g AS (SELECT rid, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines,
         coalesce(sum(chars) FILTER (NOT (
             (bars >= 2 AND bars * 5 >= n) OR (symbols >= 3 AND symbols * 2 >= n) OR (marks >= 3 AND marks * 3 >= n)
-            OR (n BETWEEN 1 AND 3 AND NOT regexp_matches(line, '[.!?:;,…"''”’)\]][\x20\x09-\x0D]*$'))
-            OR (n <= 12 AND regexp_matches(lower(line), '{"|".join(PHRASES)}')))), 0) AS clean_chars FROM c GROUP BY rid),
+            OR (n BETWEEN 1 AND 3 AND NOT regexp_matches(line, '[{_MARKS}][\x20\x09-\x0D]*$'))
+            OR (n <= 12 AND n > 0 AND regexp_matches(lower(line), '{_PHRASES}')))), 0) AS clean_chars FROM c GROUP BY rid),
 m AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, n_dup_lines,
         coalesce(n_repeat_words, 0) AS n_repeat_words, clean_chars::BIGINT AS clean_chars

@@ -28,8 +28,8 @@ def fails(line):
         (bars >= 2 and bars * 5 >= n)
         or (symbols >= 3 and symbols * 2 >= n)
         or (marks >= 3 and marks * 3 >= n)
-        or (0 < n < 4 and not re.search(r"[.!?:;,…\"'”’)\]][\x20\x09-\x0D]*\Z", line))
-        or (n <= 12 and any(p in line.lower() for p in quality.PHRASES))
+        or (0 < n < 4 and not re.search(rf"[{quality.END_MARKS}][\x20\x09-\x0D]*\Z", line))
+        or (0 < n <= 12 and any(p in line.lower() for p in quality.PHRASES))
     )
 
 
