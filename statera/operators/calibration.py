@@ -1,4 +1,5 @@
-"""Confidence models: logistic and Platt fits per family, thresholds, reliability. Fits see one small table a family; scoring is native."""
+"""Confidence models: logistic and Platt fits per family, thresholds, reliability. Fits see distinct feature vectors with counts;
+scoring is native."""
 
 from __future__ import annotations
 
@@ -9,9 +10,13 @@ from pyspark.sql import functions as F
 
 from statera.constants import ROUTES, TARGETS
 from statera.functions import scalar as S
+from statera.operators.ranks import ranked
 
 RATE, STEPS, PLATT_STEPS, PENALTY = 0.5, 500, 2000, 1e-3
-SIGNALS = ("self_consistency", "det_llm_agreement", "validator_pass", "grammar_match", "crossfoot_ok")
+#: Different feature vectors a family is fitted on at most; they are few, since signals are flags.
+MOST_VECTORS = 200_000
+GRID = 41
+SIGNALS = ("self_consistency", "det_llm_agreement", "validator_pass", "grammar_match", "footing_ok")
 
 
 def encode(signals: str = "") -> Column:
@@ -22,24 +27,44 @@ def encode(signals: str = "") -> Column:
     return F.array(*pairs, F.when(col("suspect"), 1.0).otherwise(0.0), F.coalesce(col("char_ambiguity").cast("double"), F.lit(0.0)), *routes)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Gradient steps from zero on the mean log loss with an L2 penalty; the first column of x is the intercept, penalised too."""
-    w = np.zeros(x.shape[1])
+def logistic(x: np.ndarray, right: np.ndarray, steps: int = STEPS, n: np.ndarray | None = None) -> np.ndarray:
+    """Gradient steps from zero on the mean log loss with an L2 penalty; the first column of x is the intercept, penalised too. A row
+    of x stands for n rows (1 each where n isn't given), of which right are correct."""
+    w, n = np.zeros(x.shape[1]), np.ones(len(right)) if n is None else n
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        w -= RATE * (x.T @ (p - y) / len(y) + PENALTY * w)
+        w -= RATE * (x.T @ (n * p - right) / n.sum() + PENALTY * w)
     return w
 
 
-def fit(samples: DataFrame, steps: int = STEPS) -> DataFrame:
-    """family, weights (intercept first) from train rows (family, features, correct, split). Other splits raise."""
-    guarded = samples.withColumn("_ok", F.when(F.col("split") != "train", F.raise_error(F.lit("models are fitted on the train split"))))
+def guarded(samples: DataFrame, split: str) -> DataFrame:
+    """samples, failing at the first row of another split."""
+    why = F.concat(F.lit(f"expected only {split} rows, found "), F.coalesce("split", F.lit("none")))
+    return samples.withColumn("split", F.when(F.col("split") == split, F.col("split")).otherwise(F.raise_error(why).cast("string")))
+
+
+def _vectors(samples: DataFrame, by: str, split: str, most: int) -> DataFrame:
+    """family, by, n, right: the distinct values of by with their counts, at most about `most` a family."""
+    vectors = guarded(samples, split).groupBy("family", by, "split").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("int")).alias("right"))
+    share = F.lit(1e6 * most) / F.count(F.lit(1))
+    bars = vectors.groupBy("family").agg(share.alias("bar"))
+    return vectors.join(F.broadcast(bars), "family").filter(F.pmod(F.xxhash64(by), F.lit(1_000_000)) < F.col("bar")).drop("bar")  # one row a family
+
+
+def fit(samples: DataFrame, steps: int = STEPS, most: int = MOST_VECTORS) -> DataFrame:
+    """family, weights (intercept first) from train rows (family, features, correct, split). Other splits raise.
+
+    Rows alike in features become one row with a weight, which gives the same gradient. A family with over `most` different vectors is
+    fitted on about that many of them, picked by a hash of the vector; all others on all.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.column_stack([np.ones(len(pdf)), np.stack(pdf["features"].to_numpy())])
-        return pd.DataFrame({"family": [pdf["family"].iloc[0]], "weights": [logistic(x, pdf["correct"].to_numpy(float), steps).tolist()]})
+        w = logistic(x, pdf["right"].to_numpy(float), steps, pdf["n"].to_numpy(float))
+        return pd.DataFrame({"family": [pdf["family"].iloc[0]], "weights": [w.tolist()]})
 
-    return guarded.groupBy("family").applyInPandas(run, "family string, weights array<double>")
+    vectors = _vectors(samples, "features", "train", most)
+    return vectors.groupBy("family").applyInPandas(run, "family string, weights array<double>")
 
 
 def score(rows: DataFrame, models: DataFrame) -> DataFrame:
@@ -49,18 +74,18 @@ def score(rows: DataFrame, models: DataFrame) -> DataFrame:
     return out.withColumn("confidence", F.when(F.col("weights").isNull(), 0.0).otherwise(S.sigmoid(dot))).drop("weights")
 
 
-def fit_platt(samples: DataFrame) -> DataFrame:
-    """family, slope, intercept of confidence on the logit scale, from calibration rows."""
-    guarded = samples.withColumn("_ok", F.when(F.col("split") != "calibration", F.raise_error(F.lit("scalers are fitted on the calibration split"))))
+def fit_platt(samples: DataFrame, most: int = MOST_VECTORS) -> DataFrame:
+    """family, slope, intercept of confidence on the logit scale, from calibration rows; alike confidences become one weighted row, as in fit."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         c = pdf["confidence"].to_numpy(float)
         with np.errstate(divide="ignore"):
             z = np.clip(np.log(c) - np.log1p(-c), -40, 40)
-        w = logistic(np.column_stack([np.ones(len(z)), z]), pdf["correct"].to_numpy(float), PLATT_STEPS)
+        w = logistic(np.column_stack([np.ones(len(z)), z]), pdf["right"].to_numpy(float), PLATT_STEPS, pdf["n"].to_numpy(float))
         return pd.DataFrame({"family": [pdf["family"].iloc[0]], "slope": [w[1]], "intercept": [w[0]]})
 
-    return guarded.groupBy("family").applyInPandas(run, "family string, slope double, intercept double")
+    vectors = _vectors(samples, "confidence", "calibration", most)
+    return vectors.groupBy("family").applyInPandas(run, "family string, slope double, intercept double")
 
 
 def rescale(rows: DataFrame, scalers: DataFrame) -> DataFrame:
@@ -86,22 +111,55 @@ def choose_thresholds(samples: DataFrame, targets: dict[str, float] = TARGETS) -
     return points.select("family", "n").distinct().join(best, "family", "left").select("family", "threshold", F.coalesce("accepted", F.lit(0)).alias("accepted"), F.coalesce("right", F.lit(0)).alias("right"), "n")
 
 
-def grid_sweep(samples: DataFrame, points: int = 41) -> DataFrame:
-    """family, threshold, n, accepted, right on an even grid from 0 to 1. Each row falls into its grid cell once; then prefix sums."""
-    cell = F.floor(F.col("confidence") * (points - 1) + F.lit(1e-12)).cast("int")
-    cells = samples.groupBy("family", cell.alias("i")).agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("correct").cast("int")).alias("r"))
-    grid = samples.select("family").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    full = grid.join(cells, ["family", "i"], "left").na.fill(0, ["c", "r"])
-    down = Window.partitionBy("family").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
-    out = full.withColumn("accepted", F.sum("c").over(down)).withColumn("right", F.sum("r").over(down)).withColumn("n", F.sum("c").over(Window.partitionBy("family")))
-    return out.select("family", (F.col("i") / (points - 1)).alias("threshold"), "n", "accepted", "right")
+def _at_thresholds(samples: DataFrame, points: DataFrame) -> DataFrame:
+    """points (family, threshold, ...) with n, accepted, right: counts of the samples at or above. One union in order of value and
+    prefix sums over the distinct values, so samples are never paired with points."""
+    values = samples.groupBy("family", F.col("confidence").alias("at")).agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("correct").cast("int")).alias("r"))
+    asked = points.select("family", F.col("threshold").alias("at")).distinct().withColumns({"c": F.lit(0).cast("bigint"), "r": F.lit(0).cast("bigint")})
+    sums = values.unionByName(asked).groupBy("family", "at").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
+    down = Window.partitionBy("family").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("accepted", F.sum("c").over(down)).withColumn("right", F.sum("r").over(down)).withColumn("n", F.sum("c").over(Window.partitionBy("family")))
+    return points.join(sums.select("family", F.col("at").alias("threshold"), "n", "accepted", "right"), ["family", "threshold"])
+
+
+def grid(families: DataFrame, points: int = GRID) -> DataFrame:
+    """family, threshold: an even grid from 0 to 1."""
+    return families.select("family", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).select("family", (F.col("i") / (points - 1)).alias("threshold"))
+
+
+def sweep_curve(calibration: DataFrame, reported: DataFrame, applied: DataFrame, points: int = GRID) -> DataFrame:
+    """family, ordinal, threshold, n, accepted, right, precision, review_rate: the published layout of a sweep.
+
+    First the curve on the calibration samples, the grid and the applied threshold in rising order, without the points that accept nothing
+    unless one is the applied point; last the point achieved on the reported samples. applied: family, threshold, one row a family.
+    """
+    applied = applied.filter("threshold IS NOT NULL").select("family", "threshold")
+    asked = grid(applied, points).unionByName(applied).distinct()
+    curve = _at_thresholds(calibration, asked).join(applied.withColumn("applied", F.lit(True)), ["family", "threshold"], "left")
+    curve = curve.filter("accepted > 0 OR applied").drop("applied").withColumn("last", F.lit(0))
+    achieved = _at_thresholds(reported, applied).withColumn("last", F.lit(1))
+    both = curve.unionByName(achieved).withColumn("precision", F.when(F.col("accepted") == 0, 1.0).otherwise(F.try_divide("right", "accepted")))
+    both = both.withColumn("review_rate", 1 - F.col("accepted") / F.col("n"))
+    order = Window.partitionBy("family").orderBy("last", "threshold")  # GRID + 2 rows a family
+    return both.withColumn("ordinal", F.row_number().over(order) - 1).drop("last")
+
+
+def recovered_sweeps(points: DataFrame) -> DataFrame:
+    """family, applied, achieved (points) and curve_points of a published sweep. The last point is the achieved one and its threshold must
+    be on the curve, else the job fails: such a tuple would mark a result that nothing measured."""
+    point = F.struct("threshold", "n", "accepted", "right")
+    last = points.groupBy("family").agg(F.max("ordinal").alias("last"), F.max_by(point, "ordinal").alias("achieved"))
+    curve = points.join(F.broadcast(last), "family").filter("ordinal < last")  # one row a family
+    found = curve.groupBy("family").agg(F.first("achieved").alias("achieved"), F.count(F.lit(1)).alias("curve_points"), F.max(F.when(F.col("threshold") == F.col("achieved.threshold"), point)).alias("applied"))
+    out = last.select("family", F.col("achieved").alias("_a")).join(found, "family", "left")
+    wrong = F.raise_error(F.concat(F.col("family"), F.lit(" reports a result at a threshold that is no point of its curve")))
+    return out.select("family", F.when(F.col("applied").isNull(), wrong.cast(found.schema["applied"].dataType)).otherwise(F.col("applied")).alias("applied"), F.col("_a").alias("achieved"), "curve_points")
 
 
 def reliability(samples: DataFrame, bins: int = 10) -> DataFrame:
-    """family, bin, n, mean_confidence, right: bins of equal count in order of confidence, then field_id."""
-    w = Window.partitionBy("family")
-    rows = samples.withColumn("rn", F.row_number().over(w.orderBy("confidence", "field_id"))).withColumn("n_all", F.count(F.lit(1)).over(w))
-    rows = rows.withColumn("bin", F.floor((bins * F.col("rn") - 1) / F.col("n_all")).cast("int"))
+    """family, bin, n, mean_confidence, right: bins of equal count in order of confidence, then of the digest of field_id."""
+    rows = ranked(samples, ["family"], F.col("field_id"), [F.col("confidence")], F.floor(F.col("confidence") * 4096)).withColumnRenamed("n", "n_all")
+    rows = rows.withColumn("bin", F.expr(f"CAST(({bins} * rn - 1) DIV n_all AS INT)"))
     return rows.groupBy("family", "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean_confidence"), F.sum(F.col("correct").cast("int")).alias("right"))
 
 

@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 
 from statera.constants import FUZZY_LEAST, GRACE_DAYS, PAYMENT_TYPES, PRIMARY_REFERENCES, REFERENCES, SCHEDULES, WEIGHTS
 from statera.functions import scalar as S
-from statera.scratch import table
+from statera.scratch import release, table
+
+
+#: Candidates of a document that are folded in one row.
+FOLD = 256
 
 
 def schedule_of(doc_type="doc_type"):
@@ -33,9 +37,9 @@ def blocked(statements: DataFrame, ledger: DataFrame, grace: int = GRACE_DAYS) -
     st = statements.select("doc_id", "dealer_id", "doc_type", "period_start", "period_end", schedule_of().alias("schedule"))
     st = st.withColumn("lo", F.date_sub("period_start", grace)).withColumn("hi", F.date_add("period_end", grace))
     st = st.withColumn("month", F.explode(F.sequence(F.trunc("lo", "month"), F.trunc("hi", "month"), F.expr("interval 1 month"))))
-    entries = ledger.drop("doc_type").withColumn("month", F.trunc("post_date", "month"))
+    entries = ledger.select("entry_id", "dealer_id", "schedule", *REFERENCES, "post_date", "amount_cents", "entry_pos").withColumn("month", F.trunc("post_date", "month"))
     out = st.join(entries, ["dealer_id", "schedule", "month"]).filter(F.col("post_date").between(F.col("lo"), F.col("hi")))
-    return out.drop("month", "lo", "hi").withColumn("key", S.primary_key()).withColumn("expected", F.col("post_date").between(F.col("period_start"), F.col("period_end")))
+    return out.drop("month", "lo", "hi", "dealer_id", "schedule").withColumn("key", S.primary_key()).withColumn("expected", F.col("post_date").between(F.col("period_start"), F.col("period_end")))
 
 
 def keyed_lines(statements: DataFrame, lines: DataFrame) -> DataFrame:
@@ -55,50 +59,75 @@ def _neighbours(c):
     return F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))
 
 
-def _probes(rows: DataFrame, id_col: str) -> DataFrame:
-    """(doc_id, id, probe): the equi-join keys of a row's primary references."""
-    found = None
-    for kind, names in PRIMARY_REFERENCES.items():
-        for name in names:
-            ref = F.nullif(S.reference(name), F.lit(""))
-            some = rows.filter((F.col("doc_type") == kind) & ref.isNotNull()).withColumn("ref", ref)
-            prefix = F.lit(f"{name}:")
-            probes = F.transform(_neighbours(F.col("ref")), lambda x: F.concat(prefix, x))  # noqa: B023
-            if name == "vin":
-                probes = F.when(F.length("ref") >= 8, F.concat(probes, F.array(F.concat(F.lit("tail:"), F.right(F.col("ref"), F.lit(8)))))).otherwise(probes)
-            some = some.select("doc_id", id_col, F.explode(probes).alias("probe"))
-            found = some if found is None else found.unionByName(some)
-    return found
-
-
-def reference_score(doc_type="doc_type", a: str = "a_", b: str = "b_"):
-    """1.0 where any primary reference (normalised) is within one edit, or VINs share their last eight; else 0.0."""
-    out = F.lit(0.0)
+def primary_references(doc_type="doc_type"):
+    """The primary references of the document's type, as (name, ref); ref is normalised, and NULL where there is none."""
+    out = None
     for kind, names in PRIMARY_REFERENCES.items():
-        hit = F.lit(False)
-        for name in names:
-            x, y = F.col(a + name), F.col(b + name)
-            near = S.within_one_edit(x, y)
-            hit = hit | F.coalesce(near | S.vin_tail(x, y) if name == "vin" else near, F.lit(False))
-        out = F.when((S._col(doc_type) == kind) & hit, 1.0).otherwise(out)
+        refs = F.array(*[F.struct(F.lit(n).alias("name"), F.nullif(S.reference(n), F.lit("")).alias("ref")) for n in names])
+        out = F.when(S._col(doc_type) == kind, refs) if out is None else out.when(S._col(doc_type) == kind, refs)
     return out
 
 
+def _probes(rows: DataFrame, id_col: str) -> DataFrame:
+    """(doc_id, id, probe): the equi-join keys of a row's primary references."""
+    refs = rows.select("doc_id", id_col, F.explode("refs").alias("r")).select("doc_id", id_col, "r.*").filter("ref IS NOT NULL")
+    tail = F.when((F.col("name") == "vin") & (F.length("ref") >= 8), F.array(F.concat(F.lit("/"), F.right(F.col("ref"), F.lit(8))))).otherwise(F.array().cast("array<string>"))
+    probes = refs.select("doc_id", id_col, "name", F.explode(F.concat(_neighbours(F.col("ref")), tail)).alias("probe"))
+    return probes.select("doc_id", id_col, F.concat_ws(":", "name", "probe").alias("probe"))
+
+
+def reference_score(a: str = "a_refs", b: str = "b_refs"):
+    """1.0 where any primary reference (primary_references of both) is within one edit, or VINs share their last eight; else 0.0."""
+    near = lambda x, y: F.coalesce(S.within_one_edit(x["ref"], y["ref"]) | ((x["name"] == "vin") & S.vin_tail(x["ref"], y["ref"])), F.lit(False))
+    return F.when(F.exists(F.zip_with(a, b, near), lambda hit: hit), 1.0).otherwise(0.0)
+
+
+def total_score(a_amount, b_amount, a_day, b_day):
+    """References, amounts and dates, weighted. Expects a_refs and b_refs."""
+    r, m, d = WEIGHTS
+    return F.lit(r) * reference_score() + F.lit(m) * S.amount_score(a_amount, b_amount) + F.lit(d) * S.date_score(a_day, b_day)
+
+
 def fuzzy_candidates(lines: DataFrame, entries: DataFrame) -> DataFrame:
     """Scored pairs at or above the threshold, found through reference hits."""
-    pairs = _probes(lines, "line_no").join(_probes(entries, "entry_id"), ["doc_id", "probe"]).select("doc_id", "line_no", "entry_id").distinct()
-    a = lines.select("doc_id", "line_no", "doc_type", *[F.nullif(S.reference(r), F.lit("")).alias(f"a_{r}") for r in REFERENCES], F.col("amount_cents").alias("a_amount"), "line_date")
-    b = entries.select("doc_id", "entry_id", "entry_pos", *[F.nullif(S.reference(r), F.lit("")).alias(f"b_{r}") for r in REFERENCES], F.col("amount_cents").alias("b_amount"), "post_date")
-    scored = pairs.join(a, ["doc_id", "line_no"]).join(b, ["doc_id", "entry_id"])
-    r, m, d = WEIGHTS
-    score = F.lit(r) * reference_score() + F.lit(m) * S.amount_score("a_amount", "b_amount") + F.lit(d) * S.date_score("line_date", "post_date")
-    scored = scored.withColumn("score", score).filter(F.col("score") >= FUZZY_LEAST)
+    a = lines.select("doc_id", "line_no", primary_references().alias("refs"), F.col("amount_cents").alias("a_amount"), "line_date")
+    b = entries.select("doc_id", "entry_id", "entry_pos", primary_references().alias("refs"), F.col("amount_cents").alias("b_amount"), "post_date")
+    pairs = _probes(a, "line_no").join(_probes(b, "entry_id"), ["doc_id", "probe"]).select("doc_id", "line_no", "entry_id").distinct()
+    scored = pairs.join(a.withColumnRenamed("refs", "a_refs"), ["doc_id", "line_no"]).join(b.withColumnRenamed("refs", "b_refs"), ["doc_id", "entry_id"])
+    scored = scored.withColumn("score", total_score("a_amount", "b_amount", "line_date", "post_date")).filter(F.col("score") >= FUZZY_LEAST)
     inexact = (F.col("a_amount") != F.col("b_amount")).cast("int")
     return scored.select("doc_id", "line_no", "entry_id", "entry_pos", "score", inexact.alias("inexact"), F.abs(F.datediff("line_date", "post_date")).alias("days"))
 
 
 def greedy(candidates: DataFrame) -> DataFrame:
-    """Per document, best candidates first, each line and entry once. A fold over one document's candidates."""
+    """Per document, best candidates first, each line and entry once. Documents of FOLD candidates or fewer are folded in a row; larger ones
+    go through rounds in which every pair that is the best one of both its line and its entry is taken. The order is total, so both
+    give the same pairs."""
+    candidates = table(candidates, "candidates")
+    large = table(candidates.groupBy("doc_id").count().filter(F.col("count") > FOLD).select("doc_id"), "large-documents")
+    if not large.limit(1).count():
+        return _folded(candidates)
+    return _folded(candidates.join(large, "doc_id", "left_anti")).unionByName(_in_rounds(candidates.join(large, "doc_id", "left_semi")))
+
+
+def _in_rounds(candidates: DataFrame) -> DataFrame:
+    rank = F.struct((-F.col("score")).alias("o"), "inexact", "days", "line_no", "entry_pos", "entry_id")
+    left, taken = table(candidates.withColumn("rank", rank), "round"), []
+    while left.limit(1).count():
+        of_line = left.groupBy("doc_id", "line_no").agg(F.min("rank").alias("rank"))
+        of_entry = left.groupBy("doc_id", "entry_id").agg(F.min("rank").alias("rank"))
+        hit = table(of_line.join(of_entry, ["doc_id", "rank"]).select("doc_id", "line_no", "entry_id", (-F.col("rank.o")).alias("score")), "round-pairs")
+        taken.append(hit)
+        rest = left.join(hit, ["doc_id", "line_no"], "left_anti").join(hit, ["doc_id", "entry_id"], "left_anti")
+        old, left = left, table(rest, "round")
+        release(old)
+    out = left.select("doc_id", F.col("line_no").cast("int").alias("line_no"), "entry_id", "score")
+    for hit in taken:
+        out = out.unionByName(hit.withColumn("line_no", F.col("line_no").cast("int")))
+    return out
+
+
+def _folded(candidates: DataFrame) -> DataFrame:
     kind = "array<struct<o:double,inexact:int,days:int,line_no:int,entry_pos:bigint,entry_id:string,score:double>>"
     row = F.struct((-F.col("score")).alias("o"), "inexact", "days", F.col("line_no").cast("int").alias("line_no"), "entry_pos", "entry_id", "score")
     docs = candidates.groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("c"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statera.functions import scalar as S
+from statera.operators.ranks import ranked
 
 
 def latest(log: DataFrame, key: str, value: str, seq: str) -> DataFrame:
@@ -92,5 +93,6 @@ def assemble(fields: DataFrame) -> DataFrame:
     return out.filter("amount_cents IS NOT NULL AND line_date IS NOT NULL").withColumn("line_type", F.when(F.col("amount_cents") >= 0, "charge").otherwise("credit"))
 
 
-def round_robin(rows: DataFrame, group: str, order: list) -> DataFrame:
-    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+def round_robin(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """rows with turn: the rank inside the group in order of the key's digest. Taking turn by turn interleaves the groups."""
+    return ranked(rows, [group], F.col(key)).withColumnRenamed("rn", "turn").drop("n")

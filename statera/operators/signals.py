@@ -10,14 +10,21 @@ from statera.functions import scalar as S
 from statera.scratch import table
 
 
-def crossfoot_delta(lines: DataFrame, totals: DataFrame) -> DataFrame:
+def footing_delta(lines: DataFrame, totals: DataFrame) -> DataFrame:
     """doc_id, delta: total less previous balance and lines; NULL without a total."""
     sums = lines.groupBy("doc_id").agg(F.sum("amount_cents").alias("lines"))
     out = totals.join(sums, "doc_id", "left")
     return out.select("doc_id", (F.col("total") - F.coalesce("previous", F.lit(0)) - F.coalesce("lines", F.lit(0))).alias("delta"))
 
 
-def crossfoot_ok(delta) -> F.Column:
+def truth_delta(lines: DataFrame, heads: DataFrame) -> DataFrame:
+    """doc_id, delta: previous balance, lines and adjustments less the total; 0 for a statement that foots."""
+    sums = lines.groupBy("doc_id").agg(F.sum("amount_cents").alias("lines"))
+    out = heads.join(sums, "doc_id", "left")
+    return out.select("doc_id", (F.coalesce("previous", F.lit(0)) + F.coalesce("lines", F.lit(0)) + F.coalesce("adjustments", F.lit(0)) - F.col("total")).cast("bigint").alias("delta"))
+
+
+def footing_ok(delta) -> F.Column:
     return F.when(S._col(delta).isNotNull(), F.when(F.abs(S._col(delta)) <= 1, 1.0).otherwise(0.0))
 
 
@@ -42,12 +49,26 @@ def marque_vote(references: DataFrame) -> DataFrame:
     return counted.select("doc_id", F.when((best > 0) & (F.size(winners) == 1), F.get(winners, F.lit(0))).alias("oem"))
 
 
-def other_median_date(dates: DataFrame) -> DataFrame:
-    """doc_id, line_no, middle: the upper median of the document's other dates."""
-    days = dates.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_date", "line_no"))).alias("all"))
-    rows = dates.join(days, "doc_id")
-    others = F.filter("all", lambda x: ~x["line_no"].eqNullSafe(F.col("line_no")))
-    return rows.withColumn("others", others).select("doc_id", "line_no", F.get(F.col("others"), F.floor(F.size("others") / 2).cast("int"))["line_date"].alias("middle"))
+def other_median_date(dates: DataFrame, row: str = "line_no") -> DataFrame:
+    """doc_id, row, middle: the upper median of the document's other dates. Of all dates in order it is the one at place
+    m = (n - 1) div 2, or the next where the row's own date stands at m or before."""
+    order = Window.partitionBy("doc_id").orderBy("line_date", row)
+    n = dates.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = dates.withColumn("at", F.row_number().over(order) - 1).join(n, "doc_id").withColumn("m", F.expr("(n - 1) DIV 2"))
+    two = rows.filter("at = m OR at = m + 1").groupBy("doc_id").agg(F.max(F.when(F.col("at") == F.col("m"), F.col("line_date"))).alias("a"), F.max(F.when(F.col("at") > F.col("m"), F.col("line_date"))).alias("b"))
+    return rows.join(two, "doc_id").select("doc_id", row, F.when(F.col("at") <= F.col("m"), F.col("b")).otherwise(F.col("a")).alias("middle"))
+
+
+def date_centres(fields: DataFrame) -> DataFrame:
+    """field_id, centre of the window a date is judged in: the document's statement date, or, for that date itself and in documents
+    without one, the upper median of the other dates. No date is judged by itself; one alone in its document has no centre."""
+    dated = fields.filter("value_date IS NOT NULL")
+    first = F.min_by(F.struct("field_id", "value_date"), "reading_pos").alias("a")
+    anchors = dated.filter("name = 'statement_date' AND line_no IS NULL").groupBy("doc_id").agg(first).select("doc_id", "a.*").withColumnsRenamed({"field_id": "anchor_id", "value_date": "anchor"})
+    others = other_median_date(dated.select("doc_id", "field_id", F.col("value_date").alias("line_date")), "field_id").select("field_id", "middle")
+    out = dated.select("doc_id", "field_id").join(anchors, "doc_id", "left").join(others, "field_id")
+    own = F.col("anchor").isNull() | (F.col("anchor_id") == F.col("field_id"))
+    return out.select("field_id", F.when(own, F.col("middle")).otherwise(F.col("anchor")).alias("centre"))
 
 
 def validator_pass(name, value, cents, day, anchor) -> F.Column:
@@ -66,22 +87,44 @@ def grammar_match(name, value, oem) -> F.Column:
     return out
 
 
-def attach(fields: DataFrame, totals: DataFrame) -> DataFrame:
-    """Fields with crossfoot_ok, suspect, validator_pass, grammar_match, char_ambiguity."""
-    parsed = fields.withColumn("cents", F.when(F.col("family") == "amount", S.amount_cents("raw_text"))).withColumn("day", F.when(F.col("family") == "date", S.parse_date("raw_text")))
-    parsed = table(parsed, "parsed-fields")
-    lines = parsed.filter("name = 'line_amount'").select("doc_id", "line_no", F.col("cents").alias("amount_cents"))
-    deltas = crossfoot_delta(lines, totals)
-    suspects = residual_suspects(lines, deltas).withColumn("suspect", F.lit(True))
-    oems = marque_vote(parsed.filter("family = 'reference'").select("doc_id", "name", F.col("raw_text").alias("value")))
-    dates = parsed.filter("name = 'line_date' AND day IS NOT NULL").select("doc_id", "line_no", F.col("day").alias("line_date"))
-    middle = dates.groupBy("doc_id").agg(F.sort_array(F.collect_list("line_date")).alias("d")).select("doc_id", F.get(F.col("d"), F.floor(F.size("d") / 2).cast("int")).alias("anchor"))
-    out = parsed.join(deltas, "doc_id", "left").join(oems, "doc_id", "left").join(middle, "doc_id", "left").join(suspects, ["doc_id", "line_no"], "left")
-    return out.select(
-        "field_id",
-        F.when(F.col("family") == "amount", crossfoot_ok("delta")).alias("crossfoot_ok"),
-        ((F.col("name") == "line_amount") & F.coalesce("suspect", F.lit(False))).alias("suspect"),
-        validator_pass("name", "raw_text", "cents", "day", "anchor").alias("validator_pass"),
-        grammar_match("name", "raw_text", "oem").alias("grammar_match"),
-        F.round(S.ambiguity("raw_text"), 9).alias("char_ambiguity"),
-    )
+def footing_totals(fields: DataFrame) -> DataFrame:
+    """doc_id, total, previous: the first read amount of each header; documents without a total have no row."""
+    heads = fields.filter("line_no IS NULL AND name IN ('total', 'previous_balance') AND value_cents IS NOT NULL")
+    pick = lambda n: F.min_by(F.when(F.col("name") == n, F.col("value_cents")), F.when(F.col("name") == n, F.col("reading_pos")))
+    return heads.groupBy("doc_id").agg(pick("total").alias("total"), pick("previous_balance").alias("previous")).filter("total IS NOT NULL")
+
+
+def typed(fields: DataFrame) -> DataFrame:
+    """fields (family, raw_text) with value, value_cents, value_date."""
+    out = fields.withColumn("value_cents", F.when(F.col("family") == "amount", S.amount_cents("raw_text"))).withColumn("value_date", F.when(F.col("family") == "date", S.parse_date("raw_text")))
+    plain = F.nullif(S.stripped("raw_text"), F.lit(""))
+    return out.withColumn("value", F.when(F.col("family") == "amount", S.format_cents("value_cents")).when(F.col("family") == "date", F.col("value_date").cast("string")).otherwise(plain))
+
+
+def attach(fields: DataFrame, context: DataFrame | None = None) -> DataFrame:
+    """fields with the eight signals: self_consistency, det_llm_agreement, validator_pass, grammar_match, footing_ok, suspect,
+    char_ambiguity and the route they have.
+
+    All but the first two are read off the extraction itself. Those come from context (field_id and either) where it names the field, else
+    stay as the row carries them. fields: field_id, doc_id, line_no, name, family, raw_text, value, value_cents, value_date, reading_pos, route.
+    """
+    fields = table(fields, "typed-fields")
+    lines = fields.filter("name = 'line_amount' AND line_no IS NOT NULL AND value_cents IS NOT NULL").select("doc_id", "line_no", F.col("value_cents").alias("amount_cents"))
+    deltas = table(footing_delta(lines, footing_totals(fields)), "deltas")
+    suspects = residual_suspects(lines, deltas).withColumn("_suspect", F.lit(True))
+    oems = marque_vote(fields.filter(F.col("name").isin(*GRAMMARS) & F.col("value").isNotNull()).select("doc_id", "name", "value"))
+    carried = ["self_consistency", "det_llm_agreement"]
+    out = fields.withColumns({c: F.lit(None).cast("double") for c in carried if c not in fields.columns})
+    if context is not None:
+        given = [c for c in carried if c in context.columns]
+        out = out.join(context.select("field_id", *[F.col(c).alias(f"_{c}") for c in given]), "field_id", "left")
+        out = out.withColumns({c: F.coalesce(f"_{c}", c) for c in given}).drop(*[f"_{c}" for c in given])
+    out = out.join(deltas, "doc_id", "left").join(oems, "doc_id", "left").join(date_centres(fields), "field_id", "left").join(suspects, ["doc_id", "line_no"], "left")
+    new = {
+        "validator_pass": validator_pass("name", "value", "value_cents", "value_date", "centre"),
+        "grammar_match": grammar_match("name", "value", "oem"),
+        "footing_ok": F.when(F.col("family") == "amount", footing_ok("delta")),
+        "suspect": (F.col("name") == "line_amount") & F.coalesce("_suspect", F.lit(False)),
+        "char_ambiguity": S.ambiguity(F.coalesce("raw_text", F.lit(""))),
+    }
+    return out.withColumns(new).drop("delta", "oem", "centre", "_suspect")

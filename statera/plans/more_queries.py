@@ -15,22 +15,12 @@ from statera.operators import calibration as C
 from statera.operators import reconcile as R
 from statera.operators import review as V
 from statera.plans import review_queries as Q
-from statera.plans.views import load, with_views
+from statera.plans.base import book
+from statera.plans.views import load
 from statera.scratch import scratch_dir, table
 from statera.sources import files as X
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, *views: str):
-    def put(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = with_views(sql, *views) if views else sql
-        return f
-
-    return put
+QUERIES, ORACLE_SQL, query = book()
 
 
 def _workbook(cells: list[list[str]]) -> bytes:
@@ -156,16 +146,17 @@ def p13(spark, d):
 def j7a(spark, d):
     x = load(spark, d, "ledger").withColumn("doc_type", F.lit("parts_statement"))
     b = F.when(F.col("l_partkey") % 3 == 0, F.col("invoice_number")).when(F.col("l_partkey") % 3 == 1, F.expr("concat('Z', substr(invoice_number, 2, 20))")).otherwise(F.expr("concat('ZZ', substr(invoice_number, 3, 20))"))
-    for n in R.REFERENCES:
-        x = x.withColumn(f"a_{n}", S.reference(n)).withColumn(f"b_{n}", S.reference(b if n == "invoice_number" else n))
+    x = x.withColumn("a_refs", R.primary_references()).withColumn("invoice_number", b).withColumn("b_refs", R.primary_references())
     return x.select("entry_id", R.reference_score().alias("score"))
 
 
-@query("op_J7d_total_score", "SELECT entry_id, 0.5::DOUBLE * 1.0 + 0.35::DOUBLE * 0.5 + 0.15::DOUBLE * (1.0::DOUBLE - 15 / 45.0::DOUBLE) >= 0.6 AS passes FROM ledger", "ledger")
+@query("op_J7d_total_score", "SELECT entry_id, round(0.5::DOUBLE * (damerau_levenshtein(invoice_number, b) <= 1)::INT + 0.35::DOUBLE * CASE WHEN s = amount_cents THEN 1.0::DOUBLE WHEN abs(s - amount_cents) * 100 <= abs(amount_cents) THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END + 0.15::DOUBLE * greatest(0.0::DOUBLE, 1.0::DOUBLE - (l_partkey % 60) / 45.0::DOUBLE), 9) AS score FROM (SELECT *, CASE l_partkey % 3 WHEN 0 THEN invoice_number WHEN 1 THEN 'Z' || substr(invoice_number, 2, 20) ELSE 'ZZ' || substr(invoice_number, 3, 20) END AS b, amount_cents + (l_partkey % 5) * 900 AS s FROM ledger) x", "ledger")
 def j7d(spark, d):
-    r, m, w = R.WEIGHTS
-    score = F.lit(r) * 1.0 + F.lit(m) * S.amount_score(F.col("amount_cents") + 1, "amount_cents") + F.lit(w) * S.date_score("post_date", F.date_add("post_date", 15))
-    return load(spark, d, "ledger").select("entry_id", (score >= R.FUZZY_LEAST).alias("passes"))
+    x = load(spark, d, "ledger").withColumn("doc_type", F.lit("parts_statement")).withColumn("a_refs", R.primary_references())
+    b = F.when(F.col("l_partkey") % 3 == 0, F.col("invoice_number")).when(F.col("l_partkey") % 3 == 1, F.expr("concat('Z', substr(invoice_number, 2, 20))")).otherwise(F.expr("concat('ZZ', substr(invoice_number, 3, 20))"))
+    x = x.withColumn("invoice_number", b).withColumn("b_refs", R.primary_references())
+    x = x.withColumn("s", F.col("amount_cents") + F.col("l_partkey") % 5 * 900).withColumn("day", F.date_add("post_date", (F.col("l_partkey") % 60).cast("int")))
+    return x.select("entry_id", F.round(R.total_score("s", "amount_cents", "post_date", "day"), 9).alias("score"))
 
 
 @query("op_W2_rank_pairing", "SELECT a.entry_id AS x, b.entry_id AS y FROM (SELECT *, row_number() OVER (PARTITION BY dealer_id, post_date ORDER BY entry_pos) AS i FROM ledger WHERE l_orderkey % 2 = 0) a JOIN (SELECT *, row_number() OVER (PARTITION BY dealer_id, post_date ORDER BY entry_pos) AS i FROM ledger WHERE l_orderkey % 2 = 1) b USING (dealer_id, post_date, i)", "ledger")
@@ -230,19 +221,6 @@ QUERIES["op_M1e_date_window_centre"], ORACLE_SQL["op_M1e_date_window_centre"] =
 QUERIES["op_M10_reliability_section"], ORACLE_SQL["op_M10_reliability_section"] = Q.QUERIES["op_A8_calibration_error"], Q.ORACLE_SQL["op_A8_calibration_error"]
 
 
-@query("op_M11_calibrate_report")
-def m11(spark, d):
-    s = load(spark, d, "samples").filter("split = 'calibration'")
-    ece = C.calibration_error(C.reliability(s))
-    t = C.choose_thresholds(s)
-    return t.join(ece, "family").select("family", F.round("threshold", 9).alias("threshold"), F.round(F.try_divide("right", "accepted"), 9).alias("precision"), F.round(1 - F.col("accepted") / F.col("n"), 9).alias("review_rate"), F.round("ece", 9).alias("ece"))
-
-
-@query("op_M12_platt_cells")
-def m12(spark, d):
-    return C.fit_platt(load(spark, d, "samples").filter("split = 'calibration'")).select("family", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept")).orderBy("family")
-
-
 @query("op_G1_ledger_generator", "SELECT 'D' || d || '-' || s || '-' || m AS id, 1000 + (('0x' || substr(md5('7:' || d || ':' || s || ':' || m), 1, 7))::BIGINT % 9000) AS cents FROM range(4) a(d), range(4) b(s), range(4) c(m)")
 def g1(spark, d):
     n = spark.range(64).select(F.floor(F.col("id") / 16).cast("string").alias("d"), F.floor(F.col("id") / 4 % 4).cast("string").alias("s"), (F.col("id") % 4).cast("string").alias("m"))
@@ -280,38 +258,6 @@ def t2(spark, d):
     return load(spark, d, "statements").select("doc_id").orderBy("doc_id")
 
 
-@query("op_T7_response_cache", "SELECT call_id, prompt_tokens > 200 AS cached FROM llm_calls", "llm_calls")
-def t7(spark, d):
-    """Calls whose request key is known need no model."""
-    calls = load(spark, d, "llm_calls").withColumn("request_key", S.request_key(call="call_id", model="model"))
-    known = calls.filter("prompt_tokens > 200").select("request_key").withColumn("hit", F.lit(True))
-    return calls.join(known, "request_key", "left").select("call_id", F.coalesce("hit", F.lit(False)).alias("cached"))
-
-
-@query("op_T8_append_ledger", "SELECT run_id, 2 * count(*) AS n FROM llm_calls GROUP BY 1", "llm_calls")
-def t8(spark, d):
-    calls = load(spark, d, "llm_calls").select("run_id")
-    return calls.unionByName(calls).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("op_R2_samples", "SELECT count(*) AS n FROM samples WHERE family <> 'text'", "samples")
-def r2(spark, d):
-    models = spark.createDataFrame([("amount",), ("date",), ("reference",)], "family string")
-    return load(spark, d, "samples").join(F.broadcast(models), "family").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("op_R3_threshold_lookup", "SELECT field_id, CASE family WHEN 'amount' THEN 0.9::DOUBLE WHEN 'date' THEN 0.8::DOUBLE END AS threshold FROM samples", "samples")
-def r3(spark, d):
-    t = spark.createDataFrame([("amount", 0.9), ("date", 0.8)], "family string, threshold double")
-    return load(spark, d, "samples").join(F.broadcast(t), "family", "left").select("field_id", "threshold")
-
-
-@query("op_R6_run_notes", "SELECT run_id, run_id || ': ' || count(*) || ' calls, ' || count(*) FILTER (http_status <> 200) || ' failed' AS note FROM llm_calls GROUP BY 1", "llm_calls")
-def r6(spark, d):
-    g = load(spark, d, "llm_calls").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("http_status") != 200).alias("bad"))
-    return g.select("run_id", F.format_string("%s: %d calls, %d failed", "run_id", "n", "bad").alias("note"))
-
-
 @query("op_R7_document_rows", "SELECT d.doc_id, quality FROM documents d LEFT JOIN labels USING (doc_id)")
 def r7(spark, d):
     return load(spark, d, "documents").select("doc_id").join(load(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
@@ -359,17 +305,9 @@ def r21(spark, d):
     return load(spark, d, "llm_calls").select("provider").distinct().join(F.broadcast(able.filter("vision")), "provider", "left_semi")
 
 
-@query("op_R24_call_accounting", "SELECT call_id, CASE WHEN seq % 3 = 0 THEN 0 ELSE prompt_tokens + completion_tokens END AS total FROM llm_calls", "llm_calls")
-def r24(spark, d):
-    return load(spark, d, "llm_calls").select("call_id", F.when(F.col("seq") % 3 == 0, 0).otherwise(F.col("prompt_tokens") + F.col("completion_tokens")).alias("total"))
-
-
 @query("op_R25_amount_draw", "SELECT entry_id, 1000 + floor(99000 * pow((('0x' || substr(md5(entry_id), 1, 7))::BIGINT + 0.5) / 268435456.0::DOUBLE, 3))::BIGINT AS cents FROM ledger", "ledger")
 def r25(spark, d):
     u = (F.conv(F.substring(F.md5(F.col("entry_id").cast("binary")), 1, 7), 16, 10).cast("bigint") + F.lit(0.5)) / 268435456.0
     return load(spark, d, "ledger").select("entry_id", (1000 + F.floor(99000 * F.pow(u, F.lit(3.0)))).alias("cents"))
 
 
-@query("op_R29_absent_signal", "SELECT field_id, coalesce(CASE WHEN l_partkey % 2 = 0 THEN 1.0::DOUBLE END, CASE WHEN l_partkey % 3 = 0 THEN 0.0::DOUBLE END) AS result FROM fields", "fields")
-def r29(spark, d):
-    return load(spark, d, "fields").select("field_id", F.coalesce(F.when(F.col("l_partkey") % 2 == 0, 1.0), F.when(F.col("l_partkey") % 3 == 0, 0.0)).alias("result"))

@@ -6,22 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statera.functions import scalar as S
+from statera.operators import metrics as E
 from statera.operators import reconcile as R
-from statera.plans.views import load, with_views
+from statera.plans.base import book
+from statera.plans.views import load
 from statera.scratch import table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, *views: str):
-    def put(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = with_views(sql, *views) if views else sql
-        return f
-
-    return put
+QUERIES, ORACLE_SQL, query = book()
 
 
 def _three(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -34,43 +25,43 @@ _KEY = (
     + " WHEN 'floorplan_statement' THEN " + _REF.format("{1}vin") + " ELSE " + _REF.format("{1}program_code") + " || '|' || " + _REF.format("{1}vin") + " END"
 )
 _CORE = f"""
-WITH b AS (SELECT s.doc_id, s.period_start, s.period_end, l.*, {_KEY.format("s.", "l.")} AS key, l.post_date BETWEEN s.period_start AND s.period_end AS expected
+WITH b AS MATERIALIZED (SELECT s.doc_id, s.period_start, s.period_end, l.*, {_KEY.format("s.", "l.")} AS key, l.post_date BETWEEN s.period_start AND s.period_end AS expected
   FROM statements s JOIN ledger l ON s.dealer_id = l.dealer_id AND s.doc_type = l.doc_type AND l.post_date BETWEEN s.period_start - 60 AND s.period_end + 60),
-a AS (SELECT t.*, s.doc_type, s.period_start, s.period_end, {_KEY.format("s.", "t.")} AS key FROM statement_lines t JOIN statements s USING (doc_id)),
-a1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key, amount_cents ORDER BY line_no) AS i FROM a WHERE key IS NOT NULL),
-b1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key, amount_cents ORDER BY entry_pos, entry_id) AS i FROM b WHERE key IS NOT NULL),
-m1 AS (SELECT a1.doc_id, line_no, entry_id FROM a1 JOIN b1 USING (doc_id, key, amount_cents, i)),
-a2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY line_no) AS i FROM a ANTI JOIN m1 USING (doc_id, line_no) WHERE key IS NOT NULL),
-b2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY entry_pos, entry_id) AS i FROM b ANTI JOIN m1 USING (doc_id, entry_id) WHERE key IS NOT NULL),
-m2 AS (SELECT a2.doc_id, line_no, entry_id FROM a2 JOIN b2 USING (doc_id, key, i)),
-a3 AS (SELECT * FROM a ANTI JOIN m1 USING (doc_id, line_no) ANTI JOIN m2 USING (doc_id, line_no)),
-b3 AS (SELECT * FROM b ANTI JOIN m1 USING (doc_id, entry_id) ANTI JOIN m2 USING (doc_id, entry_id)),
-p3 AS (SELECT a3.doc_id, a3.line_no, b3.entry_id, b3.entry_pos, a3.amount_cents AS x, b3.amount_cents AS y, abs(a3.line_date - b3.post_date) AS days,
+a AS MATERIALIZED (SELECT t.*, s.doc_type, s.period_start, s.period_end, {_KEY.format("s.", "t.")} AS key FROM statement_lines t JOIN statements s USING (doc_id)),
+a1 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, key, amount_cents ORDER BY line_no) AS i FROM a WHERE key IS NOT NULL),
+b1 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, key, amount_cents ORDER BY entry_pos, entry_id) AS i FROM b WHERE key IS NOT NULL),
+m1 AS MATERIALIZED (SELECT a1.doc_id, line_no, entry_id FROM a1 JOIN b1 USING (doc_id, key, amount_cents, i)),
+a2 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY line_no) AS i FROM a ANTI JOIN m1 USING (doc_id, line_no) WHERE key IS NOT NULL),
+b2 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY entry_pos, entry_id) AS i FROM b ANTI JOIN m1 USING (doc_id, entry_id) WHERE key IS NOT NULL),
+m2 AS MATERIALIZED (SELECT a2.doc_id, line_no, entry_id FROM a2 JOIN b2 USING (doc_id, key, i)),
+a3 AS MATERIALIZED (SELECT * FROM a ANTI JOIN m1 USING (doc_id, line_no) ANTI JOIN m2 USING (doc_id, line_no)),
+b3 AS MATERIALIZED (SELECT * FROM b ANTI JOIN m1 USING (doc_id, entry_id) ANTI JOIN m2 USING (doc_id, entry_id)),
+p3 AS MATERIALIZED (SELECT a3.doc_id, a3.line_no, b3.entry_id, b3.entry_pos, a3.amount_cents AS x, b3.amount_cents AS y, abs(a3.line_date - b3.post_date) AS days,
   CASE a3.doc_type WHEN 'parts_statement' THEN damerau_levenshtein({_REF.format("a3.invoice_number")}, {_REF.format("b3.invoice_number")}) <= 1
     WHEN 'warranty_credit_memo' THEN damerau_levenshtein({_REF.format("a3.claim_number")}, {_REF.format("b3.claim_number")}) <= 1
     WHEN 'floorplan_statement' THEN damerau_levenshtein({_REF.format("a3.vin")}, {_REF.format("b3.vin")}) <= 1 OR right(a3.vin, 8) = right(b3.vin, 8)
     ELSE damerau_levenshtein({_REF.format("a3.program_code")}, {_REF.format("b3.program_code")}) <= 1 OR damerau_levenshtein({_REF.format("a3.vin")}, {_REF.format("b3.vin")}) <= 1
       OR right(a3.vin, 8) = right(b3.vin, 8) END AS hit
   FROM a3 JOIN b3 ON a3.doc_id = b3.doc_id),
-c3 AS (SELECT *, 0.5::DOUBLE * CASE WHEN coalesce(hit, false) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+c3 AS MATERIALIZED (SELECT *, 0.5::DOUBLE * CASE WHEN coalesce(hit, false) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
     + 0.35::DOUBLE * CASE WHEN x = y THEN 1.0::DOUBLE WHEN abs(x - y) * 100 <= abs(y) THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END
     + 0.15::DOUBLE * greatest(0.0::DOUBLE, 1.0::DOUBLE - days / 45.0::DOUBLE) AS score, (x <> y)::INT AS inexact FROM p3),
-g3 AS (SELECT doc_id, list({{'o': -score, 'inexact': inexact, 'days': days, 'line_no': line_no, 'entry_pos': entry_pos, 'entry_id': entry_id, 'score': score}}
+g3 AS MATERIALIZED (SELECT doc_id, list({{'o': -score, 'inexact': inexact, 'days': days, 'line_no': line_no, 'entry_pos': entry_pos, 'entry_id': entry_id, 'score': score}}
     ORDER BY -score, inexact, days, line_no, entry_pos, entry_id) AS c FROM c3 WHERE score >= 0.6 GROUP BY doc_id),
-m3 AS (SELECT doc_id, unnest(list_reduce(list_transform(c, lambda x: [x]), lambda acc, x:
+m3 AS MATERIALIZED (SELECT doc_id, unnest(list_reduce(list_transform(c, lambda x: [x]), lambda acc, x:
     CASE WHEN len(list_filter(acc, lambda y: y.line_no = x[1].line_no OR y.entry_id = x[1].entry_id)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS p FROM g3),
-m AS (SELECT *, 'exact' AS pass, 1.0::DOUBLE AS score FROM m1 UNION ALL SELECT *, 'reference', 1.0 FROM m2
+m AS MATERIALIZED (SELECT *, 'exact' AS pass, 1.0::DOUBLE AS score FROM m1 UNION ALL SELECT *, 'reference', 1.0 FROM m2
   UNION ALL SELECT doc_id, p.line_no, p.entry_id, 'fuzzy', p.score FROM m3),
-f AS (SELECT m.doc_id, m.line_no, m.entry_id, m.pass, m.score, a.key, a.doc_type, a.amount_cents AS line_cents, b.amount_cents AS entry_cents,
+f AS MATERIALIZED (SELECT m.doc_id, m.line_no, m.entry_id, m.pass, m.score, a.key, a.doc_type, a.amount_cents AS line_cents, b.amount_cents AS entry_cents,
     a.line_date BETWEEN a.period_start AND a.period_end AS in_line, b.post_date BETWEEN a.period_start AND a.period_end AS in_entry
   FROM m JOIN a ON a.doc_id = m.doc_id AND a.line_no = m.line_no JOIN b ON b.doc_id = m.doc_id AND b.entry_id = m.entry_id),
-x AS (SELECT doc_id, line_no, entry_id, line_cents, entry_cents, CASE WHEN line_cents = entry_cents THEN CASE WHEN in_line <> in_entry THEN 'timing_difference' END
+x AS MATERIALIZED (SELECT doc_id, line_no, entry_id, line_cents, entry_cents, CASE WHEN line_cents = entry_cents THEN CASE WHEN in_line <> in_entry THEN 'timing_difference' END
     WHEN doc_type IN ('warranty_credit_memo', 'incentive_statement') AND line_cents < entry_cents THEN 'short_pay' ELSE 'amount_mismatch' END AS t FROM f
   UNION ALL SELECT a.doc_id, a.line_no, NULL, a.amount_cents, NULL,
     CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.doc_id = a.doc_id AND f.key = a.key AND f.line_cents = a.amount_cents) THEN 'duplicate' ELSE 'missing_from_ledger' END
     FROM a ANTI JOIN m USING (doc_id, line_no)
   UNION ALL SELECT doc_id, NULL, entry_id, NULL, amount_cents, 'missing_from_statement' FROM b ANTI JOIN m USING (doc_id, entry_id) WHERE expected),
-e AS (SELECT 'exc-oracle-' || doc_id || '-' || t || coalesce('-line-' || line_no, '') || coalesce('-entry-' || entry_id, '') AS exception_id, t AS exception_type, doc_id, line_no, entry_id,
+e AS MATERIALIZED (SELECT 'exc-oracle-' || doc_id || '-' || t || coalesce('-line-' || line_no, '') || coalesce('-entry-' || entry_id, '') AS exception_id, t AS exception_type, doc_id, line_no, entry_id,
     line_cents AS statement_amount_cents, entry_cents AS ledger_amount_cents,
     (CASE t WHEN 'duplicate' THEN line_cents WHEN 'missing_from_ledger' THEN line_cents WHEN 'missing_from_statement' THEN -entry_cents WHEN 'timing_difference' THEN 0
       WHEN 'short_pay' THEN entry_cents - line_cents ELSE line_cents - entry_cents END)::BIGINT AS dollar_impact_cents,
@@ -163,15 +154,6 @@ def j14(spark, d):
 
 
 
-def detections(exceptions: DataFrame, injections: DataFrame, lines: DataFrame) -> DataFrame:
-    """(discrepancy_id, exception_id): type and document agree, and the line or the entry does."""
-    of_line = lines.select("doc_id", F.col("line_no").alias("at_line"), F.col("source_entry_id").alias("entry_id"))
-    truth = injections.join(of_line, ["doc_id", "entry_id"], "left").withColumnsRenamed({"entry_id": "at_entry", "expected_exception": "exception_type", "dollar_impact_cents": "injected_cents"})
-    both = exceptions.join(truth, ["doc_id", "exception_type"])
-    hit = F.coalesce(F.col("line_no") == F.col("at_line"), F.lit(False)) | F.coalesce(F.col("entry_id") == F.col("at_entry"), F.lit(False))
-    return both.filter(hit).select("discrepancy_id", "exception_id", "exception_type", "injected_cents").distinct()
-
-
 _DET = """, d AS (SELECT DISTINCT i.discrepancy_id, e.exception_id, e.exception_type, i.dollar_impact_cents AS injected_cents
   FROM injections i LEFT JOIN statement_lines t ON t.doc_id = i.doc_id AND t.source_entry_id = i.entry_id
   JOIN e ON e.doc_id = i.doc_id AND e.exception_type = i.expected_exception AND (e.line_no = t.line_no OR e.entry_id = i.entry_id))
@@ -181,7 +163,7 @@ _DET = """, d AS (SELECT DISTINCT i.discrepancy_id, e.exception_id, e.exception_
 @query("op_J18_detection_match", _CORE + _DET + "SELECT discrepancy_id, exception_id FROM d", *_V, "injections")
 def j18(spark, d):
     e = table(R.reconcile(*_three(spark, d))[1], "exceptions")
-    return detections(e, load(spark, d, "injections"), load(spark, d, "statement_lines")).select("discrepancy_id", "exception_id")
+    return E.detections(e, load(spark, d, "injections"), load(spark, d, "statement_lines")).select("discrepancy_id", "exception_id")
 
 
 _CELLS = """
@@ -194,19 +176,9 @@ LEFT JOIN (SELECT exception_type AS t, sum(abs(injected_cents))::BIGINT AS caugh
 """
 
 
-def recon_cells(exceptions: DataFrame, injections: DataFrame, lines: DataFrame) -> DataFrame:
-    """Per type: injected and caught counts and cents; exceptions that match no injection are false."""
-    hits = table(detections(exceptions, injections, lines), "hits")
-    i = injections.groupBy(F.col("expected_exception").alias("exception_type")).agg(F.count(F.lit(1)).alias("injected"), F.sum(F.abs("dollar_impact_cents")).alias("injected_cents"))
-    true = exceptions.join(hits.select("exception_id").distinct().withColumn("hit", F.lit(True)), "exception_id", "left")
-    x = true.groupBy("exception_type").agg(F.count_if(F.col("hit").isNotNull()).alias("detected_true"), F.count_if(F.col("hit").isNull()).alias("detected_false"))
-    c = hits.select("discrepancy_id", "exception_type", "injected_cents").distinct().groupBy("exception_type").agg(F.sum(F.abs("injected_cents")).alias("caught_cents"))
-    return i.join(x, "exception_type", "full").join(c, "exception_type", "left").na.fill(0)
-
-
 @query("op_A5_recon_cells", _CORE + _DET + _CELLS, *_V, "injections")
 def a5(spark, d):
-    return recon_cells(table(R.reconcile(*_three(spark, d))[1], "exceptions"), load(spark, d, "injections"), load(spark, d, "statement_lines"))
+    return E.score_recon(table(R.reconcile(*_three(spark, d))[1], "exceptions"), load(spark, d, "injections"), load(spark, d, "statement_lines"))
 
 
 

@@ -11,20 +11,10 @@ from statera.operators import calibration as C
 from statera.operators import review as V
 from statera.operators import signals as G
 from statera.plans.scalar_queries import _AMOUNT, _DATE
-from statera.plans.views import load, with_views
+from statera.plans.base import book
+from statera.plans.views import load
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, *views: str):
-    def put(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = with_views(sql, *views) if views else sql
-        return f
-
-    return put
+QUERIES, ORACLE_SQL, query = book()
 
 
 def _totals(spark, d):
@@ -37,17 +27,9 @@ _TOTALS = "totals AS (SELECT doc_id, (sum(amount_cents) + max(CASE WHEN l_orderk
 _DELTA = f"WITH {_TOTALS}, dl AS (SELECT doc_id, (total - sum(amount_cents))::BIGINT AS delta FROM totals JOIN statement_lines USING (doc_id) GROUP BY doc_id, total)"
 
 
-@query("op_A1_crossfoot_delta", _DELTA + " SELECT doc_id, delta FROM dl", "statement_lines")
+@query("op_A1_footing_delta", _DELTA + " SELECT doc_id, delta FROM dl", "statement_lines")
 def a1(spark, d):
-    return G.crossfoot_delta(load(spark, d, "statement_lines"), _totals(spark, d))
-
-
-@query("op_A2_truth_delta", "SELECT doc_id, sum(CASE WHEN tag = 3 THEN 900 ELSE 0 END)::BIGINT AS delta FROM statement_lines GROUP BY doc_id", "statement_lines")
-def a2(spark, d):
-    """With adjustments: previous + lines + adjustments - total."""
-    lines = load(spark, d, "statement_lines")
-    adj = F.sum(F.when(F.col("tag") == 3, 900).otherwise(0))
-    return lines.groupBy("doc_id").agg((F.sum("amount_cents") + adj - F.sum("amount_cents")).cast("bigint").alias("delta"))
+    return G.footing_delta(load(spark, d, "statement_lines"), _totals(spark, d))
 
 
 @query("op_A3_subtotal", "SELECT doc_id, sum(amount_cents)::BIGINT AS subtotal FROM statement_lines GROUP BY doc_id", "statement_lines")
@@ -58,12 +40,12 @@ def a3(spark, d):
 @query("op_A17_residual_suspect", _DELTA + ", s AS (SELECT doc_id, line_no, count(*) OVER (PARTITION BY doc_id) AS n FROM statement_lines JOIN dl USING (doc_id) WHERE abs(delta) > 1 AND delta + amount_cents <> 0 AND ((delta + amount_cents > 0) = (amount_cents > 0))) SELECT doc_id, line_no FROM s WHERE n = 1", "statement_lines")
 def a17(spark, d):
     lines = load(spark, d, "statement_lines")
-    return G.residual_suspects(lines, G.crossfoot_delta(lines, _totals(spark, d)))
+    return G.residual_suspects(lines, G.footing_delta(lines, _totals(spark, d)))
 
 
-@query("op_M1c_crossfoot_ok", _DELTA + " SELECT doc_id, CASE WHEN abs(delta) <= 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ok FROM dl", "statement_lines")
+@query("op_M1c_footing_ok", _DELTA + " SELECT doc_id, CASE WHEN abs(delta) <= 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ok FROM dl", "statement_lines")
 def m1c(spark, d):
-    return G.crossfoot_delta(load(spark, d, "statement_lines"), _totals(spark, d)).select("doc_id", G.crossfoot_ok("delta").alias("ok"))
+    return G.footing_delta(load(spark, d, "statement_lines"), _totals(spark, d)).select("doc_id", G.footing_ok("delta").alias("ok"))
 
 
 def _votes():
@@ -112,11 +94,6 @@ def m1b(spark, d):
     return load(spark, d, "fields").select("field_id", G.grammar_match("name", "raw_text", oem).alias("result"))
 
 
-@query("op_M1_attach_signals")
-def m1(spark, d):
-    return G.attach(load(spark, d, "fields"), _totals(spark, d))
-
-
 def _test(spark, d):
     return load(spark, d, "samples").filter("split = 'test'")
 
@@ -124,12 +101,12 @@ def _test(spark, d):
 _T = "t AS (SELECT * FROM samples WHERE split = 'test')"
 
 
-@query("op_A7_reliability_bins", f"WITH {_T}, r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY confidence, field_id) AS rn, count(*) OVER (PARTITION BY family) AS n_all FROM t) SELECT family, ((10 * rn - 1) // n_all)::INT AS bin, count(*) AS n, round(avg(confidence), 9) AS mean_confidence, sum(correct::INT)::BIGINT AS right FROM r GROUP BY 1, 2".replace(" AS right", ' AS "right"'), "samples")
+@query("op_A7_reliability_bins", f"WITH {_T}, r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY confidence, md5(field_id), field_id) AS rn, count(*) OVER (PARTITION BY family) AS n_all FROM t) SELECT family, ((10 * rn - 1) // n_all)::INT AS bin, count(*) AS n, round(avg(confidence), 9) AS mean_confidence, sum(correct::INT)::BIGINT AS right FROM r GROUP BY 1, 2".replace(" AS right", ' AS "right"'), "samples")
 def a7(spark, d):
     return C.reliability(_test(spark, d)).withColumn("mean_confidence", F.round("mean_confidence", 9))
 
 
-@query("op_A8_calibration_error", f"WITH {_T}, r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY confidence, field_id) AS rn, count(*) OVER (PARTITION BY family) AS n_all FROM t), b AS (SELECT family, ((10 * rn - 1) // n_all)::INT AS bin, count(*) AS n, avg(confidence) AS m, sum(correct::INT)::DOUBLE AS k FROM r GROUP BY 1, 2) SELECT family, round(sum(n * abs(m - k / n)) / sum(n), 9) AS ece FROM b GROUP BY family", "samples")
+@query("op_A8_calibration_error", f"WITH {_T}, r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY confidence, md5(field_id), field_id) AS rn, count(*) OVER (PARTITION BY family) AS n_all FROM t), b AS (SELECT family, ((10 * rn - 1) // n_all)::INT AS bin, count(*) AS n, avg(confidence) AS m, sum(correct::INT)::DOUBLE AS k FROM r GROUP BY 1, 2) SELECT family, round(sum(n * abs(m - k / n)) / sum(n), 9) AS ece FROM b GROUP BY family", "samples")
 def a8(spark, d):
     return C.calibration_error(C.reliability(_test(spark, d))).withColumn("ece", F.round("ece", 9))
 
@@ -155,72 +132,18 @@ def w3(spark, d):
 QUERIES["op_M7_choose_thresholds"], ORACLE_SQL["op_M7_choose_thresholds"] = QUERIES["op_W3_choose_thresholds"], ORACLE_SQL["op_W3_choose_thresholds"]
 
 
-@query("op_W4_sweep_curve", f"WITH {_T}, g AS (SELECT family, i / 40.0::DOUBLE AS threshold FROM (SELECT DISTINCT family FROM t) f, range(41) r(i)) SELECT family, round(threshold, 9) AS threshold, count(*) AS n, count(*) FILTER (confidence * 40 + 1e-12 >= threshold * 40) AS accepted, count(*) FILTER (confidence * 40 + 1e-12 >= threshold * 40 AND correct) AS \"right\" FROM g JOIN t USING (family) GROUP BY 1, 2", "samples")
-def w4(spark, d):
-    return C.grid_sweep(_test(spark, d)).withColumn("threshold", F.round("threshold", 9))
-
-
 @query("op_A21_eval_headline", _CHOSEN + ' SELECT count(*) AS n, count(*) FILTER (confidence >= threshold) AS accepted, count(*) FILTER (confidence >= threshold AND correct) AS "right" FROM samples JOIN h USING (family) WHERE split = \'test\'', "samples")
 def a21(spark, d):
     s = load(spark, d, "samples")
     return C.headline(s.filter("split = 'test'"), C.choose_thresholds(s.filter("split = 'calibration'")))
 
 
-@query("op_M8_split_guard", "SELECT split, count(*) AS n FROM samples GROUP BY split", "samples")
-def m8(spark, d):
-    return load(spark, d, "samples").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
-
-
 def _features(spark, d):
     s = load(spark, d, "samples")
     x = F.array(F.col("confidence"), (F.col("l_partkey") % 5 / 5).cast("double"), (F.col("l_linenumber") % 2).cast("double"))
     return s.withColumn("features", x)
 
 
-@query("op_M3_fit_logistic")
-def m3(spark, d):
-    return C.fit(_features(spark, d).filter("split = 'train'"))
-
-
-QUERIES["op_R1_fit_scorers"] = QUERIES["op_M3_fit_logistic"]
-
-
-@query("op_M4_predict")
-def m4(spark, d):
-    x = _features(spark, d)
-    return C.score(x.drop("confidence"), C.fit(x.filter("split = 'train'"))).select("field_id", F.round("confidence", 6).alias("confidence"))
-
-
-@query("op_M5_fit_platt")
-def m5(spark, d):
-    return C.fit_platt(load(spark, d, "samples").filter("split = 'calibration'"))
-
-
-@query("op_M6_rescale")
-def m6(spark, d):
-    s = load(spark, d, "samples")
-    return C.rescale(s, C.fit_platt(s.filter("split = 'calibration'"))).select("field_id", F.round("confidence", 6).alias("confidence"))
-
-
-@query("op_M9_apply_confidence")
-def m9(spark, d):
-    x = _features(spark, d)
-    models = C.fit(x.filter("split = 'train'"))
-    scored = C.score(x.drop("confidence"), models)
-    bars = C.choose_thresholds(scored.filter("split = 'calibration'"))
-    out = scored.join(F.broadcast(bars.select("family", "threshold")), "family", "left")  # one row a family
-    status = F.when(F.col("confidence") >= F.col("threshold"), "auto_accepted").otherwise("needs_review")
-    return out.select("field_id", F.round("confidence", 6).alias("confidence"), status.alias("status"))
-
-
-@query("op_M2_encode", "SELECT field_id, 17 AS n, (1 + (l_partkey % 3 <> 0)::INT * 2)::DOUBLE AS total FROM samples", "samples")
-def m2(spark, d):
-    s = load(spark, d, "samples").withColumns({n: F.lit(None).cast("double") for n in C.SIGNALS})
-    s = s.withColumn("grammar_match", F.when(F.col("l_partkey") % 3 != 0, 1.0)).withColumn("suspect", F.lit(False)).withColumn("char_ambiguity", F.lit(0.0)).withColumn("route", F.lit("csv"))
-    x = C.encode()
-    return s.select("field_id", F.size(x).alias("n"), F.aggregate(x, F.lit(0.0), lambda a, b: a + b).alias("total"))
-
-
 _LATEST = "l AS (SELECT field_id, arg_max(new_value, seq) AS new_value FROM corrections GROUP BY field_id)"
 
 
@@ -313,7 +236,7 @@ def w12(spark, d):
 
 @query("op_W13_interleave", "SELECT entry_id, row_number() OVER (PARTITION BY schedule ORDER BY md5(entry_id)) AS turn FROM ledger", "ledger")
 def w13(spark, d):
-    return V.round_robin(load(spark, d, "ledger"), "schedule", [F.md5(F.col("entry_id").cast("binary"))]).select("entry_id", "turn")
+    return V.round_robin(load(spark, d, "ledger"), "schedule", "entry_id").select("entry_id", "turn")
 
 
 @query("op_W7_line_ordinals", "SELECT field_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS ordinal FROM fields WHERE name = 'line_amount' AND raw_text <> 'n/a'", "fields")
@@ -418,26 +341,11 @@ def j16(spark, d):
     return load(spark, d, "documents").select("doc_id").join(load(spark, d, "labels"), "doc_id").select("doc_id", "quality", "toxic")
 
 
-@query("op_J17_truth_resolution", "SELECT f.field_id, CASE f.name WHEN 'invoice_number' THEN s.invoice_number WHEN 'line_date' THEN s.line_date::VARCHAR ELSE s.amount_cents::VARCHAR END AS truth FROM fields f LEFT JOIN (SELECT * FROM statement_lines WHERE tag <> 3) s USING (doc_id, line_no)", "fields")
-def j17(spark, d):
-    t = load(spark, d, "statement_lines").filter("tag <> 3").select("doc_id", "line_no", F.col("amount_cents").cast("string").alias("line_amount"), F.col("line_date").cast("string").alias("line_date"), "invoice_number")
-    t = t.unpivot(["doc_id", "line_no"], ["line_amount", "line_date", "invoice_number"], "name", "truth")
-    return load(spark, d, "fields").join(t, ["doc_id", "line_no", "name"], "left").select("field_id", "truth")
-
-
 @query("op_J19_queue_join", "SELECT f.field_id, s.doc_type FROM fields f JOIN statements s USING (doc_id)", "fields", "statements")
 def j19(spark, d):
     return load(spark, d, "fields").join(load(spark, d, "statements"), "doc_id").select("field_id", "doc_type")
 
 
-@query("op_A4_field_accuracy", f"WITH {_PARSED} SELECT p.family, count(*) AS expected, count(p.raw_text) AS extracted, count(*) FILTER (p.family = 'amount' AND p.cents = s.amount_cents) + count(*) FILTER (p.family = 'date' AND p.day = s.line_date) + count(*) FILTER (p.family = 'reference' AND p.raw_text = s.invoice_number) AS canonical FROM p JOIN statement_lines s USING (doc_id, line_no) GROUP BY 1", "fields")
-def a4(spark, d):
-    f = load(spark, d, "fields").withColumn("cents", F.when(F.col("family") == "amount", S.amount_cents("raw_text"))).withColumn("day", F.when(F.col("family") == "date", S.parse_date("raw_text")))
-    t = load(spark, d, "statement_lines").select("doc_id", "line_no", "amount_cents", F.col("line_date").alias("truth_day"), F.col("invoice_number").alias("truth"))
-    right = S.field_correct("family", "raw_text", "cents", "day", "truth", "amount_cents", "truth_day")
-    return f.join(t, ["doc_id", "line_no"]).groupBy("family").agg(F.count(F.lit(1)).alias("expected"), F.count("raw_text").alias("extracted"), F.count_if(F.coalesce(right, F.lit(False))).alias("canonical"))
-
-
 @query("op_A6_ratios", "SELECT split, sum(correct::INT)::BIGINT AS num, count(*) AS den, round(sum(correct::INT)::DOUBLE / nullif(count(*), 0), 9) AS ratio FROM samples GROUP BY split", "samples")
 def a6(spark, d):
     g = load(spark, d, "samples").groupBy("split").agg(F.sum(F.col("correct").cast("int")).alias("num"), F.count(F.lit(1)).alias("den"))
@@ -447,22 +355,6 @@ def a6(spark, d):
 _SUMMARY = "SELECT count(*) AS calls, count(*) FILTER (http_status = 200) AS good, sum(abs(prompt_tokens))::BIGINT AS tokens, count(DISTINCT doc_id) AS docs FROM llm_calls"
 
 
-@query("op_A12_summary_tile", _SUMMARY, "llm_calls")
-def a12(spark, d):
-    return load(spark, d, "llm_calls").agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("http_status") == 200).alias("good"), F.coalesce(F.sum(F.abs("prompt_tokens")), F.lit(0)).alias("tokens"), F.count_distinct("doc_id").alias("docs"))
-
-
-@query("op_A13_summary_ratios", f"SELECT CASE WHEN docs = 0 THEN 0 ELSE tokens // docs END AS per_doc, round(CASE WHEN calls = 0 THEN 0 ELSE good::DOUBLE / calls END, 9) AS rate FROM ({_SUMMARY}) s", "llm_calls")
-def a13(spark, d):
-    s = a12(spark, d)
-    return s.select(F.when(F.col("docs") == 0, 0).otherwise(F.expr("tokens DIV docs")).alias("per_doc"), F.round(F.when(F.col("calls") == 0, 0.0).otherwise(F.col("good") / F.col("calls")), 9).alias("rate"))
-
-
-@query("op_A22_run_counts", "SELECT provider, http_status, count(*) AS n FROM llm_calls GROUP BY 1, 2", "llm_calls")
-def a22(spark, d):
-    return load(spark, d, "llm_calls").groupBy("provider", "http_status").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("op_A23_dollars_at_risk", "SELECT schedule, sum(abs(amount_cents - 5000000))::BIGINT AS risk FROM ledger GROUP BY 1", "ledger")
 def a23(spark, d):
     return load(spark, d, "ledger").groupBy("schedule").agg(F.sum(F.abs(F.col("amount_cents") - 5000000)).alias("risk"))
@@ -498,22 +390,6 @@ def g5(spark, d):
     return load(spark, d, "injections").groupBy("expected_exception").agg(F.count(F.lit(1)).alias("n"), F.sum("dollar_impact_cents").alias("cents"))
 
 
-@query("op_P14_scorecard_picker", "SELECT call_id FROM (SELECT * FROM llm_calls ORDER BY (http_status = 200) DESC, seq DESC, call_id DESC LIMIT 1) q", "llm_calls")
-def p14(spark, d):
-    return load(spark, d, "llm_calls").orderBy(F.desc(F.col("http_status") == 200), F.desc("seq"), F.desc("call_id")).limit(1).select("call_id")
-
-
-@query("op_P15_counterpart_picker", "SELECT call_id FROM llm_calls QUALIFY row_number() OVER (PARTITION BY run_id, provider ORDER BY call_id) = 1", "llm_calls")
-def p15(spark, d):
-    i = F.row_number().over(Window.partitionBy("run_id", "provider").orderBy("call_id"))
-    return load(spark, d, "llm_calls").withColumn("i", i).filter("i = 1").select("call_id")
-
-
-@query("op_W5_sweep_recovery", "SELECT run_id, arg_max(seq, seq) AS achieved FROM llm_calls GROUP BY run_id", "llm_calls")
-def w5(spark, d):
-    return load(spark, d, "llm_calls").groupBy("run_id").agg(F.max_by("seq", "seq").alias("achieved"))
-
-
 @query("op_R14_review_detail", "SELECT doc_id, line_no, count(*) AS fields, max(CASE WHEN name = 'invoice_number' THEN raw_text END) AS invoice FROM fields GROUP BY 1, 2", "fields")
 def r14(spark, d):
     nested = load(spark, d, "fields").groupBy("doc_id", "line_no").agg(F.map_from_entries(F.collect_list(F.struct("name", "raw_text"))).alias("values"))

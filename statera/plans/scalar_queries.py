@@ -6,20 +6,11 @@ from pyspark.sql import functions as F
 
 from statera.constants import GRAMMARS, PRICES, VIN_VALUES, VIN_WEIGHTS
 from statera.functions import scalar as S
+from statera.operators.costs import effective, priced
+from statera.plans.base import book
 from statera.plans.views import load, with_views
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, *views: str):
-    def put(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = with_views(sql, *views) if views else sql
-        return f
-
-    return put
+QUERIES, ORACLE_SQL, query = book()
 
 
 def _expr(name: str, view: str, key: str, column, sql: str, extra: str = "*"):
@@ -139,15 +130,6 @@ c AS (SELECT l.*, coalesce((prompt_tokens * pp + completion_tokens * cp + 500000
 """
 
 
-def priced(calls):
-    """Calls with the list price of the longest pattern in their model's name; 0 where none fits. The price table is fixed and tiny."""
-    model, out = F.lower("model"), None
-    for name, (a, b) in sorted(PRICES.items(), key=lambda kv: -len(kv[0])):
-        price = F.struct(F.lit(a).cast("bigint").alias("pp"), F.lit(b).cast("bigint").alias("cp"))
-        out = F.when(model.contains(name), price) if out is None else out.when(model.contains(name), price)
-    return calls.withColumn("price", out).withColumn("listed", S.list_price("prompt_tokens", "completion_tokens", "price.pp", "price.cp"))
-
-
 @query("op_A14_list_price", _PRICED + "SELECT call_id, listed FROM c", "llm_calls")
 def a14(spark, d):
     return priced(load(spark, d, "llm_calls")).select("call_id", "listed")
@@ -160,7 +142,7 @@ def j22(spark, d):
 
 @query("op_P16_effective_price", _PRICED + "SELECT call_id, CASE WHEN list_price_microusd <> 0 THEN list_price_microusd ELSE listed END AS price FROM c", "llm_calls")
 def p16(spark, d):
-    return priced(load(spark, d, "llm_calls")).select("call_id", F.when(F.col("list_price_microusd") != 0, F.col("list_price_microusd")).otherwise(F.col("listed")).alias("price"))
+    return effective(load(spark, d, "llm_calls")).select("call_id", F.col("effective").alias("price"))
 
 
 for _n, _by in (("op_A10_cost_by_document", "doc_id"), ("op_A10_cost_by_provider", "provider")):

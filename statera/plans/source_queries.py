@@ -12,20 +12,10 @@ from statera.scratch import scratch_dir, table
 from statera.sources import files as X
 from statera.sources import words as P
 from statera.streaming import jobs as T
-from statera.plans.views import load, with_views
+from statera.plans.base import book
+from statera.plans.views import load
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, *views: str):
-    def put(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = with_views(sql, *views) if views else sql
-        return f
-
-    return put
+QUERIES, ORACLE_SQL, query = book()
 
 
 def _files(spark, d):
@@ -146,19 +136,25 @@ def r16(spark, d):
     return c.filter("name = 'invoice_number'").select("doc_id", "row_id", "text")
 
 
-@query("op_X1_stream_tumbling", "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query("op_Z1_stream_tumbling", "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def x1(spark, d):
     """Beyond the reference: hourly counts, with a watermark."""
     return T.collected(T.tumbling(T.log_stream(spark, d, "events")))
 
 
-@query("op_X2_stream_sliding", "SELECT (date_trunc('hour', ts) - to_hours(k))::TIMESTAMP AS start, count(*) AS n FROM events, (VALUES (0), (1)) v(k) GROUP BY 1")
+@query("op_Z2_stream_sliding", "SELECT (date_trunc('hour', ts) - to_hours(k))::TIMESTAMP AS start, count(*) AS n FROM events, (VALUES (0), (1)) v(k) GROUP BY 1")
 def x2(spark, d):
     """Beyond the reference: two-hour windows each hour."""
     return T.collected(T.sliding(T.log_stream(spark, d, "events")))
 
 
-@query("op_X4_stream_dedup", "SELECT count(DISTINCT event_id) AS n FROM events")
+@query("op_Z3_stream_sessions", "SELECT user_id, min(ts)::TIMESTAMP AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, (coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE, true))::INT AS fresh FROM events) e) f GROUP BY user_id, s")
+def x3(spark, d):
+    """Beyond the reference: a user's events with gaps under half an hour."""
+    return T.collected(T.sessions(T.log_stream(spark, d, "events")))
+
+
+@query("op_Z4_stream_dedup", "SELECT count(DISTINCT event_id) AS n FROM events")
 def x4(spark, d):
     """Beyond the reference: event ids once within the watermark."""
     return T.collected(T.deduplicated(T.log_stream(spark, d, "events")), "append").agg(F.count(F.lit(1)).alias("n"))
@@ -170,8 +166,7 @@ def t4(spark, d):
     state = f"{scratch_dir(spark)}/corrections-{uuid.uuid4().hex}"
     log = T.log_stream(spark, d, "events").select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("field_id"), F.concat_ws("-", "event_type", (F.col("event_id") % 9).cast("string")).alias("new_value"), F.col("event_id").alias("seq"))
     T.apply_corrections(spark, log, state)
-    last = max(int(p.getPath().getName()) for p in spark._jvm.org.apache.hadoop.fs.Path(state).getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(spark._jvm.org.apache.hadoop.fs.Path(state)))
-    return spark.read.parquet(f"{state}/{last}").select("field_id", "new_value")
+    return T.corrected(spark, state).select("field_id", "new_value")
 
 
 @query("op_T1_resume", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0")

@@ -6,8 +6,12 @@ short paid, offset, moved across the period's edge, doubled, orphaned, misspelt,
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from statera.scratch import exists, table
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations", "labels", "pages")
 
 VIEWS = {
@@ -41,8 +45,8 @@ FROM (
          CASE WHEN tag = 4 THEN last_day(post_date) + 5 ELSE post_date END AS line_date,
          CASE WHEN tag = 2 THEN amount_cents - CAST(floor(amount_cents / 5.0) AS BIGINT) WHEN tag = 3 THEN amount_cents + 900 ELSE amount_cents END AS amount_cents,
          entry_id AS source_entry_id, tag
-  FROM (SELECT *, l_orderkey % 13 AS tag, coalesce(claim_number, 'C0') AS ref_claim FROM ledger) l
-  JOIN (SELECT 0 AS copy UNION ALL SELECT 1 AS copy) c ON c.copy = 0 OR l.tag = 5
+  FROM (SELECT *, 0 AS copy, l_orderkey % 13 AS tag, coalesce(claim_number, 'C0') AS ref_claim FROM ledger
+        UNION ALL SELECT *, 1 AS copy, l_orderkey % 13 AS tag, coalesce(claim_number, 'C0') AS ref_claim FROM ledger WHERE l_orderkey % 13 = 5) l
   WHERE tag <> 1
 ) x
 """,
@@ -85,6 +89,56 @@ FROM (
   UNION ALL
   SELECT doc_id, line_no, 2, 'invoice_number', 'reference', l_orderkey, l_partkey, invoice_number FROM statement_lines
 ) f
+""",
+    "manifest": """
+SELECT doc_id, dealer_id, doc_type, period_start, period_end, k,
+       CASE k % 4 WHEN 2 THEN 'calibration' WHEN 3 THEN 'test' ELSE 'train' END AS split,
+       CASE k % 5 WHEN 0 THEN 'clean_digital' WHEN 1 THEN 'scan_light' WHEN 2 THEN 'scan_heavy' WHEN 3 THEN 'csv' ELSE 'xlsx' END AS tier,
+       CASE k % 5 WHEN 0 THEN 'digital_pdf' WHEN 1 THEN 'scanned_pdf' WHEN 2 THEN 'scanned_pdf' WHEN 3 THEN 'csv' ELSE 'xlsx' END AS route
+FROM (SELECT s.*, CAST(substr(dealer_id, 2, 10) AS INT) * 7 + CAST(substr(doc_id, length(doc_id) - 1, 2) AS INT) AS k FROM statements s) x
+""",
+    "heads": """
+SELECT m.doc_id, m.k, m.route, m.split, m.period_end AS statement_date, concat('M-', lpad(CAST(m.k AS STRING), 6, '0')) AS statement_number, t.total_cents
+FROM manifest m JOIN (SELECT doc_id, CAST(sum(amount_cents) AS BIGINT) AS total_cents FROM statement_lines GROUP BY doc_id) t ON m.doc_id = t.doc_id
+""",
+    "extracted": """
+SELECT f.field_id, f.doc_id, f.line_no, f.name, f.family, f.raw_text, f.reading_pos, m.route, CAST(CASE f.l_partkey % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 END AS DOUBLE) AS self_consistency
+FROM fields f JOIN manifest m ON f.doc_id = m.doc_id
+UNION ALL
+SELECT concat(doc_id, ':total'), doc_id, CAST(NULL AS INT), 'total', 'amount', concat(CAST(CAST(floor(seen / 100.0) AS BIGINT) AS STRING), '.', lpad(CAST(seen % 100 AS STRING), 2, '0')), -3, route, CAST(NULL AS DOUBLE) FROM (SELECT h.*, total_cents + CASE WHEN k % 7 = 0 THEN 900 ELSE 0 END AS seen FROM heads h) t WHERE k % 11 <> 0
+UNION ALL
+SELECT concat(doc_id, ':previous_balance'), doc_id, CAST(NULL AS INT), 'previous_balance', 'amount', CASE WHEN k % 19 = 0 THEN '5.00' ELSE '0.00' END, -4, route, CAST(NULL AS DOUBLE) FROM heads WHERE k % 3 = 0
+UNION ALL
+SELECT concat(doc_id, ':statement_date'), doc_id, CAST(NULL AS INT), 'statement_date', 'date', CASE WHEN k % 13 = 0 THEN '02/31/2024' ELSE CAST(statement_date AS STRING) END, -2, route, CAST(NULL AS DOUBLE) FROM heads WHERE k % 17 <> 0
+UNION ALL
+SELECT concat(doc_id, ':statement_number'), doc_id, CAST(NULL AS INT), 'statement_number', 'reference', CASE WHEN k % 23 = 0 THEN concat('x', statement_number) ELSE statement_number END, -1, route, CAST(NULL AS DOUBLE) FROM heads
+""",
+    "truth_values": """
+SELECT doc_id, line_no, 'line_amount' AS name, 'amount' AS family, CAST(NULL AS STRING) AS truth, CASE WHEN tag = 3 THEN amount_cents - 900 ELSE amount_cents END AS truth_cents, CAST(NULL AS DATE) AS truth_day FROM statement_lines
+UNION ALL
+SELECT doc_id, line_no, 'line_date', 'date', CAST(NULL AS STRING), CAST(NULL AS BIGINT), line_date FROM statement_lines
+UNION ALL
+SELECT doc_id, line_no, 'invoice_number', 'reference', CASE WHEN l_partkey % 37 = 0 THEN NULL ELSE replace(invoice_number, 'M', 'M00') END, CAST(NULL AS BIGINT), CAST(NULL AS DATE) FROM statement_lines
+UNION ALL
+SELECT doc_id, line_no, 'description', 'text', concat('line ', CAST(tag AS STRING)), CAST(NULL AS BIGINT), CAST(NULL AS DATE) FROM statement_lines
+UNION ALL
+SELECT doc_id, CAST(NULL AS INT), 'total', 'amount', CAST(NULL AS STRING), total_cents, CAST(NULL AS DATE) FROM heads
+UNION ALL
+SELECT doc_id, CAST(NULL AS INT), 'statement_date', 'date', CAST(NULL AS STRING), CAST(NULL AS BIGINT), statement_date FROM heads
+UNION ALL
+SELECT doc_id, CAST(NULL AS INT), 'statement_number', 'reference', statement_number, CAST(NULL AS BIGINT), CAST(NULL AS DATE) FROM heads
+""",
+    "printed": """
+SELECT doc_id, concat(CAST(line_no AS STRING), ':', name) AS key, CASE WHEN l_partkey % 6 = 5 THEN concat(raw_text, '*') ELSE raw_text END AS text FROM fields WHERE l_partkey % 11 <> 0
+UNION ALL
+SELECT doc_id, 'header:total', concat(CAST(CAST(floor(total_cents / 100.0) AS BIGINT) AS STRING), '.', lpad(CAST(total_cents % 100 AS STRING), 2, '0')) FROM heads WHERE k % 5 <> 4
+UNION ALL
+SELECT doc_id, 'header:statement_number', statement_number FROM heads
+""",
+    "scorecards": """
+SELECT concat('run-', CAST(o_orderkey AS STRING)) AS run_id, o_orderdate AS created_at, concat('c', CAST(o_custkey % 200 AS STRING)) AS config_hash,
+       CASE o_orderkey % 2 WHEN 0 THEN 'train' ELSE 'test' END AS split, o_custkey % 5 = 1 AS evaluated, CASE o_custkey % 3 WHEN 0 THEN 'oracle' WHEN 1 THEN 'end_to_end' END AS mode
+FROM orders
 """,
     "corrections": """
 SELECT concat('C', CAST(event_id AS STRING)) AS correction_id, concat('U', CAST(user_id AS STRING)) AS field_id, concat(event_type, '-', CAST(event_id % 9 AS STRING)) AS new_value, ts AS created_at, event_id AS seq
@@ -100,29 +154,45 @@ FROM conversations
 """,
 }
 
-_NEEDS = {"statement_lines": ["ledger"], "statements": ["ledger"], "injections": ["ledger"], "samples": ["ledger"], "fields": ["ledger", "statement_lines"]}
+
+
+def _sources(text: str) -> list[str]:
+    """The views and tables a view reads."""
+    return [n for n in sorted({*VIEWS, *TABLES}, key=len, reverse=True) if re.search(rf"(FROM|JOIN) {n}\b", text)]
+
+
+def _needs(name: str) -> list[str]:
+    """The views a view stands on, and itself, in order."""
+    below = [x for n in _sources(VIEWS[name]) if n in VIEWS and n != name for x in _needs(n)]
+    return [*dict.fromkeys([*below, name])]
+
+
+#: Views that most others stand on. They are written when first asked for, once a session and folder, as a user would store them.
+STORED = ("ledger", "statement_lines", "fields", "manifest")
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of sf_dir, or a view derived from them."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key in _STORED and exists(_STORED[key]):
+        return _STORED[key]
     frames, text = {}, VIEWS[name]
-    for source in sorted({*VIEWS, *TABLES} - {name}, key=len, reverse=True):
-        for word in ("FROM", "JOIN"):
-            mark = f"{word} {source}"
-            if any(mark + end in text for end in (" ", "\n", ")")):
-                frames[source] = load(spark, sf_dir, source)
-                for end in (" ", "\n", ")"):
-                    text = text.replace(mark + end, f"{word} {{{source}}}{end}")
-    return spark.sql(text, **frames)
+    for source in _sources(text):
+        if source != name:
+            frames[source] = load(spark, sf_dir, source)
+            text = re.sub(rf"(FROM|JOIN) {source}\b", rf"\1 {{{source}}}", text)
+    out = spark.sql(text, **frames)
+    if name in STORED:
+        out = _STORED[key] = table(out, f"view-{name}")
+    return out
 
 
 def with_views(body: str, *names: str) -> str:
     """DuckDB SQL: body over the named views."""
-    order: list[str] = []
-    for n in names:
-        order += [x for x in [*_NEEDS.get(n, []), n] if x not in order]
-    head = ", ".join(f"{n} AS ({VIEWS[n]})" for n in order)
+    order = [*dict.fromkeys(x for n in names for x in _needs(n))]
+    head = ", ".join(f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in order)
     body = body.strip()
     return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"

@@ -12,8 +12,10 @@ _OWN: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir. A temporary folder stands in only where it is unset (tests, laptops)."""
+    """spark.checkpoint.dir. A temporary folder stands in only where it is unset and driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         app = spark.sparkContext.applicationId
         found = _OWN.get(app) or tempfile.mkdtemp(prefix="statera-")
@@ -32,6 +34,13 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def exists(t: DataFrame) -> bool:
+    """Whether a table that table() wrote is still there."""
+    spark = t.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{t._statera_path}/_SUCCESS")
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete scratch tables that nothing lazy reads any more."""
     for t in tables:

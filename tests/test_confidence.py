@@ -47,7 +47,7 @@ def test_wrong_split_raises(spark):
 def test_only_suspect(spark):
     lines = spark.createDataFrame([("d", 1, 200000), ("d", 2, 25000), ("d", 3, 20000)], "doc_id string, line_no int, amount_cents long")
     totals = spark.createDataFrame([("d", 145000, None)], "doc_id string, total long, previous long")
-    deltas = G.crossfoot_delta(lines, totals)
+    deltas = G.footing_delta(lines, totals)
     assert deltas.first().delta == -100000
     assert [(r.doc_id, r.line_no) for r in G.residual_suspects(lines, deltas).collect()] == [("d", 1)]
 
