@@ -53,6 +53,24 @@ HEADER_SYNONYMS = {
     "description": ("description", "desc", "detail"),
     "line_amount": ("amount", "amt", "net amount", "amount_usd"),
 }
+# Captions and labels of printed statements, lower case without blanks and punctuation.
+COLUMN_LABELS = {
+    "line_date": ("date", "postdate", "transdate"),
+    "claim_number": ("claim", "claimno", "claimnumber"),
+    "ro_number": ("ro", "rono", "ronumber", "repairorder"),
+    "vin": ("vin", "unitvin", "vehicleid"),
+    "invoice_number": ("invoice", "invoiceno", "invoicenumber"),
+    "program_code": ("program", "programcode", "pgmcd"),
+    "description": ("description", "desc", "detail"),
+    "line_amount": ("amount", "amt", "netamount"),
+}
+HEADER_LABELS = {
+    "statement_date": ("statementdate", "stmtdate", "memodate", "issued", "dated"),
+    "statement_number": ("statementno", "statementnumber", "stmtno", "memono", "statement", "memo"),
+    "previous_balance": ("previousbalance", "balanceforward"),
+    "subtotal": ("subtotal", "purchasesthisperiod", "activitythisperiod"),
+    "total": ("totaldue", "amountdue", "balancedue", "endingbalancedue", "memototal", "totalearned", "totalcredit"),
+}
 VIN_WEIGHTS = (8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2)
 VIN_VALUES = {
     "0": 0, "1": 1, "2": 2, "3": 3, "4": 4, "5": 5, "6": 6, "7": 7, "8": 8, "9": 9,

@@ -45,16 +45,20 @@ def score_fields(fields: DataFrame, truth: DataFrame, rendered: DataFrame, manif
     return out.orderBy(place("family", FAMILIES), place("tier", TIERS))  # at most a cell per family and tier
 
 
-def detections(exceptions: DataFrame, injections: DataFrame, lines: DataFrame) -> DataFrame:
-    """(discrepancy_id, exception_id): type and document agree, and the line or the entry does."""
-    of_line = lines.select("doc_id", F.col("line_no").alias("at_line"), F.col("source_entry_id").alias("entry_id"))
-    truth = injections.join(of_line, ["doc_id", "entry_id"], "left").withColumnsRenamed({"entry_id": "at_entry", "expected_exception": "exception_type", "dollar_impact_cents": "injected_cents"})
+def detections(exceptions: DataFrame, injections: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """(discrepancy_id, exception_id): type and document agree, and the line or the entry does. The line is the injection's line_no; where
+    injections have none, lines (doc_id, line_no, source_entry_id) name the entry's line."""
+    truth = injections.withColumnRenamed("line_no", "at_line")
+    if "at_line" not in truth.columns:
+        of_line = lines.select("doc_id", F.col("line_no").alias("at_line"), F.col("source_entry_id").alias("entry_id"))
+        truth = truth.join(of_line, ["doc_id", "entry_id"], "left")
+    truth = truth.select("discrepancy_id", "doc_id", "at_line", F.col("entry_id").alias("at_entry"), F.col("expected_exception").alias("exception_type"), F.col("dollar_impact_cents").alias("injected_cents"))
     both = exceptions.join(truth, ["doc_id", "exception_type"])
     hit = F.coalesce(F.col("line_no") == F.col("at_line"), F.lit(False)) | F.coalesce(F.col("entry_id") == F.col("at_entry"), F.lit(False))
     return both.filter(hit).select("discrepancy_id", "exception_id", "exception_type", "injected_cents").distinct()
 
 
-def score_recon(exceptions: DataFrame, injections: DataFrame, lines: DataFrame) -> DataFrame:
+def score_recon(exceptions: DataFrame, injections: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """Per type: injected and caught counts and cents; exceptions that match no injection are false."""
     hits = table(detections(exceptions, injections, lines), "hits")
     i = injections.groupBy(F.col("expected_exception").alias("exception_type")).agg(F.count(F.lit(1)).alias("injected"), F.sum(F.abs("dollar_impact_cents")).alias("injected_cents"))

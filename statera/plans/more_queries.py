@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import io
 import uuid
-import zipfile
 
 import pyarrow as pa
 from pyspark.sql import Window
@@ -19,21 +17,11 @@ from statera.plans.base import book
 from statera.plans.views import load
 from statera.scratch import scratch_dir, table
 from statera.sources import files as X
+from statera.sources.workbooks import workbook
 
 QUERIES, ORACLE_SQL, query = book()
 
 
-def _workbook(cells: list[list[str]]) -> bytes:
-    """A workbook of one sheet of inline strings."""
-    quote = lambda s: s.replace("&", "&amp;").replace("<", "&lt;")
-    rows = "".join("<row>" + "".join(f'<c t="inlineStr"><is><t>{quote(c)}</t></is></c>' for c in r) + "</row>" for r in cells)
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("xl/workbook.xml", "<workbook/>")
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{rows}</sheetData></worksheet>')
-    return out.getvalue()
-
-
 def to_xlsx(lines):
     """doc_id, content: one workbook per statement with captions stacked over two rows."""
     rows = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "invoice_number", F.col("line_date").cast("string").alias("day"), S.format_cents("amount_cents").alias("amount")))).alias("rows"))
@@ -43,7 +31,7 @@ def to_xlsx(lines):
             books = []
             for r in batch.column(1):
                 body = [[x["invoice_number"] or "", x["day"], x["amount"]] for x in r.as_py()]
-                books.append(_workbook([["Account"], ["Invoice", "Post", "Net"], ["Number", "Date", "Amount"], *body, ["TOTALS", "", "0"]]))
+                books.append(workbook([["Account"], ["Invoice", "Post", "Net"], ["Number", "Date", "Amount"], *body, ["TOTALS", "", "0"]]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(books, pa.binary())], ["doc_id", "content"])
 
     return rows.mapInArrow(run, "doc_id string, content binary")
@@ -70,14 +58,6 @@ def s3(spark, d):
     return X.route(to_xlsx(load(spark, d, "statement_lines")).withColumnRenamed("doc_id", "path"))
 
 
-@query("op_S2_pdf_text_layer", "SELECT page_id::VARCHAR AS path, CASE WHEN page_id % 4 = 0 THEN 'unprocessable' WHEN page_id % 4 = 1 THEN 'digital_pdf' ELSE 'scanned_pdf' END AS route, CASE WHEN page_id % 4 = 0 THEN 'encrypted' END AS error FROM pages")
-def s2(spark, d):
-    i = F.col("page_id") % 4
-    shown = F.when(i == 1, F.repeat(F.lit("x"), F.lit(250))).otherwise(F.lit("x"))
-    body = F.concat(F.lit("%PDF-1.4\n/Type /Page \n"), F.when(i == 0, "/Encrypt").otherwise(""), F.lit("\nstream\n("), shown, F.lit(")\nendstream\n%%EOF"))
-    return X.route(load(spark, d, "pages").select(F.col("page_id").cast("string").alias("path"), body.cast("binary").alias("content")))
-
-
 @query("op_S5a_encoding", "SELECT p_partkey, p_name || 'é' AS text FROM part")
 def s5a(spark, d):
     """The same caption in UTF-8 with a mark and in cp1252, read alike."""
@@ -103,16 +83,10 @@ def s5e(spark, d):
     return X.headers(X.cell_rows(X.to_csv(load(spark, d, "statement_lines")))).select("doc_id", F.array_join("names", ",").alias("names"))
 
 
-@query("op_S5f_row_unpivot", "SELECT doc_id, count(*) AS fields, max(line_no) AS last FROM (SELECT doc_id, line_no, unnest(['a', 'b', 'c']) FROM statement_lines) x GROUP BY 1", "statement_lines")
-def s5f(spark, d):
-    f = X.line_fields(table(X.cell_rows(X.to_csv(load(spark, d, "statement_lines"))), "cells"))
-    return f.groupBy("doc_id").agg(F.count(F.lit(1)).alias("fields"), F.max("line_no").alias("last"))
-
-
 @query("op_S19_guarded_extract", "SELECT p_partkey::VARCHAR AS doc_id, CASE p_partkey % 3 WHEN 0 THEN 'empty' WHEN 1 THEN 'truncated' END AS error FROM part")
 def s19(spark, d):
     """Damaged workbooks end as rows with an error, and the others go on."""
-    good = _workbook([["a"]])
+    good = workbook([["a"]])
     i = F.col("p_partkey") % 3
     body = F.when(i == 0, F.lit(b"")).when(i == 1, F.lit(b"PK\x03\x04 no archive")).otherwise(F.lit(good))
     return X.cell_rows(load(spark, d, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), body.alias("content")), "xlsx").select("doc_id", "error")
@@ -174,22 +148,6 @@ def w11(spark, d):
     return V.page(load(spark, d, "samples"), ["confidence", "field_id"], 500, 0).select("field_id")
 
 
-@query("op_W14_split_quotas", "WITH s AS (SELECT schedule, count(*) AS n FROM ledger GROUP BY 1), r AS (SELECT entry_id, schedule, row_number() OVER (PARTITION BY schedule ORDER BY md5(entry_id)) AS i FROM ledger) SELECT entry_id, CASE WHEN i <= (n + 1) // 2 THEN 'train' WHEN i <= (n + 1) // 2 + (n + 2) // 4 THEN 'calibration' ELSE 'test' END AS split FROM r JOIN s USING (schedule)", "ledger")
-def w14(spark, d):
-    """Halves and quarters of each stratum by rank, remainders to the earlier split."""
-    x = load(spark, d, "ledger")
-    n = x.groupBy("schedule").agg(F.count(F.lit(1)).alias("n"))
-    r = x.select("entry_id", "schedule", F.row_number().over(Window.partitionBy("schedule").orderBy(F.md5(F.col("entry_id").cast("binary")))).alias("i")).join(F.broadcast(n), "schedule")
-    half, quarter = F.expr("(n + 1) DIV 2"), F.expr("(n + 2) DIV 4")
-    return r.select("entry_id", F.when(F.col("i") <= half, "train").when(F.col("i") <= half + quarter, "calibration").otherwise("test").alias("split"))
-
-
-@query("op_W15_reuse_numbering", "SELECT entry_id, (row_number() OVER (PARTITION BY dealer_id ORDER BY entry_pos) - 1) % 7 AS slot FROM ledger", "ledger")
-def w15(spark, d):
-    i = F.row_number().over(Window.partitionBy("dealer_id").orderBy("entry_pos")).cast("bigint")
-    return load(spark, d, "ledger").select("entry_id", F.pmod(i - 1, F.lit(7)).alias("slot"))
-
-
 @query("op_U10_accept", "SELECT field_id, CASE WHEN max(seq) % 2 = 0 THEN 'human_accepted' ELSE 'needs_review' END AS status FROM corrections GROUP BY 1", "corrections")
 def u10(spark, d):
     """The newest decision of the log is the status; accepting twice changes nothing."""
@@ -221,38 +179,6 @@ QUERIES["op_M1e_date_window_centre"], ORACLE_SQL["op_M1e_date_window_centre"] =
 QUERIES["op_M10_reliability_section"], ORACLE_SQL["op_M10_reliability_section"] = Q.QUERIES["op_A8_calibration_error"], Q.ORACLE_SQL["op_A8_calibration_error"]
 
 
-@query("op_G1_ledger_generator", "SELECT 'D' || d || '-' || s || '-' || m AS id, 1000 + (('0x' || substr(md5('7:' || d || ':' || s || ':' || m), 1, 7))::BIGINT % 9000) AS cents FROM range(4) a(d), range(4) b(s), range(4) c(m)")
-def g1(spark, d):
-    n = spark.range(64).select(F.floor(F.col("id") / 16).cast("string").alias("d"), F.floor(F.col("id") / 4 % 4).cast("string").alias("s"), (F.col("id") % 4).cast("string").alias("m"))
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("7"), "d", "s", "m").cast("binary")), 1, 7), 16, 10).cast("bigint")
-    return n.select(F.concat(F.lit("D"), F.concat_ws("-", "d", "s", "m")).alias("id"), (1000 + h % 9000).alias("cents"))
-
-
-@query("op_G2_vin_maker", "SELECT count(*) AS good FROM ledger", "ledger")
-def g2(spark, d):
-    """Any VIN gets the check digit that passes."""
-    v = load(spark, d, "ledger").select(F.explode(F.transform(F.array(*[F.lit(c) for c in "0123456789X"]), lambda c: F.concat(F.substring("vin", 1, 8), c, F.substring("vin", 10, 8)))).alias("v"))
-    return v.filter(S.vin_ok("v")).agg(F.count(F.lit(1)).alias("good"))
-
-
-@query("op_G4_statement_number", "SELECT doc_id, 'M-' || lpad((row_number() OVER (PARTITION BY dealer_id ORDER BY doc_id))::VARCHAR, 5, '0') AS number FROM statements", "statements")
-def g4(spark, d):
-    i = F.row_number().over(Window.partitionBy("dealer_id").orderBy("doc_id"))
-    return load(spark, d, "statements").select("doc_id", F.format_string("M-%05d", i).alias("number"))
-
-
-@query("op_G6_dataset_plan", "SELECT doc_id, ('0x' || substr(md5(doc_id), 1, 7))::BIGINT % 100 < 65 AS injected FROM statements", "statements")
-def g6(spark, d):
-    h = F.conv(F.substring(F.md5(F.col("doc_id").cast("binary")), 1, 7), 16, 10).cast("bigint")
-    return load(spark, d, "statements").select("doc_id", (h % 100 < 65).alias("injected"))
-
-
-@query("op_G7_rendered_values", "SELECT doc_id, count(*)::INT AS n FROM fields WHERE raw_text IS NOT NULL GROUP BY 1", "fields")
-def g7(spark, d):
-    f = load(spark, d, "fields").filter("raw_text IS NOT NULL")
-    return f.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(S.rendered_key("line_no", "name"), "raw_text"))).alias("m")).select("doc_id", F.size("m").alias("n"))
-
-
 @query("op_T2_batch_order", "SELECT doc_id FROM statements ORDER BY doc_id", "statements")
 def t2(spark, d):
     return load(spark, d, "statements").select("doc_id").orderBy("doc_id")

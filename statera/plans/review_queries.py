@@ -374,22 +374,6 @@ def s8c(spark, d):
     return load(spark, d, "part").select("p_partkey", ((w <= 1000) & (w / 20).between(1.5, 200)).alias("ok"))
 
 
-@query("op_R26_sole_source", "SELECT doc_id, line_no FROM statement_lines QUALIFY count(*) OVER (PARTITION BY source_entry_id) = 1", "statement_lines")
-def r26(spark, d):
-    n = F.count(F.lit(1)).over(Window.partitionBy("source_entry_id"))
-    return load(spark, d, "statement_lines").withColumn("n", n).filter("n = 1").select("doc_id", "line_no")
-
-
-@query("op_G3_statement_composer", "SELECT doc_id, count(*) AS lines, sum(amount_cents)::BIGINT AS total, min(line_no) AS first, max(line_no) AS last FROM statement_lines GROUP BY 1", "statement_lines")
-def g3(spark, d):
-    return load(spark, d, "statement_lines").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum("amount_cents").alias("total"), F.min("line_no").alias("first"), F.max("line_no").alias("last"))
-
-
-@query("op_G5_injections", "SELECT expected_exception, count(*) AS n, sum(dollar_impact_cents)::BIGINT AS cents FROM injections GROUP BY 1", "injections")
-def g5(spark, d):
-    return load(spark, d, "injections").groupBy("expected_exception").agg(F.count(F.lit(1)).alias("n"), F.sum("dollar_impact_cents").alias("cents"))
-
-
 @query("op_R14_review_detail", "SELECT doc_id, line_no, count(*) AS fields, max(CASE WHEN name = 'invoice_number' THEN raw_text END) AS invoice FROM fields GROUP BY 1, 2", "fields")
 def r14(spark, d):
     nested = load(spark, d, "fields").groupBy("doc_id", "line_no").agg(F.map_from_entries(F.collect_list(F.struct("name", "raw_text"))).alias("values"))

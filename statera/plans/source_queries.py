@@ -25,17 +25,6 @@ def _files(spark, d):
     return load(spark, d, "pages").select(F.col("page_id").cast("string").alias("path"), body.cast("binary").alias("content"))
 
 
-@query("op_S1_router", "SELECT CAST(page_id AS STRING) AS path, CASE page_id % 6 WHEN 3 THEN 'csv' ELSE 'unprocessable' END AS route, CASE page_id % 6 WHEN 0 THEN 'empty' WHEN 1 THEN 'truncated' WHEN 2 THEN 'truncated' WHEN 3 THEN NULL ELSE 'unrecognized' END AS error FROM pages")
-def s1(spark, d):
-    return X.route(_files(spark, d))
-
-
-@query("op_S4_delimited_sniff", "SELECT doc_id, length(substr(text, 1, 200)) - length(replace(substr(text, 1, 200), ',', '')) >= 2 OR length(substr(text, 1, 200)) - length(replace(substr(text, 1, 200), '|', '')) >= 2 AS ok FROM documents")
-def s4(spark, d):
-    head = F.regexp_replace(F.substring("text", 1, 200), "\n", " ")
-    return load(spark, d, "documents").select("doc_id", X.looks_delimited(head.cast("binary")).alias("ok"))
-
-
 @query("op_S5_csv_reader", "SELECT doc_id, line_no, 'invoice_number' AS name, regexp_replace(upper(replace(replace(invoice_number, '-', ''), ' ', '')), '^0+', '') AS value FROM statement_lines UNION ALL SELECT doc_id, line_no, 'line_date', line_date::VARCHAR FROM statement_lines UNION ALL SELECT doc_id, line_no, 'line_amount', (amount_cents // 100)::VARCHAR || '.' || lpad((amount_cents % 100)::VARCHAR, 2, '0') FROM statement_lines", "statement_lines")
 def s5(spark, d):
     files = X.to_csv(load(spark, d, "statement_lines"))
@@ -53,17 +42,6 @@ def s5g(spark, d):
     return X.line_fields(table(X.cell_rows(files), "cells")).filter("name = 'line_amount'").select("field_id", "status")
 
 
-@query("op_S14_csv_sink", "SELECT doc_id, count(*) + 5 AS rows FROM statement_lines GROUP BY 1", "statement_lines")
-def s14(spark, d):
-    text = F.col("content").cast("string")
-    return X.to_csv(load(spark, d, "statement_lines")).select("doc_id", F.size(F.split(text, "\n")).cast("bigint").alias("rows"))
-
-
-@query("op_S16_ceilings", "SELECT doc_id FROM documents WHERE strlen(text) <= 4000")
-def s16(spark, d):
-    return load(spark, d, "documents").filter(F.octet_length("text") <= 4000).select("doc_id")
-
-
 @query("op_S17_path_containment", "SELECT p_partkey, p_partkey % 4 = 0 AS ok FROM part")
 def s17(spark, d):
     i = F.col("p_partkey") % 4
@@ -71,14 +49,6 @@ def s17(spark, d):
     return load(spark, d, "part").select("p_partkey", X.safe_path(path).alias("ok"))
 
 
-@query("op_S10_json_reader", "SELECT l_orderkey AS k, l_linenumber AS line, CAST(round(l_quantity) AS BIGINT) AS q FROM lineitem WHERE l_orderkey % 10 = 0")
-def s10(spark, d):
-    """Nested JSON documents, parsed and exploded again."""
-    x = load(spark, d, "lineitem").filter("l_orderkey % 10 = 0").groupBy("l_orderkey").agg(F.to_json(F.struct(F.col("l_orderkey").alias("k"), F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.round("l_quantity").cast("bigint").alias("q"))).alias("lines"))).alias("j"))
-    doc = x.select(F.from_json("j", "k bigint, lines array<struct<line:int,q:bigint>>").alias("d"))
-    return doc.select("d.k", F.explode("d.lines").alias("l")).select("k", "l.line", "l.q")
-
-
 @query("op_S12_table_sink", "SELECT schedule, count(*) AS n FROM ledger GROUP BY 1", "ledger")
 def s12(spark, d):
     """The review tables are written as Parquet and read back."""

@@ -7,7 +7,8 @@ import csv
 import io
 import re
 import zipfile
-import zlib
+from datetime import date, timedelta
+from decimal import ROUND_HALF_UP, Decimal
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from statera.constants import FIELD_FAMILIES, HEADER_SYNONYMS
 from statera.functions import scalar as S
 
-HEAD, PDF_PAGES, PDF_CHARS = 8192, 2, 200
+HEAD, BATCH_ROWS = 8192, 4096
 MOST_BYTES, MOST_ROWS, MOST_CELL, MOST_COLUMNS, HEADER_ROWS, HEADER_SHARE = 32 << 20, 5000, 64 << 10, 1024, 100, 0.6
 
 
@@ -47,20 +48,10 @@ def looks_delimited(content) -> F.Column:
 
 
 def pdf_kind(data: bytes) -> tuple[str, str | None]:
-    """(route, error) of a PDF by the characters its first pages show."""
+    """(route, error) of a PDF by its trailer: encrypted, cut short, or a PDF, whose text layer route() takes from a table of words."""
     if b"/Encrypt" in data:
         return "unprocessable", "encrypted"
-    pages = len(re.findall(rb"/Type\s*/Page(?![a-zA-Z])", data))
-    if not pages or b"%%EOF" not in data[-1024:]:
-        return "unprocessable", "truncated"
-    shown = 0
-    for raw in re.findall(rb"stream\r?\n(.*?)\r?\nendstream", data, re.S)[: PDF_PAGES * 4]:
-        try:
-            raw = zlib.decompress(raw)
-        except zlib.error:
-            pass
-        shown += sum(len(x) for x in re.findall(rb"\(((?:[^()\\]|\\.)*)\)", raw))
-    return ("digital_pdf" if shown >= PDF_CHARS * min(pages, PDF_PAGES) else "scanned_pdf"), None
+    return ("pdf", None) if b"%%EOF" in data[-1024:] else ("unprocessable", "truncated")
 
 
 def zip_kind(data: bytes) -> tuple[str, str | None]:
@@ -71,8 +62,9 @@ def zip_kind(data: bytes) -> tuple[str, str | None]:
         return "unprocessable", "truncated"
 
 
-def route(files: DataFrame) -> DataFrame:
-    """path, route, error by signature, never by name: empty, PDF, workbook, delimited text, or unrecognized."""
+def route(files: DataFrame, layers: DataFrame | None = None) -> DataFrame:
+    """path, route, error by signature, never by name: empty, PDF, workbook, delimited text, or unrecognized. layers (path, route) says which
+    PDFs show text (pdf.text_layer); a PDF it doesn't name is scanned."""
 
     def deep(batches):
         for batch in batches:
@@ -92,7 +84,11 @@ def route(files: DataFrame) -> DataFrame:
         looks_delimited("content"), F.struct(F.lit("csv").alias("route"), F.lit(None).cast("string").alias("error"))
     ).otherwise(F.struct(F.lit("unprocessable").alias("route"), F.lit("unrecognized").alias("error")))
     plain = tagged.filter(~F.coalesce("binary", F.lit(False))).select("path", kind.alias("k")).select("path", "k.route", "k.error")
-    return plain.unionByName(tagged.filter("binary").select("path", "content").mapInArrow(deep, "path string, route string, error string"))
+    out = plain.unionByName(tagged.filter("binary").select("path", "content").mapInArrow(deep, "path string, route string, error string"))
+    if layers is not None:
+        out = out.join(layers.select("path", F.col("route").alias("_layer")), "path", "left")
+    layer = F.coalesce("_layer", F.lit("scanned_pdf")) if layers is not None else F.lit("scanned_pdf")
+    return out.select("path", F.when(F.col("route") == "pdf", layer).otherwise(F.col("route")).alias("route"), "error")
 
 
 def _csv_cells(data: bytes) -> list[list[str]]:
@@ -111,6 +107,27 @@ def _csv_cells(data: bytes) -> list[list[str]]:
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 
+def _formats(z: zipfile.ZipFile) -> list[str]:
+    """The number format of each cell style; built-in ones by what they show."""
+    if "xl/styles.xml" not in z.namelist():
+        return []
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {f.get("numFmtId"): f.get("formatCode", "") for f in root.findall("m:numFmts/m:numFmt", _NS)}
+    known = {str(i): "yyyy-mm-dd" for i in (*range(14, 18), 22, *range(27, 32), 36, *range(50, 59))} | {str(i): "$#,##0.00" for i in (5, 6, 7, 8, 42, 44)}
+    return [own.get(x.get("numFmtId"), known.get(x.get("numFmtId"), "")) for x in root.findall("m:cellXfs/m:xf", _NS)]
+
+
+def cell_text(value: str, number_format: str, epoch: date = date(1899, 12, 30)) -> str:
+    """A numeric cell as the sheet shows it: a date in ISO form, money grouped behind a dollar sign, else plain digits. Never a float."""
+    number = Decimal(value)
+    bare = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", number_format).lower()
+    if "y" in bare or ("d" in bare and "m" in bare):
+        return (epoch + timedelta(days=int(number))).isoformat()
+    if "$" not in number_format:
+        return format(number, "f")
+    return ("-" if number < 0 else "") + f"${abs(number).quantize(Decimal('0.01'), ROUND_HALF_UP):,}"
+
+
 def _xlsx_cells(data: bytes) -> list[list[str]]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         if sum(i.file_size for i in z.infolist()) > MOST_BYTES:
@@ -119,22 +136,30 @@ def _xlsx_cells(data: bytes) -> list[list[str]]:
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in s.iter(f"{{{_NS['m']}}}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
+        formats, book = _formats(z), z.read("xl/workbook.xml")
         sheet = ElementTree.fromstring(z.read(min(n for n in names if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n))))
+    epoch = date(1904, 1, 1) if re.search(rb'date1904="(1|true)"', book) else date(1899, 12, 30)
     out = []
     for row in sheet.iter(f"{{{_NS['m']}}}row"):
         cells: dict[int, str] = {}
         for i, c in enumerate(row.findall("m:c", _NS)):
-            letters = re.match("[A-Z]*", c.get("r", ""))[0]
             at = 0
-            for ch in letters:
+            for ch in re.match("[A-Z]*", c.get("r", ""))[0]:
                 at = at * 26 + ord(ch) - 64
-            v = c.find("m:v", _NS)
-            if c.get("t") == "inlineStr":
+            v, kind = c.find("m:v", _NS), c.get("t", "n")
+            text = "" if v is None else v.text or ""
+            if kind == "inlineStr":
                 text = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
-            else:
-                text = "" if v is None else v.text or ""
-                text = shared[int(text)] if c.get("t") == "s" and text else text
-            cells[at - 1 if at else i] = text
+            elif kind == "s" and text:
+                text = shared[int(text)]
+            elif kind == "b" and text:
+                text = str(text == "1")
+            elif kind == "d":
+                text = text[:10]
+            elif kind == "n" and text:
+                style = int(c.get("s", 0))
+                text = cell_text(text, formats[style] if style < len(formats) else "", epoch)
+            cells[at - 1 if at else i] = re.sub(r"[\x00-\x08\x0A-\x1F]", "", text)
         if cells and max(cells) >= MOST_COLUMNS:
             raise OverflowError
         out.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
@@ -144,21 +169,37 @@ def _xlsx_cells(data: bytes) -> list[list[str]]:
 def cell_rows(files: DataFrame, kind: str = "csv") -> DataFrame:
     """doc_id, row_no, cells, error: a file's rows in order; a file that can't be read is one row with an error."""
     read = {"csv": _csv_cells, "xlsx": _xlsx_cells}[kind]
+    kinds = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.string()]
+
+    def parsed(data: bytes) -> tuple[list[list[str]], str | None]:
+        if not data:
+            return [[]], "empty"
+        try:
+            rows = read(data) if len(data) <= MOST_BYTES else []
+        except OverflowError:
+            rows = []
+        except Exception:  # a file's damage is that file's result
+            return [[]], "truncated"
+        over = not rows or len(rows) > MOST_ROWS + HEADER_ROWS or any(len(c) > MOST_CELL for r in rows for c in r)
+        return ([[]], "too_large") if over else (rows, None)
 
     def run(batches):
+        cols = ([], [], [], [])
+
+        def batch_of():
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "row_no", "cells", "error"])
+            for c in cols:
+                c.clear()
+            return out
+
         for batch in batches:
             for doc, content in zip(batch.column(0), batch.column(1), strict=True):
-                error, rows, data = None, [], content.as_py() or b""
-                try:
-                    rows = read(data) if 0 < len(data) <= MOST_BYTES else []
-                    error = "empty" if not data else "too_large" if not rows or len(rows) > MOST_ROWS + HEADER_ROWS or any(len(c) > MOST_CELL for r in rows for c in r) else None
-                except OverflowError:
-                    error = "too_large"
-                except Exception:  # a file's damage is that file's result
-                    error = "truncated"
-                rows = [[]] if error else rows
-                n = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(rows, pa.list_(pa.string())), pa.array([error] * n, pa.string())], ["doc_id", "row_no", "cells", "error"])
+                rows, error = parsed(content.as_py() or b"")
+                for col, values in zip(cols, ([doc.as_py()] * len(rows), range(len(rows)), rows, [error] * len(rows)), strict=True):
+                    col.extend(values)
+                if len(cols[0]) >= BATCH_ROWS:
+                    yield batch_of()
+        yield batch_of()
 
     return files.select("doc_id", "content").mapInArrow(run, "doc_id string, row_no int, cells array<string>, error string")
 
