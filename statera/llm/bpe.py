@@ -117,7 +117,9 @@ class Codec(dict):
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
         self.merge, self.split = Merger(ranks), regex.compile(pattern).findall
-        self.bytes_of = {rank: piece for piece, rank in ranks.items()}
+        self.bytes_of = np.empty(self.merge.n, object)
+        for piece, rank in ranks.items():
+            self.bytes_of[rank] = piece
 
     def __missing__(self, piece: str) -> bytes:
         found = np.array(self.merge(piece.encode()), "<u4").tobytes()
@@ -131,7 +133,7 @@ class Codec(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, self.split(text))), "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        return b"".join(self.bytes_of[ids].tolist())
 
 
 _CODECS: dict = {}
