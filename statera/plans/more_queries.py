@@ -109,13 +109,6 @@ def s11(spark, d):
     return spark.read.schema("schedule string, entry_id string").json(path).groupBy("schedule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("op_P13_assembly_with_truth", "SELECT doc_id, coalesce(CASE WHEN length(doc_id) % 2 = 0 THEN 'N-' || doc_id END, 'T-' || doc_id) AS number FROM statements", "statements")
-def p13(spark, d):
-    s = load(spark, d, "statements")
-    read = s.filter("length(doc_id) % 2 = 0").select("doc_id", F.concat(F.lit("N-"), "doc_id").alias("seen"))
-    return s.join(read, "doc_id", "left").select("doc_id", F.coalesce("seen", F.concat(F.lit("T-"), "doc_id")).alias("number"))
-
-
 @query("op_J7a_reference_similarity", "SELECT entry_id, (damerau_levenshtein(invoice_number, b) <= 1)::INT::DOUBLE AS score FROM (SELECT entry_id, invoice_number, CASE l_partkey % 3 WHEN 0 THEN invoice_number WHEN 1 THEN 'Z' || substr(invoice_number, 2, 20) ELSE 'ZZ' || substr(invoice_number, 3, 20) END AS b FROM ledger) x", "ledger")
 def j7a(spark, d):
     x = load(spark, d, "ledger").withColumn("doc_type", F.lit("parts_statement"))
@@ -161,57 +154,16 @@ def u11(spark, d):
     return V.latest(log, "exception_id", "resolution", "seq")
 
 
-@query("op_U13_add_column", "SELECT n_name AS name, n_regionkey AS extra FROM nation UNION ALL SELECT r_name, NULL FROM region")
-def u13(spark, d):
-    n = load(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("extra"))
-    return n.unionByName(load(spark, d, "region").select(F.col("r_name").alias("name")), allowMissingColumns=True)
-
-
-@query("op_U14_replace_all", "SELECT family, count(*) AS n FROM samples GROUP BY 1", "samples")
-def u14(spark, d):
-    old = load(spark, d, "samples").groupBy("family").agg(F.lit(0).cast("bigint").alias("n"))
-    new = load(spark, d, "samples").groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    return V.upsert(old, new, ["family"])
-
-
 QUERIES["op_M1d_residual_suspect"], ORACLE_SQL["op_M1d_residual_suspect"] = Q.QUERIES["op_A17_residual_suspect"], Q.ORACLE_SQL["op_A17_residual_suspect"]
 QUERIES["op_M1e_date_window_centre"], ORACLE_SQL["op_M1e_date_window_centre"] = Q.QUERIES["op_A16_other_median_date"], Q.ORACLE_SQL["op_A16_other_median_date"]
 QUERIES["op_M10_reliability_section"], ORACLE_SQL["op_M10_reliability_section"] = Q.QUERIES["op_A8_calibration_error"], Q.ORACLE_SQL["op_A8_calibration_error"]
 
 
-@query("op_T2_batch_order", "SELECT doc_id FROM statements ORDER BY doc_id", "statements")
-def t2(spark, d):
-    return load(spark, d, "statements").select("doc_id").orderBy("doc_id")
-
-
-@query("op_R7_document_rows", "SELECT d.doc_id, quality FROM documents d LEFT JOIN labels USING (doc_id)")
-def r7(spark, d):
-    return load(spark, d, "documents").select("doc_id").join(load(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-
-
-@query("op_R8_run_id", "SELECT doc_id, coalesce(CASE WHEN length(doc_id) % 2 = 0 THEN 'run-1' END, 'review') AS run_id FROM statements", "statements")
-def r8(spark, d):
-    s = load(spark, d, "statements").select("doc_id")
-    old = s.filter("length(doc_id) % 2 = 0").withColumn("run_id", F.lit("run-1"))
-    return s.join(old, "doc_id", "left").select("doc_id", F.coalesce("run_id", F.lit("review")).alias("run_id"))
-
-
 @query("op_R9_document_fields", "SELECT field_id FROM fields WHERE doc_id LIKE 'D1-%' ORDER BY field_id", "fields")
 def r9(spark, d):
     return load(spark, d, "fields").filter("doc_id LIKE 'D1-%'").select("field_id").orderBy("field_id")
 
 
-@query("op_R10_exception_row", "SELECT entry_id, CASE WHEN l_partkey % 2 = 0 THEN 'resolved' ELSE 'open' END AS status FROM ledger", "ledger")
-def r10(spark, d):
-    return load(spark, d, "ledger").select("entry_id", F.when(F.col("l_partkey") % 2 == 0, "resolved").otherwise("open").alias("status"))
-
-
-@query("op_R11_crop_source", "SELECT field_id, CASE WHEN l_partkey % 2 = 0 THEN 'exact_bbox' WHEN line_no IS NOT NULL THEN 'row_band' ELSE 'full_page' END AS kind FROM fields", "fields")
-def r11(spark, d):
-    kind = F.when(F.col("l_partkey") % 2 == 0, "exact_bbox").when(F.col("line_no").isNotNull(), "row_band").otherwise("full_page")
-    return load(spark, d, "fields").select("field_id", kind.alias("kind"))
-
-
 @query("op_R12_crop_kind_upsert", "SELECT field_id, CASE WHEN l_partkey % 2 = 0 THEN 'row_band' ELSE 'full_page' END AS kind FROM fields", "fields")
 def r12(spark, d):
     f = load(spark, d, "fields")
@@ -225,12 +177,6 @@ def r15(spark, d):
     return x.select(F.round("threshold", 9).alias("threshold"), (F.row_number().over(Window.partitionBy("family").orderBy("threshold")).cast("bigint") - 1).alias("ordinal"))
 
 
-@query("op_R21_provider_pool", "SELECT DISTINCT provider FROM llm_calls WHERE provider <> 'local'", "llm_calls")
-def r21(spark, d):
-    able = spark.createDataFrame([("google", True), ("groq", True), ("local", False)], "provider string, vision boolean")
-    return load(spark, d, "llm_calls").select("provider").distinct().join(F.broadcast(able.filter("vision")), "provider", "left_semi")
-
-
 @query("op_R25_amount_draw", "SELECT entry_id, 1000 + floor(99000 * pow((('0x' || substr(md5(entry_id), 1, 7))::BIGINT + 0.5) / 268435456.0::DOUBLE, 3))::BIGINT AS cents FROM ledger", "ledger")
 def r25(spark, d):
     u = (F.conv(F.substring(F.md5(F.col("entry_id").cast("binary")), 1, 7), 16, 10).cast("bigint") + F.lit(0.5)) / 268435456.0

@@ -179,11 +179,6 @@ def p3(spark, d):
     return load(spark, d, "ledger").filter(F.abs(F.col("amount_cents") - 5000000) >= 1000000).select("entry_id")
 
 
-@query("op_P6_identity_validity", "SELECT entry_id FROM ledger WHERE claim_number IS NOT NULL AND TRY_CAST(substr(claim_number, 2, 7) AS INT) IS NOT NULL", "ledger")
-def p6(spark, d):
-    return load(spark, d, "ledger").filter(F.col("claim_number").isNotNull() & F.substring("claim_number", 2, 7).try_cast("int").isNotNull()).select("entry_id")
-
-
 @query("op_P7_processed", "SELECT call_id FROM llm_calls WHERE http_status <> 500", "llm_calls")
 def p7(spark, d):
     return load(spark, d, "llm_calls").filter("http_status <> 500").select("call_id")
@@ -201,12 +196,6 @@ def p9(spark, d):
     return f.select("field_id", n.alias("n")).filter("n > 0")
 
 
-@query("op_P10_routing_fallback", "SELECT page_id, coalesce(CASE WHEN page_id % 3 = 0 THEN 'csv' END, CASE WHEN length(html) > 4000 THEN 'digital_pdf' ELSE 'scanned_pdf' END) AS route FROM pages")
-def p10(spark, d):
-    known, again = F.when(F.col("page_id") % 3 == 0, "csv"), F.when(F.length("html") > 4000, "digital_pdf").otherwise("scanned_pdf")
-    return load(spark, d, "pages").select("page_id", F.coalesce(known, again).alias("route"))
-
-
 @query("op_P11_doc_type_fallback", "SELECT s.doc_id, CASE WHEN length(s.doc_id) % 2 = 0 THEN s.doc_type ELSE l.t END AS doc_type FROM statements s JOIN (SELECT dealer_id, max(doc_type) AS t FROM ledger GROUP BY 1) l USING (dealer_id)", "statements")
 def p11(spark, d):
     t = load(spark, d, "ledger").groupBy("dealer_id").agg(F.max("doc_type").alias("t"))
@@ -368,13 +357,3 @@ def s8b(spark, d):
     return f.join(warm, "field_id", "left").select("field_id", F.when(F.col("sampled"), F.when(same, 1.0).otherwise(0.0)).alias("result"))
 
 
-@query("op_S8c_bbox_sanity", "SELECT p_partkey, p_size * 30 <= 1000 AND (p_size * 30)::DOUBLE / 20 BETWEEN 1.5 AND 200 AS ok FROM part")
-def s8c(spark, d):
-    w = F.col("p_size") * 30
-    return load(spark, d, "part").select("p_partkey", ((w <= 1000) & (w / 20).between(1.5, 200)).alias("ok"))
-
-
-@query("op_R14_review_detail", "SELECT doc_id, line_no, count(*) AS fields, max(CASE WHEN name = 'invoice_number' THEN raw_text END) AS invoice FROM fields GROUP BY 1, 2", "fields")
-def r14(spark, d):
-    nested = load(spark, d, "fields").groupBy("doc_id", "line_no").agg(F.map_from_entries(F.collect_list(F.struct("name", "raw_text"))).alias("values"))
-    return nested.select("doc_id", "line_no", F.size("values").cast("bigint").alias("fields"), F.try_element_at("values", F.lit("invoice_number")).alias("invoice"))

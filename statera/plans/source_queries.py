@@ -49,12 +49,6 @@ def s17(spark, d):
     return load(spark, d, "part").select("p_partkey", X.safe_path(path).alias("ok"))
 
 
-@query("op_S12_table_sink", "SELECT schedule, count(*) AS n FROM ledger GROUP BY 1", "ledger")
-def s12(spark, d):
-    """The review tables are written as Parquet and read back."""
-    return table(load(spark, d, "ledger"), "ledger").groupBy("schedule").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("op_S13_copy_scoped", "SELECT call_id FROM llm_calls WHERE run_id = 'run-1' AND seq >= 500", "llm_calls")
 def s13(spark, d):
     return load(spark, d, "llm_calls").filter("run_id = 'run-1' AND seq >= 500").select("call_id")
