@@ -1,9 +1,16 @@
+import hashlib
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from statera.operators import calibration as C
+from statera.operators import confidence as K
 from statera.operators import signals as G
+from statera.operators.ranks import ranked
 
 
 def test_threshold(spark):
@@ -56,3 +63,113 @@ def test_marque(spark):
     rows = [("a", "invoice_number", "M1234567"), ("a", "ro_number", "RO123456"), ("b", "invoice_number", "M1234567"), ("b", "ro_number", "RO-123456"), ("c", "invoice_number", "?")]
     got = {r.doc_id: r.oem for r in G.marque_vote(spark.createDataFrame(rows, "doc_id string, name string, value string")).collect()}
     assert got == {"a": "meridian", "b": None, "c": None}
+
+
+def extraction(spark, n=60):
+    """Documents with right, wrong and unread fields, and their labels."""
+    rnd = random.Random(7)
+    fields, labels = [], []
+    for i in range(n):
+        doc, split = f"d{i}", ("train", "train", "calibration", "test")[i % 4]
+        route = rnd.choice(["csv", "scanned_pdf", "digital_pdf"])
+        cents = [rnd.randrange(100, 9000) for _ in range(3)]
+        wrong = rnd.random() < 0.4
+        for k, c in enumerate(cents, 1):
+            bad = wrong and k == 1
+            read = c + (1000 if bad else 0)
+            text = f"{read // 100}.{read % 100:02d}" if rnd.random() < 0.9 else "n/a"
+            fields.append((f"{doc}:{k}:a", doc, k, "line_amount", "amount", text, k, route, 1.0 if rnd.random() < 0.5 else None))
+            labels.append((f"{doc}:{k}:a", text != "n/a" and not bad, split))
+            fields.append((f"{doc}:{k}:i", doc, k, "invoice_number", "reference", f"M{rnd.randrange(10**7):07d}" if rnd.random() < 0.7 else "?", k, route, None))
+            labels.append((f"{doc}:{k}:i", fields[-1][5] != "?", split))
+        total = sum(cents)
+        fields.append((f"{doc}:t", doc, None, "total", "amount", f"{total // 100}.{total % 100:02d}", 0, route, None))
+        fields.append((f"{doc}:x", doc, None, "description", "text", "words", 9, route, None))  # a family without labels
+    labels += [("nowhere", True, "train")]
+    df = spark.createDataFrame(fields, "field_id string, doc_id string, line_no int, name string, family string, raw_text string, reading_pos int, route string, self_consistency double")
+    return G.typed(df), spark.createDataFrame(labels, "field_id string, correct boolean, split string")
+
+
+def slow_pass(rows, calibrate):
+    """confidence and status by plain loops over rows (field_id, family, features, label or None)."""
+    def fit(x, y, steps):
+        w = np.zeros(x.shape[1])
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+            w -= 0.5 * (x.T @ (p - y) / len(y) + 1e-3 * w)
+        return w
+
+    out = {}
+    for family in {f for _, f, _, _ in rows}:
+        mine = [(i, np.array([1.0, *x]), lab) for i, f, x, lab in rows if f == family]
+        train = [(x, lab[0]) for _, x, lab in mine if lab and lab[1] == "train"]
+        if not train:
+            out |= {i: (0.0, "needs_review") for i, _, _ in mine}
+            continue
+        w = fit(np.stack([x for x, _ in train]), np.array([y for _, y in train], float), 500)
+        conf = {i: 1 / (1 + math.exp(-min(40, max(-40, x @ w)))) for i, x, _ in mine}
+        cal = [(conf[i], lab[0]) for i, _, lab in mine if lab and lab[1] == "calibration"]
+        if calibrate:
+            z = lambda c: min(40, max(-40, math.log(c / (1 - c))))
+            v = fit(np.array([[1.0, z(c)] for c, _ in cal]), np.array([y for _, y in cal], float), 2000)
+            scale = lambda c: 1 / (1 + math.exp(-min(40, max(-40, v[0] + v[1] * z(c)))))
+            conf, cal = {i: scale(c) for i, c in conf.items()}, [(scale(c), y) for c, y in cal]
+        best = None
+        for bar in sorted({c for c, _ in cal}):
+            kept = [y for c, y in cal if c >= bar - 1e-12]
+            if sum(kept) / len(kept) >= C.TARGETS[family] and (best is None or len(kept) > best[0]):
+                best = (len(kept), bar)
+        for i in conf:
+            out[i] = (0.0, "needs_review") if best is None else (conf[i], "auto_accepted" if conf[i] >= best[1] - 1e-9 else "needs_review")
+    return out
+
+
+@pytest.mark.parametrize("calibrate", [False, True])
+def test_confidence_pass(spark, calibrate):
+    fields, labels = extraction(spark)
+    got = K.apply_confidence(fields, labels, calibrate=calibrate)
+    named = {r.field_id: (r.correct, r.split) for r in labels.collect()}
+    rows = [(r.field_id, r.family, r.x, named.get(r.field_id)) for r in G.attach(fields).select("field_id", "family", C.encode().alias("x")).collect()]
+    assert all(len(x) == 17 for _, _, x, _ in rows)
+    want = slow_pass(rows, calibrate)
+    out = {r.field_id: (r.confidence, r.status) for r in got.fields.collect()}
+    assert out.keys() == want.keys() and {s for _, s in out.values()} == {"auto_accepted", "needs_review"}
+    for i, (c, s) in want.items():
+        assert out[i] == (pytest.approx(c, abs=1e-9), s), i
+    assert got.scalers.count() == (2 if calibrate else 0) and {r.family for r in got.models.collect()} == {"amount", "reference"}
+    signals = {r.field_id: r for r in G.attach(fields).collect()}
+    for i in range(60):  # a wrong amount alone in its document is the suspect
+        flagged = [k for k in (1, 2, 3) if signals[f"d{i}:{k}:a"].suspect]
+        assert len(flagged) <= 1 and (not flagged or signals[f"d{i}:t"].footing_ok == 0.0)
+
+
+def test_bound_on_vectors(spark):
+    rows = [("a", [float(i)], i % 2 == 0, "train") for i in range(4000)] * 2
+    df = spark.createDataFrame(rows, "family string, features array<double>, correct boolean, split string")
+    few = C._vectors(df, "features", "train", 500).collect()
+    assert 350 < len(few) < 650 and all(r.n == 2 for r in few)
+    assert C._vectors(df, "features", "train", 10_000).count() == 4000
+
+
+def test_ranks_with_ties(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice("xy"), rnd.choice([0.5, 0.5, 0.5, rnd.random()]), f"k{i}") for i in range(3000)]
+    got = ranked(spark.createDataFrame(rows, "g string, v double, k string"), ["g"], F.col("k"), [F.col("v")], F.floor(F.col("v") * 64)).collect()
+    for g in "xy":
+        order = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], hashlib.md5(r[2].encode()).hexdigest()))
+        assert {r.k: r.rn for r in got if r.g == g} == {r[2]: i for i, r in enumerate(order, 1)}
+
+
+def test_sweep_layout(spark):
+    rows = [("amount", c / 50, c % 7 != 0) for c in range(50)]
+    s = spark.createDataFrame(rows, "family string, confidence double, correct boolean")
+    applied = spark.createDataFrame([("amount", 0.9), ("date", None)], "family string, threshold double")
+    out = C.sweep_curve(s, s, applied).orderBy("ordinal").collect()
+    assert [r.ordinal for r in out] == list(range(len(out))) and out[-1].threshold == 0.9 and 0.9 in [r.threshold for r in out[:-1]]
+    for r in out:
+        kept = [k for _, c, k in rows if c >= r.threshold - 1e-12]
+        assert (r.accepted, r.right) == (len(kept), sum(kept)) and r.accepted > 0
+    back = C.recovered_sweeps(spark.createDataFrame(out)).first()
+    assert back.applied == back.achieved and back.curve_points == len(out) - 1
+    with pytest.raises(PySparkException):
+        C.recovered_sweeps(spark.createDataFrame([r for r in out[:-1] if r.threshold != 0.9] + out[-1:])).collect()
