@@ -131,8 +131,9 @@ def within_one_edit(a, b) -> Column:
     """At most one insertion, deletion, substitution or swap of neighbours."""
     a, b = _col(a), _col(b)
     swap = lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a)))
-    swapped = (F.length(a) == F.length(b)) & (F.length(a) >= 2) & F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), lambda i: swap(i) == b)
-    return F.when((F.levenshtein(a, b) <= 1), F.lit(True)).otherwise(swapped)
+    swapped = F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), lambda i: swap(i) == b)
+    edits = F.levenshtein(a, b, 2)  # -1 beyond two
+    return F.when(edits.between(0, 1), F.lit(True)).when((edits == 2) & (F.length(a) == F.length(b)), swapped).when(edits.isNotNull(), F.lit(False))
 
 
 def vin_tail(a, b) -> Column:

@@ -8,10 +8,12 @@ lines with all entries.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statera.constants import FUZZY_LEAST, GRACE_DAYS, PAYMENT_TYPES, PRIMARY_REFERENCES, REFERENCES, SCHEDULES, WEIGHTS
+from statera.constants import DECAY_DAYS, FUZZY_LEAST, GRACE_DAYS, PAYMENT_TYPES, PRIMARY_REFERENCES, REFERENCES, SCHEDULES, WEIGHTS
 from statera.functions import scalar as S
 from statera.scratch import release, table
 
@@ -82,6 +84,18 @@ def reference_score(a: str = "a_refs", b: str = "b_refs"):
     return F.when(F.exists(F.zip_with(a, b, near), lambda hit: hit), 1.0).otherwise(0.0)
 
 
+def _in_reach(lines: DataFrame, entries: DataFrame) -> DataFrame:
+    """The entries that can reach the threshold with any line of their document: by their date, or by an amount within a percent of a line's.
+    A reference hit alone falls short by FUZZY_LEAST - WEIGHTS[0], which dates give within `days` of each other."""
+    days = math.ceil(DECAY_DAYS * (1 - (FUZZY_LEAST - WEIGHTS[0]) / WEIGHTS[2]))
+    # Amounts within a percent lie in the same step of a logarithmic scale or in neighbouring ones.
+    step = lambda c: F.when(F.col(c) == 0, F.lit(-1)).otherwise(F.floor(F.ln(F.abs(c).cast("double")) / 0.0102)).cast("int")
+    dates = lines.groupBy("doc_id").agg(F.date_sub(F.min("line_date"), days).alias("_lo"), F.date_add(F.max("line_date"), days).alias("_hi"))
+    steps = lines.select("doc_id", F.explode(F.array(*[step("a_amount") + i for i in (-1, 0, 1)])).alias("_step")).distinct().withColumn("_near", F.lit(True))
+    out = entries.join(dates, "doc_id").withColumn("_step", step("b_amount")).join(steps, ["doc_id", "_step"], "left")
+    return out.filter(F.coalesce(F.col("post_date").between(F.col("_lo"), F.col("_hi")), F.lit(False)) | F.col("_near")).drop("_lo", "_hi", "_step", "_near")
+
+
 def total_score(a_amount, b_amount, a_day, b_day):
     """References, amounts and dates, weighted. Expects a_refs and b_refs."""
     r, m, d = WEIGHTS
@@ -92,6 +106,7 @@ def fuzzy_candidates(lines: DataFrame, entries: DataFrame) -> DataFrame:
     """Scored pairs at or above the threshold, found through reference hits."""
     a = lines.select("doc_id", "line_no", primary_references().alias("refs"), F.col("amount_cents").alias("a_amount"), "line_date")
     b = entries.select("doc_id", "entry_id", "entry_pos", primary_references().alias("refs"), F.col("amount_cents").alias("b_amount"), "post_date")
+    b = _in_reach(a, b)
     pairs = _probes(a, "line_no").join(_probes(b, "entry_id"), ["doc_id", "probe"]).select("doc_id", "line_no", "entry_id").distinct()
     scored = pairs.join(a.withColumnRenamed("refs", "a_refs"), ["doc_id", "line_no"]).join(b.withColumnRenamed("refs", "b_refs"), ["doc_id", "entry_id"])
     scored = scored.withColumn("score", total_score("a_amount", "b_amount", "line_date", "post_date")).filter(F.col("score") >= FUZZY_LEAST)
