@@ -177,11 +177,13 @@ def owned_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     kept = table(rows.select("rid", "text").mapInArrow(_retained(length, gram), "rid long, s long, n long, g long, a long, b long"), "suffixes")
     again = table(kept.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g"), "grams")
     near = table(kept.join(again, "g", "left_semi"), "neighbours")
+    release(kept, again)
 
     # Equal stretches become one row, with the first place and the number of places.
     stretch = near.groupBy("g", "a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "s", "n")).alias("one"))
     stretch = table(stretch, "stretches")
-    stretch = table(_with_mixed(stretch), "stretches")
+    every, stretch = stretch, table(_with_mixed(stretch), "stretches")
+    release(every)
     whole = near.join(stretch.filter("c > 1").select("g", "a", "b", "one", "mixed"), ["g", "a", "b"])
     first = F.col("mixed").isNull() & (F.col("one.rid") == F.col("rid")) & (F.col("one.s") == F.col("s"))
     whole = whole.select("rid", "s", (F.col("s") + F.col("n") + (length - 1)).alias("e"), first.alias("own"), F.col("one.rid").alias("orid"))
@@ -192,13 +194,14 @@ def owned_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     open_ = edge.join(rows.select("rid", "text"), "rid").select("rid", "text", "picks")
     windows = table(open_.mapInArrow(_windows(length), "wa long, wb long, rid long, s long, c long"), "windows")
     place = F.struct("rid", "s")
+    release(edge)
     twice = windows.groupBy("wa", "wb").agg(F.count(F.lit(1)).alias("k"), F.min(place).alias("f")).filter("k > 1").select("wa", "wb", "f")
     single = windows.join(table(twice, "repeated-windows"), ["wa", "wb"], "left").filter("c > 1 OR f IS NOT NULL")
     own = F.col("f").isNull() | ((F.col("f.rid") == F.col("rid")) & (F.col("f.s") == F.col("s")))
     single = single.select("rid", "s", (F.col("s") + length).alias("e"), own.alias("own"), F.coalesce("f.rid", "rid").alias("orid"))
 
     spans = table(_islands(whole.unionByName(single)), "spans")
-    release(kept, again, edge, near, stretch, windows)
+    release(near, stretch, windows)
     names = rows.select("rid", "doc_id")
     out = spans.join(names, "rid").withColumn("other", F.when(F.col("owned"), F.col("rid")).otherwise(F.col("other")))
     out = out.join(names.select(F.col("rid").alias("other"), F.col("doc_id").alias("first_doc_id")), "other")
