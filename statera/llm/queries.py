@@ -96,6 +96,24 @@ o AS (SELECT *, row_number() OVER w - 1 AS node, (sum(strlen(ra)) OVER w)::BIGIN
       WINDOW w AS (PARTITION BY volume ORDER BY key, page_id, url ROWS UNBOUNDED PRECEDING)),
 z AS (SELECT *, sha256(sha256(ra) || '|' || (ea - strlen(ra)) || '|' || ea) AS digest_a, sha256(sha256(rb) || '|' || (eb - strlen(rb)) || '|' || eb) AS digest_b FROM o)
 SELECT volume, node, page_id, ea - strlen(ra) AS start, ea AS "end", digest_a, digest_b, 'damaged' AS state FROM z WHERE digest_a <> digest_b
+""",
+    "op9_warc_hurt_replica_audit": """
+WITH d AS (SELECT *, md5('rot:' || coalesce(page_id::VARCHAR, '')) AS d, substr(md5('hurt:' || coalesce(page_id::VARCHAR, '')), 1, 2) AS h, coalesce(html, '') AS body FROM pages),
+r AS (SELECT *, CASE WHEN substr(d, 1, 2) < '04' AND length(body) > 0 THEN
+          substr(body, 1, (('0x' || substr(d, 3, 6))::BIGINT % length(body))) || repeat('~', strlen(substr(body, (('0x' || substr(d, 3, 6))::BIGINT % length(body)) + 1, 1))) || substr(body, (('0x' || substr(d, 3, 6))::BIGINT % length(body)) + 2)
+        ELSE body END AS rot FROM d),
+c AS (SELECT page_id, url, h, CASE WHEN h < '02' THEN substr(rot, 1, floor(length(rot) * 2 / 3.0)::BIGINT) WHEN h < '04' THEN rot || '~' ELSE rot END AS body FROM r WHERE NOT h BETWEEN '04' AND '05'),
+u AS (SELECT 'a' AS side, page_id, url, body FROM r UNION ALL SELECT 'b', page_id, url, body FROM c UNION ALL SELECT 'b', page_id, coalesce(url, '') || '#extra', body FROM c WHERE h BETWEEN '06' AND '07'),
+k AS (SELECT side, page_id, md5(coalesce(page_id::VARCHAR, '') || '|' || coalesce(url, '')) AS key,
+        replace('WARC/1.0|WARC-Type: response|WARC-Target-URI: ', '|', chr(13) || chr(10)) || coalesce(url, '') || replace('|WARC-Record-ID: <urn:page:', '|', chr(13) || chr(10)) || coalesce(page_id::VARCHAR, '')
+          || replace('>|Content-Type: text/html|Content-Length: ', '|', chr(13) || chr(10)) || strlen(body) || repeat(chr(13) || chr(10), 2) || body || repeat(chr(13) || chr(10), 2) AS rec FROM u),
+v AS (SELECT *, sha256(rec) AS sha, (('0x' || substr(key, 1, 7))::BIGINT % greatest(1, ceil((SELECT sum(strlen(rec)) FROM k WHERE side = 'a') / 67108864.0)::BIGINT))::INTEGER AS volume FROM k),
+o AS (SELECT *, row_number() OVER w - 1 AS node, (sum(strlen(rec)) OVER w)::BIGINT AS e FROM v WINDOW w AS (PARTITION BY side, volume ORDER BY key, strlen(rec), sha ROWS UNBOUNDED PRECEDING)),
+z AS (SELECT *, e - strlen(rec) AS s, sha256(sha || '|' || (e - strlen(rec)) || '|' || e) AS digest FROM o),
+a AS (SELECT * FROM z WHERE side = 'a'), b AS (SELECT * FROM z WHERE side = 'b')
+SELECT coalesce(a.volume, b.volume) AS volume, coalesce(a.node, b.node) AS node, coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.s, b.s) AS start, coalesce(a.e, b.e) AS "end", a.digest AS digest_a, b.digest AS digest_b,
+       CASE WHEN b.key IS NULL THEN 'missing' WHEN a.key IS NULL THEN 'extra' ELSE 'damaged' END AS state
+FROM a FULL JOIN b ON a.key = b.key AND a.volume = b.volume WHERE a.sha IS DISTINCT FROM b.sha
 """,
     "op3_block_naming_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,

@@ -12,11 +12,15 @@ reported, not compared. Record bytes are hashed where they are read; only digest
 Defined results: a null url or html counts as empty; null ids and repeated rows are records of their own (ties fall to the
 record's hash, and rows equal in all are interchangeable; of several records of one key those left over are paired in order); a
 record whose id or url changed is missing under its old key and extra under its new one; no rows give no volumes and no
-findings; other columns are ignored.
+findings; other columns are ignored. A volume that is read may be cut, badly headed, undecodable or gzipped: see records.
 """
 
 from __future__ import annotations
 
+import gzip
+import re
+import zlib
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -142,26 +146,52 @@ def write_warc(pages: DataFrame, path: str, volumes: int) -> None:
     rows.repartition(volumes, "volume").sortWithinPartitions("volume", "key", "page_id").select("volume", "value").write.partitionBy("volume").option("lineSep", "\r\n").text(path)
 
 
+def records(data: bytes):
+    """(page_id, url, html, error) of the response records of a volume, which may be gzipped; other kinds of records are passed over.
+
+    A record that can't be read is a row with an error (header, truncated or undecodable, which keeps what can be shown), and reading goes
+    on at the next record's first line. An id that isn't a page's number is NULL.
+    """
+    if data.startswith(b"\x1f\x8b"):
+        try:
+            data = gzip.decompress(data)
+        except (OSError, EOFError, zlib.error):
+            yield None, None, None, "truncated"
+            return
+    at = data.find(b"WARC/")
+    while 0 <= at < len(data):
+        stop = data.find(b"\r\n\r\n", at)
+        lines = data[at : stop if stop >= 0 else len(data)].decode("utf-8", "replace").split("\r\n")[1:]
+        head = {k.strip().lower(): v.strip() for k, sep, v in (line.partition(":") for line in lines) if sep}
+        size = head.get("content-length", "")
+        if stop < 0 or not size.isdecimal():
+            yield None, head.get("warc-target-uri"), None, "header" if stop >= 0 else "truncated"
+            at = data.find(b"\r\n\r\nWARC/", at)
+            at = at + 4 if at >= 0 else -1
+            continue
+        body = data[stop + 4 : stop + 4 + int(size)]
+        if head.get("warc-type") == "response":
+            page = re.fullmatch(r"<urn:page:(\d{1,18})>", head.get("warc-record-id", ""))
+            try:
+                text, error = body.decode(), None
+            except UnicodeDecodeError:
+                text, error = body.decode("utf-8", "replace"), "undecodable"
+            yield int(page[1]) if page else None, head.get("warc-target-uri"), text, "truncated" if len(body) < int(size) else error
+        at = data.find(b"WARC/", stop + 4 + int(size))
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url, html of every record; a volume is read whole by one task, so keep volumes near VOLUME_BYTES."""
+    """page_id, url, html, error of every response record; a volume is read whole by one task, so keep volumes near VOLUME_BYTES."""
 
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                ids, urls, pages = [], [], []
-                data, at = content.as_py(), 0
-                while (stop := data.find(b"\r\n\r\n", at)) >= 0:
-                    head = dict(line.split(": ", 1) for line in data[at:stop].decode().split("\r\n")[1:])
-                    size = int(head["Content-Length"])
-                    page = head["WARC-Record-ID"].removeprefix("<urn:page:").removesuffix(">")
-                    ids.append(int(page) if page else None)
-                    urls.append(head["WARC-Target-URI"])
-                    pages.append(data[stop + 4 : stop + 4 + size].decode())
-                    at = stop + 4 + size + 4
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(pages, pa.string())], ["page_id", "url", "html"])
+                cols = list(zip(*records(content.as_py()), strict=True)) or [()] * 4
+                kinds = (pa.int64(), pa.string(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["page_id", "url", "html", "error"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("content").mapInArrow(run, "page_id long, url string, html string")
+    return files.select("content").mapInArrow(run, "page_id long, url string, html string, error string")
 
 
 def rotted(html: Column, page_id: Column) -> Column:

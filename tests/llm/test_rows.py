@@ -1,3 +1,4 @@
+import gzip
 import math
 import random
 import re
@@ -240,3 +241,25 @@ def test_warc_round_trip(spark, tmp_path):
     back = warc.read_warc(spark, str(tmp_path / "w"))
     want = Counter((r.page_id, r.url or "", r.html or "") for r in df.collect())
     assert Counter((r.page_id, r.url, r.html) for r in back.collect()) == want
+    assert {r.error for r in back.collect()} == {None}
+
+
+def test_damaged_volumes(spark, tmp_path):
+    def rec(body, head=b"WARC-Type: response\r\nWARC-Target-URI: http://a\r\nWARC-Record-ID: <urn:page:7>", size=None):
+        return b"WARC/1.0\r\n" + head + b"\r\nContent-Length: " + (str(len(body)).encode() if size is None else size) + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+    good = rec("é\r\n\r\nWARC/ is named inside".encode())
+    info = rec(b"software: x", b"WARC-Type: warcinfo")
+    volume = info + good + rec(b"x", size=b"many") + rec(b"\xff\xfe") + rec(b"odd", b"WARC-Type: response\r\nno colon here\r\nWARC-Record-ID: <urn:uuid:1>") + good + rec(b"cut off", size=b"70")[:-4]
+    want = [(7, None), (None, "header"), (7, "undecodable"), (None, None), (7, None), (7, "truncated")]
+    assert [(i, e) for i, _, _, e in warc.records(volume)] == want
+    for n, data in enumerate([volume, gzip.compress(volume), gzip.compress(volume)[:-20], b"", b"no records", b"WARC/1.0\r\nhead only"]):
+        (tmp_path / f"v{n}").write_bytes(data)
+    got = Counter((r.page_id, r.error) for r in warc.read_warc(spark, str(tmp_path)).collect())
+    assert got == Counter(want * 2 + [(None, "truncated")] * 2)
+    rnd = random.Random(1)
+    for _ in range(300):  # nothing that bytes may hold ends the reader
+        hurt = bytearray(volume)
+        for _ in range(rnd.randrange(1, 30)):
+            hurt[rnd.randrange(len(hurt))] = rnd.randrange(256)
+        list(warc.records(bytes(hurt)))
