@@ -109,9 +109,24 @@ def g7(spark, d):
     return N.printed_values(lines)
 
 
-@query("op_W14_split_quotas")
+_QUOTAS = """
+RECURSIVE st AS (SELECT doc_type, tier, count(*) AS n, row_number() OVER (ORDER BY doc_type, tier) AS i FROM manifest GROUP BY 1, 2),
+rc AS (
+  SELECT 0::BIGINT AS i, 0::DOUBLE AS ct, 0::DOUBLE AS cc, 0::DOUBLE AS ce, 0::BIGINT AS qt, 0::BIGINT AS qc
+  UNION ALL
+  SELECT i, et - qt, ec - qc, ee - qe, qt, qc FROM (
+    SELECT i, et, ec, ee, (ft + list_contains(w, 't')::INT)::BIGINT AS qt, (fc + list_contains(w, 'c')::INT)::BIGINT AS qc, (fe + list_contains(w, 'e')::INT)::BIGINT AS qe FROM (
+      SELECT *, list_transform(list_sort([{'d': ft - et, 't': 0, 's': 't'}, {'d': fc - ec, 't': -1, 's': 'c'}, {'d': fe - ee, 't': -2, 's': 'e'}])[1:greatest(n - ft - fc - fe, 0)::BIGINT], lambda x: x.s) AS w FROM (
+        SELECT *, greatest(floor(et), 0) AS ft, greatest(floor(ec), 0) AS fc, greatest(floor(ee), 0) AS fe FROM (
+          SELECT st.i, n, n * 0.5::DOUBLE + ct AS et, n * 0.25::DOUBLE + cc AS ec, n * 0.25::DOUBLE + ce AS ee FROM rc JOIN st ON st.i = rc.i + 1) x) y) z) q)
+SELECT doc_id, doc_type, tier, CASE WHEN rn <= qt THEN 'train' WHEN rn <= qt + qc THEN 'calibration' ELSE 'test' END AS split
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_type, tier ORDER BY md5(doc_id), doc_id) AS rn FROM manifest) m JOIN st USING (doc_type, tier) JOIN rc ON rc.i = st.i
+"""
+
+
+@query("op_W14_split_quotas", "WITH " + _QUOTAS.strip(), "manifest")
 def w14(spark, d):
-    """50/25/25 a stratum with the remainders carried on. The carry is a chain over strata; tests hold quotas and totals."""
+    """50/25/25 a stratum, the remainders carried on from stratum to stratum."""
     return N.assign_splits(load(spark, d, "manifest").select("doc_id", "doc_type", "tier"), ["doc_type", "tier"])
 
 

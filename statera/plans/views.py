@@ -195,4 +195,6 @@ def with_views(body: str, *names: str) -> str:
     order = [*dict.fromkeys(x for n in names for x in _needs(n))]
     head = ", ".join(f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in order)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"
