@@ -2,7 +2,8 @@
 
 A text's UTF-8 bytes are cut into blocks of fixed size. The distinct blocks are sorted and numbered, so equal blocks share
 one integer name. Then adjacent names are paired, the distinct pairs sorted and numbered, and so on until each text has
-one name. Texts of equal length take equally many rounds, and every numbering is one to one, so (length, name) is equal
+one name. A name is an integer of its run: which one depends on how the sorted keys are dealt, while identities (which texts share
+a name) don't. Texts of equal length take equally many rounds, and every numbering is one to one, so (length, name) is equal
 exactly for equal texts, whatever any digest does.
 
 Texts are shuffled once, to be sorted. The rows find their block's name by a 64-bit key of the block; the sorted blocks show

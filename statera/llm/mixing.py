@@ -6,6 +6,9 @@ the documents stand in order of size, then of a seeded digest: neighbours are al
 about one document of the target. Ranks are counted in cells (source, size, digest prefix) and shifted by prefix sums over
 sizes and over prefixes, so that no source and no size is ranked in one task.
 
+The targets are filled over a table of one row a source in one task, which is meant for the sources of a mixture, some thousands
+at most, and not for a source per host.
+
 Defined results: null text has size 0; null sources form one source, last in order; null ids and repeated rows are rows of
 their own; a source without words has target 0 and gives nothing; no rows give no rows; other columns are ignored (or kept, in
 mix).
