@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Finished pre-tokens a Python worker remembers, each of REMEMBER_CHARS characters at most; then it starts anew.
-REMEMBER, REMEMBER_CHARS = 400_000, 32
+REMEMBER, REMEMBER_CHARS = 1_000_000, 32
 _BIT = [1 << i for i in range(256)]
 
 
