@@ -23,12 +23,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no earlier stage."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which release_all deletes with all it holds."""
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no earlier stage.
+
+    With path it is written there, inside a folder that folder() has made.
+    """
+    spark = df.sparkSession
+    path = path or folder(spark, name)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._statera_path = path
     return out
