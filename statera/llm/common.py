@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statera.scratch import release, release_all, scratch_dir, table
+from statera.scratch import folder, release, release_all, scratch_dir, table
 
-__all__ = ["packed", "release", "release_all", "row_hash", "scratch_dir", "source_key", "table", "unit", "unpacked"]
+__all__ = ["folder", "packed", "release", "release_all", "row_hash", "scratch_dir", "source_key", "table", "unit", "unpacked"]
 
 
 def source_key(col: str = "source") -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from statera.llm import bpe, chunk_dedup, exact_dedup, license_scan, mixing, quality, sharding, simhash, suffix_dedup, warc
+from statera.llm import (bpe, chunk_dedup, exact_dedup, license_scan, merkle_manifest, mixing, packing, prefix_trie, quality, sharding, simhash,
+                         suffix_dedup, warc)
 from statera.llm.license_scan import TEMPLATES, alike, need_of, told_by, words_of
 from statera.llm.quality import END_MARKS, PHRASES
 
@@ -18,6 +19,9 @@ QUERIES = {
     "op9_warc_merkle_audit": warc.op9,
     "op9_warc_hurt_replica_audit": warc.op9_hurt,
     "op10_byte_bpe": bpe.op10,
+    "op11_merkle_manifest": merkle_manifest.op11,
+    "op12_prefix_trie": prefix_trie.op12,
+    "op13_linear_grouping_packing": packing.op13,
 }
 
 _UNIT = "(('0x' || substr(md5({}), 1, 7))::BIGINT + 0.5::DOUBLE) / 268435456.0::DOUBLE"
@@ -35,6 +39,16 @@ crcs AS (
     crc_table)
 """
 
+#: The CRC-32 of an integer's decimal digits, with crc_table in reach.
+_CRC_OF = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({0}::VARCHAR)), '..'), lambda p: ('0x' || p)::BIGINT)),
+      lambda c, b: xor(c >> 8, (SELECT tab FROM crc_table)[(xor(c, b) & 255) + 1])), 4294967295)"""
+_TABLE = _CRC[: _CRC.index("crcs AS")].rstrip().rstrip(",")
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
 def _templates() -> str:
     """Templates as SQL rows: number, label, words, distinct words, those needed and those that tell the template from others."""
     rows, told = [], told_by(TEMPLATES)
@@ -49,6 +63,46 @@ _MARKS, _PHRASES = END_MARKS.replace("'", "''"), "|".join(PHRASES).replace("'",
 _ALIKE = ", ".join(map(str, sorted(alike(TEMPLATES))))
 
 ORACLE_SQL = {
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE {_TABLE},
+l AS (SELECT row_number() OVER () AS rid, doc_id, source, {_leaf('text')} AS leaf,
+        CASE WHEN {_CRC_OF.format('doc_id')} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS replica FROM documents),
+i AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM l),
+lv(source, lvl, hs) AS (
+  SELECT source, 0, list(leaf ORDER BY idx) FROM i GROUP BY source
+  UNION ALL SELECT source, lvl + 1, list_transform(range((len(hs) + 2) // 3), lambda r: sha256(array_to_string(hs[3 * r + 1:3 * r + 3], ''))) FROM lv WHERE len(hs) > 1),
+s AS (SELECT source, hs[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS at FROM lv WHERE len(hs) = 1),
+up(lvl, hs) AS (
+  SELECT 0, list(subroot ORDER BY at) FROM s
+  UNION ALL SELECT lvl + 1, list_transform(range((len(hs) + 2) // 3), lambda r: sha256(array_to_string(hs[3 * r + 1:3 * r + 3], ''))) FROM up WHERE len(hs) > 1),
+st AS (SELECT rid, lvl, idx // (3::BIGINT ** lvl)::BIGINT AS at, hs FROM i JOIN lv ON i.source IS NOT DISTINCT FROM lv.source WHERE len(hs) > 1
+  UNION ALL SELECT rid, 1000 + lvl, at // (3::BIGINT ** lvl)::BIGINT, hs FROM i JOIN s ON i.source IS NOT DISTINCT FROM s.source, up WHERE len(hs) > 1),
+p AS (SELECT rid, list({{'l': array_to_string(hs[at // 3 * 3 + 1:at], ''), 'r': array_to_string(hs[at + 2:at // 3 * 3 + 3], '')}} ORDER BY lvl) AS path FROM st GROUP BY rid),
+f AS (SELECT doc_id, leaf, subroot, (SELECT hs[1] FROM up WHERE len(hs) = 1) AS root, coalesce(path, []) AS path, replica
+      FROM i LEFT JOIN p USING (rid) JOIN s ON i.source IS NOT DISTINCT FROM s.source)
+SELECT *, folded_root = root AS verified FROM (
+  SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s.l || s.r), '')) AS proof_sha256,
+    list_reduce(list_prepend({{'l': replica, 'r': ''}}, path), lambda a, s: {{'l': sha256(s.l || a.l || s.r), 'r': ''}}).l AS folded_root FROM f)
+""",
+    "op12_prefix_trie": f"""
+WITH {_TABLE},
+w AS (SELECT conv_id AS c, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g, strlen(coalesce(text, '')) AS b
+      FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, g, b, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, g) - 1 AS pos FROM w),
+n AS (SELECT c, c - c % 5 AS base, {_CRC_OF.format('c')} % 9 AS h FROM (SELECT DISTINCT c FROM o)),
+m AS (SELECT n.*, least(h, coalesce((SELECT count(*) FROM o WHERE o.c = n.base), 0)) AS taken FROM n),
+r AS (SELECT m.c, pos, g, b FROM m JOIN o ON o.c = m.base WHERE pos < h UNION ALL SELECT c, pos - h + taken, g, b FROM o JOIN m USING (c) WHERE pos >= h),
+q AS (SELECT c, coalesce(list(g ORDER BY pos) FILTER (g IS NOT NULL), []) AS gs, coalesce(list(b ORDER BY pos) FILTER (g IS NOT NULL), []) AS bs FROM n LEFT JOIN r USING (c) GROUP BY c),
+x AS (SELECT c, d, len(gs) AS len, array_to_string(gs[1:d], '') AS k, array_to_string(gs[1:d - 1], '') AS up, gs, bs[d] AS b FROM q, unnest(range(len(gs) + 1)) u(d)),
+nodes AS (SELECT k, d AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(up) AS up, any_value(b) AS b, arg_min(gs, c) AS gs,
+        sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len = d), '')) AS ends_sha256 FROM x GROUP BY k, d),
+kids AS (SELECT up AS k, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY up),
+t AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN kids USING (k)),
+y AS (SELECT array_to_string(gs[1:j], '') AS k, (n_children = 0)::BIGINT AS leaf, coalesce((n_convs - 1) * b, 0) AS saved FROM t, unnest(range(depth + 1)) u(j)),
+z AS (SELECT k, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM y GROUP BY k)
+SELECT t.conv_id, t.depth, p.conv_id AS parent_conv_id, t.n_convs, t.n_children, n_leaves, saved_tokens, t.ends_sha256
+FROM t JOIN z USING (k) LEFT JOIN t AS p ON t.depth > 0 AND p.k = t.up
+""",
     "op2_license_scan": rf"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id,
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
