@@ -41,7 +41,7 @@ crcs AS (
 
 #: The CRC-32 of an integer's decimal digits, with crc_table in reach.
 _CRC_OF = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({0}::VARCHAR)), '..'), lambda p: ('0x' || p)::BIGINT)),
-      lambda c, b: xor(c >> 8, (SELECT tab FROM crc_table)[(xor(c, b) & 255) + 1])), 4294967295)"""
+      lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"""
 _TABLE = _CRC[: _CRC.index("crcs AS")].rstrip().rstrip(",")
 
 
@@ -66,18 +66,18 @@ ORACLE_SQL = {
     "op11_merkle_manifest": f"""
 WITH RECURSIVE {_TABLE},
 l AS (SELECT row_number() OVER () AS rid, doc_id, source, {_leaf('text')} AS leaf,
-        CASE WHEN {_CRC_OF.format('doc_id')} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS replica FROM documents),
+        CASE WHEN {_CRC_OF.format('doc_id')} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS replica FROM documents, crc_table),
 i AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM l),
 lv(source, lvl, hs) AS (
   SELECT source, 0, list(leaf ORDER BY idx) FROM i GROUP BY source
   UNION ALL SELECT source, lvl + 1, list_transform(range((len(hs) + 2) // 3), lambda r: sha256(array_to_string(hs[3 * r + 1:3 * r + 3], ''))) FROM lv WHERE len(hs) > 1),
-s AS (SELECT source, hs[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS at FROM lv WHERE len(hs) = 1),
+s AS (SELECT source, hs[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM lv WHERE len(hs) = 1),
 up(lvl, hs) AS (
-  SELECT 0, list(subroot ORDER BY at) FROM s
+  SELECT 0, list(subroot ORDER BY place) FROM s
   UNION ALL SELECT lvl + 1, list_transform(range((len(hs) + 2) // 3), lambda r: sha256(array_to_string(hs[3 * r + 1:3 * r + 3], ''))) FROM up WHERE len(hs) > 1),
-st AS (SELECT rid, lvl, idx // (3::BIGINT ** lvl)::BIGINT AS at, hs FROM i JOIN lv ON i.source IS NOT DISTINCT FROM lv.source WHERE len(hs) > 1
-  UNION ALL SELECT rid, 1000 + lvl, at // (3::BIGINT ** lvl)::BIGINT, hs FROM i JOIN s ON i.source IS NOT DISTINCT FROM s.source, up WHERE len(hs) > 1),
-p AS (SELECT rid, list({{'l': array_to_string(hs[at // 3 * 3 + 1:at], ''), 'r': array_to_string(hs[at + 2:at // 3 * 3 + 3], '')}} ORDER BY lvl) AS path FROM st GROUP BY rid),
+st AS (SELECT rid, lvl, idx // (3::BIGINT ** lvl)::BIGINT AS place, hs FROM i JOIN lv ON i.source IS NOT DISTINCT FROM lv.source WHERE len(hs) > 1
+  UNION ALL SELECT rid, 1000 + lvl, place // (3::BIGINT ** lvl)::BIGINT, hs FROM i JOIN s ON i.source IS NOT DISTINCT FROM s.source, up WHERE len(hs) > 1),
+p AS (SELECT rid, list({{'l': array_to_string(hs[place // 3 * 3 + 1:place], ''), 'r': array_to_string(hs[place + 2:place // 3 * 3 + 3], '')}} ORDER BY lvl) AS path FROM st GROUP BY rid),
 f AS (SELECT doc_id, leaf, subroot, (SELECT hs[1] FROM up WHERE len(hs) = 1) AS root, coalesce(path, []) AS path, replica
       FROM i LEFT JOIN p USING (rid) JOIN s ON i.source IS NOT DISTINCT FROM s.source)
 SELECT *, folded_root = root AS verified FROM (
@@ -89,7 +89,7 @@ WITH {_TABLE},
 w AS (SELECT conv_id AS c, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g, strlen(coalesce(text, '')) AS b
       FROM conversations WHERE conv_id IS NOT NULL),
 o AS (SELECT c, g, b, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, g) - 1 AS pos FROM w),
-n AS (SELECT c, c - c % 5 AS base, {_CRC_OF.format('c')} % 9 AS h FROM (SELECT DISTINCT c FROM o)),
+n AS (SELECT c, c - c % 5 AS base, {_CRC_OF.format('c')} % 9 AS h FROM (SELECT DISTINCT c FROM o), crc_table),
 m AS (SELECT n.*, least(h, coalesce((SELECT count(*) FROM o WHERE o.c = n.base), 0)) AS taken FROM n),
 r AS (SELECT m.c, pos, g, b FROM m JOIN o ON o.c = m.base WHERE pos < h UNION ALL SELECT c, pos - h + taken, g, b FROM o JOIN m USING (c) WHERE pos >= h),
 q AS (SELECT c, coalesce(list(g ORDER BY pos) FILTER (g IS NOT NULL), []) AS gs, coalesce(list(b ORDER BY pos) FILTER (g IS NOT NULL), []) AS bs FROM n LEFT JOIN r USING (c) GROUP BY c),
