@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statera.constants import PRICES
 from statera.functions import scalar as S
+from statera.scratch import finished
 
 
 def priced(calls: DataFrame) -> DataFrame:
@@ -24,13 +25,26 @@ def effective(calls: DataFrame) -> DataFrame:
     return priced(calls).withColumn("effective", F.when(F.col("list_price_microusd") != 0, F.col("list_price_microusd")).otherwise(F.col("listed")))
 
 
-def append(ledger: str, calls: DataFrame) -> None:
-    """Adds the rows of one attempt to the append-only ledger: a call served from the cache has used nothing, a failed one is recorded
-    with its status. calls: call_id, run_id, provider, model, prompt_tokens, completion_tokens, cached, http_status."""
+_LEDGER = "call_id string, run_id string, provider string, model string, prompt_tokens bigint, completion_tokens bigint, list_price_microusd bigint, cached boolean, failed boolean, attempt string"
+
+
+def append(ledger: str, calls: DataFrame, attempt: str) -> bool:
+    """Adds the rows of one attempt to the append-only ledger, once: an attempt that is there already adds nothing (False), and one that was
+    broken off before its commit is written again. A call served from the cache has used nothing, a failed one is recorded with its status.
+    calls: call_id, run_id, provider, model, prompt_tokens, completion_tokens, cached, http_status. Read the ledger by recorded_calls()."""
+    at = f"{ledger}/attempt={attempt}"
+    if finished(calls.sparkSession, at):
+        return False
     paid = lambda c: F.when(F.col("cached"), F.lit(0).cast("bigint")).otherwise(F.col(c).cast("bigint"))
     out = priced(calls.withColumns({c: paid(c) for c in ("prompt_tokens", "completion_tokens")}))
     failed = F.col("http_status") != 200
-    out.select("call_id", "run_id", "provider", "model", "prompt_tokens", "completion_tokens", F.col("listed").alias("list_price_microusd"), "cached", failed.alias("failed")).write.mode("append").parquet(ledger)
+    out.select("call_id", "run_id", "provider", "model", "prompt_tokens", "completion_tokens", F.col("listed").alias("list_price_microusd"), "cached", failed.alias("failed")).write.mode("overwrite").parquet(at)
+    return True
+
+
+def recorded_calls(spark: SparkSession, ledger: str) -> DataFrame:
+    """The ledger's rows with the attempt that wrote each."""
+    return spark.read.schema(_LEDGER).option("basePath", ledger).parquet(ledger)
 
 
 def with_cache(calls: DataFrame, cache: DataFrame) -> DataFrame:

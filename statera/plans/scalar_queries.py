@@ -45,7 +45,7 @@ _expr("op_F3_parse_date", "fields", "field_id", lambda: F.when(F.col("family") =
 _expr("op_F4_strip_control", "documents", "doc_id", lambda: F.md5(S.strip_control("text").cast("binary")), r"md5(regexp_replace(text, '[\x00-\x08\x0A-\x1F]', '', 'g'))")
 _expr("op_F5_normalize_reference", "ledger", "entry_id", lambda: S.reference("r"), _REFERENCE.format("r"), "concat('00-', lower(coalesce(claim_number, '0')), ' ') AS r")
 _expr("op_F6_canonical_reference", "ledger", "entry_id", lambda: S.canonical_reference("claim_number"), f"regexp_replace({_REFERENCE.format('claim_number')}, '^([^0-9]*)0+', '\\1')")
-_expr("op_F7_canonical_text", "documents", "doc_id", lambda: F.md5(S.canonical_text("t").cast("binary")), r"md5(lower(trim(regexp_replace(t, '\s+', ' ', 'g'))))", "concat('  ', coalesce(substr(text, 1, 60), ''), ' ') AS t")
+_expr("op_F7_canonical_text", "documents", "doc_id", lambda: F.md5(S.canonical_text("t").cast("binary")), r"md5(lower(trim(regexp_replace(t, '\s+', ' ', 'g'))))", "concat('  ', coalesce(text, ''), ' ') AS t")
 _vin_map = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in VIN_VALUES.items()) + "}"
 _vin_sum = " + ".join(f"coalesce({_vin_map}[substr(v, {i + 1}, 1)], 100000) * {w}" for i, w in enumerate(VIN_WEIGHTS) if w)
 _expr("op_F8_vin_check_digit", "ledger", "entry_id", lambda: S.vin_ok("v"), f"length(v) = 17 AND substr(v, 9, 1) = CASE ({_vin_sum}) % 11 WHEN 10 THEN 'X' ELSE (({_vin_sum}) % 11)::VARCHAR END", "concat(substr(vin, 1, 8), CAST(l_partkey % 10 AS STRING), substr(vin, 10, 8)) AS v")

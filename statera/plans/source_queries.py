@@ -19,13 +19,6 @@ from statera.plans.views import load
 QUERIES, ORACLE_SQL, query = book()
 
 
-def _files(spark, d):
-    """Pages as files: empty, PDF without pages, broken archive, delimited text, markup, plain words."""
-    i, word = F.col("page_id") % 6, F.regexp_replace(F.substring("url", 1, 20), "[,|\t]", "")
-    body = F.when(i == 0, F.lit("")).when(i == 1, F.concat(F.lit("%PDF-1.4 "), word)).when(i == 2, F.concat(F.lit("PK\x03\x04"), word)).when(i == 3, F.concat(F.lit("a,b,c "), word)).otherwise(word)
-    return load(spark, d, "pages").select(F.col("page_id").cast("string").alias("path"), body.cast("binary").alias("content"))
-
-
 @query("op_S5_csv_reader", "SELECT doc_id, line_no, 'invoice_number' AS name, regexp_replace(upper(replace(replace(invoice_number, '-', ''), ' ', '')), '^0+', '') AS value FROM statement_lines UNION ALL SELECT doc_id, line_no, 'line_date', line_date::VARCHAR FROM statement_lines UNION ALL SELECT doc_id, line_no, 'line_amount', (amount_cents // 100)::VARCHAR || '.' || lpad((amount_cents % 100)::VARCHAR, 2, '0') FROM statement_lines", "statement_lines")
 def s5(spark, d):
     files = X.to_csv(load(spark, d, "statement_lines"))
@@ -162,3 +155,52 @@ def t4b(spark, d):
     fixed = few(lines).withColumn("amount_cents", F.when(F.col("tag") == 3, F.col("amount_cents") - 900).otherwise(F.col("amount_cents")))
     fresh = table(R.reconcile(few(s), fixed, ledger.filter("dealer_id = 'D1'"))[1], "exceptions")
     return T.rereconcile(old, fresh, touched)
+
+
+_STREAMED = "FROM (SELECT * REPLACE (CASE WHEN l_suppkey % 10 = 1 AND tag = 3 THEN amount_cents - 900 ELSE amount_cents END AS amount_cents, CASE WHEN l_suppkey % 10 = 1 AND tag = 4 THEN line_date - 40 ELSE line_date END AS line_date) FROM statement_lines) t"
+
+
+@query("op_T4_stream_rereconcile", _CORE.replace("FROM statement_lines t", _STREAMED) + "SELECT * FROM e", *_V)
+def t4c(spark, d):
+    """A log of corrections in three files, streamed a file a batch: amounts first wrong and later right, dates in between. What the touched
+    documents' reconciliations leave is what one over all corrected lines gives."""
+    s, lines, ledger = load(spark, d, "statements"), load(spark, d, "statement_lines"), load(spark, d, "ledger")
+    log = f"{scratch_dir(spark)}/log-{uuid.uuid4().hex}"
+    mine = lines.filter("l_suppkey % 10 = 1")
+    say = lambda rows, name, value, n: rows.select("doc_id", "line_no", F.lit(name).alias("name"), value.alias("new_value"), F.lit(n).cast("bigint").alias("seq")).coalesce(1)
+    wrong, right = (S.format_cents(F.col("amount_cents") - n) for n in (100, 900))
+    say(mine.filter("tag = 3"), "line_amount", wrong, 1).write.parquet(f"{log}/file=1")
+    say(mine.filter("tag = 4"), "line_date", F.date_sub("line_date", 40).cast("string"), 2).write.parquet(f"{log}/file=2")
+    say(mine.filter("tag = 3"), "line_amount", right, 3).write.parquet(f"{log}/file=3")
+    kept = T.Reconciled(spark, f"{scratch_dir(spark)}/reconciled-{uuid.uuid4().hex}", s, lines, ledger)
+    kept.first()
+    kept.follow(spark.readStream.schema("doc_id string, line_no int, name string, new_value string, seq bigint").option("maxFilesPerTrigger", 1).parquet(f"{log}/file=*"))
+    return kept.current()
+
+
+@query("op_T9_file_time_cache", "SELECT 1 AS step, count(*) AS entries, sum(amount_cents)::BIGINT AS cents FROM ledger UNION ALL SELECT 2, count(*), sum(amount_cents)::BIGINT FROM ledger WHERE l_orderkey % 3 = 0", "ledger")
+def t9(spark, d):
+    """A stored view of a table, and the same view after the table was rewritten in the same session."""
+    own = f"{scratch_dir(spark)}/tables-{uuid.uuid4().hex}"
+    rows, out = load(spark, d, "lineitem"), None
+    for step, part in ((1, rows), (2, rows.filter("l_orderkey % 3 = 0"))):
+        part.write.mode("overwrite").parquet(f"{own}/lineitem.parquet")
+        seen = load(spark, own, "ledger").agg(F.count(F.lit(1)).alias("entries"), F.sum("amount_cents").alias("cents"))
+        seen = table(seen.select(F.lit(step).alias("step"), "entries", "cents"), "seen")
+        out = seen if out is None else out.unionByName(seen)
+    return out
+
+
+@query("op_T1_run_state", "SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 10 = 7 THEN 'FAILED' ELSE 'DONE' END AS state, (CASE WHEN doc_id % 10 = 7 THEN 3 WHEN doc_id % 4 = 0 OR doc_id % 5 = 0 THEN 2 ELSE 1 END)::INT AS attempt FROM documents WHERE doc_id IS NOT NULL")
+def t1b(spark, d):
+    """A run whose first worker dies over every fourth document and fails over every fifth; others take over, and some documents fail for good."""
+    run = T.RunState(spark, f"{scratch_dir(spark)}/run-{uuid.uuid4().hex}")
+    run.start(load(spark, d, "documents").filter("doc_id IS NOT NULL").select("doc_id"))
+    n = F.col("doc_id").cast("bigint")
+    for i, (worker, now) in enumerate((("w1", "2024-01-01 00:00:00"), ("w2", "2024-01-01 01:00:00"), ("w3", "2024-01-01 02:00:00"))):
+        mine = run.claim(worker, now, f"claim-{i}")
+        if i == 0:
+            mine = mine.filter(n % 4 != 0)
+        bad = (n % 10 == 7) | ((n % 5 == 0) & F.lit(i == 0))
+        run.finish(mine.withColumn("error", F.when(bad, "unreadable")), worker, now, f"finish-{i}")
+    return run.folded().select("doc_id", "state", "attempt")

@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statera.scratch import exists, table
+from statera.scratch import exists, release, stamp, table
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations", "labels", "pages")
 
@@ -167,9 +167,16 @@ def _needs(name: str) -> list[str]:
     return [*dict.fromkeys([*below, name])]
 
 
-#: Views that most others stand on. They are written when first asked for, once a session and folder, as a user would store them.
+#: Views that most others stand on. They are written when first asked for, once a session and folder, as a user would store them, and
+#: again when a file of the tables below has another length or time.
 STORED = ("ledger", "statement_lines", "fields", "manifest")
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str, str], tuple[tuple, DataFrame]] = {}
+
+
+def _files(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """Length and time of every file that a view stands on."""
+    tables = sorted({t for v in _needs(name) for t in _sources(VIEWS[v]) if t in TABLES and t not in VIEWS})
+    return tuple(stamp(spark, f"{sf_dir}/{t}.parquet") for t in tables)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -177,8 +184,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key in _STORED and exists(_STORED[key]):
-        return _STORED[key]
+    files = _files(spark, sf_dir, name) if name in STORED else ()
+    if name in STORED and key in _STORED:
+        seen, out = _STORED[key]
+        if seen == files and exists(out):
+            return out
+        release(out)
     frames, text = {}, VIEWS[name]
     for source in _sources(text):
         if source != name:
@@ -186,7 +197,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             text = re.sub(rf"(FROM|JOIN) {source}\b", rf"\1 {{{source}}}", text)
     out = spark.sql(text, **frames)
     if name in STORED:
-        out = _STORED[key] = table(out, f"view-{name}")
+        out = table(out, f"view-{name}")
+        _STORED[key] = files, out
     return out
 
 

@@ -45,11 +45,28 @@ def table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 def exists(t: DataFrame) -> bool:
     """Whether a table that table() wrote is still there."""
-    spark = t.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{t._statera_path}/_SUCCESS")
+    return finished(t.sparkSession, t._statera_path)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to path was committed."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """(path, length, modification time) of every file at path, on any store that Spark reads: it changes when a table is rewritten."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return ()
+    found, files = [], fs.listFiles(p, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def release(*tables: DataFrame) -> None:
     """Delete scratch tables that nothing lazy reads any more."""
     for t in tables:

@@ -6,7 +6,9 @@ from __future__ import annotations
 import csv
 import io
 import re
+import struct
 import zipfile
+import zlib
 from datetime import date, timedelta
 from decimal import ROUND_HALF_UP, Decimal
 from xml.etree import ElementTree
@@ -22,6 +24,10 @@ HEAD, BATCH_ROWS = 8192, 4096
 MOST_BYTES, MOST_ROWS, MOST_CELL, MOST_COLUMNS, HEADER_ROWS, HEADER_SHARE = 32 << 20, 5000, 64 << 10, 1024, 100, 0.6
 
 
+#: What the readers raise over a file that is cut short or malformed. Anything else is a fault of the program and ends the job.
+DAMAGE = (csv.Error, zipfile.BadZipFile, zlib.error, ElementTree.ParseError, struct.error, EOFError, KeyError, IndexError, ValueError, ArithmeticError, NotImplementedError, RuntimeError)
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """path, length, content; pruned to what a query needs."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
@@ -64,7 +70,7 @@ def zip_kind(data: bytes) -> tuple[str, str | None]:
 
 def route(files: DataFrame, layers: DataFrame | None = None) -> DataFrame:
     """path, route, error by signature, never by name: empty, PDF, workbook, delimited text, or unrecognized. layers (path, route) says which
-    PDFs show text (pdf.text_layer); a PDF it doesn't name is scanned."""
+    PDFs show text (pdf.text_layer); a PDF it doesn't name is scanned. Without layers nothing is known of their text, and the route is `pdf`."""
 
     def deep(batches):
         for batch in batches:
@@ -73,7 +79,7 @@ def route(files: DataFrame, layers: DataFrame | None = None) -> DataFrame:
                 data = content.as_py()
                 try:
                     out.append(pdf_kind(data) if data.startswith(b"%PDF-") else zip_kind(data))
-                except Exception:  # a file's damage is that file's result
+                except DAMAGE:
                     out.append(("unprocessable", "truncated"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.string())], ["path", "route", "error"])
 
@@ -87,7 +93,7 @@ def route(files: DataFrame, layers: DataFrame | None = None) -> DataFrame:
     out = plain.unionByName(tagged.filter("binary").select("path", "content").mapInArrow(deep, "path string, route string, error string"))
     if layers is not None:
         out = out.join(layers.select("path", F.col("route").alias("_layer")), "path", "left")
-    layer = F.coalesce("_layer", F.lit("scanned_pdf")) if layers is not None else F.lit("scanned_pdf")
+    layer = F.coalesce("_layer", F.lit("scanned_pdf")) if layers is not None else F.lit("pdf")
     return out.select("path", F.when(F.col("route") == "pdf", layer).otherwise(F.col("route")).alias("route"), "error")
 
 
@@ -97,6 +103,7 @@ def _csv_cells(data: bytes) -> list[list[str]]:
     except UnicodeDecodeError:
         text = data.decode("cp1252", "replace")
     text = text.removeprefix("\ufeff").removeprefix("\u00ef\u00bb\u00bf")
+    csv.field_size_limit(MOST_BYTES)  # the module's own limit would end a file for a cell that MOST_CELL is to judge
     try:
         mark = csv.Sniffer().sniff(text[:4096], ",|\t").delimiter
     except csv.Error:
@@ -128,6 +135,20 @@ def cell_text(value: str, number_format: str, epoch: date = date(1899, 12, 30))
     return ("-" if number < 0 else "") + f"${abs(number).quantize(Decimal('0.01'), ROUND_HALF_UP):,}"
 
 
+_R, _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}", "{http://schemas.openxmlformats.org/package/2006/relationships}"
+
+
+def _first_sheet(z: zipfile.ZipFile, book: bytes) -> str:
+    """The part of the first sheet in the workbook's own order; by name only in a workbook that lists no sheets."""
+    sheets = [s.get(f"{_R}id") for s in ElementTree.fromstring(book).findall("m:sheets/m:sheet", _NS)]
+    if sheets and "xl/_rels/workbook.xml.rels" in z.namelist():
+        for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")).findall(f"{_REL}Relationship"):
+            if r.get("Id") == sheets[0]:
+                target = r.get("Target", "")
+                return target[1:] if target.startswith("/") else f"xl/{target}"
+    return min(n for n in z.namelist() if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n))
+
+
 def _xlsx_cells(data: bytes) -> list[list[str]]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         if sum(i.file_size for i in z.infolist()) > MOST_BYTES:
@@ -137,7 +158,7 @@ def _xlsx_cells(data: bytes) -> list[list[str]]:
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in s.iter(f"{{{_NS['m']}}}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
         formats, book = _formats(z), z.read("xl/workbook.xml")
-        sheet = ElementTree.fromstring(z.read(min(n for n in names if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n))))
+        sheet = ElementTree.fromstring(z.read(_first_sheet(z, book)))
     epoch = date(1904, 1, 1) if re.search(rb'date1904="(1|true)"', book) else date(1899, 12, 30)
     out = []
     for row in sheet.iter(f"{{{_NS['m']}}}row"):
@@ -176,9 +197,9 @@ def cell_rows(files: DataFrame, kind: str = "csv") -> DataFrame:
             return [[]], "empty"
         try:
             rows = read(data) if len(data) <= MOST_BYTES else []
-        except OverflowError:
+        except OverflowError:  # a ceiling; ArithmeticError otherwise
             rows = []
-        except Exception:  # a file's damage is that file's result
+        except DAMAGE:
             return [[]], "truncated"
         over = not rows or len(rows) > MOST_ROWS + HEADER_ROWS or any(len(c) > MOST_CELL for r in rows for c in r)
         return ([[]], "too_large") if over else (rows, None)

@@ -4,9 +4,9 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from statera.plans.more_queries import _workbook
 from statera.sources import files as X
 from statera.sources import words as P
+from statera.sources.workbooks import workbook
 
 
 def frame(spark, pairs, key="path"):
@@ -24,7 +24,7 @@ def test_routes(spark):
         "scan": (pdf.replace(b"x" * 300, b"x"), "scanned_pdf", None),
         "locked": (pdf + b"/Encrypt", "unprocessable", "encrypted"),
         "cut": (pdf[:20], "unprocessable", "truncated"),
-        "book": (_workbook([["a"]]), "xlsx", None),
+        "book": (workbook([["a"]]), "xlsx", None),
         "zip": (other.getvalue(), "unprocessable", "unrecognized"),
         "badzip": (b"PK\x03\x04zzz", "unprocessable", "truncated"),
         "a.pdf": (b"a,b,c, and some more words in one line", "csv", None),
@@ -32,8 +32,26 @@ def test_routes(spark):
         "plain": (b"nothing here", "unprocessable", "unrecognized"),
         "binary": (bytes(range(32)) * 9 + b",,,", "unprocessable", "unrecognized"),
     }
-    got = {r.path: (r.route, r.error) for r in X.route(frame(spark, [(k, v[0]) for k, v in files.items()])).collect()}
+    df = frame(spark, [(k, v[0]) for k, v in files.items()])
+    layers = spark.createDataFrame([("a.csv", "digital_pdf")], "path string, route string")
+    got = {r.path: (r.route, r.error) for r in X.route(df, layers).collect()}
     assert got == {k: v[1:] for k, v in files.items()}
+    # Without a table of words no PDF is called scanned.
+    bare = {r.path: r.route for r in X.route(df).collect()}
+    assert bare["a.csv"] == bare["scan"] == "pdf" and bare["book"] == "xlsx"
+
+
+def test_ceilings_of_cells(spark):
+    sizes = {"fits": X.MOST_CELL, "over": X.MOST_CELL + 1, "far over": 200_000, "empty": 0}
+    rows = X.cell_rows(frame(spark, [(k, b"x" * n) for k, n in sizes.items()], "doc_id")).collect()
+    assert {r.doc_id: r.error for r in rows} == {"fits": None, "over": "too_large", "far over": "too_large", "empty": "empty"}
+
+
+def test_first_sheet_is_the_workbooks_own(spark):
+    book = workbook([["Invoice Number", "Date", "Amount"], ["M1", "2024-01-02", "5.00"]], [["Other"], ["x"]])
+    assert zipfile.ZipFile(io.BytesIO(book)).namelist()[-2:] == ["xl/worksheets/sheet2.xml", "xl/worksheets/sheet1.xml"]
+    rows = X.cell_rows(frame(spark, [("b", book)], "doc_id"), "xlsx").orderBy("row_no").collect()
+    assert [r.cells for r in rows] == [["Invoice Number", "Date", "Amount"], ["M1", "2024-01-02", "5.00"]]
 
 
 def test_csv_with_preamble_and_odd_amounts(spark):
@@ -55,7 +73,7 @@ def test_first_column_of_a_name_wins_and_quotes_may_span_lines(spark):
 
 
 def test_stacked_captions(spark):
-    book = _workbook([["Statement"], ["Invoice", "Post", ""], ["Number", "Date", "Amount"], ["M1", "2024-01-02", "5.00"], ["TOTAL", "", "5.00"]])
+    book = workbook([["Statement"], ["Invoice", "Post", ""], ["Number", "Date", "Amount"], ["M1", "2024-01-02", "5.00"], ["TOTAL", "", "5.00"]])
     rows = X.line_fields(X.cell_rows(frame(spark, [("b", book)], "doc_id"), "xlsx"), stacked=True).collect()
     assert {(r.name, r.value) for r in rows} == {("invoice_number", "M1"), ("line_date", "2024-01-02"), ("line_amount", "5.00")}
 
