@@ -187,23 +187,24 @@ def _xlsx_cells(data: bytes) -> list[list[str]]:
     return out
 
 
+def parsed(data: bytes, kind: str) -> tuple[list[list[str]], str | None]:
+    """Rows of cells and an error of one file; a file that can't be read is one row without cells."""
+    if not data:
+        return [[]], "empty"
+    try:
+        rows = {"csv": _csv_cells, "xlsx": _xlsx_cells}[kind](data) if len(data) <= MOST_BYTES else []
+    except OverflowError:  # a ceiling; ArithmeticError otherwise
+        rows = []
+    except DAMAGE:
+        return [[]], "truncated"
+    over = not rows or len(rows) > MOST_ROWS + HEADER_ROWS or any(len(c) > MOST_CELL for r in rows for c in r)
+    return ([[]], "too_large") if over else (rows, None)
+
+
 def cell_rows(files: DataFrame, kind: str = "csv") -> DataFrame:
     """doc_id, row_no, cells, error: a file's rows in order; a file that can't be read is one row with an error."""
-    read = {"csv": _csv_cells, "xlsx": _xlsx_cells}[kind]
     kinds = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.string()]
 
-    def parsed(data: bytes) -> tuple[list[list[str]], str | None]:
-        if not data:
-            return [[]], "empty"
-        try:
-            rows = read(data) if len(data) <= MOST_BYTES else []
-        except OverflowError:  # a ceiling; ArithmeticError otherwise
-            rows = []
-        except DAMAGE:
-            return [[]], "truncated"
-        over = not rows or len(rows) > MOST_ROWS + HEADER_ROWS or any(len(c) > MOST_CELL for r in rows for c in r)
-        return ([[]], "too_large") if over else (rows, None)
-
     def run(batches):
         cols = ([], [], [], [])
 
@@ -215,7 +216,7 @@ def cell_rows(files: DataFrame, kind: str = "csv") -> DataFrame:
 
         for batch in batches:
             for doc, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows, error = parsed(content.as_py() or b"")
+                rows, error = parsed(content.as_py() or b"", kind)
                 for col, values in zip(cols, ([doc.as_py()] * len(rows), range(len(rows)), rows, [error] * len(rows)), strict=True):
                     col.extend(values)
                 if len(cols[0]) >= BATCH_ROWS:
