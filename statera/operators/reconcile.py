@@ -34,14 +34,16 @@ def blocked(statements: DataFrame, ledger: DataFrame, grace: int = GRACE_DAYS) -
     """(doc_id, entry columns): same dealer and schedule, post date within the period plus grace on both sides.
 
     The date range is joined by month: a statement meets the months its window touches, so a dealer's whole history isn't paired with each
-    of its statements.
+    of its statements. A schedule belongs to one document type, so an entry's key is made once and not for each statement it is blocked to.
     """
     st = statements.select("doc_id", "dealer_id", "doc_type", "period_start", "period_end", schedule_of().alias("schedule"))
     st = st.withColumn("lo", F.date_sub("period_start", grace)).withColumn("hi", F.date_add("period_end", grace))
     st = st.withColumn("month", F.explode(F.sequence(F.trunc("lo", "month"), F.trunc("hi", "month"), F.expr("interval 1 month"))))
     entries = ledger.select("entry_id", "dealer_id", "schedule", *REFERENCES, "post_date", "amount_cents", "entry_pos").withColumn("month", F.trunc("post_date", "month"))
+    kinds = F.create_map(*[F.lit(x) for kind, schedule in SCHEDULES.items() for x in (schedule, kind)])
+    entries = entries.withColumn("doc_type", F.try_element_at(kinds, F.col("schedule"))).withColumn("key", S.primary_key()).drop("doc_type")
     out = st.join(entries, ["dealer_id", "schedule", "month"]).filter(F.col("post_date").between(F.col("lo"), F.col("hi")))
-    return out.drop("month", "lo", "hi", "dealer_id", "schedule").withColumn("key", S.primary_key()).withColumn("expected", F.col("post_date").between(F.col("period_start"), F.col("period_end")))
+    return out.drop("month", "lo", "hi", "dealer_id", "schedule").withColumn("expected", F.col("post_date").between(F.col("period_start"), F.col("period_end")))
 
 
 def keyed_lines(statements: DataFrame, lines: DataFrame) -> DataFrame:
@@ -119,9 +121,10 @@ def greedy(candidates: DataFrame) -> DataFrame:
     go through rounds in which every pair that is the best one of both its line and its entry is taken. The order is total, so both
     give the same pairs."""
     candidates = table(candidates, "candidates")
-    large = table(candidates.groupBy("doc_id").count().filter(F.col("count") > FOLD).select("doc_id"), "large-documents")
+    large = candidates.groupBy("doc_id").count().filter(F.col("count") > FOLD).select("doc_id")
     if not large.limit(1).count():
         return _folded(candidates)
+    large = table(large, "large-documents")
     return _folded(candidates.join(large, "doc_id", "left_anti")).unionByName(_in_rounds(candidates.join(large, "doc_id", "left_semi")))
 
 
@@ -151,17 +154,59 @@ def _folded(candidates: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(picked).alias("p")).select("doc_id", F.col("p.line_no").alias("line_no"), F.col("p.entry_id").alias("entry_id"), F.col("p.score").alias("score"))
 
 
-def match(statements: DataFrame, lines: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(matches, keyed lines, blocked entries); matches: doc_id, line_no, entry_id, pass, score."""
-    left, right = table(keyed_lines(statements, lines), "lines"), table(blocked(statements, ledger), "entries")
-    a, b, found = left, right, []
+_SHARED = ("doc_id", "doc_type", "period_start", "period_end", *REFERENCES, "amount_cents", "key")
+
+
+def _sides(statements: DataFrame, lines: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Lines and blocked entries as rows of one table, dealt by document: what follows keeps to that layout."""
+    a = keyed_lines(statements, lines).select(*_SHARED, F.lit("line").alias("side"), F.col("line_no").cast("int").alias("line_no"), F.lit(None).cast("string").alias("entry_id"),
+                                              F.lit(None).cast("bigint").alias("entry_pos"), F.col("line_date").alias("day"), F.lit(True).alias("expected"))
+    b = blocked(statements, ledger).select(*_SHARED, F.lit("entry").alias("side"), F.lit(None).cast("int").alias("line_no"), "entry_id", F.col("entry_pos").cast("bigint").alias("entry_pos"), F.col("post_date").alias("day"), "expected")
+    return a.unionByName(b).repartition("doc_id")
+
+
+def _zipped(rows: DataFrame, name: str, by: list[str]) -> DataFrame:
+    """Open rows (no pair yet) of a group by that have a counterpart get pass and pair: the i-th line takes the i-th entry in book order."""
+    group = [*by, F.col("pass").isNull()]
+    inside = Window.partitionBy(*group, "side").orderBy("line_no", "entry_pos", "entry_id")
+    others = F.least(F.count_if(F.col("side") == "line").over(Window.partitionBy(*group)), F.count_if(F.col("side") == "entry").over(Window.partitionBy(*group)))
+    rows = rows.withColumn("_i", F.row_number().over(inside)).withColumn("_most", others)
+    hit = F.col("pass").isNull() & F.col("key").isNotNull() & (F.col("_i") <= F.col("_most"))
+    pair = F.concat_ws("\x00", F.lit(name), "key", F.col("amount_cents").cast("string") if "amount_cents" in by else F.lit(""), F.col("_i").cast("string"))
+    return rows.withColumn("pair", F.when(hit, pair).otherwise(F.col("pair"))).withColumn("pass", F.when(hit, name).otherwise(F.col("pass"))).drop("_i", "_most")
+
+
+def paired(statements: DataFrame, lines: DataFrame, ledger: DataFrame) -> DataFrame:
+    """A row for each match, each line without one and each entry without one: doc_id, doc_type, period_start, period_end, pass, score, l and
+    e (the line's and the entry's line_no or entry_id, key, amount_cents, day, expected; NULL where missing), and twin (whether a line without
+    a match has a matched one of its document, key and amount).
+
+    Lines and entries are rows of one table. Both exact passes are ranks inside groups of a document, so the table is shuffled once, by
+    document; the pairs of the fuzzy pass come back to it as one row a document.
+    """
+    rows = _sides(statements, lines, ledger).withColumns({"pass": F.lit(None).cast("string"), "pair": F.lit(None).cast("string")})
     for name, by in (("exact", ["doc_id", "key", "amount_cents"]), ("reference", ["doc_id", "key"])):
-        m = table(rank_zip(a, b, by).withColumn("pass", F.lit(name)).withColumn("score", F.lit(1.0)), f"matches-{name}")
-        a, b = a.join(m, ["doc_id", "line_no"], "left_anti"), b.join(m, ["doc_id", "entry_id"], "left_anti")
-        found.append(m)
-    a, b = table(a, "open-lines"), table(b, "open-entries")
-    found.append(table(greedy(fuzzy_candidates(a, b)).withColumn("pass", F.lit("fuzzy")), "matches-fuzzy"))
-    return found[0].unionByName(found[1]).unionByName(found[2]), left, right
+        rows = _zipped(rows, name, by)
+    rows = table(rows, "sides")
+    rest = rows.filter("pass IS NULL")
+    a, b = rest.filter("side = 'line'").withColumnRenamed("day", "line_date"), rest.filter("side = 'entry'").withColumnRenamed("day", "post_date")
+    fuzzy = greedy(fuzzy_candidates(a, b))
+    rid = lambda line, entry: F.coalesce(F.concat(F.lit("l"), F.col(line).cast("string")), F.concat(F.lit("e"), F.col(entry)))
+    pair = F.struct(F.col("entry_id").alias("pair"), "score")
+    both = F.array(F.struct(F.concat(F.lit("l"), F.col("line_no").cast("string")).alias("k"), pair.alias("v")), F.struct(F.concat(F.lit("e"), F.col("entry_id")).alias("k"), pair.alias("v")))
+    of_doc = fuzzy.groupBy("doc_id").agg(F.map_from_entries(F.flatten(F.collect_list(both))).alias("fuzzy"))  # one statement
+    rows = rows.join(of_doc, "doc_id", "left").withColumn("f", F.when(F.col("pass").isNull(), F.try_element_at("fuzzy", rid("line_no", "entry_id"))))
+    rows = rows.withColumn("score", F.when(F.col("pass").isNotNull(), 1.0).otherwise(F.col("f.score"))).withColumn("pass", F.when(F.col("f").isNotNull(), "fuzzy").otherwise(F.col("pass")))
+    alone = F.concat(F.lit("alone:"), rid("line_no", "entry_id"))
+    rows = rows.withColumn("pair", F.coalesce("pair", F.concat(F.lit("fuzzy:"), F.col("f.pair")), alone))
+    same = F.max(F.col("pass").isNotNull()).over(Window.partitionBy("doc_id", "side", "key", "amount_cents"))
+    rows = rows.withColumn("twin", F.col("key").isNotNull() & same)
+    held = F.struct("line_no", "entry_id", "key", "amount_cents", "day", "expected")
+    one = lambda c: F.first(c, ignorenulls=True)
+    out = rows.groupBy("doc_id", "pair").agg(
+        *[one(c).alias(c) for c in ("doc_type", "period_start", "period_end", "pass", "score")], one(F.when(F.col("side") == "line", held)).alias("l"), one(F.when(F.col("side") == "entry", held)).alias("e"),
+        one(F.when(F.col("side") == "line", F.col("twin"))).alias("twin"))
+    return table(out.drop("pair"), "paired")
 
 
 def exception_id(mode: str):
@@ -171,26 +216,20 @@ def exception_id(mode: str):
 
 def reconcile(statements: DataFrame, lines: DataFrame, ledger: DataFrame, mode: str = "oracle") -> tuple[DataFrame, DataFrame]:
     """matches (with match_key) and exceptions (typed, with signed impact in cents)."""
-    pairs, left, right = match(statements, lines, ledger)
-    a = left.select("doc_id", "line_no", "doc_type", "period_start", "period_end", "key", F.col("amount_cents").alias("line_cents"), "line_date")
-    b = right.select("doc_id", "entry_id", F.col("amount_cents").alias("entry_cents"), "post_date")
-    full = pairs.join(a, ["doc_id", "line_no"]).join(b, ["doc_id", "entry_id"])
-    matches = full.select("doc_id", "line_no", "entry_id", F.concat(F.col("pass"), F.lit(":"), F.coalesce("key", "entry_id")).alias("match_key"), "score")
+    rows = paired(statements, lines, ledger)
+    line, entry, both = F.col("l.amount_cents"), F.col("e.amount_cents"), F.col("l").isNotNull() & F.col("e").isNotNull()
+    matches = rows.filter(both).select("doc_id", "l.line_no", "e.entry_id", F.concat(F.col("pass"), F.lit(":"), F.coalesce("l.key", "e.entry_id")).alias("match_key"), "score")
     inside = lambda c: F.col(c).between(F.col("period_start"), F.col("period_end"))
     kind = (
-        F.when((F.col("line_cents") == F.col("entry_cents")) & (inside("line_date") != inside("post_date")), "timing_difference")
-        .when(F.col("line_cents") == F.col("entry_cents"), None)
-        .when(F.col("doc_type").isin(*PAYMENT_TYPES) & (F.col("line_cents") < F.col("entry_cents")), "short_pay")
+        F.when(F.col("e").isNull(), F.when(F.col("twin"), "duplicate").otherwise("missing_from_ledger"))
+        .when(F.col("l").isNull(), F.when(F.col("e.expected"), "missing_from_statement"))
+        .when((line == entry) & (inside("l.day") != inside("e.day")), "timing_difference")
+        .when(line == entry, None)
+        .when(F.col("doc_type").isin(*PAYMENT_TYPES) & (line < entry), "short_pay")
         .otherwise("amount_mismatch")
     )
-    from_pairs = full.withColumn("exception_type", kind).filter("exception_type IS NOT NULL").drop("pass", "score")
-    unmatched = a.join(pairs, ["doc_id", "line_no"], "left_anti")
-    matched = full.filter("key IS NOT NULL").select("doc_id", "key", "line_cents").distinct().withColumn("twin", F.lit(True))
-    lonely = unmatched.join(matched, ["doc_id", "key", "line_cents"], "left").withColumn("exception_type", F.when(F.col("twin"), "duplicate").otherwise("missing_from_ledger"))
-    missing = right.filter("expected").join(pairs, ["doc_id", "entry_id"], "left_anti").select("doc_id", "entry_id", F.col("amount_cents").alias("entry_cents"))
-    missing = missing.withColumn("exception_type", F.lit("missing_from_statement"))
-    out = from_pairs.unionByName(lonely.drop("twin"), allowMissingColumns=True).unionByName(missing, allowMissingColumns=True)
-    line, entry, t = F.col("line_cents"), F.col("entry_cents"), F.col("exception_type")
+    out = rows.withColumn("exception_type", kind).filter("exception_type IS NOT NULL").withColumns({"line_no": F.col("l.line_no"), "entry_id": F.col("e.entry_id")})
+    t = F.col("exception_type")
     impact = (
         F.when(t.isin("duplicate", "missing_from_ledger"), line)
         .when(t == "missing_from_statement", -entry)

@@ -106,7 +106,7 @@ def j5(spark, d):
 
 @query("op_J6_reference_pass", _CORE + "SELECT doc_id, line_no, entry_id FROM m2", *_V)
 def j6(spark, d):
-    return R.match(*_three(spark, d))[0].filter("pass = 'reference'").select("doc_id", "line_no", "entry_id")
+    return R.paired(*_three(spark, d)).filter("pass = 'reference'").select("doc_id", "l.line_no", "e.entry_id")
 
 
 def _left_over(spark, d):
