@@ -6,6 +6,11 @@ names the next non-empty bucket by find-first-set. A place popped from a bucket
 entries, so a pre-token of n bytes takes O(n log n) steps however long it is: the logarithm is that of the heap which keeps
 a bucket's places from left to right.
 
+Pre-tokens that a task meets for the first time are merged together: they are one array of places, linked inside each pre-token only, and
+a bucket then holds the places of its rank in all of them. A bucket is taken whole, its places from left to right, of which a
+place that the one before has just used up is stale; ranks of new pairs go to later buckets. Where a new pair
+may have a lower rank than the one at hand, which is rare in a vocabulary made by merges in order of rank, the pre-token is merged anew by itself.
+
 Work per row is a small helper in Python; Spark reads, deals out and writes the rows. Vocabulary files are read on the
 driver and broadcast: a vocabulary has a fixed size (50,256 entries here).
 
@@ -27,6 +32,8 @@ from pyspark.sql import DataFrame
 
 #: Finished pre-tokens a Python worker remembers, each of REMEMBER_CHARS characters at most; then it starts anew.
 REMEMBER, REMEMBER_CHARS = 1_000_000, 32
+#: Characters of texts that are split at a time, and new pre-tokens from which on they are merged together.
+CHUNK_CHARS, TOGETHER = 4_000_000, 2_000
 _BIT = [1 << i for i in range(256)]
 
 
@@ -111,12 +118,103 @@ class Merger:
         return out
 
 
+class Batch:
+    """Merges many pre-tokens at once, by the same ranks as a Merger."""
+
+    def __init__(self, merge: Merger):
+        self.merge, self.n = merge, merge.n
+        self.single = np.array(merge.single, np.int64)
+        keys, ranks = np.fromiter(merge.pairs.keys(), np.int64, len(merge.pairs)), np.fromiter(merge.pairs.values(), np.int64, len(merge.pairs))
+        order = np.argsort(keys)
+        self.keys, self.ranks = np.append(keys[order], np.iinfo(np.int64).max), np.append(ranks[order], -1)
+        #: Ids that are in a pair of a lower rank.
+        self.early = {*(keys // self.n)[ranks < keys // self.n].tolist(), *(keys % self.n)[ranks < keys % self.n].tolist()}
+
+    def find(self, a, b) -> np.ndarray:
+        key = a * self.n + b
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[at], -1)
+
+    def __call__(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece as little-endian 32-bit integers; no piece is empty."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(sizes)
+        starts, n = ends - sizes, int(ends[-1])
+        # Place n stands for no neighbour.
+        tok = np.append(self.single[np.frombuffer(b"".join(pieces), np.uint8)], 0)
+        after, before, live = np.arange(1, n + 2), np.arange(-1, n), np.ones(n + 1, bool)
+        after[ends - 1], before[starts] = n, n
+        pair = np.full(n + 1, -1)
+        pair[:n] = np.where(after[:n] < n, self.find(tok[:n], tok[after[:n]]), -1)
+        buckets, low, top, odd = {}, [0] * len(self.merge.low), 0, set()
+
+        def put(places: np.ndarray, ranks: np.ndarray) -> int:
+            """Places to the buckets of their ranks; the words whose bits that sets."""
+            words, order = 0, np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = [0, *(np.flatnonzero(np.diff(ranks)) + 1).tolist(), len(ranks)]
+            places, firsts = places.tolist(), ranks[cuts[:-1]].tolist()
+            for rank, a, b in zip(firsts, cuts, cuts[1:]):
+                if rank in buckets:
+                    buckets[rank] += places[a:b]
+                else:
+                    buckets[rank] = places[a:b]
+                    low[rank >> 8] |= _BIT[rank & 255]
+                    words |= 1 << (rank >> 8)
+            return words
+
+        here = np.flatnonzero(pair >= 0)
+        if len(here):
+            top = put(here, pair[here])
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = low[word]
+            first = bits & -bits
+            rank = word << 8 | first.bit_length() - 1
+            low[word] = bits = bits ^ first
+            if not bits:
+                top &= top - 1
+            at = np.unique(np.array(buckets.pop(rank)))
+            at = at[pair[at] == rank]  # the others are stale
+            if not len(at):
+                continue
+            gone = after[at]
+            touching = gone[:-1] == at[1:]
+            if touching.any():  # of places in a row every other one is used up by the one before
+                place = np.arange(len(at))
+                since = place - np.maximum.accumulate(np.where(np.append(True, ~touching), place, 0))
+                at, gone = at[since % 2 == 0], gone[since % 2 == 0]
+            end = after[gone]
+            if rank in self.early:  # between two merges side by side a pair of a lower rank may have stood
+                beside = end[:-1] == at[1:]
+                odd.update(np.searchsorted(ends, at[:-1][beside], "right").tolist())
+            after[at], before[end], tok[at], pair[gone], live[gone] = end, at, rank, -1, False
+            left = before[at]
+            right_rank, left_rank = np.where(end < n, self.find(rank, tok[end]), -1), np.where(left < n, self.find(tok[left], rank), -1)
+            pair[at], pair[left] = right_rank, left_rank
+            places, ranks = np.concatenate((at, left)), np.concatenate((right_rank, left_rank))
+            known = ranks >= 0
+            if known.any():
+                places, ranks = places[known], ranks[known]
+                if ranks.min() < rank:
+                    odd.update(np.searchsorted(ends, places[ranks < rank], "right").tolist())
+                top |= put(places, ranks)
+        live, tok = live[:n], tok[:n].astype("<u4")
+        counts = np.add.reduceat(live.astype(np.int64), starts)
+        cuts, data = [0, *(4 * np.cumsum(counts)).tolist()], tok[live].tobytes()
+        out = [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        for i in odd:
+            out[i] = np.array(self.merge(pieces[i]), "<u4").tobytes()
+        return out
+
+
 class Codec(dict):
     """Pre-tokens to their ids as little-endian 32-bit integers; what is missing is merged, and remembered up to a bound."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
         self.merge, self.split = Merger(ranks), regex.compile(pattern).findall
+        self.together = Batch(self.merge)
         self.bytes_of = np.empty(self.merge.n, object)
         for piece, rank in ranks.items():
             self.bytes_of[rank] = piece
@@ -129,6 +227,43 @@ class Codec(dict):
             self[piece] = found
         return found
 
+    def learn(self, words: set[str]) -> None:
+        """Merges those of words that aren't remembered."""
+        ranks = self.merge.ranks
+        new = [w for w in words if w not in self and len(w) <= REMEMBER_CHARS]
+        if len(new) < TOGETHER:
+            return  # one by one when they are met
+        if len(self) + len(new) > REMEMBER:
+            self.clear()
+            new = [w for w in words if len(w) <= REMEMBER_CHARS]
+        open_, pieces = [], []
+        for w in new:
+            piece = w.encode()
+            rank = ranks.get(piece)
+            if rank is None:
+                open_.append(w)
+                pieces.append(piece)
+            else:
+                self[w] = rank.to_bytes(4, "little")
+        if pieces:
+            self.update(zip(open_, self.together(pieces)))
+
+    def encode_all(self, texts: list[str]):
+        """Ids of each text in turn; texts are split some CHUNK_CHARS characters at a time."""
+        held, size = [], 0
+        for text in [*texts, None]:
+            if text is not None:
+                held.append(self.split(text))
+                size += len(text)
+            if held and (text is None or size >= CHUNK_CHARS):
+                words: set[str] = set()
+                for h in held:
+                    words.update(h)
+                self.learn(words)
+                for h in held:
+                    yield np.frombuffer(b"".join(map(self.__getitem__, h)), "<u4")
+                held, size = [], 0
+
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, self.split(text))), "<u4")
 
@@ -160,8 +295,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, keep: list[str] | Non
         codec = _codec(shared)
         for batch in batches:
             counts, a, b, all_ids = [], [], [], []
-            for text in batch.column(len(keep)):
-                ids = codec.encode(text.as_py() or "")
+            for ids in codec.encode_all([t or "" for t in batch.column(len(keep)).to_pylist()]):
                 counts.append(len(ids))
                 a.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 b.append(hashlib.sha256(codec.decode(ids)).hexdigest())

@@ -51,3 +51,38 @@ def test_rows(spark, pair):
     assert got[1, len(want)].ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
     assert got[2, 0].ids == [] and got[3, 0].decoded_sha256 == hashlib.sha256(b"").hexdigest()
     assert bpe.encode(df.limit(0), VOCABULARY, P.PATTERN).count() == 0
+
+
+def test_merging_together_is_merging_one_by_one(pair, monkeypatch):
+    codec, library = pair
+    rnd = random.Random(8)
+    pieces = [b"aaaaaaa", b"ababab", b"a", "日本語".encode(), b"  ", *[bytes(rnd.choice(b"abcdeh thn") for _ in range(rnd.randrange(1, 40))) for _ in range(3000)]]
+    together = codec.together(pieces)
+    assert [np.frombuffer(x, "<u4").tolist() for x in together if len(x)] == [codec.merge(p) if codec.merge.ranks.get(p) is None else np.frombuffer(x, "<u4").tolist() for p, x in zip(pieces, together)]
+    monkeypatch.setattr(bpe, "TOGETHER", 1)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 200)
+    fresh = bpe.Codec(codec.merge.ranks, P.PATTERN)
+    some = list(texts())
+    assert [x.tolist() for x in fresh.encode_all(some)] == [library.encode_ordinary(t) for t in some]
+    monkeypatch.setattr(bpe, "REMEMBER", 50)
+    assert [x.tolist() for x in fresh.encode_all(some)] == [library.encode_ordinary(t) for t in some]
+
+
+def test_ranks_that_no_merge_order_gives():
+    """A piece made of one of a higher rank: its pre-tokens are merged by themselves."""
+    rnd = random.Random(3)
+    for seed in range(30):
+        pieces = {bytes([b]) for b in range(256)} | {bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(2, 5))) for _ in range(25)}
+        order = sorted(pieces, key=lambda p: (len(p) > 1, rnd.random()))
+        merge = bpe.Merger({p: i for i, p in enumerate(order)})
+        words = [w for w in (bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(1, 12))) for _ in range(200)) if w not in merge.ranks]
+        assert [np.frombuffer(x, "<u4").tolist() for x in bpe.Batch(merge)(words)] == [merge(w) for w in words]
+
+
+def test_repeated_rows_and_a_long_text(spark, pair):
+    _, library = pair
+    long = "word " * 200_000 + "ab" * 300_000
+    df = spark.createDataFrame([(1, long), (1, long), (2, "x")], "doc_id long, text string")
+    got = bpe.encode(df, VOCABULARY, P.PATTERN, with_ids=False).collect()
+    n = len(library.encode_ordinary(long))
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == [(1, n), (1, n), (2, 1)]
