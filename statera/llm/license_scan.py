@@ -9,8 +9,10 @@ counted over all documents (only words of templates matter, so the table of coun
 and what is left is verified by counting T's distinct words in every window, in one pass over the words. No block that meets
 the threshold is lost, and scattered words make none. Windows that meet T and start side by side are one block.
 
-Templates may hold one another's words. T asks for the words that tell it from any U whose own text would meet T, and of blocks
-that overlap and whose templates are alike (THRESHOLD of the smaller one's words) the one that holds the most words stays.
+Templates may hold one another's words. T asks for the words that tell it from any U whose own text would meet T, and a notice of a few
+words for those that name its license; of blocks that overlap and whose templates are alike (THRESHOLD of the smaller one's
+words) the one that holds the most words stays. Blocks without these words, and beaten ones, are found and reported, each with its
+state, and give no label.
 
 Base labels are exact phrases of consecutive words, counted over the whole text, across lines.
 
@@ -87,6 +89,23 @@ TEMPLATES = (
     ("public-domain", "This is free and unencumbered software released into the public domain"),
 )
 
+#: The words that name a license, of which a notice's block must hold all that the notice has. A notice is a template of at most
+#: SHORT distinct words; there the threshold leaves out a word, which may be the very name.
+SHORT = 20
+NAMES = {
+    "gpl": "gnu",
+    "apache": "apache",
+    "cc-by": "cc by creative commons",
+    "cc-by-nc": "cc by creative commons",
+    "cc-by-nd": "cc by creative commons",
+    "cc-by-sa": "cc by creative commons",
+    "cc-by-nc-nd": "cc by creative commons",
+    "cc-by-nc-sa": "cc by creative commons",
+    "mit": "mit",
+    "bsd": "redistribution",
+    "public-domain": "public domain",
+}
+
 #: All bytes that part words as blanks; letters A to Z are lowered before.
 _PART = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -100,9 +119,10 @@ def need_of(words: int, threshold: float = THRESHOLD) -> int:
 
 
 def told_by(templates, threshold: float = THRESHOLD) -> list[set[bytes]]:
-    """Of each template the words that tell it from another one whose whole text would meet it."""
+    """Of each template the words that tell it from another one whose whole text would meet it, and of a notice those that name its license."""
     sets = [set(words_of(t)) for _, t in templates]
-    return [set().union(*(t - u for u in sets if t - u and len(t & u) >= need_of(len(t), threshold))) for t in sets]
+    named = [t & set(words_of(NAMES.get(label, ""))) if len(t) <= SHORT else set() for (label, _), t in zip(templates, sets)]
+    return [n.union(*(t - u for u in sets if t - u and len(t & u) >= need_of(len(t), threshold))) for t, n in zip(sets, named)]
 
 
 def alike(templates, threshold: float = THRESHOLD) -> set[tuple[int, int]]:
@@ -152,7 +172,7 @@ class Index:
         out = []
         for at, i in sorted(first.items()):
             _, order, need, _, told = self.templates[at]
-            if len(held) >= need and len(order) - i >= need and told <= held and sum(w in held for w in order[i:]) >= need:
+            if len(held) >= need and len(order) - i >= need and sum(w in held for w in order[i:]) >= need:
                 out.append(at)
         return out
 
@@ -168,11 +188,22 @@ def held_by_window(at: np.ndarray, word: np.ndarray, width: int, starts: int) ->
     return np.cumsum(np.bincount(lo, minlength=starts + 1) - np.bincount(hi + 1, minlength=starts + 1))[:starts]
 
 
-def blocks_of(words: list[bytes], index: Index) -> list[tuple[int, int, int, int]]:
-    """(template, first word, word behind the last, words held) of the blocks that meet a template, in order of template and place."""
+def _runs(good: np.ndarray, held: np.ndarray, width: int, n: int) -> list[tuple[int, int, int]]:
+    """(first word, word behind the last, most words held) of each run of good windows."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], good.view(np.int8), [0]))))
+    if not len(edge):
+        return []
+    best = np.maximum.reduceat(np.append(held, 0), edge)[::2]
+    return list(zip(edge[::2].tolist(), np.minimum(edge[1::2] - 1 + width, n).tolist(), best.tolist(), strict=True))
+
+
+def blocks_of(words: list[bytes], index: Index) -> list[tuple[int, int, int, int, str]]:
+    """(template, first word, word behind the last, words held, state) of all blocks that meet a template. state: untold where words that tell
+    or name the template are missing, beaten where a block of a like template is better, else empty: only these label the text."""
     if index.rare.isdisjoint(words):
         return []
     found: dict[int, list[tuple[int, int, int]]] = {}
+    out = []
     some = index.candidates(set(words))
     if not some:
         return []
@@ -184,14 +215,13 @@ def blocks_of(words: list[bytes], index: Index) -> list[tuple[int, int, int, int
         starts, kind = max(1, n - width + 1), index.kind[t][word]
         held = held_by_window(at[kind > 0], word[kind > 0], width, starts)
         good = held >= need
-        if told:
-            good &= held_by_window(at[kind == 2], word[kind == 2], width, starts) == len(told)
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], good.view(np.int8), [0]))))
-        if len(edge):
-            s, e = edge[::2], edge[1::2]
-            best = np.maximum.reduceat(np.append(held, 0), edge)[::2]
-            found[t] = list(zip(s.tolist(), np.minimum(e - 1 + width, n).tolist(), best.tolist(), strict=True))
-    out = []
+        if told and good.any():
+            named = held_by_window(at[kind == 2], word[kind == 2], width, starts) == len(told)
+            out += [(t, *run, "untold") for run in _runs(good & ~named, held, width, n)]
+            good &= named
+        runs = _runs(good, held, width, n)
+        if runs:
+            found[t] = runs
     for t, mine in found.items():
         rivals = [found[u] for u in found if (t, u) in index.alike]
         rank = [(len(index.templates[u][1]), u) for u in found if (t, u) in index.alike]
@@ -206,13 +236,12 @@ def blocks_of(words: list[bytes], index: Index) -> list[tuple[int, int, int, int
                     other, (their_size, u) = theirs[i][2], rank[k]
                     beaten = (other, other / their_size, -u) > (held, held / size, -t)
                     i += 1
-            if not beaten:
-                out.append((t, s, e, held))
+            out.append((t, s, e, held, "beaten" if beaten else ""))
     return out
 
 
 def scan_text(text: str, index: Index, phrases: dict[bytes, str]) -> tuple:
-    """n_words, places of base phrases, base labels, blocks [(first word, end, label, containment)] of one text."""
+    """n_words, places of base phrases, base labels, blocks [(first word, end, label, containment, state)] of one text."""
     words = words_of(text)
     flat = b" " + b" ".join(words) + b" "
     places, base = [], set()
@@ -223,7 +252,7 @@ def scan_text(text: str, index: Index, phrases: dict[bytes, str]) -> tuple:
             seen = at
             places.append(n)
             base.add(label)
-    blocks = [(s, e, index.templates[t][0], held / len(index.templates[t][1])) for t, s, e, held in blocks_of(words, index)]
+    blocks = [(s, e, index.templates[t][0], held / len(index.templates[t][1]), state) for t, s, e, held, state in blocks_of(words, index)]
     return len(words), places, base, blocks
 
 
@@ -232,9 +261,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES
     index = docs.sparkSession.sparkContext.broadcast(Index(templates, template_counts(docs, templates), threshold))
     phrases = {p.encode(): label for p, label in phrases.items()}
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<first_word:long,end_word:long,label:string,containment:double>>"
-    names = ["first_word", "end_word", "label", "containment"]
-    block = pa.struct(list(zip(names, (pa.int64(), pa.int64(), pa.string(), pa.float64()), strict=True)))
+    schema = f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<first_word:long,end_word:long,label:string,containment:double,state:string>>"
+    names = ["first_word", "end_word", "label", "containment", "state"]
+    block = pa.struct(list(zip(names, (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string()), strict=True)))
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(block)]
 
     def run(batches):
@@ -242,8 +271,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES
             rows = []
             for text in batch.column(1):
                 n, places, base, blocks = scan_text(text.as_py() or "", index.value, phrases)
-                labels = base | {label for _, _, label, _ in blocks}
-                score = 1.0 if base else max((c for *_, c in blocks), default=0.0)
+                labels = base | {label for _, _, label, _, state in blocks if not state}
+                score = 1.0 if base else max((c for *_, c, state in blocks if not state), default=0.0)
                 rows.append((n, len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, [dict(zip(names, b, strict=True)) for b in blocks]))
             cols = list(zip(*rows, strict=True)) or [()] * 8
             arrays = [batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))]
