@@ -17,7 +17,6 @@ findings; other columns are ignored. A volume that is read may be cut, badly hea
 
 from __future__ import annotations
 
-import gzip
 import re
 import zlib
 
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from statera.llm.common import table
 
-FANOUT, VOLUME_BYTES = 16, 64 << 20
+FANOUT, VOLUME_BYTES, MOST_INFLATED = 16, 64 << 20, 1 << 30
 
 
 def record(url: Column, page_id: Column, html: Column) -> Column:
@@ -146,38 +145,71 @@ def write_warc(pages: DataFrame, path: str, volumes: int) -> None:
     rows.repartition(volumes, "volume").sortWithinPartitions("volume", "key", "page_id").select("volume", "value").write.partitionBy("volume").option("lineSep", "\r\n").text(path)
 
 
+def inflated(data: bytes, most: int = MOST_INFLATED) -> tuple[bytes, bool]:
+    """A volume's bytes, gzip member by member, and whether anything of it is cut, damaged or over the bound; what came out before is kept."""
+    out, size = [], 0
+    while data.startswith(b"\x1f\x8b"):
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data, most - size + 1))
+            size += len(out[-1])
+        except zlib.error:
+            # The member's own bytes are lost from the fault on; the next one may be sound.
+            at = data.find(b"\x1f\x8b\x08", 2)
+            more, _ = inflated(data[at:], most - size) if at > 0 else (b"", True)
+            return b"".join([*out, more]), True
+        if size > most:
+            return b"".join(out)[:most], True
+        if not member.eof:
+            return b"".join(out), True
+        data = member.unused_data
+    return (b"".join(out), bool(data.strip(b"\r\n\0"))) if out else (data, False)
+
+
 def records(data: bytes):
     """(page_id, url, html, error) of the response records of a volume, which may be gzipped; other kinds of records are passed over.
 
-    A record that can't be read is a row with an error (header, truncated or undecodable, which keeps what can be shown), and reading goes
-    on at the next record's first line. An id that isn't a page's number is NULL.
+    A record that can't be read is a row with an error, which keeps what can be shown: header (no length, or one of over 18 digits),
+    damaged (its length is wrong: behind it no record starts and the volume doesn't end), truncated (the volume ends inside it, or
+    its gzip member does) or undecodable. Reading goes on at the first record that starts behind the bad one's own header, so a wrong length
+    hides no other record. An id that isn't a page's number is NULL.
     """
+    cut = False
     if data.startswith(b"\x1f\x8b"):
-        try:
-            data = gzip.decompress(data)
-        except (OSError, EOFError, zlib.error):
+        data, cut = inflated(data)
+        if cut and not data:
             yield None, None, None, "truncated"
-            return
     at = data.find(b"WARC/")
     while 0 <= at < len(data):
         stop = data.find(b"\r\n\r\n", at)
         lines = data[at : stop if stop >= 0 else len(data)].decode("utf-8", "replace").split("\r\n")[1:]
         head = {k.strip().lower(): v.strip() for k, sep, v in (line.partition(":") for line in lines) if sep}
         size = head.get("content-length", "")
-        if stop < 0 or not size.isdecimal():
+        after = data.find(b"\r\n\r\nWARC/", at)
+        after = after + 4 if after >= 0 else -1
+        if stop < 0 or not re.fullmatch("[0-9]{1,18}", size):
             yield None, head.get("warc-target-uri"), None, "header" if stop >= 0 else "truncated"
-            at = data.find(b"\r\n\r\nWARC/", at)
-            at = at + 4 if at >= 0 else -1
+            at = after
             continue
-        body = data[stop + 4 : stop + 4 + int(size)]
+        start, end = stop + 4, stop + 4 + int(size)
+        rest, error = data[end : end + 9], None
+        if end > len(data):
+            end, error = (after - 4, "damaged") if after > 0 else (len(data), "truncated")
+        elif rest == b"\r\n\r\nWARC/":
+            after = end + 4
+        elif data[end:].strip(b"\r\n"):
+            end, error = (after - 4 if after > 0 else len(data)), "damaged"
+        else:
+            after, error = -1, "truncated" if cut and not rest else None
+        body = data[start : max(start, end)]
         if head.get("warc-type") == "response":
             page = re.fullmatch(r"<urn:page:(\d{1,18})>", head.get("warc-record-id", ""))
             try:
-                text, error = body.decode(), None
+                text = body.decode()
             except UnicodeDecodeError:
-                text, error = body.decode("utf-8", "replace"), "undecodable"
-            yield int(page[1]) if page else None, head.get("warc-target-uri"), text, "truncated" if len(body) < int(size) else error
-        at = data.find(b"WARC/", stop + 4 + int(size))
+                text, error = body.decode("utf-8", "replace"), error or "undecodable"
+            yield int(page[1]) if page else None, head.get("warc-target-uri"), text, error
+        at = after
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
