@@ -85,5 +85,9 @@ def test_sniff_of_whole_texts(spark):
 
 @pytest.mark.parametrize("body,want", [(b"%PDF-1.4 x", ("unprocessable", "truncated")), (b"%PDF-1.4 /Encrypt %%EOF", ("unprocessable", "encrypted")), (b"%PDF-1.4 %%EOF", ("scanned_pdf", None)), (b"", ("unprocessable", "empty"))])
 def test_route(spark, body, want):
-    r = X.route(spark.createDataFrame([("p", body)], "path string, content binary")).first()
+    files, no_words = spark.createDataFrame([("p", body)], "path string, content binary"), spark.createDataFrame([], "path string, route string")
+    r = X.route(files, no_words).first()
     assert (r.route, r.error) == want
+    # Without a table of words a PDF stays undecided.
+    bare = X.route(files).first()
+    assert (bare.route, bare.error) == (("pdf", None) if want[0] == "scanned_pdf" else want)
