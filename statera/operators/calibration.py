@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from statera.constants import ROUTES, TARGETS
 from statera.functions import scalar as S
-from statera.operators.ranks import ranked
+from statera.operators.ranks import ranked, running, share_step
 
 RATE, STEPS, PLATT_STEPS, PENALTY = 0.5, 500, 2000, 1e-3
 #: Different feature vectors a family is fitted on at most; they are few, since signals are flags.
@@ -94,32 +94,37 @@ def rescale(rows: DataFrame, scalers: DataFrame) -> DataFrame:
     return out.withColumn("confidence", F.when(F.col("slope").isNull(), F.col("confidence")).otherwise(scaled)).drop("slope", "intercept")
 
 
-def sweep(samples: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+def _counted(samples: DataFrame) -> DataFrame:
+    return samples.groupBy("family", F.col("confidence").alias("threshold")).agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("correct").cast("int")).alias("r"))
+
+
+def _from_above(counts: DataFrame) -> DataFrame:
+    """family, threshold, n, accepted, right of counts (family, threshold, c, r): what is at or above each threshold, summed by steps of the
+    confidence, so a family with as many confidences as rows isn't ordered in one task."""
+    down = running(counts, ["family"], [F.desc("threshold")], share_step(F.col("threshold")), {"c": "accepted", "r": "right"}, "n", down=True)
+    return down.select("family", "threshold", "n", "accepted", "right")
+
+
+def sweep(samples: DataFrame) -> DataFrame:
     """family, threshold, n, accepted, right: for every distinct confidence as a threshold."""
-    steps = samples.groupBy("family", F.col("confidence").alias("threshold")).agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("correct").cast("int")).alias("r"))
-    down = Window.partitionBy("family").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    out = steps.withColumn("accepted", F.sum("c").over(down)).withColumn("right", F.sum("r").over(down)).withColumn("n", F.sum("c").over(Window.partitionBy("family")))
-    return out.select("family", "threshold", "n", "accepted", "right")
+    return _from_above(_counted(samples))
 
 
 def choose_thresholds(samples: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """family, threshold, accepted, right, n: the most accepted at or above the family's precision; else nothing accepted, threshold NULL."""
     target = F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])
-    points = sweep(samples)
-    good = points.filter(F.col("right") / F.col("accepted") >= F.try_element_at(target, F.col("family")))
-    best = good.groupBy("family").agg(F.max_by(F.struct("threshold", "accepted", "right"), "accepted").alias("b")).select("family", "b.*")
-    return points.select("family", "n").distinct().join(best, "family", "left").select("family", "threshold", F.coalesce("accepted", F.lit(0)).alias("accepted"), F.coalesce("right", F.lit(0)).alias("right"), "n")
+    good = F.col("right") / F.col("accepted") >= F.try_element_at(target, F.col("family"))
+    best = F.max_by(F.struct("threshold", "accepted", "right"), F.when(good, F.col("accepted")))  # rows that fall short are passed over
+    out = sweep(samples).groupBy("family").agg(F.max("n").alias("n"), best.alias("b"))
+    return out.select("family", "b.threshold", F.coalesce("b.accepted", F.lit(0)).alias("accepted"), F.coalesce("b.right", F.lit(0)).alias("right"), "n")
 
 
 def _at_thresholds(samples: DataFrame, points: DataFrame) -> DataFrame:
     """points (family, threshold, ...) with n, accepted, right: counts of the samples at or above. One union in order of value and
-    prefix sums over the distinct values, so samples are never paired with points."""
-    values = samples.groupBy("family", F.col("confidence").alias("at")).agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("correct").cast("int")).alias("r"))
-    asked = points.select("family", F.col("threshold").alias("at")).distinct().withColumns({"c": F.lit(0).cast("bigint"), "r": F.lit(0).cast("bigint")})
-    sums = values.unionByName(asked).groupBy("family", "at").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
-    down = Window.partitionBy("family").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.withColumn("accepted", F.sum("c").over(down)).withColumn("right", F.sum("r").over(down)).withColumn("n", F.sum("c").over(Window.partitionBy("family")))
-    return points.join(sums.select("family", F.col("at").alias("threshold"), "n", "accepted", "right"), ["family", "threshold"])
+    running sums over the distinct values, so samples are never paired with points."""
+    asked = points.select("family", "threshold").distinct().withColumns({"c": F.lit(0).cast("bigint"), "r": F.lit(0).cast("bigint")})
+    sums = _counted(samples).unionByName(asked).groupBy("family", "threshold").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
+    return points.join(_from_above(sums), ["family", "threshold"])
 
 
 def grid(families: DataFrame, points: int = GRID) -> DataFrame:
@@ -158,7 +163,7 @@ def recovered_sweeps(points: DataFrame) -> DataFrame:
 
 def reliability(samples: DataFrame, bins: int = 10) -> DataFrame:
     """family, bin, n, mean_confidence, right: bins of equal count in order of confidence, then of the digest of field_id."""
-    rows = ranked(samples, ["family"], F.col("field_id"), [F.col("confidence")], F.floor(F.col("confidence") * 4096)).withColumnRenamed("n", "n_all")
+    rows = ranked(samples, ["family"], F.col("field_id"), [F.col("confidence")], share_step(F.col("confidence"))).withColumnRenamed("n", "n_all")
     rows = rows.withColumn("bin", F.expr(f"CAST(({bins} * rn - 1) DIV n_all AS INT)"))
     return rows.groupBy("family", "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean_confidence"), F.sum(F.col("correct").cast("int")).alias("right"))
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statera.functions import scalar as S
 from statera.operators.ranks import ranked
 
+#: A page whose offset is no larger is sorted for straight away.
+SHALLOW = 10_000
+
 
 def latest(log: DataFrame, key: str, value: str, seq: str) -> DataFrame:
     """key, value of the newest entry of each key. max_by needs one pass and one shuffle of partial results."""
@@ -26,10 +31,28 @@ def effective_typed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("cents", F.when(c.isNull(), F.col("value_cents")).when(F.col("family") == "amount", S.amount_cents(c))).withColumn("day", F.when(c.isNull(), F.col("value_date")).when(F.col("family") == "date", S.parse_date(c)))
 
 
-def page(rows: DataFrame, order: list, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page in a total order: the k best of each part are merged, the rest never moves."""
+def page(rows: DataFrame, order: list, limit: int = 50, offset: int = 0, steps: Sequence[Column] = ()) -> DataFrame:
+    """A page in a total order: the k best of each part are merged, the rest never moves.
+
+    A page further down than SHALLOW rows is looked for by steps, if there are any: columns that never fall along the order, coarse before
+    fine, each a step among rows alike in the ones before (a cell of the first key, the key itself, a prefix of the second). Rows are
+    counted by step, those that hold the page stay, and the next step parts them, until few are left to sort. What is before the page
+    is counted and never sorted or moved.
+    """
     if not 1 <= limit <= 500 or not 0 <= offset <= 10**9:
         raise ValueError("limit is 1 to 500, offset 0 to 1e9")
+    for i in range(len(steps) if offset > SHALLOW else 0):
+        at = F.struct(*steps[: i + 1])
+        counts = rows.groupBy(at.alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+        end = F.sum("_n").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))  # as many rows as there are steps
+        ends = counts.withColumn("_end", end).filter((F.col("_end") > offset) & (F.col("_end") - F.col("_n") < offset + limit))
+        held = ends.orderBy("_end").collect()  # each holds a row of the page: at most `limit` of them
+        if not held:
+            return rows.limit(0)
+        few = F.broadcast(rows.sparkSession.createDataFrame(held, ends.schema).select("_at"))
+        rows, offset = rows.withColumn("_at", at).join(few, "_at", "left_semi").drop("_at"), offset - (held[0]["_end"] - held[0]["_n"])
+        if sum(h["_n"] for h in held) <= SHALLOW:
+            break
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
