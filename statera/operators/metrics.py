@@ -68,6 +68,11 @@ def score_recon(exceptions: DataFrame, injections: DataFrame, lines: DataFrame |
     return i.join(x, "exception_type", "full").join(c, "exception_type", "left").na.fill(0)
 
 
+def dollars_at_risk() -> Column:
+    """Aggregate over exceptions (status, dollar_impact_cents): what the open ones stand for, whatever their sign; 0 over none."""
+    return F.coalesce(F.sum(F.when(F.col("status") == "open", F.abs("dollar_impact_cents"))), F.lit(0)).cast("bigint")
+
+
 def summary(documents: DataFrame, fields: DataFrame, exceptions: DataFrame, calls: DataFrame) -> DataFrame:
     """The seven numbers of the summary tile in one row: one pass over each table, and the one-row results side by side.
 
@@ -76,8 +81,7 @@ def summary(documents: DataFrame, fields: DataFrame, exceptions: DataFrame, call
     """
     d = documents.agg(F.count_if(F.col("route") != "unprocessable").alias("documents_processed"))
     f = fields.agg(F.count(F.lit(1)).alias("fields_extracted"), F.count_if(F.col("status") == "auto_accepted").alias("auto_accepted"), F.count_if(F.col("status") == "needs_review").alias("review_queue_depth"))
-    risk = F.coalesce(F.sum(F.when(F.col("status") == "open", F.abs("dollar_impact_cents"))), F.lit(0)).cast("bigint")
-    e = exceptions.agg(F.count_if(F.col("status") == "open").alias("open_exception_count"), risk.alias("gross_dollars_at_risk_cents"))
+    e = exceptions.agg(F.count_if(F.col("status") == "open").alias("open_exception_count"), dollars_at_risk().alias("gross_dollars_at_risk_cents"))
     p = costs.effective(calls).agg(F.coalesce(F.sum("effective"), F.lit(0)).cast("bigint").alias("list_price_microusd"))
     one = [x.withColumn("_one", F.lit(1)) for x in (d, f, e, p)]  # each is a single row
     return one[0].join(one[1], "_one").join(one[2], "_one").join(one[3], "_one").drop("_one")

@@ -51,5 +51,6 @@ def running(counts: DataFrame, by: list[str], order: list[Column], bucket: Colum
 
 
 def share_step(p: Column) -> Column:
-    """A step that rises with a share from 0 to 1: even in the middle, even in the logit at both ends, where scores crowd. 3,600 steps."""
-    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)) * 1024) + F.floor(S.logit(p) * 32)
+    """A step that rises with a share from 0 to 1: even in the middle, even in the logit at both ends, where scores crowd. 3,600 steps.
+    NULL is NULL."""
+    return F.when(p.isNotNull(), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)) * 1024) + F.floor(S.logit(p) * 32))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from statera.functions import scalar as S
 from statera.operators import calibration as C
+from statera.operators import generate as N
 from statera.operators import reconcile as R
 from statera.operators import review as V
 from statera.plans import review_queries as Q
@@ -92,16 +93,6 @@ def s19(spark, d):
     return X.cell_rows(load(spark, d, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), body.alias("content")), "xlsx").select("doc_id", "error")
 
 
-@query("op_S8a_answer_fields", "SELECT entry_id, amount_cents AS cents FROM ledger", "ledger")
-def s8a(spark, d):
-    """JSON answers: the normalised value first, the raw one as a fallback."""
-    x = load(spark, d, "ledger")
-    money = S.format_cents("amount_cents")
-    answer = F.to_json(F.struct(F.array(F.struct(F.when(F.col("l_partkey") % 2 == 0, money).otherwise(F.lit("?")).alias("norm"), F.concat(F.lit("$"), money).alias("raw"))).alias("lines")))
-    v = x.select("entry_id", F.explode(F.from_json(answer, "lines array<struct<norm:string,raw:string>>")["lines"]).alias("v"))
-    return v.select("entry_id", F.coalesce(S.amount_cents("v.norm"), S.amount_cents("v.raw")).alias("cents"))
-
-
 @query("op_S11_json_sink", "SELECT schedule, count(*) AS n FROM ledger GROUP BY 1", "ledger")
 def s11(spark, d):
     path = f"{scratch_dir(spark)}/json-{uuid.uuid4().hex}"
@@ -128,9 +119,10 @@ def j7d(spark, d):
 
 @query("op_W2_rank_pairing", "SELECT a.entry_id AS x, b.entry_id AS y FROM (SELECT *, row_number() OVER (PARTITION BY dealer_id, post_date ORDER BY entry_pos) AS i FROM ledger WHERE l_orderkey % 2 = 0) a JOIN (SELECT *, row_number() OVER (PARTITION BY dealer_id, post_date ORDER BY entry_pos) AS i FROM ledger WHERE l_orderkey % 2 = 1) b USING (dealer_id, post_date, i)", "ledger")
 def w2(spark, d):
-    i = F.row_number().over(Window.partitionBy("dealer_id", "post_date").orderBy("entry_pos"))
-    half = lambda k, n: load(spark, d, "ledger").filter(F.col("l_orderkey") % 2 == k).select("dealer_id", "post_date", i.alias("i"), F.col("entry_id").alias(n))
-    return half(0, "x").join(half(1, "y"), ["dealer_id", "post_date", "i"]).select("x", "y")
+    x = load(spark, d, "ledger").select(F.col("dealer_id").alias("doc_id"), F.col("post_date").cast("string").alias("key"), "entry_pos", "entry_id", "l_orderkey")
+    lines, entries = x.filter("l_orderkey % 2 = 0"), x.filter("l_orderkey % 2 = 1")
+    pairs = R.rank_zip(lines.withColumn("line_no", F.col("entry_pos")).drop("entry_id"), entries, ["doc_id", "key"])
+    return pairs.join(lines.select(F.col("entry_pos").alias("line_no"), F.col("entry_id").alias("x")), "line_no").select("x", F.col("entry_id").alias("y"))
 
 
 QUERIES["op_W6_equal_count_bins"], ORACLE_SQL["op_W6_equal_count_bins"] = Q.QUERIES["op_A7_reliability_bins"], Q.ORACLE_SQL["op_A7_reliability_bins"]
@@ -177,9 +169,10 @@ def r15(spark, d):
     return x.select(F.round("threshold", 9).alias("threshold"), (F.row_number().over(Window.partitionBy("family").orderBy("threshold")).cast("bigint") - 1).alias("ordinal"))
 
 
-@query("op_R25_amount_draw", "SELECT entry_id, 1000 + floor(99000 * pow((('0x' || substr(md5(entry_id), 1, 7))::BIGINT + 0.5) / 268435456.0::DOUBLE, 3))::BIGINT AS cents FROM ledger", "ledger")
-def r25(spark, d):
-    u = (F.conv(F.substring(F.md5(F.col("entry_id").cast("binary")), 1, 7), 16, 10).cast("bigint") + F.lit(0.5)) / 268435456.0
-    return load(spark, d, "ledger").select("entry_id", (1000 + F.floor(99000 * F.pow(u, F.lit(3.0)))).alias("cents"))
+_UNIT = f"((('0x' || substr(md5('{N.SEED}:amount:' || entry_id), 1, 12))::BIGINT % 1099511627776 + 0.5) / 1099511627776.0::DOUBLE)"
+_DRAWS = " ".join(f"WHEN '{kind}' THEN {low} + floor({f'pow({_UNIT}, 3)' if kind == 'warranty_receivable' else _UNIT} * {high - low})::BIGINT" for kind, (low, high) in N.AMOUNTS.items())
 
 
+@query("op_R25_amount_draw", f"SELECT entry_id, CASE schedule {_DRAWS} END AS cents FROM ledger", "ledger")
+def r25(spark, d):
+    return load(spark, d, "ledger").select("entry_id", N.draw_amount("entry_id").alias("cents"))

@@ -11,6 +11,8 @@ from statera.functions import scalar as S
 from statera.plans.base import book
 from statera.plans.views import load
 from statera.scratch import scratch_dir, table
+from statera.sources import answers as A
+from statera.sources import bands as P
 from statera.sources import files as X
 from statera.sources import pdf as D
 from statera.sources import workbooks as B
@@ -147,3 +149,68 @@ def s7f(spark, d):
 @query("op_S7_pdf_fields", "SELECT 'fld-' || doc_id || '-' || lpad(line_no::VARCHAR, 4, '0') || '-' || name AS field_id, value FROM (SELECT doc_id, line_no, 'invoice_number' AS name, invoice_number AS value FROM statement_lines UNION ALL SELECT doc_id, line_no, 'line_date', line_date::VARCHAR FROM statement_lines UNION ALL SELECT doc_id, line_no, 'line_amount', (amount_cents // 100)::VARCHAR || '.' || lpad((amount_cents % 100)::VARCHAR, 2, '0') FROM statement_lines) l UNION ALL SELECT 'fld-' || doc_id || '-header-statement_number', statement_number FROM heads UNION ALL SELECT 'fld-' || doc_id || '-header-statement_date', statement_date::VARCHAR FROM heads UNION ALL SELECT 'fld-' || doc_id || '-header-total', (total_cents // 100)::VARCHAR || '.' || lpad((total_cents % 100)::VARCHAR, 2, '0') FROM heads", "heads", "statement_lines")
 def s7(spark, d):
     return D.read(_statement_words(spark, d)).select("field_id", "value")
+
+
+def _answers(spark, d):
+    """Each statement as two readings of it: dates and amounts that the first can't normalise, amounts that the second reads otherwise,
+    dates it misses, totals it can't read; every third document was read once."""
+    value = lambda raw, normalized: F.struct(raw.alias("raw"), normalized.alias("normalized"))
+    x = load(spark, d, "statement_lines")
+    money, day, p = S.format_cents("amount_cents"), F.col("line_date").cast("string"), F.col("l_partkey")
+    printed = F.date_format("line_date", "MM/dd/yyyy")
+    number = value(F.col("invoice_number"), F.col("invoice_number")).alias("invoice_number")
+    first = F.struct(F.col("line_no").alias("row_position"), number, value(printed, F.when(p % 4 == 0, "unclear").otherwise(day)).alias("line_date"), value(F.concat(F.lit("$"), money), F.when(p % 5 == 0, "?").otherwise(money)).alias("line_amount"))
+    then = F.struct(F.col("line_no").alias("row_position"), number, F.when(p % 11 != 0, value(printed, day)).alias("line_date"), value(money, F.when(p % 7 == 0, "1.00").otherwise(money)).alias("line_amount"))
+    lines = x.groupBy("doc_id").agg(F.sort_array(F.collect_list(first)).alias("a"), F.sort_array(F.collect_list(then)).alias("b"))
+    both = load(spark, d, "heads").join(lines, "doc_id").join(load(spark, d, "manifest").select("doc_id", "doc_type"), "doc_id")
+    total = S.format_cents("total_cents")
+    answer = lambda c, seen: F.to_json(F.struct(value(total, seen).alias("total"), F.col(c).alias("lines")))
+    second = F.when(F.col("k") % 3 != 0, answer("b", F.when(F.col("k") % 4 == 1, "?").otherwise(total)))
+    return both.select("doc_id", "doc_type", answer("a", total).alias("answer"), second.alias("second"))
+
+
+_ANSWERED = """SELECT 'fld-' || l.doc_id || '-' || lpad(line_no::VARCHAR, 4, '0') || '-' || name AS field_id, value, CASE WHEN m.k % 3 <> 0 THEN same::INT::DOUBLE END AS self_consistency
+FROM (SELECT doc_id, line_no, 'invoice_number' AS name, invoice_number AS value, true AS same FROM statement_lines
+UNION ALL SELECT doc_id, line_no, 'line_date', line_date::VARCHAR, l_partkey % 4 <> 0 AND l_partkey % 11 <> 0 FROM statement_lines
+UNION ALL SELECT doc_id, line_no, 'line_amount', (amount_cents // 100)::VARCHAR || '.' || lpad((amount_cents % 100)::VARCHAR, 2, '0'), l_partkey % 5 <> 0 AND (l_partkey % 7 <> 0 OR amount_cents = 100) FROM statement_lines) l
+JOIN manifest m USING (doc_id) WHERE name <> 'invoice_number' OR m.doc_type = 'parts_statement'
+UNION ALL SELECT 'fld-' || doc_id || '-header-total', (total_cents // 100)::VARCHAR || '.' || lpad((total_cents % 100)::VARCHAR, 2, '0'), CASE WHEN k % 3 <> 0 THEN (k % 4 <> 1)::INT::DOUBLE END FROM heads"""
+
+
+@query("op_S8a_answer_fields", f"SELECT field_id, value FROM ({_ANSWERED}) a", "heads", "statement_lines", "manifest")
+def s8a(spark, d):
+    return A.fields(_answers(spark, d)).select("field_id", "value")
+
+
+@query("op_S8b_self_consistency", f"SELECT field_id, self_consistency FROM ({_ANSWERED}) a", "heads", "statement_lines", "manifest")
+def s8b(spark, d):
+    return A.fields(_answers(spark, d)).select("field_id", "self_consistency")
+
+
+def _bands(spark, d):
+    """A statement's lines as bands of ink, 24 pixels apart, some of them shifted or higher."""
+    top = F.col("line_no") * 24 + F.when(F.col("l_partkey") % 6 == 0, 5).otherwise(F.col("l_partkey") % 2).cast("int")
+    x = load(spark, d, "statement_lines").select("doc_id", F.lit(1).alias("page"), "line_no", top.alias("top"), (top + F.when(F.col("l_partkey") % 10 == 0, 14).otherwise(8)).alias("bottom"))
+    return x
+
+
+_BANDS = """WITH RECURSIVE b AS (SELECT doc_id, line_no::INT AS i, top::INT AS top, (top + CASE WHEN l_partkey % 10 = 0 THEN 14 ELSE 8 END)::INT AS bottom
+FROM (SELECT *, line_no * 24 + CASE WHEN l_partkey % 6 = 0 THEN 5 ELSE l_partkey % 2 END AS top FROM statement_lines) x),
+g AS (SELECT a.doc_id, a.i, (b.top + b.bottom) / 2.0::DOUBLE - (a.top + a.bottom) / 2.0::DOUBLE AS gap FROM b a JOIN b ON b.doc_id = a.doc_id AND b.i = a.i + 1),
+f AS (SELECT doc_id, i, gap AS pitch, 1 AS seen, 0 AS run FROM g WHERE i = 1
+UNION ALL SELECT g.doc_id, g.i, CASE WHEN abs(gap - pitch) <= 0.08::DOUBLE * pitch THEN pitch + (gap - pitch) / (seen + 1) ELSE gap END, CASE WHEN abs(gap - pitch) <= 0.08::DOUBLE * pitch THEN seen + 1 ELSE 1 END, CASE WHEN abs(gap - pitch) <= 0.08::DOUBLE * pitch THEN run ELSE run + 1 END FROM f JOIN g ON g.doc_id = f.doc_id AND g.i = f.i + 1),
+r AS (SELECT doc_id, run, min(i) AS lo, max(i) + 1 AS hi FROM f GROUP BY 1, 2),
+w AS (SELECT r.doc_id, r.run, i - lo AS row, top, bottom FROM r JOIN b ON b.doc_id = r.doc_id AND b.i BETWEEN lo AND hi)
+"""
+
+
+@query("op_W16_even_pitch_runs", _BANDS + "SELECT doc_id, run, row::INT AS row, top, bottom FROM w", "statement_lines")
+def w16(spark, d):
+    return P.pitch_runs(_bands(spark, d)).drop("page")
+
+
+@query("op_W16_table_rows", _BANDS + ", z AS (SELECT doc_id, run, count(*) AS n, avg(bottom - top) AS m, stddev_pop(bottom - top) AS s FROM w GROUP BY 1, 2), y AS (SELECT *, count(*) OVER (PARTITION BY doc_id, n) AS ties, max(n) OVER (PARTITION BY doc_id) AS most FROM z), e AS (SELECT doc_id, count(*) - (max(l_orderkey) % 2) AS n_rows FROM statement_lines GROUP BY 1) SELECT w.doc_id, (w.row + 1)::INT AS line_no, top, bottom FROM w JOIN y USING (doc_id, run) JOIN e USING (doc_id) WHERE y.n = y.most AND ties = 1 AND s / m <= 0.25 AND y.n = e.n_rows", "statement_lines")
+def w16_table(spark, d):
+    """The rows of pages whose table has as many as were promised: all lines, or all but one where the last order's number is odd."""
+    promised = load(spark, d, "statement_lines").groupBy("doc_id").agg((F.count(F.lit(1)) - F.max("l_orderkey") % 2).alias("n_rows")).withColumn("page", F.lit(1))
+    return P.table_rows(_bands(spark, d), promised).drop("page")

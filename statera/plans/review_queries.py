@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from statera.constants import GRAMMARS, OEMS, TARGETS
 from statera.functions import scalar as S
 from statera.operators import calibration as C
+from statera.operators import metrics as M
 from statera.operators import review as V
 from statera.operators import signals as G
+from statera.operators.ranks import share_step
 from statera.plans.scalar_queries import _AMOUNT, _DATE
 from statera.plans.base import book
 from statera.plans.views import load
@@ -213,6 +215,14 @@ def w9(spark, d):
     return V.page(load(spark, d, "samples"), ["confidence", "field_id"], 50, 100).select("field_id", F.round("confidence", 9).alias("confidence"))
 
 
+@query("op_W9_deep_page", "SELECT field_id, round(confidence, 9) AS confidence FROM (SELECT *, row_number() OVER (ORDER BY confidence, field_id) AS i, count(*) OVER () AS n FROM samples) q WHERE i > n * 3 // 4 AND i <= n * 3 // 4 + 50", "samples")
+def w9_deep(spark, d):
+    """The page at three quarters of the queue: what is before it is counted by steps, not sorted."""
+    x = load(spark, d, "samples")
+    steps = [share_step(F.col("confidence")), F.col("confidence"), *[F.substring("field_id", 1, n) for n in (3, 4, 5, 6)]]
+    return V.page(x, ["confidence", "field_id"], 50, x.count() * 3 // 4, steps).select("field_id", F.round("confidence", 9).alias("confidence"))
+
+
 @query("op_W10_exceptions_topk", "SELECT entry_id, amount_cents FROM (SELECT * FROM ledger ORDER BY abs(amount_cents) DESC, entry_id LIMIT 50) q", "ledger")
 def w10(spark, d):
     return V.page(load(spark, d, "ledger"), [F.desc(F.abs("amount_cents")), "entry_id"]).select("entry_id", "amount_cents")
@@ -341,19 +351,7 @@ def a6(spark, d):
     return g.withColumn("ratio", F.round(F.try_divide("num", "den"), 9))
 
 
-_SUMMARY = "SELECT count(*) AS calls, count(*) FILTER (http_status = 200) AS good, sum(abs(prompt_tokens))::BIGINT AS tokens, count(DISTINCT doc_id) AS docs FROM llm_calls"
-
-
-@query("op_A23_dollars_at_risk", "SELECT schedule, sum(abs(amount_cents - 5000000))::BIGINT AS risk FROM ledger GROUP BY 1", "ledger")
+@query("op_A23_dollars_at_risk", "SELECT expected_exception, coalesce(sum(abs(dollar_impact_cents)) FILTER (dollar_impact_cents % 4 <> 0), 0)::BIGINT AS risk FROM injections GROUP BY 1", "injections")
 def a23(spark, d):
-    return load(spark, d, "ledger").groupBy("schedule").agg(F.sum(F.abs(F.col("amount_cents") - 5000000)).alias("risk"))
-
-
-@query("op_S8b_self_consistency", "SELECT field_id, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE (l_partkey % 7 <> 0)::INT::DOUBLE END AS result FROM fields", "fields")
-def s8b(spark, d):
-    f = load(spark, d, "fields").select("field_id", "raw_text", "l_partkey")
-    warm = f.filter("l_partkey % 3 <> 0").select("field_id", F.when(F.col("l_partkey") % 7 != 0, F.col("raw_text")).alias("warm"), F.lit(True).alias("sampled"))
-    same = F.coalesce(S.canonical_text("raw_text") == S.canonical_text("warm"), F.lit(False))
-    return f.join(warm, "field_id", "left").select("field_id", F.when(F.col("sampled"), F.when(same, 1.0).otherwise(0.0)).alias("result"))
-
-
+    x = load(spark, d, "injections").withColumn("status", F.when(F.col("dollar_impact_cents") % 4 == 0, "resolved").otherwise("open"))
+    return x.groupBy("expected_exception").agg(M.dollars_at_risk().alias("risk"))

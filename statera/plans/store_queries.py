@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
@@ -131,13 +132,19 @@ def u14(spark, d):
     return spark.read.parquet(f"{store}/thresholds").select("family", F.round("threshold", 9).alias("threshold"), "accepted", "run_id")
 
 
-@query("op_T2_batch_order", "SELECT doc_id, count(*) + 3 AS rows FROM statement_lines GROUP BY 1", "statement_lines")
+@query("op_T2_batch_order", "SELECT doc_id, count(*) + 3 AS rows, true AS in_order FROM statement_lines GROUP BY 1", "statement_lines")
 def t2(spark, d):
-    """The batch's rows come in order of document; here counted a document."""
+    """The batch's rows as they come: each against the one before it, inside a part of the result and across the parts' edges."""
     from statera.sources.files import to_csv
 
-    out = W.batch(to_csv(load(spark, d, "statement_lines")))
-    return out.filter(F.size("cells") > 0).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    place = F.struct("doc_id", "row_no")
+    out = W.batch(to_csv(load(spark, d, "statement_lines"))).filter(F.size("cells") > 0)
+    out = table(out.select("doc_id", "row_no", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("came")), "batch-order")
+    last = F.lag(place).over(Window.partitionBy("part").orderBy("came"))
+    rows = out.withColumn("ok", F.coalesce(last < place, F.lit(True)))
+    edges = out.groupBy("part").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    edges = edges.select("part", F.coalesce(F.lag("last").over(Window.orderBy("part")) < F.col("first"), F.lit(True)).alias("edge"))  # a row a part
+    return rows.join(F.broadcast(edges), "part").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.col("ok") & F.col("edge")).alias("in_order"))
 
 
 @query("op_S12_table_sink", "SELECT (SELECT count(*) FROM manifest) AS documents, count(*) AS fields, (SELECT count(*) FROM injections) AS exceptions, count(*) FILTER (CASE WHEN l_partkey % 5 = 0 THEN false ELSE confidence >= 0.5 END) AS auto_accepted FROM samples", "manifest", "samples", "injections")

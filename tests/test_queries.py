@@ -16,7 +16,8 @@ op_R6_run_notes op_P15_counterpart_picker op_R24_call_accounting op_G1_ledger_ge
 op_G7_rendered_values op_W15_reuse_numbering op_S2_pdf_text_layer op_S14_csv_sink op_S16_ceilings op_S6a_zip_bomb
 op_S6c_cell_text op_S7_pdf_fields op_P10_routing_fallback op_R7_document_rows op_R10_exception_row op_R11_crop_source
 op_R14_review_detail op_U13_add_column op_U14_replace_all op_S12_table_sink op_Z1_stream_tumbling op_Z3_stream_sessions
-op_Z4_stream_dedup op_F7_canonical_text op_J7d_total_score
+op_Z4_stream_dedup op_F7_canonical_text op_J7d_total_score op_S8a_answer_fields op_S8b_self_consistency op_W16_even_pitch_runs
+op_W16_table_rows op_W9_deep_page op_A9_sweep_points op_A23_dollars_at_risk op_R25_amount_draw op_W2_rank_pairing op_T2_batch_order
 """.split()
 
 
