@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statera.constants import FAMILIES, TIERS
@@ -11,16 +11,21 @@ from statera.operators import costs
 from statera.scratch import table
 
 
-def judged(fields: DataFrame, truth: DataFrame) -> DataFrame:
-    """fields with correct: NULL where truth has no value at the field's place. truth: doc_id, line_no, name, truth, truth_cents, truth_day."""
-    key = S.rendered_key("line_no", "name").alias("key")
-    answers = truth.select("doc_id", key, "truth", "truth_cents", "truth_day")
-    right = S.field_correct("family", "value", "value_cents", "value_date", "truth", "truth_cents", "truth_day")
+_TRUTH = ("truth", "truth_cents", "truth_day")
+
+
+def _compared(fields: DataFrame, answers: DataFrame) -> DataFrame:
+    """fields, with the other columns of answers (doc_id, key, _TRUTH and more), and correct."""
+    right = S.field_correct("family", "value", "value_cents", "value_date", *_TRUTH)
     # Unread text is wrong; an unread value of another family compares as unequal by itself.
     unread = F.col("value").isNull() & F.col("family").isin("reference", "text")
-    out = fields.withColumn("key", key).join(answers, ["doc_id", "key"], "left")
-    right = F.when(right.isNotNull(), right & ~unread)
-    return out.withColumn("correct", right).drop("truth", "truth_cents", "truth_day")
+    out = fields.withColumn("key", S.rendered_key("line_no", "name")).join(answers, ["doc_id", "key"], "left")
+    return out.withColumn("correct", F.when(right.isNotNull(), right & ~unread)).drop(*_TRUTH)
+
+
+def judged(fields: DataFrame, truth: DataFrame) -> DataFrame:
+    """fields with correct: NULL where truth has no value at the field's place. truth: doc_id, line_no, name, truth, truth_cents, truth_day."""
+    return _compared(fields, truth.select("doc_id", S.rendered_key("line_no", "name").alias("key"), *_TRUTH))
 
 
 def score_fields(fields: DataFrame, truth: DataFrame, rendered: DataFrame, manifest: DataFrame, split: str) -> DataFrame:
@@ -30,12 +35,13 @@ def score_fields(fields: DataFrame, truth: DataFrame, rendered: DataFrame, manif
     count too. A field is spurious where truth has no value. Cells that expect nothing are left out. manifest: doc_id, split, tier.
     """
     docs = manifest.filter(F.col("split") == split).select("doc_id", "tier")
-    key = S.rendered_key("line_no", "name").alias("key")
-    printed = rendered.select("doc_id", "key", "text")
+    held = lambda rows: rows.join(docs.select("doc_id"), "doc_id", "left_semi")
+    places = truth.select("doc_id", S.rendered_key("line_no", "name").alias("key"), F.col("family").alias("_family"), *_TRUTH)
+    # Truth and print meet once, in the documents of the split alone, and are read from there for both sides.
+    answers = table(held(places).withColumn("_true", F.lit(True)).join(held(rendered.select("doc_id", "key", "text")), ["doc_id", "key"], "full"), "answers")
     has = F.coalesce("truth", F.col("truth_cents").cast("string"), F.col("truth_day").cast("string")).isNotNull()
-    asked = truth.filter(has).select("doc_id", key, "family").join(docs, "doc_id").join(printed, ["doc_id", "key"], "left")
-    asked = asked.groupBy("family", "tier").agg(F.count(F.lit(1)).alias("in_truth"), F.count("text").alias("expected"))
-    seen = judged(fields, truth).join(docs, "doc_id").join(printed, ["doc_id", "key"], "left")
+    asked = answers.filter(F.col("_true") & has).join(docs, "doc_id").groupBy(F.col("_family").alias("family"), "tier").agg(F.count(F.lit(1)).alias("in_truth"), F.count("text").alias("expected"))
+    seen = _compared(fields.join(docs, "doc_id"), answers.drop("_family", "_true"))
     known, verbatim = F.col("correct").isNotNull(), F.coalesce(F.col("raw_text") == F.col("text"), F.lit(False))
     seen = seen.groupBy("family", "tier").agg(
         F.count_if(known).alias("extracted"), F.count_if(~known).alias("spurious"), F.count_if(F.coalesce("correct", F.lit(False))).alias("canonical"), F.count_if(known & verbatim).alias("raw")
