@@ -3,7 +3,7 @@ answer is what is taken and second, if there is one, a repeated reading that onl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statera.constants import FIELD_FAMILIES
@@ -46,40 +46,56 @@ def _wrong(parsed: Column) -> Column:
     return parsed.isNull() | heads | (F.size(lines) > MOST_LINES) | F.exists(lines, bad)
 
 
+def _taken(text: Column) -> Column:
+    """What a text is parsed as; NULL where it can't be taken. It is parsed once, however often it is looked at."""
+    seen = F.when(S.stripped(text).startswith("{") & F.try_parse_json(text).isNotNull(), F.from_json(text, SCHEMA, {"mode": "PERMISSIVE"}))
+    return F.get(F.transform(F.array(seen), lambda p: F.when(~_wrong(p), p)), F.lit(0))
+
+
 def parsed(answers: DataFrame, column: str = "answer") -> DataFrame:
     """answers with parsed (NULL where the answer can't be taken) and error: malformed, or NULL. A missing answer is malformed."""
-    text = F.col(column)
-    seen = F.from_json(text, SCHEMA, {"mode": "PERMISSIVE"})
-    seen = F.when(S.stripped(text).startswith("{") & F.try_parse_json(text).isNotNull(), seen)
-    out = answers.withColumn("parsed", seen)
-    wrong = _wrong(F.col("parsed"))
-    return out.withColumn("error", F.when(wrong, "malformed")).withColumn("parsed", F.when(~wrong, F.col("parsed")))
+    out = answers.withColumn("parsed", _taken(F.col(column)))
+    return out.withColumn("error", F.when(F.col("parsed").isNull(), "malformed"))
 
 
-def _values(answers: DataFrame, column: str) -> DataFrame:
-    """doc_id, doc_type, i, line_no (NULL in the head), name, v and box of every value of the answers that can be taken, in their order."""
+def _items(p: Column, first: bool) -> Column:
+    """Every value of a parsed answer, the head's and then the lines', in their order; none of NULL."""
     no = lambda kind: F.lit(None).cast(kind)
-    item = lambda line_no, name, v, page, box: F.struct(line_no.alias("line_no"), F.lit(name).alias("name"), v.alias("v"), page.alias("page"), box.alias("box"))
-    p = F.col("parsed")
+    item = lambda line_no, name, v, page, box: F.struct(F.lit(first).alias("first"), line_no.alias("line_no"), F.lit(name).alias("name"), v.alias("v"), page.alias("page"), box.alias("box"))
     heads = F.array(*[item(no("bigint"), n, p[n], no("bigint"), no("array<bigint>")) for n in HEADER_FIELDS])
     lines = F.flatten(F.transform(p["lines"], lambda x: F.array(*[item(x["row_position"], n, x[n], F.coalesce(x["page"], F.lit(0).cast("bigint")), x["bbox"]) for n in _EVERY])))
-    every = F.filter(F.concat(heads, F.coalesce(lines, F.slice(heads, 1, 0))), lambda x: x["v"].isNotNull())
-    out = parsed(answers.select("doc_id", "doc_type", F.col(column).alias("_text")), "_text").filter("error IS NULL")
-    return out.select("doc_id", "doc_type", F.posexplode(every).alias("i", "x")).select("doc_id", "doc_type", "i", "x.*")
+    return F.filter(F.concat(heads, F.coalesce(lines, F.slice(heads, 1, 0))), lambda x: x["v"].isNotNull())
+
 
+def _values(answers: DataFrame) -> DataFrame:
+    """doc_id, doc_type, asked, i, first, line_no (NULL in the head), name, raw, normalized, page, box and family of every value of the first answers that
+    can be taken, and of their second ones (not first); asked: whether the second can be taken. Each text is parsed once."""
+    both = F.struct(_taken(F.col("answer")).alias("a"), _taken(F.col("second")).alias("b"))
+    # Generators, unlike projections, are never merged with what reads their columns, so nothing is parsed again.
+    out = answers.select("doc_id", "doc_type", F.explode(F.array(both)).alias("x")).select("doc_id", "doc_type", "x.*").filter("a IS NOT NULL")
+    every = F.concat(_items(F.col("a"), True), _items(F.col("b"), False))
+    out = out.select("doc_id", "doc_type", F.col("b").isNotNull().alias("asked"), F.posexplode_outer(every).alias("i", "x"))
+    return _families(out.filter("x IS NOT NULL").select("doc_id", "doc_type", "asked", "i", "x.first", "x.line_no", "x.name", "x.v.raw", "x.v.normalized", "x.page", "x.box"))
 
-def _canonical(family: Column, text: Column) -> Column:
-    """value, cents, day of a text as its family reads it; all NULL where it doesn't parse."""
-    cents, day = S.amount_cents(text), S.parse_date(text)
-    amount = F.struct(S.format_cents(cents).alias("value"), cents.alias("cents"), F.lit(None).cast("date").alias("day"))
-    date = F.struct(day.cast("string").alias("value"), F.lit(None).cast("bigint").alias("cents"), day.alias("day"))
-    plain = F.struct(F.nullif(text, F.lit("")).alias("value"), F.lit(None).cast("bigint").alias("cents"), F.lit(None).cast("date").alias("day"))
-    return F.when(family == "amount", amount).when(family == "date", date).otherwise(plain)
 
+def _canonical(rows: DataFrame, text: Column, name: str) -> DataFrame:
+    """rows with name, name_cents and name_day: a text (name_t) as its family reads it; all NULL where it doesn't parse. Flat columns of their
+    own: inside a condition or a lambda each step would be worked out anew at every mention."""
+    t, cents, day = (f"{name}{x}" for x in ("_t", "_cents", "_day"))
+    rows = rows.withColumn(t, text)
+    rows = rows.withColumn(cents, S.amount_cents(F.when(F.col("family") == "amount", F.col(t)))).withColumn(day, S.parse_date(F.when(F.col("family") == "date", F.col(t))))
+    return rows.withColumn(name, F.when(F.col("family") == "amount", S.format_cents(cents)).when(F.col("family") == "date", F.col(day).cast("string")).otherwise(F.nullif(F.col(t), F.lit(""))))
 
-def _readings(family: Column, *texts: Column) -> Column:
-    """An array of what _canonical makes of each text; the expression stands once in the plan however many texts there are."""
-    return F.transform(F.array(*texts), lambda t: _canonical(family, t))
+
+def _compared(rows: DataFrame) -> DataFrame:
+    """The first answer's values with _said (their normalized text _said_t, as _canonical reads it), self_consistency, and last: whether no
+    later value of the answer has their place."""
+    rows = _canonical(rows, S.stripped(F.col("normalized")), "_said").withColumn("_place", F.concat_ws(":", F.coalesce(F.col("line_no").cast("string"), F.lit("head")), "name"))
+    place, said = Window.partitionBy("doc_id", "_place"), F.struct(F.col("_said").alias("value"))
+    mine, other = F.when(F.col("first"), F.col("i")), F.when(~F.col("first"), F.col("i"))
+    rows = rows.withColumns({"_a": F.max_by(said, mine).over(place), "_b": F.max_by(said, other).over(place), "last": F.max(mine).over(place) == F.col("i")}).filter("first")
+    same = F.col("_b").isNotNull() & F.col("_a.value").eqNullSafe(F.col("_b.value"))
+    return rows.withColumn("self_consistency", F.when(F.col("asked"), F.when(same, 1.0).otherwise(0.0))).drop("_a", "_b", "_place")
 
 
 def _families(rows: DataFrame) -> DataFrame:
@@ -90,18 +106,8 @@ def agreement(answers: DataFrame) -> DataFrame:
     """doc_id, line_no, name, self_consistency of each value of the first answer where the second one can be taken: 1 where both read the
     same, compared in canonical form (two values that don't parse are the same), else 0, as where the second lacks it. Of a row read
     twice in one answer the last reading counts. Documents without a second answer have no rows."""
-    asked = answers.filter(F.col("second").isNotNull())
-    place = F.concat_ws(":", F.coalesce(F.col("line_no").cast("string"), F.lit("head")), "name")
-
-    def last(column, name):
-        text = S.stripped(F.col("v.normalized"))
-        rows = _families(_values(asked, column)).withColumn("_place", place).withColumn("_value", F.get(_readings(F.col("family"), text), F.lit(0))["value"])
-        return rows.groupBy("doc_id", "_place").agg(F.max_by(F.struct("line_no", "name", F.col("_value").alias("value")), "i").alias(name))
-
-    taken = parsed(asked, "second").filter("error IS NULL").select("doc_id")
-    both = last("answer", "a").join(taken, "doc_id", "left_semi").join(last("second", "b"), ["doc_id", "_place"], "left")
-    same = F.col("b").isNotNull() & F.col("a.value").eqNullSafe(F.col("b.value"))
-    return both.select("doc_id", "a.line_no", "a.name", F.when(same, 1.0).otherwise(0.0).alias("self_consistency"))
+    rows = _compared(_values(answers.filter(F.col("second").isNotNull())))
+    return rows.filter("asked AND last").select("doc_id", "line_no", "name", "self_consistency")
 
 
 def fields(answers: DataFrame) -> DataFrame:
@@ -113,19 +119,19 @@ def fields(answers: DataFrame) -> DataFrame:
     names them). doc_id is the key of answers; a row read twice by one answer stays twice.
     """
     allowed = F.create_map(*[x for kind, names in LINE_FIELDS.items() for x in (F.lit(kind), F.array(*map(F.lit, names)))])
-    rows = _families(_values(answers, "answer"))
     held = F.col("line_no").isNull() | F.coalesce(F.array_contains(F.try_element_at(allowed, F.col("doc_type")), F.col("name")), F.lit(False))
-    rows = rows.filter(held).withColumn("raw_text", S.strip_control(F.col("v.raw")))
-    tries = _readings(F.col("family"), S.stripped(S.strip_control(F.col("v.normalized"))), S.stripped(F.col("raw_text")))
-    rows = rows.withColumn("_c", F.coalesce(F.get(F.filter(tries, lambda c: c["value"].isNotNull()), F.lit(0)), F.get(tries, F.lit(1))))
+    rows = _compared(_values(answers).filter(held)).withColumn("raw_text", S.strip_control(F.col("raw"))).withColumn("_clean_t", S.stripped(S.strip_control(F.col("normalized"))))
+    # Most texts hold no control character, and most parse: the other two readings are of NULL then.
+    rows = _canonical(rows, F.when(F.col("_clean_t") != F.col("_said_t"), F.col("_clean_t")), "_other")
+    alike, c = F.col("_clean_t") == F.col("_said_t"), ("", "_cents", "_day")
+    rows = rows.withColumns({f"_c{x}": F.when(alike, F.col(f"_said{x}")).otherwise(F.col(f"_other{x}")) for x in c})
+    rows = _canonical(rows, F.when(F.col("_c").isNull(), S.stripped(F.col("raw_text"))), "_printed")
+    rows = rows.withColumns({f"_d{x}": F.when(F.col("_c").isNull(), F.col(f"_printed{x}")).otherwise(F.col(f"_c{x}")) for x in c})
     x0, y0, x1, y1 = (F.get(F.col("box"), F.lit(i)) / FRAME for i in range(4))
     box = F.when(plausible_box(x0, y0, x1, y1), F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")))
-    key = F.concat_ws(":", F.coalesce(F.col("line_no").cast("string"), F.lit("head")), "name")
-    sure = agreement(answers).select("doc_id", key.alias("_place"), "self_consistency")
-    out = rows.withColumn("_place", key).join(sure, ["doc_id", "_place"], "left")
     where = F.when(F.col("line_no").isNull(), "header").otherwise(F.lpad(F.col("line_no").cast("string"), 4, "0"))
-    return out.select(
+    return rows.select(
         F.concat_ws("-", F.lit("fld"), "doc_id", where, "name").alias("field_id"), "doc_id", F.col("line_no").cast("int").alias("line_no"), "name", "family", "raw_text",
-        F.col("_c.value").alias("value"), F.col("_c.cents").alias("value_cents"), F.col("_c.day").alias("value_date"), F.col("page").cast("int").alias("page"), box.alias("bbox"),
+        F.col("_d").alias("value"), F.col("_d_cents").alias("value_cents"), F.col("_d_day").alias("value_date"), F.col("page").cast("int").alias("page"), box.alias("bbox"),
         F.lit("llm_vision").alias("source"), "self_consistency",
     )

@@ -58,3 +58,9 @@ def test_what_cannot_be_taken(spark):
     got = sorted((x.doc_id, x.name, x.value, x.self_consistency) for x in A.fields(df).collect())
     assert got == [("nolines", "total", "1.00", 1.0), ("twice", "line_amount", "1.00", 1.0), ("twice", "line_amount", "2.00", 1.0)]
     assert A.fields(df.limit(0)).count() == 0
+
+
+def test_each_answer_is_parsed_once(spark):
+    df = spark.createDataFrame([("d", "parts_statement", doc(total=v("9.00")), None)], KIND)
+    plan = A.fields(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2  # answer and second
