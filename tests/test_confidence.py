@@ -173,3 +173,19 @@ def test_sweep_layout(spark):
     assert back.applied == back.achieved and back.curve_points == len(out) - 1
     with pytest.raises(PySparkException):
         C.recovered_sweeps(spark.createDataFrame([r for r in out[:-1] if r.threshold != 0.9] + out[-1:])).collect()
+
+
+def test_signals_move_a_field_once(spark, tmp_path):
+    """All that a document says of its fields is read in one layout."""
+    kind = "field_id string, doc_id string, line_no int, name string, family string, raw_text string, value string, value_cents long, value_date date, reading_pos int, route string"
+    path = str(tmp_path / "fields")
+    spark.createDataFrame([("f", "d", 1, "line_amount", "amount", "1.00", "1.00", 100, None, 1, "csv")], kind).write.parquet(path)
+    plan = G.attach(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_fields_without_a_document_have_no_neighbours(spark):
+    kind = "field_id string, doc_id string, line_no int, name string, family string, raw_text string, value string, value_cents long, value_date date, reading_pos int, route string"
+    rows = [("a", None, 1, "line_amount", "amount", "1.00", "1.00", 100, None, 1, "csv"), ("t", None, None, "total", "amount", "9.00", "9.00", 900, None, 0, "csv")]
+    got = G.attach(spark.createDataFrame([*rows, *[(f"x{r[0]}", "d", *r[2:]) for r in rows]], kind)).collect()
+    assert {r.field_id: (r.footing_ok, r.suspect) for r in got} == {"a": (None, False), "t": (None, False), "xa": (0.0, True), "xt": (0.0, False)}
