@@ -55,3 +55,11 @@ def test_dataset_is_reconciled_as_injected(spark):
     again = N.dataset(spark, mix, dealers=5, months=2, rate=80)
     for name in ("lines", "injections", "manifest"):
         assert Counter(map(str, again[name].collect())) == Counter(map(str, made[name].collect()))
+
+
+def test_what_is_reconciled_after_injection_is_written(spark):
+    """No plan holds the generator's draws again."""
+    from statera.plans.dataset_queries import _hurt
+
+    plans = [t._jdf.queryExecution().optimizedPlan().toString() for t in _hurt(spark, "/root/testdata/sf0.001")]
+    assert len(plans) == 4 and max(map(len, plans)) < 1000
