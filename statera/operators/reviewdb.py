@@ -6,7 +6,7 @@ the old store whole until the new one is whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -92,6 +92,18 @@ def review_detail(items: DataFrame, documents: DataFrame, fields: DataFrame, sig
     return out.select("field_id", F.struct("name", "family", "raw_text", "value").alias("item"), "document", F.struct(*signals).alias("signals"), F.coalesce("neighbours", empty).alias("neighbours"))
 
 
+def asked_detail(fields: DataFrame, asked, documents: DataFrame, signals: tuple[str, ...]) -> DataFrame:
+    """review_detail of the fields for which asked is true: fields are dealt by document once, and those of a line meet where they lie."""
+    rows = fields.withColumn("_asked", F.coalesce(asked, F.lit(False))).repartition("doc_id")
+    line = F.collect_list(F.struct("name", "raw_text", "field_id")).over(Window.partitionBy("doc_id", "line_no"))  # the fields of one line
+    rows = rows.withColumn("_line", line).filter("_asked AND field_id IS NOT NULL")
+    others = F.sort_array(F.filter("_line", lambda n: n["field_id"] != F.col("field_id")))
+    empty = F.array().cast("array<struct<name:string,raw_text:string,field_id:string>>")
+    out = rows.withColumn("neighbours", F.when(F.col("line_no").isNotNull(), others).otherwise(empty)).drop("_line")
+    out = out.join(documents.select("doc_id", F.struct("doc_id", "route", "tier").alias("document")), "doc_id")
+    return out.select("field_id", F.struct("name", "family", "raw_text", "value").alias("item"), "document", F.struct(*signals).alias("signals"), "neighbours")
+
+
 def migrated(old: DataFrame, schema: StructType) -> DataFrame:
     """old with the columns of schema that it lacks, as NULLs, in schema's order, and its own others behind; doing it twice changes nothing."""
     have = {f.name for f in old.schema}

@@ -103,7 +103,7 @@ def s8c(spark, d):
 @query("op_R14_review_detail", "SELECT f.field_id, f.name, f.raw_text, m.tier, f.self_consistency, coalesce(string_agg(o.name || '=' || o.raw_text, ',' ORDER BY o.name, o.raw_text, o.field_id), '') AS neighbours FROM extracted f JOIN manifest m ON m.doc_id = f.doc_id LEFT JOIN extracted o ON o.doc_id = f.doc_id AND o.line_no = f.line_no AND o.field_id <> f.field_id WHERE f.name = 'line_amount' GROUP BY 1, 2, 3, 4, 5", "extracted", "manifest")
 def r14(spark, d):
     x = G.typed(load(spark, d, "extracted"))
-    out = W.review_detail(x.filter("name = 'line_amount'"), load(spark, d, "manifest"), x, ("self_consistency",))
+    out = W.asked_detail(x, F.col("name") == "line_amount", load(spark, d, "manifest"), ("self_consistency",))
     beside = F.array_join(F.transform("neighbours", lambda n: F.concat(n["name"], F.lit("="), n["raw_text"])), ",")
     return out.select("field_id", "item.name", "item.raw_text", "document.tier", "signals.self_consistency", beside.alias("neighbours"))
 
