@@ -1,9 +1,9 @@
 """The library's functions for users of SQL: register(spark) once, then amount_cents(x), read_date(x), reference_key(x), vin_ok(x),
-effective_price(stored, model, prompt, completion) and the table function statement_rows(content, kind).
+effective_price(stored, model, prompt, completion) and the table functions statement_rows(content, kind) and statement_sheet(content, kind).
 
-The scalar functions are SQL functions, whose bodies Spark puts in place and optimizes with the query; no Python runs. statement_rows is a
-Python table function: a file has to be parsed somewhere. It gives the rows of cells that sources.files.cell_rows gives, and
-statement_fields() makes a view of typed fields of a table of files.
+The scalar functions are SQL functions, whose bodies Spark puts in place and optimizes with the query; no Python runs. The table functions
+are Python: a file has to be parsed somewhere. They give what sources.files.cell_rows and sources.files.sheets give, the rows of cells or
+all of a file's rows as one value, and statement_fields() makes a view of typed fields of a table of files.
 """
 
 from __future__ import annotations
@@ -55,13 +55,21 @@ class StatementRows:
             yield i, cells, error
 
 
+class StatementSheet:
+    """A file as a table function: rows, all of them as one value, and error."""
+
+    def eval(self, content: bytes, kind: str):
+        yield X.parsed(bytes(content or b""), kind)
+
+
 def register(spark: SparkSession) -> None:
     for head, kind, body in FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {kind} RETURN {body}")
     spark.udtf.register("statement_rows", F.udtf(StatementRows, returnType="row_no int, cells array<string>, error string"))
+    spark.udtf.register("statement_sheet", F.udtf(StatementSheet, returnType="rows array<array<string>>, error string"))
 
 
 def statement_fields(spark: SparkSession, files: str, view: str, kind: str = "csv") -> None:
     """A temporary view of the typed fields of every file of the table or view files (doc_id, content)."""
-    rows = spark.sql(f"SELECT f.doc_id, r.* FROM {files} AS f, LATERAL statement_rows(f.content, '{kind}') AS r")
+    rows = spark.sql(f"SELECT f.doc_id, r.* FROM {files} AS f, LATERAL statement_sheet(f.content, '{kind}') AS r")
     X.line_fields(rows, stacked=kind == "xlsx").createOrReplaceTempView(view)
