@@ -72,10 +72,13 @@ def _values(answers: DataFrame) -> DataFrame:
     can be taken, and of their second ones (not first); asked: whether the second can be taken. Each text is parsed once."""
     both = F.struct(_taken(F.col("answer")).alias("a"), _taken(F.col("second")).alias("b"))
     # Generators, unlike projections, are never merged with what reads their columns, so nothing is parsed again.
-    out = answers.select("doc_id", "doc_type", F.explode(F.array(both)).alias("x")).select("doc_id", "doc_type", "x.*").filter("a IS NOT NULL")
+    # Fields are taken of columns: x.a or x.* could as well mean a table or a subquery called x that answers come from.
+    out = answers.select("doc_id", "doc_type", F.explode(F.array(both)).alias("_both"))
+    out = out.select("doc_id", "doc_type", *[F.col("_both")[n].alias(n) for n in ("a", "b")]).filter(F.col("a").isNotNull())
     every = F.concat(_items(F.col("a"), True), _items(F.col("b"), False))
-    out = out.select("doc_id", "doc_type", F.col("b").isNotNull().alias("asked"), F.posexplode_outer(every).alias("i", "x"))
-    return _families(out.filter("x IS NOT NULL").select("doc_id", "doc_type", "asked", "i", "x.first", "x.line_no", "x.name", "x.v.raw", "x.v.normalized", "x.page", "x.box"))
+    out = out.select("doc_id", "doc_type", F.col("b").isNotNull().alias("asked"), F.posexplode_outer(every).alias("i", "_item")).filter(F.col("_item").isNotNull())
+    item = [F.col("_item")[n].alias(n) for n in ("first", "line_no", "name", "page", "box")] + [F.col("_item")["v"][n].alias(n) for n in ("raw", "normalized")]
+    return _families(out.select("doc_id", "doc_type", "asked", "i", *item))
 
 
 def _canonical(rows: DataFrame, text: Column, name: str) -> DataFrame:
